@@ -1,0 +1,49 @@
+"""Running numbers (W1) and per-group occurrence numbers (W2) without a
+single-task window.
+
+``row_number() over (order by k)`` with no PARTITION BY moves every row into
+one task. Here the rows are range-partitioned on (group, order) keys, each
+range partition numbers its own rows, and the offset of a partition is the
+count of the same group's rows in earlier partitions. The count table has at
+most (#groups + #partitions) rows, and per group at most #partitions rows, so
+even a group holding a third of all rows is numbered by many tasks.
+
+The range-partitioned rows are checkpointed (reliably, to the session's
+``spark.checkpoint.dir``) so partition ids are fixed for both uses.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from shoplens.session import ensure_checkpoint_dir
+
+
+def sequence_number(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
+                    name: str = "seq", num_partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = 1..n in ``order_cols`` order within each ``group_cols`` group.
+
+    Ties in ``order_cols`` are numbered in an unspecified order; give a unique
+    order key when the numbers must be reproducible.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group_cols, *order_cols]
+    ranged = (df.repartitionByRange(n, *keys)
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    counts = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    before = (W.partitionBy(*group_cols) if group_cols else W).orderBy("_pid").rowsBetween(
+        W.unboundedPreceding, -1)
+    offsets = counts.select("_pid", *group_cols,
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = ranged.withColumn(
+        "_local", F.row_number().over(W.partitionBy("_pid", *group_cols).orderBy(*order_cols)))
+    cond = [local["_pid"] == offsets["_pid"]] + [local[g].eqNullSafe(offsets[g]) for g in group_cols]
+    return (local.join(offsets, cond)
+            .select(*[local[c] for c in df.columns], (local["_local"] + offsets["_off"]).cast("int").alias(name)))
