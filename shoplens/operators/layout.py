@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 def cell(v) -> Column:
     if isinstance(v, Column):
-        return v.cast("string")
+        return F.coalesce(v.cast("string"), F.lit(""))
     return F.lit("" if v is None else str(v))
 
 
