@@ -5,16 +5,21 @@ single-task window.
 one task. Here the rows are range-partitioned on (group, order) keys, each
 range partition numbers its own rows, and the offset of a partition is the
 count of the same group's rows in earlier partitions. The count table has at
-most (#groups + #partitions) rows, and per group at most #partitions rows, so
-even a group holding a third of all rows is numbered by many tasks.
+most (#groups + #partitions) rows per numbering, and per group at most
+#partitions rows, so even a group holding a third of all rows is numbered by
+many tasks.
+
+Several numberings that share the range order (for example the running number
+per date and the occurrence number of a name per date, both in shop order)
+share one range partitioning: a sub-group's rows keep the range order too.
 
 The range-partitioned rows are checkpointed (reliably, to the session's
-``spark.checkpoint.dir``) so partition ids are fixed for both uses.
+``spark.checkpoint.dir``) so partition ids are fixed for every use.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,27 +28,40 @@ from pyspark.sql import Window as W
 from shoplens.session import ensure_checkpoint_dir
 
 
-def sequence_number(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
-                    name: str = "seq", num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1..n in ``order_cols`` order within each ``group_cols`` group.
+def sequence_numbers(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
+                     numberings: Mapping[str, Sequence[str]] | None = None,
+                     num_partitions: int | None = None) -> DataFrame:
+    """Add one column per numbering: 1..n in ``order_cols`` order within
+    ``group_cols`` + that numbering's extra group columns.
 
-    Ties in ``order_cols`` are numbered in an unspecified order; give a unique
-    order key when the numbers must be reproducible.
+    ``numberings`` maps output name -> extra group columns (default
+    ``{"seq": []}``). Ties in ``order_cols`` are numbered in an unspecified
+    order; give a unique order key when numbers must be reproducible.
     """
+    numberings = dict(numberings or {"seq": ()})
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group_cols, *order_cols]
-    ranged = (df.repartitionByRange(n, *keys)
+    ranged = (df.repartitionByRange(n, *group_cols, *order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    counts = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    before = (W.partitionBy(*group_cols) if group_cols else W).orderBy("_pid").rowsBetween(
-        W.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *group_cols,
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = ranged.withColumn(
-        "_local", F.row_number().over(W.partitionBy("_pid", *group_cols).orderBy(*order_cols)))
-    cond = [local["_pid"] == offsets["_pid"]] + [local[g].eqNullSafe(offsets[g]) for g in group_cols]
-    return (local.join(offsets, cond)
-            .select(*[local[c] for c in df.columns], (local["_local"] + offsets["_off"]).cast("int").alias(name)))
+    out = ranged
+    for name, extra in numberings.items():
+        groups = [*group_cols, *extra]
+        counts = ranged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"))
+        before = (W.partitionBy(*groups) if groups else W).orderBy("_pid").rowsBetween(
+            W.unboundedPreceding, -1)
+        offsets = counts.select(F.col("_pid").alias("_opid"), *[F.col(g).alias(f"_o_{g}") for g in groups],
+                                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+        local = out.withColumn("_local", F.row_number().over(
+            W.partitionBy("_pid", *groups).orderBy(*order_cols)))
+        cond = [local["_pid"] == offsets["_opid"]] + [local[g].eqNullSafe(offsets[f"_o_{g}"]) for g in groups]
+        out = (local.join(offsets, cond)
+               .select(*[local[c] for c in out.columns], (local["_local"] + offsets["_off"]).cast("int").alias(name)))
+    return out.drop("_pid")
+
+
+def sequence_number(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
+                    name: str = "seq", num_partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = 1..n in ``order_cols`` order within each ``group_cols`` group."""
+    return sequence_numbers(df, order_cols, group_cols, {name: ()}, num_partitions)

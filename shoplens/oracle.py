@@ -367,3 +367,229 @@ def detail31_select(p1: Period, p2: Period) -> str:
 def trend_select() -> str:
     rows = [[q(n), f"cast({delta_sql(n, k)} as varchar)", trend_sql(n, k)] for n, k, _ in METRICS]
     return _lines(rows, ["metric", "delta", "trend"])
+
+
+# ---- daily report -----------------------------------------------------------
+
+def float_tenths(n: str, den: str) -> str:
+    """Tenths of format(n/den*100, '.1f') on the IEEE double (ties decided by the double)."""
+    n0, d0 = f"cast(coalesce({n}, 0) as bigint)", f"cast(coalesce({den}, 0) as bigint)"
+    a = f"({n0} * 1000)"
+    qq, rr = f"({a} // {d0})", f"({a} % {d0})"
+    x = f"(cast({n0} as double) / cast({d0} as double) * 100.0)"
+    tie = f"(cast(2 * {qq} + 1 as double) / 20.0)"
+    return (f"(case when {d0} > 0 then case when 2 * {rr} > {d0} then {qq} + 1 when 2 * {rr} < {d0} then {qq} "
+            f"else case when {x} < {tie} then {qq} when {x} > {tie} then {qq} + 1 else {qq} + {qq} % 2 end end end)")
+
+
+def float_rate_text_sql(n: str, den: str) -> str:
+    return f"(cast({tenths_dec(f'coalesce({float_tenths(n, den)}, 0)')} as varchar) || '%')"
+
+
+def float_pass_sql(n: str, den: str, threshold: int) -> str:
+    n0, d0 = f"coalesce({n}, 0)", f"coalesce({den}, 0)"
+    return (f"(case when {d0} > 0 then cast({n0} as double) / cast({d0} as double) * 100.0 >= {float(threshold)} "
+            f"else false end)")
+
+
+def rank_label_sql(r: str) -> str:
+    return (f"(case when {r} is null or {r} = 0 then {q(X.RANK_NONE)} when {r} < 100 then "
+            f"{q(X.RANK_PREFIX)} || cast({r} as varchar) || {q(X.RANK_SUFFIX)} else {q(X.RANK_OVER_100)} end)")
+
+
+def rank_detail_sql(region: str, r: str) -> str:
+    return (f"(case when {r} is not null and {r} <> 0 and {r} < 100 then {region} || "
+            f"{q(X.RANK_REGION_SEP + X.RANK_PREFIX)} || cast({r} as varchar) || {q(X.RANK_SUFFIX)} "
+            f"else {region} || {q(X.RANK_REGION_SEP + X.RANK_OVER_100)} end)")
+
+
+def trailing_sql(table: str, key: str, date_col: str, value: str, out: str) -> str:
+    """Correlated 7-day window sum for every (shop_id, report_date) of ``j``."""
+    return f"""
+    select jj.shop_id, jj.report_date, cast(coalesce(sum(t.{value}), 0) as bigint) as {out}
+    from (select distinct shop_id, report_date from j) jj
+    left join {table} t on t.{key} = jj.shop_id and t.{date_col} between jj.report_date - 6 and jj.report_date
+    group by jj.shop_id, jj.report_date"""
+
+
+def daily_base_sql(start, end, accounts: Sequence[str] | None = None) -> str:
+    ctes = [shop_dim_cte(accounts), region_dim_cte(accounts)]
+    shop_where = ""
+    if accounts:
+        ctes.append(resolved_cte(accounts))
+        shop_where = " and k.shop_id in (select shop_id from resolved)"
+    ctes.append(f"""
+  j as ({_joined(f"k.report_date between {d(start)} and {d(end)}", shop_where)}),
+  c7 as ({trailing_sql('store_daily', 'shop_id', 'report_date', 'coupon_pay_order_count', 'coupon_orders_7d')}),
+  a7 as ({trailing_sql('store_stats', 'store_id', 'date', 'ad_order_count', 'ad_orders_7d')}),
+  db0 as (
+    select j.*, c7.coupon_orders_7d, a7.ad_orders_7d,
+      cast(coalesce(j.ad_order_count, 0) as bigint) as ad_today,
+      coalesce(sd.operator, '') as operator, coalesce(sd.sales, '') as sales, coalesce(sd.city, '') as acity,
+      rd.region_city, rd.region_district, rd.region_business,
+      case when j.shop_name is not null and j.shop_name <> '' then j.shop_name
+           else {q(X.SHOP_NAME_PREFIX)} || j.shop_id end as dname
+    from j
+    left join c7 on c7.shop_id = j.shop_id and c7.report_date = j.report_date
+    left join a7 on a7.shop_id = j.shop_id and a7.report_date = j.report_date
+    left join shop_dim sd on sd.shop_id = j.shop_id
+    left join region_dim rd on rd.shop_id = j.shop_id
+  ),
+  db1 as (
+    select *,
+      row_number() over (partition by report_date order by shop_id) as seq,
+      case when coalesce(region_business, '') <> ''
+           then coalesce(case when region_city is not null then region_city else acity end, '') || ' | ' ||
+                coalesce(region_district, '') || ' | ' || region_business
+           else acity end as region_path,
+      coalesce(nullif(substring(translate(dname, {q(X.SECTION_NAME_ILLEGAL)}, ''), 1, 31), ''), 'Sheet') as clean_name
+    from db0
+  ),
+  dbase as (
+    select *,
+      case when row_number() over (partition by report_date, clean_name order by seq) > 1
+           then substring(clean_name, 1, 28) || '_' ||
+                cast(row_number() over (partition by report_date, clean_name order by seq) as varchar)
+           else clean_name end as sheet_name
+    from db1
+  )""")
+    return duckdb_ctes().rstrip() + ",\n" + ",".join(ctes) + "\n"
+
+
+def _cnt(x: str) -> str:
+    return f"cast(coalesce({x}, 0) as bigint)"
+
+
+def _money_daily_cell(x: str) -> str:
+    return f"(case when {x} is null or {x} = 0 then '0' else cast(cast({x} as decimal(38,2)) as varchar) end)"
+
+
+def daily_summary_select() -> str:
+    wd = "[" + ", ".join(q(w) for w in X.WEEKDAY_NAMES) + "]"
+    return f"""select report_date, shop_id,
+  {wd}[isodow(report_date)] as weekday,
+  strftime(report_date, '%m月%d日') as date_label,
+  cast(seq as integer) as seq, operator, acity as city, sales, dname as shop_name,
+  {_cnt('exposure_users')} as exposure_users, {_cnt('visit_users')} as visit_users,
+  {_cnt('order_users')} as order_users, {_cnt('verify_person_count')} as verify_users,
+  {_cnt('order_coupon_count')} as order_coupon_count, {_cnt('verify_coupon_count')} as verify_coupon_count,
+  {_cnt('view_phone_count')} as phone_clicks, {_cnt('view_address_count')} as address_clicks,
+  {_money('promotion_cost')} as promotion_cost, {_cnt('new_good_review_count')} as new_good_review_count,
+  case when intent_rate is not null and intent_rate <> '' then intent_rate else '0%' end as intent_rate,
+  {_money('order_sale_amount')} as order_sale_amount, {_money('verify_sale_amount')} as verify_sale_amount,
+  {_money('verify_after_discount')} as verify_after_discount,
+  {rank_label_sql('order_user_rank')} as order_rank_label, {rank_label_sql('verify_amount_rank')} as verify_rank_label
+from dbase"""
+
+
+def daily_checks_select() -> str:
+    return f"""select report_date, shop_id,
+  {float_rate_text_sql('new_review_count', 'verify_person_count')} as review_rate,
+  {float_pass_sql('new_review_count', 'verify_person_count', 30)} as review_pass,
+  {float_rate_text_sql('new_collect_users', 'order_users')} as collect_rate,
+  {float_pass_sql('new_collect_users', 'order_users', 40)} as collect_pass,
+  coupon_orders_7d, coupon_orders_7d >= 10 as coupon_pass,
+  ad_today, {q(X.AD_TODAY_PREFIX)} || cast(ad_today as varchar) || {q(X.AD_TODAY_SUFFIX)} as ad_text,
+  ad_today >= 1 as ad_pass
+from dbase"""
+
+
+def rank_labels_select() -> str:
+    return f"""select report_date, shop_id,
+  {rank_label_sql('order_user_rank')} as order_rank_label, {rank_label_sql('verify_amount_rank')} as verify_rank_label,
+  region_path,
+  {rank_detail_sql('region_path', 'order_user_rank')} as order_rank_detail,
+  {rank_detail_sql('region_path', 'verify_amount_rank')} as verify_rank_detail
+from dbase"""
+
+
+def section_names_select() -> str:
+    return "select report_date, shop_id, cast(seq as integer) as seq, clean_name, sheet_name from dbase"
+
+
+def coupon_7d_select() -> str:
+    return "select report_date, shop_id, coupon_orders_7d from dbase"
+
+
+def ad_7d_select() -> str:
+    return "select report_date, shop_id, cast(coalesce(ad_orders_7d, 0) as bigint) as ad_orders_7d from dbase"
+
+
+def daily_detail_select(legacy: bool = False) -> str:
+    def pf(c):
+        return f"(case when {c} then {q(X.PASS)} else {q(X.FAIL)} end)"
+
+    review_ok = float_pass_sql('new_review_count', 'verify_person_count', 30)
+    collect_ok = float_pass_sql('new_collect_users', 'order_users', 40)
+    fo = "coalesce(is_force_offline, 0)"
+    prefix = (X.STATUS_WARN_LEGACY_MARK if legacy else "") + X.STATUS_WARN_PREFIX
+    status = (f"(case when {fo} > 0 then {q(prefix)} || cast({fo} as varchar) || {q(X.STATUS_WARN_SUFFIX)} "
+              f"else {q(X.STATUS_OK)} end)")
+    nb = "cast(null as boolean)"
+
+    def line(a, b="''", c="''", section="false", check=nb, alert=nb):
+        return [a, b, c, section, check, alert]
+
+    def cnt(label, col):
+        return line(q(label), f"cast({_cnt(col)} as varchar)")
+
+    def money(label, col):
+        return line(q(label), _money_daily_cell(col))
+
+    blank = line("''")
+    rows = [
+        line("dname", status, alert=f"({fo} > 0)"),
+        line(q(X.DAILY_TITLE), f"{q(X.DAILY_DATE_PREFIX + '(')} || strftime(report_date, '%m/%d') || ')'"),
+        line(q(X.SECTION_FUNNEL), section="true"),
+        cnt(X.LABEL_EXPOSURE, "exposure_users"), cnt(X.LABEL_VISIT, "visit_users"),
+        cnt(X.LABEL_ORDER_USERS, "order_users"), cnt(X.LABEL_ORDER_COUPONS, "order_coupon_count"),
+        cnt(X.LABEL_VERIFY_USERS, "verify_person_count"), cnt(X.LABEL_VERIFY_COUPONS, "verify_coupon_count"),
+        cnt(X.LABEL_PHONE, "view_phone_count"), cnt(X.LABEL_ADDRESS, "view_address_count"),
+        cnt(X.LABEL_CONSULT, "consult_users"),
+        blank,
+        line(q(X.SECTION_IN_STORE), section="true"),
+        cnt(X.LABEL_NEW_COLLECT, "new_collect_users"), cnt(X.LABEL_NEW_CHECKIN, "checkin_count"),
+        cnt(X.LABEL_NEW_REVIEW, "new_review_count"),
+        blank,
+        line(q(X.SECTION_PROMOTION), section="true"),
+        money(X.LABEL_PROMO_COST, "promotion_cost"), money(X.LABEL_PROMO_CLICK_PRICE, "click_avg_price"),
+        cnt(X.LABEL_PROMO_ORDERS, "order_count"), money(X.LABEL_AD_BALANCE, "ad_balance"),
+        blank,
+        line(q(X.LABEL_REVIEW_CHECK), float_rate_text_sql('new_review_count', 'verify_person_count'),
+             pf(review_ok), check=review_ok),
+        line(q(X.LABEL_COLLECT_CHECK), float_rate_text_sql('new_collect_users', 'order_users'),
+             pf(collect_ok), check=collect_ok),
+        line(q(X.LABEL_COUPON_CHECK), "cast(coupon_orders_7d as varchar)", pf("coupon_orders_7d >= 10"),
+             check="coupon_orders_7d >= 10"),
+        line(q(X.LABEL_AD_CHECK), f"{q(X.AD_TODAY_PREFIX)} || cast(ad_today as varchar) || {q(X.AD_TODAY_SUFFIX)}",
+             pf("ad_today >= 1"), check="ad_today >= 1"),
+        blank,
+        money(X.LABEL_ORDER_AMOUNT, "order_sale_amount"), money(X.LABEL_VERIFY_AMOUNT, "verify_sale_amount"),
+        line(q(X.LABEL_ORDER_RANK), rank_detail_sql("region_path", "order_user_rank")),
+        line(q(X.LABEL_VERIFY_RANK), rank_detail_sql("region_path", "verify_amount_rank")),
+        blank,
+        cnt(X.LABEL_FORCE_OFFLINE, "is_force_offline"),
+        blank,
+        line(q(X.LABEL_OPERATOR), "operator"), line(q(X.LABEL_SALES), "sales"), line(q(X.LABEL_CITY), "acity"),
+    ]
+    parts = []
+    for i, r in enumerate(rows, start=1):
+        parts.append(f"select report_date, shop_id, cast(seq as integer) as seq, sheet_name, cast({i} as integer) "
+                     f"as row_no, {r[0]} as col_a, {r[1]} as col_b, {r[2]} as col_c, {r[3]} as is_section, "
+                     f"{r[4]} as passed, {r[5]} as alert from dbase")
+    return "\nunion all\n".join(parts)
+
+
+# ---- dimensions -----------------------------------------------------------
+
+def shop_dim_select(accounts=None) -> str:
+    return duckdb_ctes().rstrip() + ",\n" + shop_dim_cte(accounts) + "\nselect shop_id, operator, sales, city from shop_dim"
+
+
+def region_dim_select(accounts=None) -> str:
+    return (duckdb_ctes().rstrip() + ",\n" + region_dim_cte(accounts)
+            + "\nselect shop_id, region_city, region_district, region_business from region_dim")
+
+
+def accounts_filter_select(accounts) -> str:
+    return duckdb_ctes().rstrip() + ",\n" + resolved_cte(accounts) + "\nselect shop_id from resolved"

@@ -24,7 +24,7 @@ from shoplens.functions import texts as X
 from shoplens.operators.dims import Accounts, shop_dim, shop_filter
 from shoplens.operators.facts import SUM_KIND, RollupSpec, joined_facts, period_rollup
 from shoplens.operators.layout import unpivot_rows
-from shoplens.operators.numbering import sequence_number
+from shoplens.operators.numbering import sequence_numbers
 from shoplens.plans.params import Period
 
 # Display blocks, in column order: (name, kind, args).
@@ -295,7 +295,7 @@ def period_base(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_
     )
     if not numbered:
         return withattrs
-    return sequence_number(withattrs, ["shop_id"], name="seq")
+    return sequence_numbers(withattrs, ["shop_id"])
 
 
 def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_id: str | None = None,

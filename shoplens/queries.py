@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens import oracle as O
+from shoplens.operators.dims import region_dim, resolved_shops, shop_dim
+from shoplens.plans.daily import daily_report
 from shoplens.plans.params import Period
 from shoplens.plans.period import period_report
 from shoplens.sources.tables import ReportTables
@@ -113,6 +115,79 @@ def custom_city(spark, sf_dir):
     return period_report(tables(spark, sf_dir), W1, W2, rename="last_group", by_city=True).rows8
 
 
+# ---- dimensions ------------------------------------------------------------------
+
+@register("shop_dim", lambda: O.shop_dim_select())
+def shop_dim_q(spark, sf_dir):
+    return shop_dim(tables(spark, sf_dir))
+
+
+@register("region_dim", lambda: O.region_dim_select())
+def region_dim_q(spark, sf_dir):
+    return region_dim(tables(spark, sf_dir))
+
+
+@register("accounts_filter", lambda: O.accounts_filter_select(ACCOUNTS))
+def accounts_filter(spark, sf_dir):
+    return resolved_shops(tables(spark, sf_dir), ACCOUNTS)
+
+
+# ---- daily reports -------------------------------------------------------------
+
+DAY = "2024-01-10"
+DAY_RANGE = Period.of("2024-01-08", "2024-01-14")
+
+
+def _daily_oracle(select, start=DAY, end=DAY, accounts=None):
+    return lambda: O.daily_base_sql(start, end, accounts) + select()
+
+
+@register("daily_summary", _daily_oracle(O.daily_summary_select))
+def daily_summary(spark, sf_dir):
+    return daily_report(tables(spark, sf_dir), DAY).summary
+
+
+@register("daily_detail", _daily_oracle(O.daily_detail_select))
+def daily_detail(spark, sf_dir):
+    return daily_report(tables(spark, sf_dir), DAY).detail
+
+
+@register("daily_checks", _daily_oracle(O.daily_checks_select))
+def daily_checks(spark, sf_dir):
+    return daily_report(tables(spark, sf_dir), DAY).checks
+
+
+@register("coupon_7d", _daily_oracle(O.coupon_7d_select))
+def coupon_7d(spark, sf_dir):
+    return daily_report(tables(spark, sf_dir), DAY).coupon_7d
+
+
+@register("ad_7d", _daily_oracle(O.ad_7d_select))
+def ad_7d(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return daily_report(t, DAY).ad_orders_7d(t)
+
+
+@register("rank_labels", _daily_oracle(O.rank_labels_select))
+def rank_labels(spark, sf_dir):
+    return daily_report(tables(spark, sf_dir), DAY).ranks
+
+
+@register("section_names", _daily_oracle(O.section_names_select))
+def section_names(spark, sf_dir):
+    return daily_report(tables(spark, sf_dir), DAY).sections
+
+
+@register("daily_by_account", _daily_oracle(O.daily_summary_select, accounts=ACCOUNTS))
+def daily_by_account(spark, sf_dir):
+    return daily_report(tables(spark, sf_dir), DAY, accounts=ACCOUNTS).summary
+
+
+@register("daily_range", _daily_oracle(O.daily_summary_select, DAY_RANGE.start, DAY_RANGE.end))
+def daily_range(spark, sf_dir):
+    return daily_report(tables(spark, sf_dir), DAY_RANGE).summary
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_QUERIES)
 
