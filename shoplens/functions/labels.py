@@ -1,117 +1,118 @@
-"""Text and date report functions (T*, D*) as Spark column expressions."""
+"""Text and date report functions (T*, D*) as Spark SQL expression text.
 
-from __future__ import annotations
+Arguments are SQL expressions (usually column names); results are SQL text.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from shoplens.functions import texts as X
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def lit(s) -> str:
+    """A Spark SQL literal (strings escaped for Spark's backslash-escaping parser)."""
+    if s is None:
+        return "NULL"
+    if isinstance(s, bool):
+        return "true" if s else "false"
+    if isinstance(s, (int, float)):
+        return repr(s)
+    return "'" + str(s).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _truthy_text(x: Column) -> Column:
+def truthy_text(x: str) -> str:
     """Python truthiness of a text value: not NULL and not empty."""
-    return x.isNotNull() & (x != "")
+    return f"({x} IS NOT NULL AND {x} <> '')"
 
 
-def text_or(x, default: str) -> Column:
+def text_or(x: str, default: str) -> str:
     """``x or default`` for text (NULL and '' take the default)."""
-    x = _c(x)
-    return F.when(_truthy_text(x), x).otherwise(F.lit(default))
+    return f"(CASE WHEN {truthy_text(x)} THEN {x} ELSE {lit(default)} END)"
 
 
 # ---- dates (D2, D3) ---------------------------------------------------------
 
-def weekday_name(d) -> Column:
+def weekday_name(d: str) -> str:
     """Monday=0 -> 周一 .. 周日."""
-    names = F.array(*[F.lit(n) for n in X.WEEKDAY_NAMES])
-    return F.element_at(names, F.weekday(_c(d)) + 1)
+    names = ", ".join(lit(n) for n in X.WEEKDAY_NAMES)
+    return f"element_at(array({names}), weekday({d}) + 1)"
 
 
-def date_label(d) -> Column:
+def date_label(d: str) -> str:
     """D3: ``MM月dd日``."""
-    return F.date_format(_c(d), "MM月dd日")
+    return f"date_format({d}, 'MM月dd日')"
 
 
-def date_short(d) -> Column:
+def date_short(d: str) -> str:
     """D3: ``MM/dd``."""
-    return F.date_format(_c(d), "MM/dd")
+    return f"date_format({d}, 'MM/dd')"
 
 
 # ---- ranks, regions, status (T1-T4) ----------------------------------------
 
-def _rank_known(rank: Column) -> Column:
-    return rank.isNotNull() & (rank != 0)
+def _rank_known(r: str) -> str:
+    return f"({r} IS NOT NULL AND {r} <> 0)"
 
 
-def rank_label(rank) -> Column:
+def rank_label(r: str) -> str:
     """NULL/0 -> ``--``; < 100 -> ``第N名``; otherwise ``大于100名``."""
-    rank = _c(rank)
-    return (F.when(~_rank_known(rank), F.lit(X.RANK_NONE))
-            .when(rank < 100, F.concat(F.lit(X.RANK_PREFIX), rank.cast("string"), F.lit(X.RANK_SUFFIX)))
-            .otherwise(F.lit(X.RANK_OVER_100)))
+    return (f"(CASE WHEN NOT {_rank_known(r)} THEN {lit(X.RANK_NONE)} "
+            f"WHEN {r} < 100 THEN concat({lit(X.RANK_PREFIX)}, CAST({r} AS STRING), {lit(X.RANK_SUFFIX)}) "
+            f"ELSE {lit(X.RANK_OVER_100)} END)")
 
 
-def rank_label_region(region, rank) -> Column:
+def rank_label_region(region: str, r: str) -> str:
     """``region：第N名`` for a known rank below 100, else ``region：大于100名``."""
-    region, rank = F.coalesce(_c(region), F.lit("")), _c(rank)
-    good = _rank_known(rank) & (rank < 100)
-    return (F.when(good, F.concat(region, F.lit(X.RANK_REGION_SEP + X.RANK_PREFIX),
-                                   rank.cast("string"), F.lit(X.RANK_SUFFIX)))
-            .otherwise(F.concat(region, F.lit(X.RANK_REGION_SEP + X.RANK_OVER_100))))
+    reg = f"coalesce({region}, '')"
+    return (f"(CASE WHEN {_rank_known(r)} AND {r} < 100 THEN concat({reg}, "
+            f"{lit(X.RANK_REGION_SEP + X.RANK_PREFIX)}, CAST({r} AS STRING), {lit(X.RANK_SUFFIX)}) "
+            f"ELSE concat({reg}, {lit(X.RANK_REGION_SEP + X.RANK_OVER_100)}) END)")
 
 
-def region_path(region_city, district, business, account_city) -> Column:
+def region_path(region_city: str, district: str, business: str, account_city: str) -> str:
     """``city | district | business`` when business is set, else the account city."""
-    rc, rd, rb = (F.coalesce(_c(v), F.lit("")) for v in (region_city, district, business))
-    return F.when(_truthy_text(rb), F.concat(rc, F.lit(" | "), rd, F.lit(" | "), rb)).otherwise(
-        F.coalesce(_c(account_city), F.lit("")))
+    rc, rd, rb = (f"coalesce({v}, '')" for v in (region_city, district, business))
+    return (f"(CASE WHEN {truthy_text(business)} THEN concat({rc}, ' | ', {rd}, ' | ', {rb}) "
+            f"ELSE coalesce({account_city}, '') END)")
 
 
-def status_message(force_offline, legacy: bool = False) -> Column:
+def status_message(force_offline: str, legacy: bool = False) -> str:
     """T4: warning with the forced-offline count, else the all-clear text."""
-    n = F.coalesce(_c(force_offline), F.lit(0))
+    n = f"coalesce({force_offline}, 0)"
     prefix = (X.STATUS_WARN_LEGACY_MARK if legacy else "") + X.STATUS_WARN_PREFIX
-    return F.when(n > 0, F.concat(F.lit(prefix), n.cast("string"), F.lit(X.STATUS_WARN_SUFFIX))).otherwise(
-        F.lit(X.STATUS_OK))
+    return (f"(CASE WHEN {n} > 0 THEN concat({lit(prefix)}, CAST({n} AS STRING), {lit(X.STATUS_WARN_SUFFIX)}) "
+            f"ELSE {lit(X.STATUS_OK)} END)")
 
 
 # ---- names (T5-T7, T9) ------------------------------------------------------
 
-def clean_section_name(name) -> Column:
+def clean_section_name(name: str) -> str:
     """T5: drop ``\\ / * ? : [ ]``, keep 31 code points, empty -> ``Sheet``."""
-    name = _c(name)
-    cleaned = F.substring(F.translate(name, X.SECTION_NAME_ILLEGAL, ""), 1, X.SECTION_NAME_MAX)
-    return F.when(_truthy_text(cleaned), cleaned).otherwise(F.lit(X.DEFAULT_SECTION_NAME))
+    cleaned = f"substring(translate({name}, {lit(X.SECTION_NAME_ILLEGAL)}, ''), 1, {X.SECTION_NAME_MAX})"
+    return f"coalesce(nullif({cleaned}, ''), {lit(X.DEFAULT_SECTION_NAME)})"
 
 
-def numbered_section_name(clean, n) -> Column:
+def numbered_section_name(clean: str, n: str) -> str:
     """The n-th use of a name (n > 1) becomes ``name[:28] + '_' + n``."""
-    clean, n = _c(clean), _c(n)
-    return F.when(n > 1, F.concat(F.substring(clean, 1, X.SECTION_NAME_DUP_KEEP), F.lit("_"),
-                                  n.cast("string"))).otherwise(clean)
+    return (f"(CASE WHEN {n} > 1 THEN concat(substring({clean}, 1, {X.SECTION_NAME_DUP_KEEP}), '_', "
+            f"CAST({n} AS STRING)) ELSE {clean} END)")
 
 
-def daily_shop_name(name, shop_id) -> Column:
+def daily_shop_name(name: str, shop_id: str) -> str:
     """NULL or '' -> ``门店{id}``."""
-    name = _c(name)
-    return F.when(_truthy_text(name), name).otherwise(
-        F.concat(F.lit(X.SHOP_NAME_PREFIX), _c(shop_id).cast("string")))
+    return (f"(CASE WHEN {truthy_text(name)} THEN {name} "
+            f"ELSE concat({lit(X.SHOP_NAME_PREFIX)}, CAST({shop_id} AS STRING)) END)")
 
 
-def period_shop_name(name_p1, name_p2, has_p1) -> Column:
+def period_shop_name(name_p1: str, name_p2: str, has_p1: str) -> str:
     """Period-2 name, else period-1 name, ``未知门店`` only if period 1 has no row."""
-    n1, n2 = _c(name_p1), _c(name_p2)
-    return F.when(_truthy_text(n2), n2).when(_c(has_p1), n1).otherwise(F.lit(X.UNKNOWN_SHOP))
+    return (f"(CASE WHEN {truthy_text(name_p2)} THEN {name_p2} WHEN {has_p1} THEN {name_p1} "
+            f"ELSE {lit(X.UNKNOWN_SHOP)} END)")
 
 
-def ad_text(n) -> Column:
+def ad_text(n: str) -> str:
     """``当天{n}单``."""
-    return F.concat(F.lit(X.AD_TODAY_PREFIX), _c(n).cast("string"), F.lit(X.AD_TODAY_SUFFIX))
+    return f"concat({lit(X.AD_TODAY_PREFIX)}, CAST({n} AS STRING), {lit(X.AD_TODAY_SUFFIX)})"
 
 
-def pass_fail(ok) -> Column:
-    return F.when(_c(ok), F.lit(X.PASS)).otherwise(F.lit(X.FAIL))
+def pass_fail(ok: str) -> str:
+    return f"(CASE WHEN {ok} THEN {lit(X.PASS)} ELSE {lit(X.FAIL)} END)"

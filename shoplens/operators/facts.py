@@ -137,38 +137,35 @@ def period_rollup(joined: DataFrame, p1: Period, p2: Period, spec: RollupSpec =
         *[_src(m).alias(m) for m, *_ in PERIOD_SUMS])
 
     def sums(flag: str, suffix: str) -> list[Column]:
-        return [F.sum(F.when(F.col(flag), F.col(m))).alias(f"{m}{suffix}") for m, *_ in PERIOD_SUMS]
+        return [F.expr(f"sum(CASE WHEN {flag} THEN {m} END) AS {m}{suffix}") for m, *_ in PERIOD_SUMS]
+
+    def has(flag: str, out: str) -> Column:
+        return F.expr(f"bool_or({flag}) AS {out}")
 
     if spec.rename == "sum_latest":
         return src.groupBy("shop_id").agg(
-            F.max(F.col("_in1").cast("int")).cast("boolean").alias("has_p1"),
-            F.max(F.col("_in2").cast("int")).cast("boolean").alias("has_p2"),
-            F.max_by("shop_name", F.when(F.col("_in1"), F.col("report_date"))).alias("name_p1"),
-            F.max_by("shop_name", F.when(F.col("_in2"), F.col("report_date"))).alias("name_p2"),
+            has("_in1", "has_p1"), has("_in2", "has_p2"),
+            F.expr("max_by(shop_name, CASE WHEN _in1 THEN report_date END) AS name_p1"),
+            F.expr("max_by(shop_name, CASE WHEN _in2 THEN report_date END) AS name_p2"),
             *sums("_in1", "_p1"), *sums("_in2", "_p2"))
     if spec.rename != "last_group":
         raise ValueError(f"rename must be 'sum_latest' or 'last_group', not {spec.rename!r}")
 
     keys = ["shop_id", "shop_name"] + (["city"] if spec.by_city else [])
-    groups = src.groupBy(*keys).agg(
-        F.max(F.col("_in1").cast("int")).cast("boolean").alias("has_p1"),
-        F.max(F.col("_in2").cast("int")).cast("boolean").alias("has_p2"),
-        *sums("_in1", "_p1"), *sums("_in2", "_p2"))
-    order = F.struct(*[F.col(c) for c in keys[1:]])
+    groups = src.groupBy(*keys).agg(has("_in1", "has_p1"), has("_in2", "has_p2"),
+                                    *sums("_in1", "_p1"), *sums("_in2", "_p2"))
+    order = "struct(" + ", ".join(keys[1:]) + ")"
 
     def pick(flag: str, suffix: str) -> Column:
-        vals = F.struct(F.col("shop_name").alias("name"), *[F.col(f"{m}{suffix}").alias(m) for m, *_ in PERIOD_SUMS])
-        return F.max_by(vals, F.when(F.col(flag), order)).alias(f"g{suffix}")
-
-    picked = groups.groupBy("shop_id").agg(
-        F.max(F.col("has_p1").cast("int")).cast("boolean").alias("has_p1"),
-        F.max(F.col("has_p2").cast("int")).cast("boolean").alias("has_p2"),
-        pick("has_p1", "_p1"), pick("has_p2", "_p2"))
-    return picked.select(
-        "shop_id", "has_p1", "has_p2",
-        F.col("g_p1.name").alias("name_p1"), F.col("g_p2.name").alias("name_p2"),
-        *[F.col(f"g_p1.{m}").alias(f"{m}_p1") for m, *_ in PERIOD_SUMS],
-        *[F.col(f"g_p2.{m}").alias(f"{m}_p2") for m, *_ in PERIOD_SUMS])
+        vals = ", ".join(["shop_name AS name"] + [f"{m}{suffix} AS {m}" for m, *_ in PERIOD_SUMS])
+        return F.expr(f"max_by(struct({vals}), CASE WHEN {flag} THEN {order} END) AS g{suffix}")
+
+    picked = groups.groupBy("shop_id").agg(has("has_p1", "has_p1"), has("has_p2", "has_p2"),
+                                           pick("has_p1", "_p1"), pick("has_p2", "_p2"))
+    return picked.selectExpr(
+        "shop_id", "has_p1", "has_p2", "g_p1.name AS name_p1", "g_p2.name AS name_p2",
+        *[f"g_p1.{m} AS {m}_p1" for m, *_ in PERIOD_SUMS],
+        *[f"g_p2.{m} AS {m}_p2" for m, *_ in PERIOD_SUMS])
 
 
 def trailing_sum(df: DataFrame, value_col: str, report: Period, days: int = 7,

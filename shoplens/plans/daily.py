@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions import labels as L
@@ -24,7 +24,7 @@ from shoplens.functions import metrics as M
 from shoplens.functions import texts as X
 from shoplens.operators.dims import Accounts, region_dim, shop_dim, shop_filter
 from shoplens.operators.facts import joined_facts, trailing_sum
-from shoplens.operators.layout import unpivot_rows
+from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
 from shoplens.plans.params import Period, parse_date
 
@@ -50,58 +50,50 @@ class DailyReport:
     @cached_property
     def summary(self) -> DataFrame:
         """L1: one row per shop and date, the 23 summary columns plus keys."""
-        b = self.base
-        return b.select(
+        return self.base.selectExpr(
             "report_date", "shop_id",
-            L.weekday_name("report_date").alias("weekday"),
-            L.date_label("report_date").alias("date_label"),
+            f"{L.weekday_name('report_date')} AS weekday",
+            f"{L.date_label('report_date')} AS date_label",
             "seq", "operator", "city", "sales", "shop_name",
-            M.count0("exposure_users").alias("exposure_users"),
-            M.count0("visit_users").alias("visit_users"),
-            M.count0("order_users").alias("order_users"),
-            M.count0("verify_person_count").alias("verify_users"),
-            M.count0("order_coupon_count").alias("order_coupon_count"),
-            M.count0("verify_coupon_count").alias("verify_coupon_count"),
-            M.count0("view_phone_count").alias("phone_clicks"),
-            M.count0("view_address_count").alias("address_clicks"),
-            M.money("promotion_cost").alias("promotion_cost"),
-            M.count0("new_good_review_count").alias("new_good_review_count"),
-            L.text_or("intent_rate", "0%").alias("intent_rate"),
-            M.money("order_sale_amount").alias("order_sale_amount"),
-            M.money("verify_sale_amount").alias("verify_sale_amount"),
-            M.money("verify_after_discount").alias("verify_after_discount"),
-            L.rank_label("order_user_rank").alias("order_rank_label"),
-            L.rank_label("verify_amount_rank").alias("verify_rank_label"),
+            f"{M.count0('exposure_users')} AS exposure_users",
+            f"{M.count0('visit_users')} AS visit_users",
+            f"{M.count0('order_users')} AS order_users",
+            f"{M.count0('verify_person_count')} AS verify_users",
+            f"{M.count0('order_coupon_count')} AS order_coupon_count",
+            f"{M.count0('verify_coupon_count')} AS verify_coupon_count",
+            f"{M.count0('view_phone_count')} AS phone_clicks",
+            f"{M.count0('view_address_count')} AS address_clicks",
+            f"{M.money('promotion_cost')} AS promotion_cost",
+            f"{M.count0('new_good_review_count')} AS new_good_review_count",
+            f"{L.text_or('intent_rate', '0%')} AS intent_rate",
+            f"{M.money('order_sale_amount')} AS order_sale_amount",
+            f"{M.money('verify_sale_amount')} AS verify_sale_amount",
+            f"{M.money('verify_after_discount')} AS verify_after_discount",
+            f"{L.rank_label('order_user_rank')} AS order_rank_label",
+            f"{L.rank_label('verify_amount_rank')} AS verify_rank_label",
         )
 
     @cached_property
     def checks(self) -> DataFrame:
         """The four pass/fail checks per shop and date."""
-        b = self.base
-        return b.select(
+        return self.base.selectExpr(
             "report_date", "shop_id",
-            M.float_rate_text("new_review_count", "verify_person_count").alias("review_rate"),
-            M.float_rate_at_least("new_review_count", "verify_person_count", REVIEW_RATE_MIN).alias("review_pass"),
-            M.float_rate_text("new_collect_users", "order_users").alias("collect_rate"),
-            M.float_rate_at_least("new_collect_users", "order_users", COLLECT_RATE_MIN).alias("collect_pass"),
-            F.col("coupon_orders_7d"),
-            (F.col("coupon_orders_7d") >= COUPON_7D_MIN).alias("coupon_pass"),
-            F.col("ad_today"),
-            L.ad_text("ad_today").alias("ad_text"),
-            (F.col("ad_today") >= AD_TODAY_MIN).alias("ad_pass"),
+            f"{REVIEW_RATE} AS review_rate", f"{REVIEW_OK} AS review_pass",
+            f"{COLLECT_RATE} AS collect_rate", f"{COLLECT_OK} AS collect_pass",
+            "coupon_orders_7d", f"{COUPON_OK} AS coupon_pass",
+            "ad_today", f"{L.ad_text('ad_today')} AS ad_text", f"{AD_OK} AS ad_pass",
         )
 
     @cached_property
     def ranks(self) -> DataFrame:
         """Summary and detail rank labels with the region path."""
-        b = self.base
-        return b.select(
+        return self.base.selectExpr(
             "report_date", "shop_id",
-            L.rank_label("order_user_rank").alias("order_rank_label"),
-            L.rank_label("verify_amount_rank").alias("verify_rank_label"),
-            F.col("region_path"),
-            L.rank_label_region("region_path", "order_user_rank").alias("order_rank_detail"),
-            L.rank_label_region("region_path", "verify_amount_rank").alias("verify_rank_detail"),
+            f"{L.rank_label('order_user_rank')} AS order_rank_label",
+            f"{L.rank_label('verify_amount_rank')} AS verify_rank_label",
+            "region_path",
+            f"{L.rank_label_region('region_path', 'order_user_rank')} AS order_rank_detail",
+            f"{L.rank_label_region('region_path', 'verify_amount_rank')} AS verify_rank_detail",
         )
 
     @cached_property
@@ -109,28 +101,38 @@ class DailyReport:
         """T5 + W2: the cleaned name and the unique sheet name per shop and date."""
         return self.base.select("report_date", "shop_id", "seq", "clean_name", "sheet_name")
 
+    @cached_property
+    def coupon_7d(self) -> DataFrame:
+        """A5: 7-day coupon-code order total per shop and date."""
+        return self.base.select("report_date", "shop_id", "coupon_orders_7d")
+
+    def ad_orders_7d(self, tables) -> DataFrame:
+        """7-day ad-order total from the stats table, per shop and date."""
+        stats = tables.store_stats.select(F.col("store_id").cast("string").alias("shop_id"),
+                                          F.col("date").alias("report_date"), "ad_order_count")
+        sums = trailing_sum(stats, "ad_order_count", self.dates, days=TRAILING_DAYS, out="_ad7")
+        return (self.base.select("report_date", "shop_id").join(sums, ["shop_id", "report_date"], "left")
+                .selectExpr("report_date", "shop_id", f"{M.count0('_ad7')} AS ad_orders_7d"))
+
     @cached_property
     def detail(self) -> DataFrame:
         """L2: 39 lines x 3 cells per shop and date (cells as text)."""
-        b = self.base.select("*", *_check_cols())
-        t, f = F.lit(True), F.lit(False)
-        none = F.lit(None).cast("boolean")
 
-        def line(a, bcell="", c="", section=False, check=None, alert=None):
-            return [a, bcell, c, t if section else f, none if check is None else check,
-                    none if alert is None else alert]
+        def line(a, b="", c="", section=False, check=None, alert=None):
+            return [a, b, c, section, check, alert]
 
         def count(label, col):
-            return line(label, M.count_cell(col))
+            return line(label, S(M.count_cell(col)))
 
         def money(label, col):
-            return line(label, M.money_cell_daily(F.col(col)))
+            return line(label, S(M.money_cell_daily(col)))
 
         blank = line("")
+        legacy = self.options.get("legacy", False)
         rows = [
-            line(F.col("shop_name"), L.status_message("is_force_offline", self.options.get("legacy", False)),
-                 alert=F.coalesce(F.col("is_force_offline"), F.lit(0)) > 0),
-            line(X.DAILY_TITLE, F.concat(F.lit(X.DAILY_DATE_PREFIX + "("), L.date_short("report_date"), F.lit(")"))),
+            line(S("shop_name"), S(L.status_message("is_force_offline", legacy)),
+                 alert=S("coalesce(is_force_offline, 0) > 0")),
+            line(X.DAILY_TITLE, S(f"concat({L.lit(X.DAILY_DATE_PREFIX + '(')}, {L.date_short('report_date')}, ')')")),
             line(X.SECTION_FUNNEL, section=True),
             count(X.LABEL_EXPOSURE, "exposure_users"),
             count(X.LABEL_VISIT, "visit_users"),
@@ -153,54 +155,37 @@ class DailyReport:
             count(X.LABEL_PROMO_ORDERS, "order_count"),
             money(X.LABEL_AD_BALANCE, "ad_balance"),
             blank,
-            line(X.LABEL_REVIEW_CHECK, F.col("_review_rate"), L.pass_fail("_review_pass"), check=F.col("_review_pass")),
-            line(X.LABEL_COLLECT_CHECK, F.col("_collect_rate"), L.pass_fail("_collect_pass"),
-                 check=F.col("_collect_pass")),
-            line(X.LABEL_COUPON_CHECK, F.col("coupon_orders_7d"), L.pass_fail("_coupon_pass"),
-                 check=F.col("_coupon_pass")),
-            line(X.LABEL_AD_CHECK, L.ad_text("ad_today"), L.pass_fail("_ad_pass"), check=F.col("_ad_pass")),
+            line(X.LABEL_REVIEW_CHECK, S(REVIEW_RATE), S(L.pass_fail(REVIEW_OK)), check=S(REVIEW_OK)),
+            line(X.LABEL_COLLECT_CHECK, S(COLLECT_RATE), S(L.pass_fail(COLLECT_OK)), check=S(COLLECT_OK)),
+            line(X.LABEL_COUPON_CHECK, S("coupon_orders_7d"), S(L.pass_fail(COUPON_OK)), check=S(COUPON_OK)),
+            line(X.LABEL_AD_CHECK, S(L.ad_text("ad_today")), S(L.pass_fail(AD_OK)), check=S(AD_OK)),
             blank,
             money(X.LABEL_ORDER_AMOUNT, "order_sale_amount"),
             money(X.LABEL_VERIFY_AMOUNT, "verify_sale_amount"),
-            line(X.LABEL_ORDER_RANK, L.rank_label_region("region_path", "order_user_rank")),
-            line(X.LABEL_VERIFY_RANK, L.rank_label_region("region_path", "verify_amount_rank")),
+            line(X.LABEL_ORDER_RANK, S(L.rank_label_region("region_path", "order_user_rank"))),
+            line(X.LABEL_VERIFY_RANK, S(L.rank_label_region("region_path", "verify_amount_rank"))),
             blank,
             count(X.LABEL_FORCE_OFFLINE, "is_force_offline"),
             blank,
-            line(X.LABEL_OPERATOR, F.col("operator")),
-            line(X.LABEL_SALES, F.col("sales")),
-            line(X.LABEL_CITY, F.col("city")),
+            line(X.LABEL_OPERATOR, S("operator")),
+            line(X.LABEL_SALES, S("sales")),
+            line(X.LABEL_CITY, S("city")),
         ]
-        return unpivot_rows(b, ["report_date", "shop_id", "seq", "sheet_name"], rows, ["col_a", "col_b", "col_c"],
+        return unpivot_rows(self.base, ["report_date", "shop_id", "seq", "sheet_name"], rows,
+                            ["col_a", "col_b", "col_c"],
                             flags=[("is_section", "boolean"), ("passed", "boolean"), ("alert", "boolean")])
 
-    @cached_property
-    def coupon_7d(self) -> DataFrame:
-        """A5: 7-day coupon-code order total per shop and date."""
-        return self.base.select("report_date", "shop_id", "coupon_orders_7d")
-
-    def ad_orders_7d(self, tables) -> DataFrame:
-        """7-day ad-order total from the stats table, per shop and date."""
-        stats = tables.store_stats.select(F.col("store_id").cast("string").alias("shop_id"),
-                                          F.col("date").alias("report_date"), "ad_order_count")
-        sums = trailing_sum(stats, "ad_order_count", self.dates, days=TRAILING_DAYS, out="_ad7")
-        return (self.base.select("report_date", "shop_id").join(sums, ["shop_id", "report_date"], "left")
-                .select("report_date", "shop_id",
-                        F.coalesce(F.col("_ad7"), F.lit(0)).cast("bigint").alias("ad_orders_7d")))
-
     def outputs(self) -> dict[str, DataFrame]:
         return {"summary": self.summary, "detail": self.detail}
 
 
-def _check_cols() -> list[Column]:
-    return [
-        M.float_rate_text("new_review_count", "verify_person_count").alias("_review_rate"),
-        M.float_rate_at_least("new_review_count", "verify_person_count", REVIEW_RATE_MIN).alias("_review_pass"),
-        M.float_rate_text("new_collect_users", "order_users").alias("_collect_rate"),
-        M.float_rate_at_least("new_collect_users", "order_users", COLLECT_RATE_MIN).alias("_collect_pass"),
-        (F.col("coupon_orders_7d") >= COUPON_7D_MIN).alias("_coupon_pass"),
-        (F.col("ad_today") >= AD_TODAY_MIN).alias("_ad_pass"),
-    ]
+# N8/N9 checks over base columns.
+REVIEW_RATE = M.float_rate_text("new_review_count", "verify_person_count")
+REVIEW_OK = M.float_rate_at_least("new_review_count", "verify_person_count", REVIEW_RATE_MIN)
+COLLECT_RATE = M.float_rate_text("new_collect_users", "order_users")
+COLLECT_OK = M.float_rate_at_least("new_collect_users", "order_users", COLLECT_RATE_MIN)
+COUPON_OK = f"(coupon_orders_7d >= {COUPON_7D_MIN})"
+AD_OK = f"(ad_today >= {AD_TODAY_MIN})"
 
 
 def _as_period(report_date) -> Period:
@@ -221,32 +206,28 @@ def daily_base(tables, report_date: str | dt.date | Period, accounts: Accounts =
                            "coupon_pay_order_count", dates, days=TRAILING_DAYS, out="coupon_orders_7d")
     dim = shop_dim(tables, accounts)
     reg = region_dim(tables, accounts)
-    rows = rows.withColumnRenamed("city", "store_city").withColumnRenamed("shop_name", "raw_shop_name")
+    rows = rows.withColumnsRenamed({"city": "store_city", "shop_name": "raw_shop_name"})
     joined = (rows.join(coupons, ["shop_id", "report_date"], "left")
               .join(dim, "shop_id", "left")
               .join(reg, "shop_id", "left"))
-    b = joined.select(
-        *rows.columns,
-        F.coalesce(F.col("coupon_orders_7d"), F.lit(0)).cast("bigint").alias("coupon_orders_7d"),
-        F.coalesce(F.col("ad_order_count"), F.lit(0)).cast("bigint").alias("ad_today"),
-        F.coalesce(F.col("operator"), F.lit("")).alias("operator"),
-        F.coalesce(F.col("sales"), F.lit("")).alias("sales"),
-        F.coalesce(F.col("city"), F.lit("")).alias("city"),
-        "region_city", "region_district", "region_business",
-    )
     # A region entry's city (possibly '') when the entry exists, else the account city.
-    region_city = F.when(F.col("region_city").isNotNull(), F.col("region_city")).otherwise(F.col("city"))
-    b = b.select(
-        "*",
-        L.daily_shop_name("raw_shop_name", "shop_id").alias("shop_name"),
-        L.region_path(region_city, "region_district", "region_business", "city").alias("region_path"),
+    region_city = "CASE WHEN region_city IS NOT NULL THEN region_city ELSE coalesce(city, '') END"
+    b = joined.selectExpr(
+        *rows.columns,
+        f"{M.count0('coupon_orders_7d')} AS coupon_orders_7d",
+        f"{M.count0('ad_order_count')} AS ad_today",
+        "coalesce(operator, '') AS operator",
+        "coalesce(sales, '') AS sales",
+        "coalesce(city, '') AS city",
+        f"{L.daily_shop_name('raw_shop_name', 'shop_id')} AS shop_name",
+        f"{L.region_path(region_city, 'region_district', 'region_business', 'city')} AS region_path",
+        f"{L.clean_section_name(L.daily_shop_name('raw_shop_name', 'shop_id'))} AS clean_name",
     )
-    b = b.withColumn("clean_name", L.clean_section_name("shop_name"))
     if not numbered:
         return b
     b = sequence_numbers(b, ["shop_id"], group_cols=["report_date"],
                          numberings={"seq": (), "name_no": ("clean_name",)})
-    return b.withColumn("sheet_name", L.numbered_section_name("clean_name", "name_no"))
+    return b.withColumn("sheet_name", F.expr(L.numbered_section_name("clean_name", "name_no")))
 
 
 def daily_report(tables, report_date: str | dt.date | Period | Sequence, accounts: Accounts = None,

@@ -15,15 +15,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from shoplens.functions import labels as L
 from shoplens.functions import metrics as M
 from shoplens.functions import texts as X
 from shoplens.operators.dims import Accounts, shop_dim, shop_filter
 from shoplens.operators.facts import SUM_KIND, RollupSpec, joined_facts, period_rollup
-from shoplens.operators.layout import unpivot_rows
+from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
 from shoplens.plans.params import Period
 
@@ -103,106 +102,92 @@ class PeriodReport:
     @cached_property
     def wide(self) -> DataFrame:
         """One row per shop: every metric for p1, p2 and the delta, typed."""
-        b = self.base
-        cols: list[Column] = [
-            F.col("shop_id"), F.col("seq"), F.col("operator"), F.col("city"), F.col("sales"),
-            F.col("shop_name"), F.lit(self.p1.label).alias("p1_label"), F.lit(self.p2.label).alias("p2_label"),
-        ]
+        cols = ["shop_id", "seq", "operator", "city", "sales", "shop_name",
+                f"{L.lit(self.p1.label)} AS p1_label", f"{L.lit(self.p2.label)} AS p2_label"]
         for name, kind, args in METRICS:
             cols += _wide_metric(name, kind, args)
-        return b.select(*cols)
+        return self.base.selectExpr(*cols)
 
     # ---- L3: eight summary lines per shop --------------------------------------
     @cached_property
     def rows8(self) -> DataFrame:
-        b = self.base
-        shop_cells = [F.col("seq"), F.col("operator"), F.col("city"), F.col("sales"), F.col("shop_name")]
+        shop_cells = [S("seq"), S("operator"), S("city"), S("sales"), S("shop_name")]
         blank5 = [""] * 5
 
         def block(metrics):
-            p1 = [_cell(n, k, a, "_p1") for n, k, a in metrics]
-            p2 = [_cell(n, k, a, "_p2") for n, k, a in metrics]
-            d = [_delta_cell(n, k, a) for n, k, a in metrics]
+            p1 = [_cell(n, k, "_p1") for n, k, _ in metrics]
+            p2 = [_cell(n, k, "_p2") for n, k, _ in metrics]
+            d = [_delta_cell(n, k) for n, k, _ in metrics]
             return p1, p2, d
 
         b1p1, b1p2, b1d = block(BLOCK1)
         b2p1, b2p2, b2d = block(BLOCK2)
-        t = F.lit(True)
-        f = F.lit(False)
         rows = [
-            list(X.PERIOD_HEADER_1) + [1, "header", t, f],
-            shop_cells + [self.p1.label] + b1p1 + [1, "p1", f, f],
-            blank5 + [self.p2.label] + b1p2 + [1, "p2", f, f],
-            blank5 + [X.PERIOD_DELTA] + b1d + [1, "delta", f, t],
-            list(X.PERIOD_HEADER_2) + [2, "header", t, f],
-            blank5 + [self.p1.label] + b2p1 + [2, "p1", f, f],
-            blank5 + [self.p2.label] + b2p2 + [2, "p2", f, f],
-            blank5 + [X.PERIOD_DELTA] + b2d + [2, "delta", f, t],
+            list(X.PERIOD_HEADER_1) + [1, "header", True, False],
+            shop_cells + [self.p1.label] + b1p1 + [1, "p1", False, False],
+            blank5 + [self.p2.label] + b1p2 + [1, "p2", False, False],
+            blank5 + [X.PERIOD_DELTA] + b1d + [1, "delta", False, True],
+            list(X.PERIOD_HEADER_2) + [2, "header", True, False],
+            blank5 + [self.p1.label] + b2p1 + [2, "p1", False, False],
+            blank5 + [self.p2.label] + b2p2 + [2, "p2", False, False],
+            blank5 + [X.PERIOD_DELTA] + b2d + [2, "delta", False, True],
         ]
         columns = [f"c{i:02d}" for i in range(1, 21)]
-        out = unpivot_rows(b, ["shop_id", "seq"], rows, columns,
-                           flags=[("block", "int"), ("line_type", "string"), ("is_header", "boolean"),
-                                  ("is_delta", "boolean")])
-        return out.withColumnRenamed("row_no", "line_no")
+        return unpivot_rows(self.base, ["shop_id", "seq"], rows, columns,
+                            flags=[("block", "int"), ("line_type", "string"), ("is_header", "boolean"),
+                                   ("is_delta", "boolean")], row_col="line_no")
 
     @cached_property
     def rows8_legacy(self) -> DataFrame:
         """L4: the legacy 16-column summary (no number/operator/city/sales)."""
-        r = self.rows8
         keep = ["c05"] + [f"c{i:02d}" for i in range(6, 21)]
-        return r.select("shop_id", "seq", "line_no", *keep, "block", "line_type", "is_header", "is_delta")
+        return self.rows8.select("shop_id", "seq", "line_no", *keep, "block", "line_type", "is_header", "is_delta")
 
     # ---- L5: 31-line legacy detail per shop -------------------------------------
     @cached_property
     def detail31(self) -> DataFrame:
-        b = self.base
-        f = F.lit(False)
         rows = [
-            [F.col("shop_name"), "", "", "", F.lit(True), f, F.lit(0)],
-            [X.DETAIL_HEADER, self.p1.label, self.p2.label, X.DETAIL_DELTA_HEADER, F.lit(True), f, F.lit(0)],
+            [S("shop_name"), "", "", "", True, False, 0],
+            [X.DETAIL_HEADER, self.p1.label, self.p2.label, X.DETAIL_DELTA_HEADER, True, False, 0],
         ]
         labels = iter(X.DETAIL_LABELS)
         for spec in DETAIL_ROWS:
             label = next(labels)
             if spec is None:
-                rows.append([label, "", "", "", F.lit(True), f, F.lit(0)])
+                rows.append([label, "", "", "", True, False, 0])
                 continue
-            n, k, a = spec
-            rows.append([label, _cell(n, k, a, "_p1"), _cell(n, k, a, "_p2"),
-                         _delta_cell(n, k, a, detail=True), f, F.lit(True), _trend(n, k, a)])
-        out = unpivot_rows(b, ["shop_id", "seq"], rows, ["label", "p1", "p2", "delta"],
-                           flags=[("is_section", "boolean"), ("is_metric", "boolean"), ("trend", "int")])
-        return out
+            n, k, _ = spec
+            rows.append([label, _cell(n, k, "_p1"), _cell(n, k, "_p2"), _delta_cell(n, k, detail=True),
+                         False, True, S(_trend(n, k))])
+        return unpivot_rows(self.base, ["shop_id", "seq"], rows, ["label", "p1", "p2", "delta"],
+                            flags=[("is_section", "boolean"), ("is_metric", "boolean"), ("trend", "int")])
 
     # ---- N11: trend flags --------------------------------------------------------
     @cached_property
     def trend(self) -> DataFrame:
         """Per shop and metric: the numeric delta and its sign (1 up, -1 down, 0 flat)."""
-        b = self.base
-        rows = []
-        for n, k, a in METRICS:
-            rows.append([n, _delta_num(n, k, a).cast("string"), _trend(n, k, a)])
-        return unpivot_rows(b, ["shop_id", "seq"], rows, ["metric", "delta"], flags=[("trend", "int")])
+        rows = [[n, S(f"CAST({_delta_num(n, k)} AS STRING)"), S(_trend(n, k))] for n, k, _ in METRICS]
+        return unpivot_rows(self.base, ["shop_id", "seq"], rows, ["metric", "delta"], flags=[("trend", "int")])
 
     def outputs(self) -> dict[str, DataFrame]:
         return {"wide": self.wide, "summary": self.rows8, "detail": self.detail31}
 
 
-# ---- per-metric expressions over the base (sums with _p1/_p2 suffix) --------
+# ---- per-metric SQL over the base (sums with _p1/_p2 suffix) ------------------
 
 def _sum_type(name: str) -> str:
     return M.MONEY_TYPE if SUM_KIND[name] == "money" else "bigint"
 
 
-def _tenths(name, sfx: str) -> Column:
-    return F.col(f"{name}{sfx}_t")
+def _t(name: str, sfx: str) -> str:
+    return f"{name}{sfx}_t"
 
 
-def _cents(name, sfx: str) -> Column:
-    return F.col(f"{name}{sfx}_c")
+def _c(name: str, sfx: str) -> str:
+    return f"{name}{sfx}_c"
 
 
-def derived_columns() -> list[Column]:
+def derived_columns() -> list[str]:
     """Per-period rate tenths and average cents, computed once per shop."""
     cols, seen = [], set()
     for spec in METRICS + [s for s in DETAIL_ROWS if s is not None]:
@@ -211,66 +196,65 @@ def derived_columns() -> list[Column]:
             continue
         seen.add(name)
         for sfx in ("_p1", "_p2"):
-            a, b = F.col(args[0] + sfx), F.col(args[1] + sfx)
+            a, b = args[0] + sfx, args[1] + sfx
             if kind == "rate":
-                cols.append(M.rate_tenths(a, b).alias(f"{name}{sfx}_t"))
+                cols.append(f"{M.rate_tenths(a, b)} AS {_t(name, sfx)}")
             else:
-                cols.append(M.avg_cents(a, b).alias(f"{name}{sfx}_c"))
+                cols.append(f"{M.avg_cents(a, b)} AS {_c(name, sfx)}")
     return cols
 
 
-def _value(name, kind, args, sfx) -> Column:
+def _value(name, kind, sfx) -> str:
     if kind == "sum":
         return M.money(name + sfx) if SUM_KIND[name] == "money" else M.count0(name + sfx)
     if kind == "rate":
-        return F.coalesce(M.tenths_value(_tenths(name, sfx)), F.lit(0).cast(M.RATE_TYPE))
-    return F.coalesce(M.cents_value(_cents(name, sfx)), F.lit(0).cast(M.MONEY_TYPE))
+        return f"coalesce({M.tenths_value(_t(name, sfx))}, CAST(0 AS {M.RATE_TYPE}))"
+    return f"coalesce({M.cents_value(_c(name, sfx))}, CAST(0 AS {M.MONEY_TYPE}))"
 
 
-def _delta_num(name, kind, args) -> Column:
+def _delta_num(name, kind) -> str:
     if kind == "rate":
-        return M.tenths_diff_value(_tenths(name, "_p1"), _tenths(name, "_p2"))
+        return M.tenths_diff_value(_t(name, "_p1"), _t(name, "_p2"))
     if kind == "avg":
-        c1, c2 = _cents(name, "_p1"), _cents(name, "_p2")
-        return M.cents_value(F.coalesce(c2, F.lit(0)) - F.coalesce(c1, F.lit(0)))
-    return (_value(name, kind, args, "_p2") - _value(name, kind, args, "_p1")).cast(_sum_type(name))
+        return M.avg_diff_value(_c(name, "_p1"), _c(name, "_p2"))
+    return f"CAST({_value(name, kind, '_p2')} - {_value(name, kind, '_p1')} AS {_sum_type(name)})"
 
 
-def _trend(name, kind, args) -> Column:
-    return F.signum(_delta_num(name, kind, args)).cast("int")
+def _trend(name, kind) -> str:
+    return f"CAST(signum({_delta_num(name, kind)}) AS INT)"
 
 
-def _wide_metric(name, kind, args) -> list[Column]:
-    cols = [_value(name, kind, args, "_p1").alias(f"{name}_p1"),
-            _value(name, kind, args, "_p2").alias(f"{name}_p2"),
-            _delta_num(name, kind, args).alias(f"{name}_delta")]
+def _wide_metric(name, kind, args) -> list[str]:
+    cols = [f"{_value(name, kind, '_p1')} AS {name}_p1",
+            f"{_value(name, kind, '_p2')} AS {name}_p2",
+            f"{_delta_num(name, kind)} AS {name}_delta"]
     if kind == "rate":
-        t1, t2 = _tenths(name, "_p1"), _tenths(name, "_p2")
-        cols += [M.tenths_text(t1).alias(f"{name}_p1_text"), M.tenths_text(t2).alias(f"{name}_p2_text"),
-                 M.tenths_diff_text(t1, t2).alias(f"{name}_delta_text")]
+        t1, t2 = _t(name, "_p1"), _t(name, "_p2")
+        cols += [f"{M.tenths_text(t1)} AS {name}_p1_text", f"{M.tenths_text(t2)} AS {name}_p2_text",
+                 f"{M.tenths_diff_text(t1, t2)} AS {name}_delta_text"]
     return cols
 
 
-def _cell(name, kind, args, sfx) -> Column:
+def _cell(name, kind, sfx) -> S:
     """A period cell as the sheet shows it."""
     if kind == "rate":
-        return M.tenths_text(_tenths(name, sfx))
+        return S(M.tenths_text(_t(name, sfx)))
     if kind == "avg":
-        return M.avg_cell(_cents(name, sfx))
+        return S(M.avg_cell(_c(name, sfx)))
     if SUM_KIND[name] == "money":
-        return M.money_cell_period(F.col(name + sfx))
-    return M.count_cell(name + sfx)
+        return S(M.money_cell_period(name + sfx))
+    return S(M.count_cell(name + sfx))
 
 
-def _delta_cell(name, kind, args, detail: bool = False) -> Column:
+def _delta_cell(name, kind, detail: bool = False) -> S:
     if kind == "rate":
-        t1, t2 = _tenths(name, "_p1"), _tenths(name, "_p2")
-        return M.tenths_diff_text2(t1, t2) if detail else M.tenths_diff_text(t1, t2)
+        t1, t2 = _t(name, "_p1"), _t(name, "_p2")
+        return S(M.tenths_diff_text2(t1, t2) if detail else M.tenths_diff_text(t1, t2))
     if kind == "avg":
-        return M.avg_diff_cell(_cents(name, "_p1"), _cents(name, "_p2"))
+        return S(M.avg_diff_cell(_c(name, "_p1"), _c(name, "_p2")))
     if SUM_KIND[name] == "money":
-        return M.money_diff_cell(F.col(name + "_p1"), F.col(name + "_p2"))
-    return M.count_diff_cell(name + "_p1", name + "_p2")
+        return S(M.money_diff_cell(name + "_p1", name + "_p2"))
+    return S(M.count_diff_cell(name + "_p1", name + "_p2"))
 
 
 # ---- the report ----------------------------------------------------------------
@@ -279,18 +263,18 @@ def period_base(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_
                 shop_ids: Sequence[str] | DataFrame | None = None, unresolved: str = "none",
                 rename: str = "sum_latest", by_city: bool = False, dedupe_right: bool = False,
                 numbered: bool = True) -> DataFrame:
-    """One row per shop with seq, attributes and both periods' sums."""
+    """One row per shop with seq, attributes, both periods' sums and derived values."""
     shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
     joined = joined_facts(tables, [p1, p2], shops=shops, dedupe_right=dedupe_right)
     roll = period_rollup(joined, p1, p2, RollupSpec(rename=rename, by_city=by_city))
     dim = shop_dim(tables, accounts)
     d = X.PERIOD_DEFAULT_ATTR
-    withattrs = roll.join(dim, "shop_id", "left").select(
-        *[c for c in roll.columns],
-        L.text_or("operator", d).alias("operator"),
-        L.text_or("sales", d).alias("sales"),
-        L.text_or("city", d).alias("city"),
-        L.period_shop_name("name_p1", "name_p2", "has_p1").alias("shop_name"),
+    withattrs = roll.join(dim, "shop_id", "left").selectExpr(
+        *roll.columns,
+        f"{L.text_or('operator', d)} AS operator",
+        f"{L.text_or('sales', d)} AS sales",
+        f"{L.text_or('city', d)} AS city",
+        f"{L.period_shop_name('name_p1', 'name_p2', 'has_p1')} AS shop_name",
         *derived_columns(),
     )
     if not numbered:
