@@ -221,6 +221,7 @@ def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = Non
       coalesce(nullif(sd.operator, ''), '--') as operator,
       coalesce(nullif(sd.sales, ''), '--') as sales,
       coalesce(nullif(sd.city, ''), '--') as city,
+      w1.shop_id is not null as has_p1, w2.shop_id is not null as has_p2,
       case when w2.shop_name is not null and w2.shop_name <> '' then w2.shop_name
            when w1.shop_id is not null then w1.shop_name else {q(X.UNKNOWN_SHOP)} end as shop_name,
       {", ".join(sums)}
@@ -593,3 +594,43 @@ def region_dim_select(accounts=None) -> str:
 
 def accounts_filter_select(accounts) -> str:
     return duckdb_ctes().rstrip() + ",\n" + resolved_cte(accounts) + "\nselect shop_id from resolved"
+
+
+# ---- quality -----------------------------------------------------------------
+
+def default_profile_select() -> str:
+    parts = []
+    for sfx, period, has in (("_p1", "p1", "has_p1"), ("_p2", "p2", "has_p2")):
+        for name, *_ in PERIOD_SUMS:
+            reason = (f"case when not coalesce({has}, false) then 'row missing' "
+                      f"when {name}{sfx} is null then 'null' else '' end")
+            parts.append(f"select shop_id, cast(seq as integer) as seq, '{period}' as period, '{name}' as metric, "
+                         f"{reason} as reason from base")
+    return "select * from (\n" + "\nunion all\n".join(parts) + "\n) t where reason <> ''"
+
+
+def validate_sql(ranges) -> str:
+    from shoplens.operators.quality import COUNTERS, MONEY, RATE_TEXT
+
+    def rng(col):
+        return "(" + " or ".join(f"{col} between {d(p.start)} and {d(p.end)}" for p in ranges) + ")"
+
+    checks = ["case when k.shop_id is null or k.shop_id = '' then 'missing shop_id' end",
+              "case when k.report_date is null then 'missing report_date' end"]
+    checks += [f"case when k.{c} < 0 then 'negative {c}' end" for c in COUNTERS + MONEY]
+    checks += [f"case when k.intent_rate is not null and k.intent_rate <> '' and "
+               f"not regexp_full_match(k.intent_rate, '{RATE_TEXT}') then 'bad intent_rate' end",
+               "case when dp._np > 1 then 'duplicate promotion rows' end",
+               "case when ds._ns > 1 then 'duplicate stats rows' end"]
+    return duckdb_ctes().rstrip() + f""",
+  dp as (select shop_id, report_date, count(*) as _np from promotion_daily where {rng('report_date')} group by 1, 2),
+  ds as (select store_id as shop_id, date as report_date, count(*) as _ns from store_stats where {rng('date')}
+         group by 1, 2),
+  v as (
+    select k.shop_id, k.report_date, concat_ws('; ', {", ".join(checks)}) as errors
+    from store_daily k
+    left join dp on dp.shop_id = k.shop_id and dp.report_date = k.report_date
+    left join ds on ds.shop_id = k.shop_id and ds.report_date = k.report_date
+    where {rng('k.report_date')}
+  )
+select shop_id, report_date, case when errors = '' then 'ok' else 'rejected' end as status, errors from v"""

@@ -169,6 +169,13 @@ class PeriodReport:
         rows = [[n, S(f"CAST({_delta_num(n, k)} AS STRING)"), S(_trend(n, k))] for n, k, _ in METRICS]
         return unpivot_rows(self.base, ["shop_id", "seq"], rows, ["metric", "delta"], flags=[("trend", "int")])
 
+    @cached_property
+    def defaults(self) -> DataFrame:
+        """Q2/A10: every summed metric that took the default 0, with the reason."""
+        from shoplens.operators.quality import default_profile
+
+        return default_profile(self.base)
+
     def outputs(self) -> dict[str, DataFrame]:
         return {"wide": self.wide, "summary": self.rows8, "detail": self.detail31}
 

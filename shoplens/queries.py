@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shoplens import oracle as O
 from shoplens.operators.dims import region_dim, resolved_shops, shop_dim
+from shoplens.operators.quality import validate
 from shoplens.plans.daily import daily_report
 from shoplens.plans.params import Period
 from shoplens.plans.period import period_report
@@ -188,6 +189,18 @@ def daily_range(spark, sf_dir):
     return daily_report(tables(spark, sf_dir), DAY_RANGE).summary
 
 
+# ---- data quality ----------------------------------------------------------------
+
+@register("null_profile", _period_oracle(lambda a, b: O.default_profile_select(), W1, W2))
+def null_profile(spark, sf_dir):
+    return period_report(tables(spark, sf_dir), W1, W2).defaults
+
+
+@register("quarantine", lambda: O.validate_sql([W1, W2]))
+def quarantine(spark, sf_dir):
+    return validate(tables(spark, sf_dir), [W1, W2])
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_QUERIES)
 

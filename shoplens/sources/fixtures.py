@@ -96,14 +96,26 @@ def duckdb_ctes() -> str:
     return "with " + body + "\n"
 
 
+_REGISTERED: dict[tuple[int, str], dict[str, str]] = {}
+
+
 def register_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Register the driver parquet tables under names unique to ``sf_dir``."""
+    """Register the driver parquet tables under names unique to ``sf_dir``.
+
+    Registered once per session and folder (the footers are read once); the
+    views stay lazy, so every query still scans the whole tables.
+    """
+    key = (id(spark._jsparkSession), sf_dir)
+    names = _REGISTERED.get(key)
+    if names and all(spark.catalog.tableExists(n) for n in names.values()):
+        return names
     tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
     names = {}
     for t in DRIVER_TABLES:
         name = f"shoplens_{t}_{tag}"
         spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(name)
         names[t] = name
+    _REGISTERED[key] = names
     return names
 
 
