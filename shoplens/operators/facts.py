@@ -125,43 +125,48 @@ class RollupSpec:
 
 
 def period_rollup(joined: DataFrame, p1: Period, p2: Period, spec: RollupSpec = RollupSpec()) -> DataFrame:
-    """A1 + A2: both periods in one pass; periods may overlap.
+    """A1 + A2: both periods in one pass over the facts; periods may overlap.
+
+    Level 1 groups the fact rows by (shop_id, shop_name[, city]) — string keys,
+    fixed-width buffers, so it runs as a hash aggregate with map-side partial
+    aggregation. Level 2 works on one row per shop and name: it adds the
+    groups up (``sum_latest``) or keeps one (``last_group``); only here, on
+    small input, is a name chosen by ``max_by``.
 
     Output: shop_id, has_p1, has_p2, name_p1, name_p2, and ``<metric>_p1`` /
     ``<metric>_p2`` sums (NULL when a period has no row or only NULLs).
     """
+    if spec.rename not in ("sum_latest", "last_group"):
+        raise ValueError(f"rename must be 'sum_latest' or 'last_group', not {spec.rename!r}")
     in1 = F.col("report_date").between(F.lit(p1.start), F.lit(p1.end))
     in2 = F.col("report_date").between(F.lit(p2.start), F.lit(p2.end))
     src = joined.where(in1 | in2).select(
         "shop_id", "report_date", "shop_name", "city", in1.alias("_in1"), in2.alias("_in2"),
         *[_src(m).alias(m) for m, *_ in PERIOD_SUMS])
-
-    def sums(flag: str, suffix: str) -> list[Column]:
-        return [F.expr(f"sum(CASE WHEN {flag} THEN {m} END) AS {m}{suffix}") for m, *_ in PERIOD_SUMS]
-
-    def has(flag: str, out: str) -> Column:
-        return F.expr(f"bool_or({flag}) AS {out}")
+    by_city = spec.rename == "last_group" and spec.by_city
+    keys = ["shop_id", "shop_name"] + (["city"] if by_city else [])
+    groups = src.groupBy(*keys).agg(
+        F.expr("bool_or(_in1) AS has_p1"), F.expr("bool_or(_in2) AS has_p2"),
+        F.expr("max(CASE WHEN _in1 THEN report_date END) AS last_p1"),
+        F.expr("max(CASE WHEN _in2 THEN report_date END) AS last_p2"),
+        *[F.expr(f"sum(CASE WHEN {flag} THEN {m} END) AS {m}{sfx}")
+          for flag, sfx in (("_in1", "_p1"), ("_in2", "_p2")) for m, *_ in PERIOD_SUMS])
+    flags = [F.expr("bool_or(has_p1) AS has_p1"), F.expr("bool_or(has_p2) AS has_p2")]
 
     if spec.rename == "sum_latest":
-        return src.groupBy("shop_id").agg(
-            has("_in1", "has_p1"), has("_in2", "has_p2"),
-            F.expr("max_by(shop_name, CASE WHEN _in1 THEN report_date END) AS name_p1"),
-            F.expr("max_by(shop_name, CASE WHEN _in2 THEN report_date END) AS name_p2"),
-            *sums("_in1", "_p1"), *sums("_in2", "_p2"))
-    if spec.rename != "last_group":
-        raise ValueError(f"rename must be 'sum_latest' or 'last_group', not {spec.rename!r}")
+        return groups.groupBy("shop_id").agg(
+            *flags,
+            F.expr("max_by(shop_name, last_p1) AS name_p1"),
+            F.expr("max_by(shop_name, last_p2) AS name_p2"),
+            *[F.expr(f"sum({m}{sfx}) AS {m}{sfx}") for sfx in ("_p1", "_p2") for m, *_ in PERIOD_SUMS])
 
-    keys = ["shop_id", "shop_name"] + (["city"] if spec.by_city else [])
-    groups = src.groupBy(*keys).agg(has("_in1", "has_p1"), has("_in2", "has_p2"),
-                                    *sums("_in1", "_p1"), *sums("_in2", "_p2"))
     order = "struct(" + ", ".join(keys[1:]) + ")"
 
     def pick(flag: str, suffix: str) -> Column:
         vals = ", ".join(["shop_name AS name"] + [f"{m}{suffix} AS {m}" for m, *_ in PERIOD_SUMS])
         return F.expr(f"max_by(struct({vals}), CASE WHEN {flag} THEN {order} END) AS g{suffix}")
 
-    picked = groups.groupBy("shop_id").agg(has("has_p1", "has_p1"), has("has_p2", "has_p2"),
-                                           pick("has_p1", "_p1"), pick("has_p2", "_p2"))
+    picked = groups.groupBy("shop_id").agg(*flags, pick("has_p1", "_p1"), pick("has_p2", "_p2"))
     return picked.selectExpr(
         "shop_id", "has_p1", "has_p2", "g_p1.name AS name_p1", "g_p2.name AS name_p2",
         *[f"g_p1.{m} AS {m}_p1" for m, *_ in PERIOD_SUMS],
