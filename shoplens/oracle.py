@@ -169,7 +169,7 @@ def resolved_cte(accounts: Sequence[str]) -> str:
 
 def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = None,
                     shop_id: str | None = None, shop_ids: Sequence[str] | None = None,
-                    rename: str = "sum_latest", by_city: bool = False) -> str:
+                    rename: str = "sum_latest", by_city: bool = False, unresolved: str = "none") -> str:
     """CTE text ending in ``base``: one row per shop with seq, attributes, sums and
     derived tenths/cents, named like the Spark base."""
     ctes = []
@@ -180,6 +180,8 @@ def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = Non
     elif accounts:
         ctes.append(resolved_cte(accounts))
         shop_where = " and k.shop_id in (select shop_id from resolved)"
+        if unresolved == "all":
+            shop_where = " and (k.shop_id in (select shop_id from resolved) or not exists (select 1 from resolved))"
     else:
         shop_where = ""
     ctes.append(shop_dim_cte(accounts))
@@ -634,3 +636,16 @@ def validate_sql(ranges) -> str:
     where {rng('k.report_date')}
   )
 select shop_id, report_date, case when errors = '' then 'ok' else 'rejected' end as status, errors from v"""
+
+
+def rows16_select(p1: Period, p2: Period) -> str:
+    keep = ", ".join(["c05"] + [f"c{i:02d}" for i in range(6, 21)])
+    return (f"select shop_id, seq, line_no, {keep}, block, line_type, is_header, is_delta from (\n"
+            + rows8_select(p1, p2) + "\n) t")
+
+
+def store_count_sql(day, p1: Period, p2: Period) -> str:
+    rng = f"(report_date between {d(p1.start)} and {d(p1.end)} or report_date between {d(p2.start)} and {d(p2.end)})"
+    return (duckdb_ctes().rstrip() + "\n"
+            f"select (select count(distinct shop_id) from store_daily where report_date = {d(day)}) as daily_stores, "
+            f"(select count(distinct shop_id) from store_daily where {rng}) as period_stores")

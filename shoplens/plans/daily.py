@@ -175,6 +175,11 @@ class DailyReport:
                             ["col_a", "col_b", "col_c"],
                             flags=[("is_section", "boolean"), ("passed", "boolean"), ("alert", "boolean")])
 
+    @cached_property
+    def shop_count(self) -> DataFrame:
+        """Number of shops in the report (one row)."""
+        return self.base.selectExpr("count(DISTINCT shop_id) AS store_count")
+
     def outputs(self) -> dict[str, DataFrame]:
         return {"summary": self.summary, "detail": self.detail}
 

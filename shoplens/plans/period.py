@@ -176,6 +176,11 @@ class PeriodReport:
 
         return default_profile(self.base)
 
+    @cached_property
+    def shop_count(self) -> DataFrame:
+        """Number of shops in the report (one row)."""
+        return self.base.selectExpr("count(DISTINCT shop_id) AS store_count")
+
     def outputs(self) -> dict[str, DataFrame]:
         return {"wide": self.wide, "summary": self.rows8, "detail": self.detail31}
 

@@ -116,6 +116,21 @@ def custom_city(spark, sf_dir):
     return period_report(tables(spark, sf_dir), W1, W2, rename="last_group", by_city=True).rows8
 
 
+@register("weekly_rows16_legacy", _period_oracle(O.rows16_select, W1, W2))
+def weekly_rows16_legacy(spark, sf_dir):
+    return period_report(tables(spark, sf_dir), W1, W2).rows8_legacy
+
+
+@register("weekly_unresolved_none", _period_oracle(O.wide_select, W1, W2, accounts=["acct_7"]))
+def weekly_unresolved_none(spark, sf_dir):
+    return period_report(tables(spark, sf_dir), W1, W2, accounts=["acct_7"]).wide
+
+
+@register("weekly_unresolved_all", _period_oracle(O.wide_select, W1, W2, accounts=["acct_7"], unresolved="all"))
+def weekly_unresolved_all(spark, sf_dir):
+    return period_report(tables(spark, sf_dir), W1, W2, accounts=["acct_7"], unresolved="all").wide
+
+
 # ---- dimensions ------------------------------------------------------------------
 
 @register("shop_dim", lambda: O.shop_dim_select())
@@ -153,6 +168,11 @@ def daily_detail(spark, sf_dir):
     return daily_report(tables(spark, sf_dir), DAY).detail
 
 
+@register("daily_detail_legacy", _daily_oracle(lambda: O.daily_detail_select(legacy=True)))
+def daily_detail_legacy(spark, sf_dir):
+    return daily_report(tables(spark, sf_dir), DAY, legacy=True).detail
+
+
 @register("daily_checks", _daily_oracle(O.daily_checks_select))
 def daily_checks(spark, sf_dir):
     return daily_report(tables(spark, sf_dir), DAY).checks
@@ -189,6 +209,15 @@ def daily_range(spark, sf_dir):
     return daily_report(tables(spark, sf_dir), DAY_RANGE).summary
 
 
+@register("store_count", lambda: O.store_count_sql(DAY, W1, W2))
+def store_count(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    daily = daily_report(t, DAY).shop_count.withColumnRenamed("store_count", "daily_stores")
+    period = period_report(t, W1, W2).shop_count.withColumnRenamed("store_count", "period_stores")
+    return (daily.unionByName(period, allowMissingColumns=True)
+            .selectExpr("max(daily_stores) AS daily_stores", "max(period_stores) AS period_stores"))
+
+
 # ---- data quality ----------------------------------------------------------------
 
 @register("null_profile", _period_oracle(lambda a, b: O.default_profile_select(), W1, W2))

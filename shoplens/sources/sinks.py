@@ -19,9 +19,16 @@ from pyspark.sql import DataFrame
 
 from shoplens.plans.params import Period
 
-# FIXED VALUES: run-name prefixes of the daily and period reports.
+# FIXED VALUES: run-name prefixes of the daily and period reports, and the
+# legacy script's file-name words (daily, weekly, monthly, custom, "shops", "non-food").
 DAILY_PREFIX = "日报"
 PERIOD_PREFIX = "周报"
+LEGACY_DAILY = "日报"
+LEGACY_WEEKLY = "周报"
+LEGACY_MONTHLY = "月报"
+LEGACY_CUSTOM = "自定义"
+LEGACY_SHOPS = "家门店"
+LEGACY_SEGMENT = "非餐"
 
 
 def run_name(prefix: str, now: dt.datetime | None = None, token: str | None = None) -> str:
@@ -39,6 +46,22 @@ def period_run_prefix(p2: Period) -> str:
     return f"{PERIOD_PREFIX}_{p2.start:%Y%m%d}_{p2.end:%Y%m%d}"
 
 
+def legacy_name(kind: str, day: dt.date | None = None, p2: Period | None = None, shop_count: int | None = None,
+                now: dt.datetime | None = None) -> str:
+    """K3, legacy script names: ``日报 非餐 {date} {ts}``, ``周报|月报 非餐 {p2} {ts}``,
+    ``自定义 {n}家门店非餐 {p2} {ts}`` (``shop_count`` from ``report.shop_count``)."""
+    ts = f"{(now or dt.datetime.now()):%Y%m%d%H%M%S}"
+    if kind == "daily":
+        return f"{LEGACY_DAILY} {LEGACY_SEGMENT} {day:%Y%m%d} {ts}"
+    span = f"{p2.start:%Y%m%d}~{p2.end:%Y%m%d}"
+    if kind in ("weekly", "monthly"):
+        word = LEGACY_WEEKLY if kind == "weekly" else LEGACY_MONTHLY
+        return f"{word} {LEGACY_SEGMENT} {span} {ts}"
+    if kind == "custom":
+        return f"{LEGACY_CUSTOM} {shop_count}{LEGACY_SHOPS}{LEGACY_SEGMENT} {span} {ts}"
+    raise ValueError(kind)
+
+
 def check_not_empty(df: DataFrame, on_empty: str = "raise", what: str = "report") -> bool:
     """``raise`` (ValueError, the service) or ``warn`` (the script) on no rows.
 
