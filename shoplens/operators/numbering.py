@@ -37,28 +37,42 @@ def sequence_numbers(df: DataFrame, order_cols: Sequence[str], group_cols: Seque
     ``numberings`` maps output name -> extra group columns (default
     ``{"seq": []}``). Ties in ``order_cols`` are numbered in an unspecified
     order; give a unique order key when numbers must be reproducible.
+
+    A numbering without extra groups needs no shuffle of the rows: each range
+    partition is sorted, the position inside it comes from
+    ``monotonically_increasing_id`` (partition id in the high bits), and only the
+    per-partition counts are joined back. Extra groups are numbered with a
+    window partitioned by (range partition, group) — bounded by the partition.
     """
     numberings = dict(numberings or {"seq": ()})
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *group_cols, *order_cols)
+    keys = [*group_cols, *order_cols]
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
               .checkpoint(eager=True))
     out = ranged
     for name, extra in numberings.items():
         groups = [*group_cols, *extra]
-        counts = ranged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"))
+        if extra:
+            local = F.row_number().over(W.partitionBy("_pid", *groups).orderBy(*order_cols)) - 1
+            out = out.withColumn("_local", local)
+            stats = out.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.lit(0).alias("_first"))
+        else:
+            out = out.withColumn("_local", F.col("_pos"))
+            stats = out.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"),
+                                                      F.min("_pos").alias("_first"))
         before = (W.partitionBy(*groups) if groups else W).orderBy("_pid").rowsBetween(
             W.unboundedPreceding, -1)
-        offsets = counts.select(F.col("_pid").alias("_opid"), *[F.col(g).alias(f"_o_{g}") for g in groups],
-                                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-        local = out.withColumn("_local", F.row_number().over(
-            W.partitionBy("_pid", *groups).orderBy(*order_cols)))
-        cond = [local["_pid"] == offsets["_opid"]] + [local[g].eqNullSafe(offsets[f"_o_{g}"]) for g in groups]
-        out = (local.join(offsets, cond)
-               .select(*[local[c] for c in out.columns], (local["_local"] + offsets["_off"]).cast("int").alias(name)))
-    return out.drop("_pid")
+        offsets = stats.select(F.col("_pid").alias("_opid"), *[F.col(g).alias(f"_o_{g}") for g in groups],
+                               F.col("_first"),
+                               F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+        cond = [out["_pid"] == offsets["_opid"]] + [out[g].eqNullSafe(offsets[f"_o_{g}"]) for g in groups]
+        num = (out["_local"] - offsets["_first"] + offsets["_off"] + 1).cast("int").alias(name)
+        out = out.join(offsets, cond).select(*[out[c] for c in out.columns if c != "_local"], num)
+    return out.drop("_pid", "_pos")
 
 
 def sequence_number(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),

@@ -1,7 +1,9 @@
 """Registered report queries over the driver tables, and their oracle SQL.
 
-Each query takes ``(spark, sf_dir)``, builds the fixture views over the whole
-driver tables in ``sf_dir`` and returns a lazy DataFrame. Parameters follow
+Each query is a function of the report inputs (``ReportTables``). ``queries()``
+binds them to ``(spark, sf_dir)``: the inputs are then the fixture views over the
+whole driver tables in ``sf_dir``; ``table_queries()`` runs them on any other
+inputs (stored tables, a catalog, JDBC). Parameters follow
 FIXTURES.md §4: events span 2024-01-01..2024-01-30; daily date 2024-01-10;
 weekly 01-01..07 vs 01-08..14; monthly stand-in 01-01..15 vs 01-16..30.
 """
@@ -33,12 +35,14 @@ ONE_SHOP = "17"
 SHOP_LIST = ["3", "5", "8", "13", "21", "34", "55", "89", "144"]
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, QueryFn] = {}
+TablesFn = Callable[[ReportTables], DataFrame]
+_QUERIES: dict[str, TablesFn] = {}
 _ORACLE: dict[str, Callable[[], str]] = {}
 
 
 def register(name: str, oracle: Callable[[], str] | None = None):
-    def deco(fn: QueryFn) -> QueryFn:
+    """Register a report query written as a function of the input tables."""
+    def deco(fn: TablesFn) -> TablesFn:
         _QUERIES[name] = fn
         if oracle is not None:
             _ORACLE[name] = oracle
@@ -47,6 +51,7 @@ def register(name: str, oracle: Callable[[], str] | None = None):
 
 
 def tables(spark: SparkSession, sf_dir: str) -> ReportTables:
+    """The report inputs derived from the whole driver tables in ``sf_dir``."""
     return ReportTables.from_driver_tables(spark, sf_dir)
 
 
@@ -57,95 +62,95 @@ def _period_oracle(select, p1, p2, **kw):
 
 
 @register("weekly_wide", _period_oracle(O.wide_select, W1, W2))
-def weekly_wide(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2).wide
+def weekly_wide(t):
+    return period_report(t, W1, W2).wide
 
 
 @register("weekly_rows8", _period_oracle(O.rows8_select, W1, W2))
-def weekly_rows8(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2).rows8
+def weekly_rows8(t):
+    return period_report(t, W1, W2).rows8
 
 
 @register("period_detail31", _period_oracle(O.detail31_select, W1, W2))
-def period_detail31(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2).detail31
+def period_detail31(t):
+    return period_report(t, W1, W2).detail31
 
 
 @register("trend_flags", _period_oracle(lambda a, b: O.trend_select(), W1, W2))
-def trend_flags(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2).trend
+def trend_flags(t):
+    return period_report(t, W1, W2).trend
 
 
 @register("monthly_rows8", _period_oracle(O.rows8_select, M1, M2))
-def monthly_rows8(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), M1, M2).rows8
+def monthly_rows8(t):
+    return period_report(t, M1, M2).rows8
 
 
 @register("weekly_by_account", _period_oracle(O.wide_select, W1, W2, accounts=ACCOUNTS))
-def weekly_by_account(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2, accounts=ACCOUNTS).wide
+def weekly_by_account(t):
+    return period_report(t, W1, W2, accounts=ACCOUNTS).wide
 
 
 @register("custom_one_shop", _period_oracle(O.wide_select, W1, W2, accounts=["acct_1"], shop_id=ONE_SHOP))
-def custom_one_shop(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2, accounts=["acct_1"], shop_id=ONE_SHOP).wide
+def custom_one_shop(t):
+    return period_report(t, W1, W2, accounts=["acct_1"], shop_id=ONE_SHOP).wide
 
 
 @register("custom_shop_list", _period_oracle(O.wide_select, W1, W2, shop_ids=SHOP_LIST))
-def custom_shop_list(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2, shop_ids=SHOP_LIST).wide
+def custom_shop_list(t):
+    return period_report(t, W1, W2, shop_ids=SHOP_LIST).wide
 
 
 @register("custom_overlap", _period_oracle(O.wide_select, OVERLAP1, OVERLAP2))
-def custom_overlap(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), OVERLAP1, OVERLAP2).wide
+def custom_overlap(t):
+    return period_report(t, OVERLAP1, OVERLAP2).wide
 
 
 @register("custom_one_sided", _period_oracle(O.wide_select, ONE1, ONE2))
-def custom_one_sided(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), ONE1, ONE2).wide
+def custom_one_sided(t):
+    return period_report(t, ONE1, ONE2).wide
 
 
 @register("rename_last_group", _period_oracle(O.wide_select, W1, W2, rename="last_group"))
-def rename_last_group(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2, rename="last_group").wide
+def rename_last_group(t):
+    return period_report(t, W1, W2, rename="last_group").wide
 
 
 @register("custom_city", _period_oracle(O.rows8_select, W1, W2, rename="last_group", by_city=True))
-def custom_city(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2, rename="last_group", by_city=True).rows8
+def custom_city(t):
+    return period_report(t, W1, W2, rename="last_group", by_city=True).rows8
 
 
 @register("weekly_rows16_legacy", _period_oracle(O.rows16_select, W1, W2))
-def weekly_rows16_legacy(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2).rows8_legacy
+def weekly_rows16_legacy(t):
+    return period_report(t, W1, W2).rows8_legacy
 
 
 @register("weekly_unresolved_none", _period_oracle(O.wide_select, W1, W2, accounts=["acct_7"]))
-def weekly_unresolved_none(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2, accounts=["acct_7"]).wide
+def weekly_unresolved_none(t):
+    return period_report(t, W1, W2, accounts=["acct_7"]).wide
 
 
 @register("weekly_unresolved_all", _period_oracle(O.wide_select, W1, W2, accounts=["acct_7"], unresolved="all"))
-def weekly_unresolved_all(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2, accounts=["acct_7"], unresolved="all").wide
+def weekly_unresolved_all(t):
+    return period_report(t, W1, W2, accounts=["acct_7"], unresolved="all").wide
 
 
 # ---- dimensions ------------------------------------------------------------------
 
 @register("shop_dim", lambda: O.shop_dim_select())
-def shop_dim_q(spark, sf_dir):
-    return shop_dim(tables(spark, sf_dir))
+def shop_dim_q(t):
+    return shop_dim(t)
 
 
 @register("region_dim", lambda: O.region_dim_select())
-def region_dim_q(spark, sf_dir):
-    return region_dim(tables(spark, sf_dir))
+def region_dim_q(t):
+    return region_dim(t)
 
 
 @register("accounts_filter", lambda: O.accounts_filter_select(ACCOUNTS))
-def accounts_filter(spark, sf_dir):
-    return resolved_shops(tables(spark, sf_dir), ACCOUNTS)
+def accounts_filter(t):
+    return resolved_shops(t, ACCOUNTS)
 
 
 # ---- daily reports -------------------------------------------------------------
@@ -159,59 +164,57 @@ def _daily_oracle(select, start=DAY, end=DAY, accounts=None):
 
 
 @register("daily_summary", _daily_oracle(O.daily_summary_select))
-def daily_summary(spark, sf_dir):
-    return daily_report(tables(spark, sf_dir), DAY).summary
+def daily_summary(t):
+    return daily_report(t, DAY).summary
 
 
 @register("daily_detail", _daily_oracle(O.daily_detail_select))
-def daily_detail(spark, sf_dir):
-    return daily_report(tables(spark, sf_dir), DAY).detail
+def daily_detail(t):
+    return daily_report(t, DAY).detail
 
 
 @register("daily_detail_legacy", _daily_oracle(lambda: O.daily_detail_select(legacy=True)))
-def daily_detail_legacy(spark, sf_dir):
-    return daily_report(tables(spark, sf_dir), DAY, legacy=True).detail
+def daily_detail_legacy(t):
+    return daily_report(t, DAY, legacy=True).detail
 
 
 @register("daily_checks", _daily_oracle(O.daily_checks_select))
-def daily_checks(spark, sf_dir):
-    return daily_report(tables(spark, sf_dir), DAY).checks
+def daily_checks(t):
+    return daily_report(t, DAY).checks
 
 
 @register("coupon_7d", _daily_oracle(O.coupon_7d_select))
-def coupon_7d(spark, sf_dir):
-    return daily_report(tables(spark, sf_dir), DAY).coupon_7d
+def coupon_7d(t):
+    return daily_report(t, DAY).coupon_7d
 
 
 @register("ad_7d", _daily_oracle(O.ad_7d_select))
-def ad_7d(spark, sf_dir):
-    t = tables(spark, sf_dir)
+def ad_7d(t):
     return daily_report(t, DAY).ad_orders_7d(t)
 
 
 @register("rank_labels", _daily_oracle(O.rank_labels_select))
-def rank_labels(spark, sf_dir):
-    return daily_report(tables(spark, sf_dir), DAY).ranks
+def rank_labels(t):
+    return daily_report(t, DAY).ranks
 
 
 @register("section_names", _daily_oracle(O.section_names_select))
-def section_names(spark, sf_dir):
-    return daily_report(tables(spark, sf_dir), DAY).sections
+def section_names(t):
+    return daily_report(t, DAY).sections
 
 
 @register("daily_by_account", _daily_oracle(O.daily_summary_select, accounts=ACCOUNTS))
-def daily_by_account(spark, sf_dir):
-    return daily_report(tables(spark, sf_dir), DAY, accounts=ACCOUNTS).summary
+def daily_by_account(t):
+    return daily_report(t, DAY, accounts=ACCOUNTS).summary
 
 
 @register("daily_range", _daily_oracle(O.daily_summary_select, DAY_RANGE.start, DAY_RANGE.end))
-def daily_range(spark, sf_dir):
-    return daily_report(tables(spark, sf_dir), DAY_RANGE).summary
+def daily_range(t):
+    return daily_report(t, DAY_RANGE).summary
 
 
 @register("store_count", lambda: O.store_count_sql(DAY, W1, W2))
-def store_count(spark, sf_dir):
-    t = tables(spark, sf_dir)
+def store_count(t):
     daily = daily_report(t, DAY).shop_count.withColumnRenamed("store_count", "daily_stores")
     period = period_report(t, W1, W2).shop_count.withColumnRenamed("store_count", "period_stores")
     return (daily.unionByName(period, allowMissingColumns=True)
@@ -221,18 +224,30 @@ def store_count(spark, sf_dir):
 # ---- data quality ----------------------------------------------------------------
 
 @register("null_profile", _period_oracle(lambda a, b: O.default_profile_select(), W1, W2))
-def null_profile(spark, sf_dir):
-    return period_report(tables(spark, sf_dir), W1, W2).defaults
+def null_profile(t):
+    return period_report(t, W1, W2).defaults
 
 
 @register("quarantine", lambda: O.validate_sql([W1, W2]))
-def quarantine(spark, sf_dir):
-    return validate(tables(spark, sf_dir), [W1, W2])
+def quarantine(t):
+    return validate(t, [W1, W2])
 
 
-def queries() -> dict[str, QueryFn]:
+def table_queries() -> dict[str, TablesFn]:
+    """Registered queries as functions of a ``ReportTables`` bundle."""
     return dict(_QUERIES)
 
 
+def queries() -> dict[str, QueryFn]:
+    """Registered queries as ``(spark, sf_dir) -> DataFrame`` over the driver tables."""
+    def bind(fn: TablesFn) -> QueryFn:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(tables(spark, sf_dir))
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        return run
+    return {name: bind(fn) for name, fn in _QUERIES.items()}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in _ORACLE.items()}
