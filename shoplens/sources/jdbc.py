@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from shoplens.plans.params import Period
 from shoplens.sources.tables import ReportTables
 
-# Logical table -> (stored table name, date column or None), as in the original database.
+# Logical table -> (stored table name, date column or None). Pass ``sources``
+# to map the logical names to the database's own table names.
 DEFAULT_SOURCES = {
-    "store_daily": ("kewen_daily_report", "report_date"),
-    "promotion_daily": ("promotion_daily_report", "report_date"),
+    "store_daily": ("store_daily", "report_date"),
+    "promotion_daily": ("promotion_daily", "report_date"),
     "store_stats": ("store_stats", "date"),
     "platform_accounts": ("platform_accounts", None),
     "saas_users": ("saas_users", None),
