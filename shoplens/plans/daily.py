@@ -28,11 +28,6 @@ from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
 from shoplens.plans.params import Period, parse_date
 
-COUNT_COLS = ["exposure_users", "visit_users", "order_users", "verify_person_count", "order_coupon_count",
-              "verify_coupon_count", "new_good_review_count", "new_review_count", "new_collect_users",
-              "consult_users", "view_phone_count", "view_address_count", "order_count", "checkin_count",
-              "ad_order_count"]
-
 # Thresholds of the four daily checks (N9). FIXED VALUES.
 REVIEW_RATE_MIN = 30
 COLLECT_RATE_MIN = 40
