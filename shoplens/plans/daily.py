@@ -202,8 +202,12 @@ def daily_base(tables, report_date: str | dt.date | Period, accounts: Accounts =
     dates = _as_period(report_date)
     shops = shop_filter(tables, accounts=accounts, unresolved=unresolved)
     rows = joined_facts(tables, [dates], shops=shops, dedupe_right=dedupe_right)
-    coupons = trailing_sum(tables.store_daily.select("shop_id", "report_date", "coupon_pay_order_count"),
-                           "coupon_pay_order_count", dates, days=TRAILING_DAYS, out="coupon_orders_7d")
+    history = tables.store_daily.select(F.col("shop_id").cast("string").alias("shop_id"), "report_date",
+                                        "coupon_pay_order_count")
+    if shops is not None:
+        # the trailing sum is per shop: only the reported shops' history is needed
+        history = history.join(shops, "shop_id", "left_semi")
+    coupons = trailing_sum(history, "coupon_pay_order_count", dates, days=TRAILING_DAYS, out="coupon_orders_7d")
     dim = shop_dim(tables, accounts)
     reg = region_dim(tables, accounts)
     rows = rows.withColumnsRenamed({"city": "store_city", "shop_name": "raw_shop_name"})
