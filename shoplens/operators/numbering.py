@@ -27,6 +27,8 @@ from pyspark.sql import Window as W
 
 from shoplens.session import ensure_checkpoint_dir
 
+MAX_PARTITIONS = 512
+
 
 def sequence_numbers(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
                      numberings: Mapping[str, Sequence[str]] | None = None,
@@ -47,7 +49,10 @@ def sequence_numbers(df: DataFrame, order_cols: Sequence[str], group_cols: Seque
     numberings = dict(numberings or {"seq": ()})
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The rows numbered here are report rows (one per shop and date), far fewer
+    # than the facts: a partition count sized for the facts would make thousands
+    # of tiny tasks, so it is capped (about 1M shops per task at the cap).
+    n = num_partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS)
     keys = [*group_cols, *order_cols]
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())

@@ -26,7 +26,7 @@ from shoplens.operators.dims import Accounts, region_dim, shop_dim, shop_filter
 from shoplens.operators.facts import joined_facts, trailing_sum
 from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
-from shoplens.plans.params import Period, parse_date
+from shoplens.plans.params import Period, as_period
 
 # Thresholds of the four daily checks (N9). FIXED VALUES.
 REVIEW_RATE_MIN = 30
@@ -189,12 +189,7 @@ AD_OK = f"(ad_today >= {AD_TODAY_MIN})"
 
 
 def _as_period(report_date) -> Period:
-    if isinstance(report_date, Period):
-        return report_date
-    if isinstance(report_date, (tuple, list)):
-        return Period.of(*report_date)
-    d = parse_date(report_date)
-    return Period(d, d)
+    return as_period(report_date)
 
 
 def daily_base(tables, report_date: str | dt.date | Period, accounts: Accounts = None,

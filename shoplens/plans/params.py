@@ -32,3 +32,13 @@ class Period:
     @property
     def compact(self) -> str:
         return f"{self.start:%Y%m%d}_{self.end:%Y%m%d}"
+
+
+def as_period(value) -> Period:
+    """A Period from a Period, a (start, end) pair, or one date (a one-day period)."""
+    if isinstance(value, Period):
+        return value
+    if isinstance(value, (tuple, list)):
+        return Period.of(*value)
+    d = parse_date(value)
+    return Period(d, d)

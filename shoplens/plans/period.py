@@ -24,7 +24,7 @@ from shoplens.operators.dims import Accounts, shop_dim, shop_filter
 from shoplens.operators.facts import SUM_KIND, RollupSpec, joined_facts, period_rollup
 from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
-from shoplens.plans.params import Period
+from shoplens.plans.params import Period, as_period
 
 # Display blocks, in column order: (name, kind, args).
 #   kind 'sum'  -> a period sum (counter or money, see SUM_KIND)
@@ -304,6 +304,7 @@ def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, sho
     attributes); ``shop_ids`` is the legacy list filter; ``by_city`` groups
     by (shop, name, city) as the legacy custom report does.
     """
+    p1, p2 = as_period(p1), as_period(p2)
     base = period_base(tables, p1, p2, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids,
                        unresolved=unresolved, rename=rename, by_city=by_city, dedupe_right=dedupe_right)
     return PeriodReport(base=base, p1=p1, p2=p2,
