@@ -56,3 +56,11 @@ def test_account_filter_unresolved_modes(spark):
     assert shop_filter(t, accounts=["missing"], unresolved="all") is None
     assert shop_filter(t, accounts=[]) is None                 # empty list = no filter
     assert [r.shop_id for r in shop_filter(t, shop_id=2).collect()] == ["2"]
+
+
+def test_accounts_as_dataframe_semi_join(spark):
+    t = _accounts(spark, [("a1", '[{"shop_id":1}]', None, None, None, None),
+                          ("a2", '[{"shop_id":2}]', None, None, None, None)])
+    accs = spark.createDataFrame([("a2",)], "account string")
+    assert [r.shop_id for r in resolved_shops(t, accs).collect()] == ["2"]
+    assert [r.shop_id for r in shop_dim(t, accs).collect()] == ["2"]

@@ -64,3 +64,15 @@ def test_entry_and_registry(spark):
     assert df.count() > 0 and "shop_id" in df.columns
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 20
+
+
+def test_write_report_partitioned_by_sheet(spark, scratch):
+    from shoplens.sources.sinks import write_report
+
+    t = make_tables(spark, store=[store_row("1", "2024-01-10", "A/x"), store_row("2", "2024-01-10", "A/x")])
+    r = daily_report(t, "2024-01-10")
+    folder = write_report({"detail": r.detail}, scratch, "run1", partition_by_sheet=True)
+    parts = sorted(p for p in os.listdir(f"{folder}/detail") if p.startswith("sheet_name="))
+    assert parts == ["sheet_name=Ax", "sheet_name=Ax_2"]
+    back = spark.read.parquet(f"{folder}/detail")
+    assert back.count() == 78 and back.where("sheet_name = 'Ax_2'").count() == 39
