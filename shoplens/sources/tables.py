@@ -15,6 +15,7 @@ every date predicate the plans write becomes a partition filter at the scan.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,8 +74,14 @@ def write_tables(tables: ReportTables, root: str, mode: str = "overwrite", num_f
         (df.repartitionByRange(n, date_col, key_col).sortWithinPartitions(date_col, key_col)
          .write.mode(mode).partitionBy(date_col).parquet(f"{root}/{name}"))
 
-    facts(tables.store_daily, "report_date", "shop_id", "store_daily")
-    facts(tables.promotion_daily, "report_date", "shop_id", "promotion_daily")
-    facts(tables.store_stats, "date", "store_id", "store_stats")
-    tables.platform_accounts.write.mode(mode).parquet(f"{root}/platform_accounts")
-    tables.saas_users.write.mode(mode).parquet(f"{root}/saas_users")
+    writes = [
+        lambda: facts(tables.store_daily, "report_date", "shop_id", "store_daily"),
+        lambda: facts(tables.promotion_daily, "report_date", "shop_id", "promotion_daily"),
+        lambda: facts(tables.store_stats, "date", "store_id", "store_stats"),
+        lambda: tables.platform_accounts.write.mode(mode).parquet(f"{root}/platform_accounts"),
+        lambda: tables.saas_users.write.mode(mode).parquet(f"{root}/saas_users"),
+    ]
+    # Independent writes: submitted together so they share the executors.
+    with ThreadPoolExecutor(max_workers=len(writes)) as pool:
+        for f in [pool.submit(w) for w in writes]:
+            f.result()
