@@ -3,7 +3,6 @@
 import datetime as dt
 import os
 import re
-import time
 
 import pytest
 
@@ -11,7 +10,6 @@ from shoplens.plans.daily import daily_report
 from shoplens.plans.runner import run_daily
 from shoplens.sources.jdbc import jdbc_options
 from shoplens.sources.sinks import run_name
-from shoplens.sources.tables import ReportTables
 from tests.micro import make_tables, store_row
 
 
