@@ -70,4 +70,4 @@ def read_jdbc_tables(spark: SparkSession, url: str, user: str, password: str, da
         else:
             frames[logical] = spark.read.format("jdbc").options(
                 **jdbc_options(url, table, user, password, driver=driver)).load()
-    return ReportTables(**frames)
+    return ReportTables(**frames).normalized()

@@ -42,14 +42,36 @@ class ReportTables:
     def from_parquet(cls, spark: SparkSession, root: str) -> "ReportTables":
         """One parquet dataset per table under ``root`` (facts date-partitioned)."""
         root = root.rstrip("/")
-        return cls(**{t: spark.read.parquet(f"{root}/{t}") for t in TABLE_NAMES})
+        return cls(**{t: spark.read.parquet(f"{root}/{t}") for t in TABLE_NAMES}).normalized()
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str,
                      names: dict[str, str] | None = None) -> "ReportTables":
         """Catalog tables; ``names`` maps logical names to stored table names."""
         names = names or {}
-        return cls(**{t: spark.table(f"{database}.{names.get(t, t)}") for t in TABLE_NAMES})
+        return cls(**{t: spark.table(f"{database}.{names.get(t, t)}") for t in TABLE_NAMES}).normalized()
+
+    def normalized(self) -> "ReportTables":
+        """Key and date types the plans expect: shop ids as text (a numeric id
+        column is cast, as the original cast ids with ``str``), day columns as
+        DATE (a DATETIME column would make ``BETWEEN`` drop most of the last
+        day). Columns already of the right type are left untouched, so scans
+        keep their partition filters."""
+        def fix(df: DataFrame, casts: dict[str, str]) -> DataFrame:
+            types = dict(df.dtypes)
+            need = {c: t for c, t in casts.items() if c in types and types[c] != t}
+            if not need:
+                return df
+            return df.selectExpr(*[f"CAST({c} AS {need[c]}) AS {c}" if c in need else c for c in df.columns])
+
+        return ReportTables(
+            store_daily=fix(self.store_daily, {"shop_id": "string", "report_date": "date"}),
+            promotion_daily=fix(self.promotion_daily, {"shop_id": "string", "report_date": "date"}),
+            store_stats=fix(self.store_stats, {"store_id": "string", "date": "date"}),
+            platform_accounts=fix(self.platform_accounts, {"stores_json": "string",
+                                                           "compareRegions_json": "string"}),
+            saas_users=self.saas_users,
+        )
 
     def replace(self, **frames: DataFrame) -> "ReportTables":
         vals = {t: getattr(self, t) for t in TABLE_NAMES}

@@ -64,3 +64,19 @@ def test_accounts_as_dataframe_semi_join(spark):
     accs = spark.createDataFrame([("a2",)], "account string")
     assert [r.shop_id for r in resolved_shops(t, accs).collect()] == ["2"]
     assert [r.shop_id for r in shop_dim(t, accs).collect()] == ["2"]
+
+
+def test_normalized_inputs(spark):
+    import datetime as dt
+
+    from shoplens.plans.daily import daily_report
+
+    t = make_tables(spark, store=[store_row("7", "2024-01-10", "A")])
+    numeric = t.store_daily.selectExpr("CAST(shop_id AS BIGINT) AS shop_id", "CAST(report_date AS TIMESTAMP) "
+                                       "AS report_date", *[c for c in t.store_daily.columns
+                                                            if c not in ("shop_id", "report_date")])
+    n = t.replace(store_daily=numeric).normalized()
+    assert dict(n.store_daily.dtypes)["shop_id"] == "string" and dict(n.store_daily.dtypes)["report_date"] == "date"
+    row = daily_report(n, dt.date(2024, 1, 10)).summary.first()
+    assert row.shop_id == "7" and row.seq == 1
+    assert t.normalized().store_daily is t.store_daily        # already typed: untouched
