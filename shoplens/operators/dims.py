@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.jsoncols import explode_regions, explode_store_ids
@@ -82,33 +82,53 @@ def region_dim(tables: ReportTables, accounts: Accounts = None) -> DataFrame:
             .select("shop_id", "r.region_city", "r.region_district", "r.region_business"))
 
 
+MAX_LITERAL_SHOPS = 1000
+
+
 def shop_filter(tables: ReportTables, accounts: Accounts = None, shop_id: str | None = None,
                 shop_ids: Sequence[str] | DataFrame | None = None,
-                unresolved: str = "none") -> DataFrame | None:
-    """The set of shops a report is limited to, or None for no limit.
+                unresolved: str = "none") -> DataFrame | Column | None:
+    """The shops a report is limited to: a predicate, a DataFrame of shop ids
+    (for a left semi join), or None for no limit.
 
-    * ``shop_id`` (P6) replaces the account filter;
-    * ``shop_ids`` (P7) is a list or a DataFrame with ``shop_id``;
-    * ``accounts`` (P4) resolve through ``stores_json``.
+    * ``shop_id`` (P6) replaces the account filter -> ``shop_id = x``;
+    * ``shop_ids`` (P7), a list (-> ``shop_id IN (...)`` up to 1000 ids) or a
+      DataFrame with ``shop_id``;
+    * ``accounts`` (P4) resolve through ``stores_json`` -> DataFrame.
+
+    Literal predicates reach the parquet scans as pushed filters (row groups of
+    other shops are skipped); sets of unbounded size stay joins.
 
     P5: when accounts resolve to no shop, ``unresolved='none'`` (default)
     reports no shop; ``'all'`` keeps the original fail-open behaviour (no
     filter). Deciding ``'all'`` takes one small ``isEmpty`` job.
     """
     spark = tables.store_daily.sparkSession
+    if unresolved not in ("none", "all"):
+        raise ValueError(f"unresolved must be 'none' or 'all', not {unresolved!r}")
     if shop_id:
-        return spark.createDataFrame([(str(shop_id),)], "shop_id string")
+        return F.col("shop_id") == F.lit(str(shop_id))
     if shop_ids is not None:
         if isinstance(shop_ids, DataFrame):
             return shop_ids.select(F.col("shop_id").cast("string").alias("shop_id")).distinct()
-        if len(shop_ids) > 0:
-            return spark.createDataFrame([(str(s),) for s in shop_ids], "shop_id string").distinct()
-        return None
+        ids = sorted({str(x) for x in shop_ids})
+        if not ids:
+            return None
+        if len(ids) <= MAX_LITERAL_SHOPS:
+            return F.col("shop_id").isin(ids)
+        return spark.createDataFrame([(x,) for x in ids], "shop_id string")
     if _has_accounts(accounts):
         shops = resolved_shops(tables, accounts)
         if unresolved == "all" and shops.isEmpty():
             return None
-        if unresolved not in ("none", "all"):
-            raise ValueError(f"unresolved must be 'none' or 'all', not {unresolved!r}")
         return shops
     return None
+
+
+def apply_shop_filter(df: DataFrame, shops: DataFrame | Column | None) -> DataFrame:
+    """Restrict rows with a ``shop_id`` column to the shops of ``shop_filter``."""
+    if shops is None:
+        return df
+    if isinstance(shops, Column):
+        return df.where(shops)
+    return df.join(shops, "shop_id", "left_semi")

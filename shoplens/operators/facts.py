@@ -80,7 +80,7 @@ def _dedupe(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.groupBy("shop_id", "report_date").agg(*aggs)
 
 
-def joined_facts(tables: ReportTables, ranges: Sequence[Period], shops: DataFrame | None = None,
+def joined_facts(tables: ReportTables, ranges: Sequence[Period], shops: DataFrame | Column | None = None,
                  dedupe_right: bool = False, store_cols: Sequence[str] = tuple(STORE_COLS),
                  promo_cols: Sequence[str] = tuple(PROMO_COLS),
                  stats_cols: Sequence[str] = tuple(STATS_COLS)) -> DataFrame:
@@ -89,15 +89,19 @@ def joined_facts(tables: ReportTables, ranges: Sequence[Period], shops: DataFram
     Duplicate keys on the right multiply the left row, as a plain left join
     does (J9); ``dedupe_right=True`` folds them first.
     """
+    from shoplens.operators.dims import apply_shop_filter
+
     k = (tables.store_daily.where(date_in(F.col("report_date"), ranges))
          .select(F.col("shop_id").cast("string").alias("shop_id"), "report_date", *store_cols))
-    if shops is not None:
-        k = k.join(shops, "shop_id", "left_semi")
+    k = apply_shop_filter(k, shops)
     p = (tables.promotion_daily.where(date_in(F.col("report_date"), ranges))
          .select(F.col("shop_id").cast("string").alias("shop_id"), "report_date", *promo_cols))
     s = (tables.store_stats.where(date_in(F.col("date"), ranges))
          .select(F.col("store_id").cast("string").alias("shop_id"), F.col("date").alias("report_date"),
                  *stats_cols))
+    if isinstance(shops, Column):
+        # a literal shop predicate is written on every input, so each scan skips other shops
+        p, s = p.where(shops), s.where(shops)
     if dedupe_right:
         p, s = _dedupe(p, list(promo_cols)), _dedupe(s, list(stats_cols))
     return k.join(p, ["shop_id", "report_date"], "left").join(s, ["shop_id", "report_date"], "left")

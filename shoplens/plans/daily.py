@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from shoplens.functions import labels as L
 from shoplens.functions import metrics as M
 from shoplens.functions import texts as X
-from shoplens.operators.dims import Accounts, region_dim, shop_dim, shop_filter
+from shoplens.operators.dims import Accounts, apply_shop_filter, region_dim, shop_dim, shop_filter
 from shoplens.operators.facts import joined_facts, trailing_sum
 from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
@@ -199,9 +199,8 @@ def daily_base(tables, report_date: str | dt.date | Period, accounts: Accounts =
     rows = joined_facts(tables, [dates], shops=shops, dedupe_right=dedupe_right)
     history = tables.store_daily.select(F.col("shop_id").cast("string").alias("shop_id"), "report_date",
                                         "coupon_pay_order_count")
-    if shops is not None:
-        # the trailing sum is per shop: only the reported shops' history is needed
-        history = history.join(shops, "shop_id", "left_semi")
+    # the trailing sum is per shop: only the reported shops' history is needed
+    history = apply_shop_filter(history, shops)
     coupons = trailing_sum(history, "coupon_pay_order_count", dates, days=TRAILING_DAYS, out="coupon_orders_7d")
     dim = shop_dim(tables, accounts)
     reg = region_dim(tables, accounts)

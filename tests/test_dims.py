@@ -55,7 +55,8 @@ def test_account_filter_unresolved_modes(spark):
     assert shop_filter(t, accounts=["a1"], unresolved="all") is None   # original: no filter
     assert shop_filter(t, accounts=["missing"], unresolved="all") is None
     assert shop_filter(t, accounts=[]) is None                 # empty list = no filter
-    assert [r.shop_id for r in shop_filter(t, shop_id=2).collect()] == ["2"]
+    one = shop_filter(t, shop_id=2)                           # a literal predicate
+    assert [r.shop_id for r in t.store_daily.where(one).collect()] == ["2"]
 
 
 def test_accounts_as_dataframe_semi_join(spark):

@@ -69,3 +69,15 @@ def test_daily_reads_one_date_plus_lookback(spark, stored):
     views = daily_report(ReportTables.from_driver_tables(spark, "/root/testdata/sf0.01"), "2024-01-10")
     a, b = daily.summary, views.summary
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_one_shop_filter_is_pushed_to_every_fact_scan(spark, stored):
+    from shoplens.operators.dims import shop_filter
+    from shoplens.operators.facts import joined_facts
+
+    j = joined_facts(stored, [P1, P2], shops=shop_filter(stored, shop_id="17"))
+    text = _formatted(j)
+    for name in ("store_daily", "promotion_daily", "store_stats"):
+        node = next(n for n in text.split("\n(") if n.split("\n")[0].endswith("Scan parquet ") and f"/{name}]" in n)
+        pushed = next(x for x in node.splitlines() if x.startswith("PushedFilters"))
+        assert "EqualTo" in pushed and "17" in pushed, (name, pushed)
