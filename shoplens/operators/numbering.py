@@ -50,11 +50,19 @@ def sequence_numbers(df: DataFrame, order_cols: Sequence[str], group_cols: Seque
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     # The rows numbered here are report rows (one per shop and date), far fewer
-    # than the facts: a partition count sized for the facts would make thousands
-    # of tiny tasks, so it is capped (about 1M shops per task at the cap).
-    n = num_partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS)
+    # than the facts. Without an explicit count the range exchange is sized by
+    # AQE (contiguous ranges are coalesced, so the order holds); without AQE the
+    # shuffle partition count is capped so small reports do not spawn thousands
+    # of tiny tasks.
     keys = [*group_cols, *order_cols]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    if num_partitions:
+        ranged = df.repartitionByRange(num_partitions, *keys)
+    elif spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
+        ranged = df.repartitionByRange(*keys)
+    else:
+        ranged = df.repartitionByRange(min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                           MAX_PARTITIONS), *keys)
+    ranged = (ranged.sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
               .checkpoint(eager=True))

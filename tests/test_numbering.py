@@ -22,3 +22,11 @@ def test_numbering_matches_row_number_with_skew(spark):
     cols = ["k", "day", "grp", "seq", "n_in_grp"]
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
     assert got.count() == df.count()
+
+
+def test_numbering_with_adaptive_range_partitions(spark):
+    rows = [(f"{i:05d}", f"d{i % 3}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, day string")
+    got = sequence_numbers(df, ["k"], group_cols=["day"])          # partition count left to AQE
+    want = df.withColumn("seq", F.row_number().over(W.partitionBy("day").orderBy("k")))
+    assert got.select("k", "day", "seq").exceptAll(want).count() == 0 and got.count() == 2000
