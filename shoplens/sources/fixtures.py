@@ -113,7 +113,14 @@ def register_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     names = {}
     for t in DRIVER_TABLES:
         name = f"shoplens_{t}_{tag}"
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(name)
+        path = f"{sf_dir.rstrip('/')}/{t}.parquet"
+        df = spark.read.parquet(path)
+        if dict(df.dtypes).get("ts") == "timestamp":
+            # events.ts holds wall-clock times; read it without a time zone even when
+            # the session does not infer TIMESTAMP_NTZ, so days never shift.
+            schema = ", ".join(f"`{c}` {'timestamp_ntz' if c == 'ts' else ty}" for c, ty in df.dtypes)
+            df = spark.read.schema(schema).parquet(path)
+        df.createOrReplaceTempView(name)
         names[t] = name
     _REGISTERED[key] = names
     return names
