@@ -100,3 +100,23 @@ def test_layout_sizes_and_deltas(spark, driver_tables):
     assert bad == 0
     seqs = [r.seq for r in rep.base.orderBy("shop_id").select("seq").collect()]
     assert seqs == list(range(1, n + 1))
+
+
+def test_cell_rendering_of_missing_and_zero_values(spark):
+    """Cells as the sheet shows them: a missing period prints '0' (not '0.00'), an
+    undefined rate '0%', a defined zero rate '0.0%'; differences keep two decimals
+    once one side exists; the detail rate difference has two decimals."""
+    store = [store_row("1", "2024-01-09", "A", exposure_users=40, visit_users=0, verify_person_count=3,
+                       verify_after_discount=12.3, promotion_cost=0)]
+    t = make_tables(spark, store=store)
+    rep = period_report(t, P1, P2)
+    lines = {r.line_no: r for r in rep.rows8.collect()}
+    p1, p2, delta = lines[2], lines[3], lines[4]
+    # block 1: c07 discount, c08 exposure, c10 exposure rate, c13 order rate, c20 avg price
+    assert (p1.c07, p1.c08, p1.c10, p1.c13, p1.c20) == ("0", "0", "0%", "0%", "0")
+    assert (p2.c07, p2.c08, p2.c10, p2.c13, p2.c20) == ("12.30", "40", "0.0%", "0%", "4.10")
+    assert (delta.c07, delta.c08, delta.c10, delta.c13, delta.c20) == ("12.30", "40", "0.0%", "0%", "4.10")
+    assert lines[7].c07 == "0.00" and lines[6].c07 == "0"          # promotion cost: present zero vs missing
+    d = {r.label: r for r in rep.detail31.collect()}
+    assert (d["曝光访问转化率："].p2, d["曝光访问转化率："].delta) == ("0.0%", "0.00%")
+    assert (d["意向转化率："].p2, d["意向转化率："].delta) == ("0%", "0%")
