@@ -1,9 +1,9 @@
 """The daily report as a Structured Streaming job.
 
 Store-day fact files arrive in a folder (one batch per load). Each micro-batch
-carries new or corrected store-days; for the dates it touches, the daily
-report is rebuilt from the stored tables (so the 7-day trailing totals see the
-whole history) and written with dynamic partition overwrite by
+carries new or corrected store-days; for the dates it touches and the six days
+after them (whose 7-day totals include the touched days), the daily report is
+rebuilt from the stored tables and written with dynamic partition overwrite by
 ``report_date``. The stream's checkpoint records which files are done, so a
 restarted job neither skips nor repeats a load, and re-running a date replaces
 that date's report atomically per partition.
@@ -14,13 +14,14 @@ incremental job; it adds no report logic of its own.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shoplens.plans.daily import daily_report
+from shoplens.plans.daily import TRAILING_DAYS, daily_report
 from shoplens.plans.params import Period
 from shoplens.sources.tables import ReportTables
 
@@ -47,10 +48,13 @@ def daily_feed(spark: SparkSession, incoming_dir: str, tables: Callable[[], Repo
         span = batch.agg(F.min("report_date").alias("lo"), F.max("report_date").alias("hi")).first()
         if span is None or span["lo"] is None:
             return
-        touched = batch.select("report_date").distinct()
-        report = daily_report(tables(), Period(span["lo"], span["hi"]), accounts=accounts)
+        # A store-day also counts in the 7-day totals of the next six days'
+        # reports, so those dates are rebuilt too; dates without data produce no
+        # rows and their partitions are left as they are.
+        dates = Period(span["lo"], span["hi"] + dt.timedelta(days=TRAILING_DAYS - 1))
+        report = daily_report(tables(), dates, accounts=accounts)
         for name, df in report.outputs().items():
-            _write_dates(df.join(touched, "report_date", "left_semi"), f"{out_dir.rstrip('/')}/{name}")
+            _write_dates(df, f"{out_dir.rstrip('/')}/{name}")
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -40,7 +40,8 @@ def test_jdbc_options():
 def test_daily_feed_stream(spark, scratch):
     from shoplens.streaming.daily_feed import daily_feed
 
-    base = make_tables(spark, store=[store_row("1", "2024-01-09", "A", coupon_pay_order_count=3)])
+    base = make_tables(spark, store=[store_row("1", "2024-01-09", "A", coupon_pay_order_count=3),
+                                     store_row("1", "2024-01-12", "A", coupon_pay_order_count=1)])
     incoming = os.path.join(scratch, "incoming")
     new = make_tables(spark, store=[store_row("1", "2024-01-10", "A", coupon_pay_order_count=8),
                                     store_row("2", "2024-01-10", "B")])
@@ -49,10 +50,12 @@ def test_daily_feed_stream(spark, scratch):
     q = daily_feed(spark, incoming, lambda: current, os.path.join(scratch, "out"), os.path.join(scratch, "ckpt"))
     q.awaitTermination(120)
     out = spark.read.parquet(os.path.join(scratch, "out", "summary"))
-    assert sorted((r.shop_id, str(r.report_date)) for r in out.collect()) == [("1", "2024-01-10"),
-                                                                              ("2", "2024-01-10")]
+    # the loaded day, and a later day whose 7-day total includes it
+    assert sorted((r.shop_id, str(r.report_date)) for r in out.collect()) == [
+        ("1", "2024-01-10"), ("1", "2024-01-12"), ("2", "2024-01-10")]
     detail = spark.read.parquet(os.path.join(scratch, "out", "detail"))
-    assert detail.where("shop_id = '1' AND row_no = 27").first().col_b == "11"   # 3 + 8 over 7 days
+    coupons = {str(r.report_date): r.col_b for r in detail.where("shop_id = '1' AND row_no = 27").collect()}
+    assert coupons == {"2024-01-10": "11", "2024-01-12": "12"}      # 3+8 and 3+8+1 over 7 days
 
 
 def test_entry_and_registry(spark):
