@@ -45,9 +45,17 @@ class ReportTables:
         return cls(**{t: spark.read.parquet(f"{root}/{t}") for t in TABLE_NAMES}).normalized()
 
     @classmethod
-    def from_catalog(cls, spark: SparkSession, database: str,
-                     names: dict[str, str] | None = None) -> "ReportTables":
-        """Catalog tables; ``names`` maps logical names to stored table names."""
+    def from_catalog(cls, spark: SparkSession, database: str, names: dict[str, str] | None = None,
+                     colocated: bool = False) -> "ReportTables":
+        """Catalog tables; ``names`` maps logical names to stored table names.
+
+        ``colocated=True`` is for facts stored by ``save_colocated`` (bucketed by
+        shop): it sets ``spark.sql.requireAllClusterKeysForCoPartition=false`` on
+        the session so joins on (shop, date) use the shop buckets instead of a
+        shuffle. Per date a shop has one row, so a bucket cannot be skewed by it.
+        """
+        if colocated:
+            spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         names = names or {}
         return cls(**{t: spark.table(f"{database}.{names.get(t, t)}") for t in TABLE_NAMES}).normalized()
 
@@ -107,3 +115,30 @@ def write_tables(tables: ReportTables, root: str, mode: str = "overwrite", num_f
     with ThreadPoolExecutor(max_workers=len(writes)) as pool:
         for f in [pool.submit(w) for w in writes]:
             f.result()
+
+
+def save_colocated(tables: ReportTables, database: str, root: str, buckets: int, mode: str = "overwrite") -> None:
+    """Store the bundle as catalog tables with the facts co-located by shop.
+
+    Facts are partitioned by date and bucketed (and sorted) by shop into the
+    same number of buckets, so the fact joins on (shop, date) and the per-shop
+    rollups read matching buckets without a shuffle (load them with
+    ``ReportTables.from_catalog(..., colocated=True)``). Size ``buckets`` so a
+    bucket of one day is a reasonable file (e.g. day size / 128 MB).
+    """
+    spark = tables.store_daily.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    root = root.rstrip("/")
+
+    def facts(df: DataFrame, date_col: str, key_col: str, name: str) -> None:
+        (df.repartition(buckets, key_col)                  # one writer per bucket
+         .write.mode(mode).format("parquet").partitionBy(date_col)
+         .bucketBy(buckets, key_col).sortBy(key_col)
+         .option("path", f"{root}/{name}").saveAsTable(f"{database}.{name}"))
+
+    facts(tables.store_daily, "report_date", "shop_id", "store_daily")
+    facts(tables.promotion_daily, "report_date", "shop_id", "promotion_daily")
+    facts(tables.store_stats, "date", "store_id", "store_stats")
+    for name in ("platform_accounts", "saas_users"):
+        (getattr(tables, name).write.mode(mode).format("parquet")
+         .option("path", f"{root}/{name}").saveAsTable(f"{database}.{name}"))

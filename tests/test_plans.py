@@ -81,3 +81,24 @@ def test_one_shop_filter_is_pushed_to_every_fact_scan(spark, stored):
         node = next(n for n in text.split("\n(") if n.split("\n")[0].endswith("Scan parquet ") and f"/{name}]" in n)
         pushed = next(x for x in node.splitlines() if x.startswith("PushedFilters"))
         assert "EqualTo" in pushed and "17" in pushed, (name, pushed)
+
+
+def test_colocated_facts_join_and_roll_up_without_shuffle(spark, tmp_path_factory):
+    from shoplens.operators.facts import joined_facts, period_rollup
+    from shoplens.sources.tables import save_colocated
+
+    root = str(tmp_path_factory.mktemp("colocated"))
+    save_colocated(ReportTables.from_driver_tables(spark, "/root/testdata/sf0.01"), "shoplens_test_db", root, 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # force sort-merge joins
+    try:
+        t = ReportTables.from_catalog(spark, "shoplens_test_db", colocated=True)
+        roll = period_rollup(joined_facts(t, [P1, P2]), P1, P2)
+        text = _formatted(roll)
+        assert "SortMergeJoin" in text and "Exchange" not in text, text.split("\n\n")[0]
+        views = period_rollup(joined_facts(ReportTables.from_driver_tables(spark, "/root/testdata/sf0.01"),
+                                           [P1, P2]), P1, P2)
+        assert roll.exceptAll(views).count() == 0 and views.exceptAll(roll).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
