@@ -127,8 +127,8 @@ def save_colocated(tables: ReportTables, database: str, root: str, buckets: int,
     bucket of one day is a reasonable file (e.g. day size / 128 MB).
     """
     spark = tables.store_daily.sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     root = root.rstrip("/")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/_{database}.db'")
 
     def facts(df: DataFrame, date_col: str, key_col: str, name: str) -> None:
         (df.repartition(buckets, key_col)                  # one writer per bucket
