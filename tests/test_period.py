@@ -120,3 +120,12 @@ def test_cell_rendering_of_missing_and_zero_values(spark):
     d = {r.label: r for r in rep.detail31.collect()}
     assert (d["曝光访问转化率："].p2, d["曝光访问转化率："].delta) == ("0.0%", "0.00%")
     assert (d["意向转化率："].p2, d["意向转化率："].delta) == ("0%", "0%")
+
+
+def test_shop_list_as_dataframe_equals_literal_list(spark, driver_tables):
+    ids = ["3", "5", "8", "13", "21"]
+    as_list = period_report(driver_tables, P1, P2, shop_ids=ids).wide
+    as_df = period_report(driver_tables, P1, P2,
+                          shop_ids=spark.createDataFrame([(i,) for i in ids], "shop_id string")).wide
+    assert as_list.count() == len(ids)
+    assert as_list.exceptAll(as_df).count() == 0 and as_df.exceptAll(as_list).count() == 0
