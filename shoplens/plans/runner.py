@@ -29,3 +29,29 @@ def run_period(tables, p1: Period, p2: Period, root: str, accounts=None, shop_id
     if not check_not_empty(report.base, on_empty, f"periods {p1.label} / {p2.label}"):
         return None
     return write_report(report.outputs(), root, run_name(period_run_prefix(p2)), fmt=fmt)
+
+
+def run_all(tables, root: str, daily_date=None, weekly=None, monthly=None, custom=None,
+            accounts=None, fmt: str = "parquet") -> dict[str, str | Exception | None]:
+    """The script's batch — daily, weekly, monthly and custom reports in turn.
+
+    Periods are ``(p1, p2)`` pairs. A report that fails (for example no data)
+    is recorded with its error and the others still run, as the script did.
+    Returns report kind -> run folder, ``None`` (not requested) or the error.
+    """
+    jobs = {
+        "daily": (lambda: run_daily(tables, daily_date, root, accounts=accounts, fmt=fmt)) if daily_date else None,
+        "weekly": (lambda: run_period(tables, *weekly, root, accounts=accounts, fmt=fmt)) if weekly else None,
+        "monthly": (lambda: run_period(tables, *monthly, root, accounts=accounts, fmt=fmt)) if monthly else None,
+        "custom": (lambda: run_period(tables, *custom, root, accounts=accounts, fmt=fmt)) if custom else None,
+    }
+    out: dict[str, str | Exception | None] = {}
+    for kind, job in jobs.items():
+        if job is None:
+            out[kind] = None
+            continue
+        try:
+            out[kind] = job()
+        except ValueError as err:        # no data for this report; the others go on
+            out[kind] = err
+    return out

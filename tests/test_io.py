@@ -77,3 +77,16 @@ def test_write_report_partitioned_by_sheet(spark, scratch):
     assert parts == ["sheet_name=Ax", "sheet_name=Ax_2"]
     back = spark.read.parquet(f"{folder}/detail")
     assert back.count() == 78 and back.where("sheet_name = 'Ax_2'").count() == 39
+
+
+def test_run_all_continues_after_an_empty_report(spark, scratch):
+    from shoplens.plans.params import Period
+    from shoplens.plans.runner import run_all
+
+    t = make_tables(spark, store=[store_row("1", "2024-01-03", "A"), store_row("1", "2024-01-10", "A")])
+    wk = (Period.of("2024-01-01", "2024-01-07"), Period.of("2024-01-08", "2024-01-14"))
+    empty = (Period.of("2023-01-01", "2023-01-07"), Period.of("2023-01-08", "2023-01-14"))
+    out = run_all(t, scratch, daily_date="2024-01-10", weekly=wk, monthly=empty, custom=wk)
+    assert os.path.isdir(out["daily"]) and os.path.isdir(out["weekly"]) and os.path.isdir(out["custom"])
+    assert isinstance(out["monthly"], ValueError)
+    assert spark.read.parquet(f"{out['weekly']}/summary").count() == 8
