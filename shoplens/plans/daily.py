@@ -202,8 +202,8 @@ def daily_base(tables, report_date: str | dt.date | Period, accounts: Accounts =
     # the trailing sum is per shop: only the reported shops' history is needed
     history = apply_shop_filter(history, shops)
     coupons = trailing_sum(history, "coupon_pay_order_count", dates, days=TRAILING_DAYS, out="coupon_orders_7d")
-    dim = shop_dim(tables, accounts)
-    reg = region_dim(tables, accounts)
+    dim = apply_shop_filter(shop_dim(tables, accounts), shops)      # only the reported shops
+    reg = apply_shop_filter(region_dim(tables, accounts), shops)
     rows = rows.withColumnsRenamed({"city": "store_city", "shop_name": "raw_shop_name"})
     joined = (rows.join(coupons, ["shop_id", "report_date"], "left")
               .join(dim, "shop_id", "left")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from shoplens.functions import labels as L
 from shoplens.functions import metrics as M
 from shoplens.functions import texts as X
-from shoplens.operators.dims import Accounts, shop_dim, shop_filter
+from shoplens.operators.dims import Accounts, apply_shop_filter, shop_dim, shop_filter
 from shoplens.operators.facts import SUM_KIND, RollupSpec, joined_facts, period_rollup
 from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
@@ -279,7 +279,7 @@ def period_base(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_
     shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
     joined = joined_facts(tables, [p1, p2], shops=shops, dedupe_right=dedupe_right)
     roll = period_rollup(joined, p1, p2, RollupSpec(rename=rename, by_city=by_city))
-    dim = shop_dim(tables, accounts)
+    dim = apply_shop_filter(shop_dim(tables, accounts), shops)      # only the reported shops
     d = X.PERIOD_DEFAULT_ATTR
     withattrs = roll.join(dim, "shop_id", "left").selectExpr(
         *roll.columns,
