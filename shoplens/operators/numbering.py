@@ -40,11 +40,11 @@ def sequence_numbers(df: DataFrame, order_cols: Sequence[str], group_cols: Seque
     ``{"seq": []}``). Ties in ``order_cols`` are numbered in an unspecified
     order; give a unique order key when numbers must be reproducible.
 
-    A numbering without extra groups needs no shuffle of the rows: each range
-    partition is sorted, the position inside it comes from
-    ``monotonically_increasing_id`` (partition id in the high bits), and only the
-    per-partition counts are joined back. Extra groups are numbered with a
-    window partitioned by (range partition, group) — bounded by the partition.
+    No numbering shuffles the rows: each range partition is sorted, the
+    position inside it comes from ``monotonically_increasing_id`` (partition
+    id in the high bits), and only per-partition counts are joined back. A
+    numbering with extra groups re-sorts each partition by (group, extra,
+    order) first, so its runs are contiguous.
     """
     numberings = dict(numberings or {"seq": ()})
     spark = df.sparkSession
@@ -62,30 +62,34 @@ def sequence_numbers(df: DataFrame, order_cols: Sequence[str], group_cols: Seque
     else:
         ranged = df.repartitionByRange(min(int(spark.conf.get("spark.sql.shuffle.partitions")),
                                            MAX_PARTITIONS), *keys)
+    pid_bits = F.shiftleft(F.col("_pid").cast("bigint"), 33)
     ranged = (ranged.sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-              .checkpoint(eager=True))
+              .withColumn("_pos", F.monotonically_increasing_id() - pid_bits))
+    # A numbering with extra groups gets its own position: the partition is
+    # re-sorted (no shuffle) so each (group, extra) run is contiguous.
+    extra_pos = {}
+    for i, (name, extra) in enumerate(numberings.items()):
+        if extra:
+            col = f"_pos{i}"
+            ranged = (ranged.sortWithinPartitions(*group_cols, *extra, *order_cols)
+                      .withColumn(col, F.monotonically_increasing_id() - pid_bits))
+            extra_pos[name] = col
+    ranged = ranged.checkpoint(eager=True)
     out = ranged
     for name, extra in numberings.items():
         groups = [*group_cols, *extra]
-        if extra:
-            local = F.row_number().over(W.partitionBy("_pid", *groups).orderBy(*order_cols)) - 1
-            out = out.withColumn("_local", local)
-            stats = out.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.lit(0).alias("_first"))
-        else:
-            out = out.withColumn("_local", F.col("_pos"))
-            stats = out.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"),
-                                                      F.min("_pos").alias("_first"))
+        pos = extra_pos.get(name, "_pos")
+        stats = out.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_first"))
         before = (W.partitionBy(*groups) if groups else W).orderBy("_pid").rowsBetween(
             W.unboundedPreceding, -1)
         offsets = stats.select(F.col("_pid").alias("_opid"), *[F.col(g).alias(f"_o_{g}") for g in groups],
                                F.col("_first"),
                                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
         cond = [out["_pid"] == offsets["_opid"]] + [out[g].eqNullSafe(offsets[f"_o_{g}"]) for g in groups]
-        num = (out["_local"] - offsets["_first"] + offsets["_off"] + 1).cast("int").alias(name)
-        out = out.join(offsets, cond).select(*[out[c] for c in out.columns if c != "_local"], num)
-    return out.drop("_pid", "_pos")
+        num = (out[pos] - offsets["_first"] + offsets["_off"] + 1).cast("int").alias(name)
+        out = out.join(offsets, cond).select(*[out[c] for c in out.columns], num)
+    return out.drop("_pid", "_pos", *extra_pos.values())
 
 
 def sequence_number(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
