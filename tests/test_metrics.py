@@ -1,7 +1,7 @@
 """N1-N9 rounding and text rules against Python's own arithmetic on the same values."""
 
 import random
-from decimal import Decimal
+from decimal import ROUND_HALF_EVEN, Decimal
 
 from shoplens.functions import metrics as M
 
@@ -18,17 +18,17 @@ def _pairs(seed=7, n=1500):
     return out
 
 
-def py_rate(n, d):
-    # the original calc_rate on DECIMAL sums
-    if d and d > 0:
-        return round(Decimal(n) / Decimal(d) * 100, 1)
-    return 0
+TENTH, CENT = Decimal("0.1"), Decimal("0.01")
 
 
-def py_avg(total_cents, count):
-    if count and count > 0:
-        return round(Decimal(total_cents) / 100 / Decimal(count), 2)
-    return 0
+def expected_rate(n, d):
+    """SURVEY N1: n/d*100 to one decimal, half-even; the integer 0 when d <= 0."""
+    return (Decimal(n) * 100 / Decimal(d)).quantize(TENTH, ROUND_HALF_EVEN) if d > 0 else 0
+
+
+def expected_avg(total_cents, count):
+    """SURVEY N2: total/count to two decimals, half-even; the integer 0 when count <= 0."""
+    return (Decimal(total_cents) / 100 / Decimal(count)).quantize(CENT, ROUND_HALF_EVEN) if count > 0 else 0
 
 
 def test_rate_text_and_value_match_decimal(spark):
@@ -36,7 +36,7 @@ def test_rate_text_and_value_match_decimal(spark):
     df = spark.createDataFrame(pairs, "n bigint, d bigint")
     got = df.selectExpr("n", "d", f"{M.rate_text('n', 'd')} AS t", f"{M.rate_value('n', 'd')} AS v").collect()
     for r in got:
-        want = py_rate(r.n, r.d)
+        want = expected_rate(r.n, r.d)
         assert r.t == f"{want}%", (r.n, r.d, r.t, want)
         assert Decimal(r.v) == Decimal(want), (r.n, r.d, r.v, want)
 
@@ -49,13 +49,12 @@ def test_avg_price_matches_decimal(spark):
     got = df.selectExpr("total", "n", f"{M.avg_value('total', 'n')} AS v", f"{M.avg_cents('total', 'n')} AS c"
                         ).collect()
     for (cents, n), r in zip(rows, got):
-        want = py_avg(cents, n)
+        want = expected_avg(cents, n)
         assert Decimal(r.v) == Decimal(want), (cents, n, r.v, want)
-        assert M.avg_cell  # cell rendering covered in period tests
 
 
 def test_summary_rate_difference_texts(spark):
-    # float(text) differences rounded to one decimal; '0%' only when both undefined.
+    # Differences of the two rates (an undefined rate counts as 0).
     pairs = [((1, 3), (2, 3)), ((0, 0), (0, 0)), ((0, 0), (0, 5)), ((5, 10), (5, 10)), ((7, 9), (0, 0)),
              ((49, 400), (3, 80))]
     rows = [(a, b, c, d) for (a, b), (c, d) in pairs]
@@ -63,12 +62,12 @@ def test_summary_rate_difference_texts(spark):
     t1, t2 = M.rate_tenths("n1", "d1"), M.rate_tenths("n2", "d2")
     got = df.selectExpr(f"{M.tenths_diff_text(t1, t2)} AS s", f"{M.tenths_diff_text2(t1, t2)} AS s2").collect()
     for (n1, d1, n2, d2), r in zip(rows, got):
-        r1, r2 = f"{py_rate(n1, d1)}%", f"{py_rate(n2, d2)}%"
-        v1 = float(r1.rstrip("%")) if r1 != "0%" else 0
-        v2 = float(r2.rstrip("%")) if r2 != "0%" else 0
-        assert r.s == f"{round(v2 - v1, 1)}%", (n1, d1, n2, d2, r.s)
-        # N5 (legacy detail): Decimal difference at two places
-        assert r.s2 == f"{round(py_rate(n2, d2) - py_rate(n1, d1), 2)}%", (n1, d1, n2, d2, r.s2)
+        a, b = expected_rate(n1, d1), expected_rate(n2, d2)
+        both_undefined = d1 <= 0 and d2 <= 0
+        # One decimal; '0%' only when both rates are undefined
+        assert r.s == ("0%" if both_undefined else f"{(Decimal(b) - Decimal(a)).quantize(TENTH)}%"), (n1, d1, n2, d2)
+        # N5 (legacy detail): two decimals
+        assert r.s2 == ("0%" if both_undefined else f"{(Decimal(b) - Decimal(a)).quantize(CENT)}%"), (n1, d1, n2, d2)
 
 
 def test_daily_float_rate_text_and_threshold(spark):
