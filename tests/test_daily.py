@@ -83,3 +83,14 @@ def test_trailing_sum_matches_window_and_range_report(spark):
     rng = daily_report(t, ("2024-01-08", "2024-01-14")).summary
     per_day = rng.groupBy("report_date").agg(F.max("seq").alias("m"), F.count(F.lit(1)).alias("n")).collect()
     assert len(per_day) == 7 and all(r.m == r.n for r in per_day)
+
+
+def test_duplicate_stats_rows_fan_out_and_keep_numbering(spark):
+    stats = [("1", day("2024-01-10"), 5, 5, 1, None, 1, 0), ("1", day("2024-01-10"), 7, 7, 1, None, 0, 0)]
+    t = make_tables(spark, store=[store_row("1", "2024-01-10", "A"), store_row("2", "2024-01-10", "B")],
+                    stats=stats)
+    r = daily_report(t, "2024-01-10")
+    rows = sorted((x.shop_id, x.seq, x.sheet_name) for x in r.sections.collect())
+    assert [x[0] for x in rows] == ["1", "1", "2"] and sorted(x[1] for x in rows) == [1, 2, 3]
+    assert sorted(x[2] for x in rows if x[0] == "1") == ["A", "A_2"]
+    assert daily_report(t, "2024-01-10", dedupe_right=True).summary.count() == 2
