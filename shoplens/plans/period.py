@@ -24,6 +24,7 @@ from shoplens.operators.dims import Accounts, apply_shop_filter, shop_dim, shop_
 from shoplens.operators.facts import SUM_KIND, RollupSpec, joined_facts, period_rollup
 from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
+from shoplens.operators.quality import validate
 from shoplens.plans.params import Period, as_period
 
 # Display blocks, in column order: (name, kind, args).
@@ -96,6 +97,7 @@ class PeriodReport:
     base: DataFrame            # one row per shop: seq, attributes, period sums
     p1: Period
     p2: Period
+    rejected: DataFrame | None = None   # with quarantine: rejected store-days and reasons
     options: dict = field(default_factory=dict)
 
     # ---- typed wide table ---------------------------------------------------
@@ -271,13 +273,26 @@ def _delta_cell(name, kind, detail: bool = False) -> S:
 
 # ---- the report ----------------------------------------------------------------
 
+def rejected_store_days(tables, p1: Period, p2: Period, shops=None) -> DataFrame:
+    """Q1: store-days of the periods that break a validation rule, with reasons."""
+    bad = validate(tables, [p1, p2]).where("status = 'rejected'").select("shop_id", "report_date", "errors")
+    return apply_shop_filter(bad, shops)
+
+
 def period_base(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_id: str | None = None,
                 shop_ids: Sequence[str] | DataFrame | None = None, unresolved: str = "none",
                 rename: str = "sum_latest", by_city: bool = False, dedupe_right: bool = False,
-                numbered: bool = True) -> DataFrame:
-    """One row per shop with seq, attributes, both periods' sums and derived values."""
+                numbered: bool = True, quarantine: bool = False) -> DataFrame:
+    """One row per shop with seq, attributes, both periods' sums and derived values.
+
+    ``quarantine=True`` (Q1): a shop with any rejected store-day in the periods
+    is left out (anti join), the others go on; see ``rejected_store_days``.
+    """
     shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
     joined = joined_facts(tables, [p1, p2], shops=shops, dedupe_right=dedupe_right)
+    if quarantine:
+        bad_shops = rejected_store_days(tables, p1, p2, shops).select("shop_id").distinct()
+        joined = joined.join(bad_shops, "shop_id", "left_anti")
     roll = period_rollup(joined, p1, p2, RollupSpec(rename=rename, by_city=by_city))
     dim = apply_shop_filter(shop_dim(tables, accounts), shops)      # only the reported shops
     d = X.PERIOD_DEFAULT_ATTR
@@ -297,7 +312,7 @@ def period_base(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_
 def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_id: str | None = None,
                   shop_ids: Sequence[str] | DataFrame | None = None, unresolved: str = "none",
                   rename: str = "sum_latest", by_city: bool = False,
-                  dedupe_right: bool = False) -> PeriodReport:
+                  dedupe_right: bool = False, quarantine: bool = False) -> PeriodReport:
     """R2 (weekly), R3 (monthly), R4 (custom): the same plan, different periods.
 
     ``shop_id`` filters one shop (the account filter then only limits the
@@ -306,6 +321,11 @@ def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, sho
     """
     p1, p2 = as_period(p1), as_period(p2)
     base = period_base(tables, p1, p2, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids,
-                       unresolved=unresolved, rename=rename, by_city=by_city, dedupe_right=dedupe_right)
-    return PeriodReport(base=base, p1=p1, p2=p2,
+                       unresolved=unresolved, rename=rename, by_city=by_city, dedupe_right=dedupe_right,
+                       quarantine=quarantine)
+    rejected = None
+    if quarantine:
+        shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
+        rejected = rejected_store_days(tables, p1, p2, shops)
+    return PeriodReport(base=base, p1=p1, p2=p2, rejected=rejected,
                         options=dict(accounts=accounts, shop_id=shop_id, rename=rename, by_city=by_city))

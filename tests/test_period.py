@@ -129,3 +129,16 @@ def test_shop_list_as_dataframe_equals_literal_list(spark, driver_tables):
                           shop_ids=spark.createDataFrame([(i,) for i in ids], "shop_id string")).wide
     assert as_list.count() == len(ids)
     assert as_list.exceptAll(as_df).count() == 0 and as_df.exceptAll(as_list).count() == 0
+
+
+def test_quarantine_leaves_out_failing_shops(spark):
+    store = [store_row("1", "2024-01-02", "A", exposure_users=5),
+             store_row("2", "2024-01-03", "B", exposure_users=-1),          # breaks a rule
+             store_row("2", "2024-01-09", "B", exposure_users=4)]
+    t = make_tables(spark, store=store)
+    rep = period_report(t, P1, P2, quarantine=True)
+    assert [r.shop_id for r in rep.wide.collect()] == ["1"] and rep.wide.first().seq == 1
+    bad = rep.rejected.collect()
+    assert [(r.shop_id, str(r.report_date)) for r in bad] == [("2", "2024-01-03")]
+    assert "negative exposure_users" in bad[0].errors
+    assert period_report(t, P1, P2).wide.count() == 2                        # default: no quarantine
