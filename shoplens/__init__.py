@@ -15,6 +15,7 @@ Layout:
 from shoplens.sources.tables import ReportTables
 from shoplens.plans.params import Period, parse_date
 from shoplens.plans.daily import daily_report
-from shoplens.plans.period import period_report
+from shoplens.plans.period import custom_report, monthly_report, period_report, weekly_report
 
-__all__ = ["ReportTables", "Period", "parse_date", "daily_report", "period_report"]
+__all__ = ["ReportTables", "Period", "parse_date", "daily_report", "period_report", "weekly_report",
+           "monthly_report", "custom_report"]

@@ -329,3 +329,26 @@ def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, sho
         rejected = rejected_store_days(tables, p1, p2, shops)
     return PeriodReport(base=base, p1=p1, p2=p2, rejected=rejected,
                         options=dict(accounts=accounts, shop_id=shop_id, rename=rename, by_city=by_city))
+
+
+# ---- the service's report signatures (R2-R4) ---------------------------------------
+
+def weekly_report(tables, week1_start, week1_end, week2_start, week2_end, accounts: Accounts = None,
+                  shop_id: str | None = None, **options) -> PeriodReport:
+    """R2 with the weekly request's parameters."""
+    return period_report(tables, Period.of(week1_start, week1_end), Period.of(week2_start, week2_end),
+                         accounts=accounts, shop_id=shop_id, **options)
+
+
+def monthly_report(tables, month1_start, month1_end, month2_start, month2_end, accounts: Accounts = None,
+                   **options) -> PeriodReport:
+    """The weekly plan over two month-long periods."""
+    return period_report(tables, Period.of(month1_start, month1_end), Period.of(month2_start, month2_end),
+                         accounts=accounts, **options)
+
+
+def custom_report(tables, period1_start, period1_end, period2_start, period2_end, accounts: Accounts = None,
+                  shop_id: str | None = None, shop_ids=None, **options) -> PeriodReport:
+    """Any two periods, filtered by accounts, one shop or (legacy) a shop list."""
+    return period_report(tables, Period.of(period1_start, period1_end), Period.of(period2_start, period2_end),
+                         accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, **options)

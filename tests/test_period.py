@@ -142,3 +142,15 @@ def test_quarantine_leaves_out_failing_shops(spark):
     assert [(r.shop_id, str(r.report_date)) for r in bad] == [("2", "2024-01-03")]
     assert "negative exposure_users" in bad[0].errors
     assert period_report(t, P1, P2).wide.count() == 2                        # default: no quarantine
+
+
+def test_service_signatures(spark):
+    from shoplens import custom_report, monthly_report, weekly_report
+
+    t = make_tables(spark, store=[store_row("1", "2024-01-02", "A", exposure_users=3),
+                                  store_row("2", "2024-01-09", "B", exposure_users=4)])
+    w = weekly_report(t, "2024-01-01", "2024-01-07", "2024-01-08", "2024-01-14").wide
+    m = monthly_report(t, "2024-01-01", "2024-01-07", "2024-01-08", "2024-01-14").wide
+    c = custom_report(t, "2024-01-01", "2024-01-07", "2024-01-08", "2024-01-14", shop_id="2").wide
+    assert w.exceptAll(m).count() == 0 and w.count() == 2
+    assert [(r.shop_id, r.exposure_users_p2) for r in c.collect()] == [("2", 4)]
