@@ -273,6 +273,9 @@ def _delta_cell(name, kind, detail: bool = False) -> S:
 
 # ---- the report ----------------------------------------------------------------
 
+_UNSET = object()
+
+
 def rejected_store_days(tables, p1: Period, p2: Period, shops=None) -> DataFrame:
     """Q1: store-days of the periods that break a validation rule, with reasons."""
     bad = validate(tables, [p1, p2]).where("status = 'rejected'").select("shop_id", "report_date", "errors")
@@ -282,13 +285,15 @@ def rejected_store_days(tables, p1: Period, p2: Period, shops=None) -> DataFrame
 def period_base(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_id: str | None = None,
                 shop_ids: Sequence[str] | DataFrame | None = None, unresolved: str = "none",
                 rename: str = "sum_latest", by_city: bool = False, dedupe_right: bool = False,
-                numbered: bool = True, quarantine: bool = False) -> DataFrame:
+                numbered: bool = True, quarantine: bool = False, shops=_UNSET) -> DataFrame:
     """One row per shop with seq, attributes, both periods' sums and derived values.
 
     ``quarantine=True`` (Q1): a shop with any rejected store-day in the periods
     is left out (anti join), the others go on; see ``rejected_store_days``.
+    ``shops`` passes an already resolved ``shop_filter`` result.
     """
-    shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
+    if shops is _UNSET:
+        shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
     joined = joined_facts(tables, [p1, p2], shops=shops, dedupe_right=dedupe_right)
     if quarantine:
         bad_shops = rejected_store_days(tables, p1, p2, shops).select("shop_id").distinct()
@@ -320,13 +325,10 @@ def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, sho
     by (shop, name, city) as the legacy custom report does.
     """
     p1, p2 = as_period(p1), as_period(p2)
-    base = period_base(tables, p1, p2, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids,
-                       unresolved=unresolved, rename=rename, by_city=by_city, dedupe_right=dedupe_right,
-                       quarantine=quarantine)
-    rejected = None
-    if quarantine:
-        shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
-        rejected = rejected_store_days(tables, p1, p2, shops)
+    shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
+    base = period_base(tables, p1, p2, accounts=accounts, rename=rename, by_city=by_city,
+                       dedupe_right=dedupe_right, quarantine=quarantine, shops=shops)
+    rejected = rejected_store_days(tables, p1, p2, shops) if quarantine else None
     return PeriodReport(base=base, p1=p1, p2=p2, rejected=rejected,
                         options=dict(accounts=accounts, shop_id=shop_id, rename=rename, by_city=by_city))
 
