@@ -90,3 +90,24 @@ def test_run_all_continues_after_an_empty_report(spark, scratch):
     assert os.path.isdir(out["daily"]) and os.path.isdir(out["weekly"]) and os.path.isdir(out["custom"])
     assert isinstance(out["monthly"], ValueError)
     assert spark.read.parquet(f"{out['weekly']}/summary").count() == 8
+
+
+def test_command_line(spark, scratch, capsys):
+    from shoplens.__main__ import main
+    from shoplens.sources.tables import write_tables
+
+    d = dt.date(2024, 1, 10)
+    t = make_tables(spark, store=[store_row("1", "2024-01-03", "A"), store_row("1", "2024-01-10", "A")],
+                    promo=[("1", d, 1, 1, None, 1, 1)], stats=[("1", d, 5, 5, 1, None, 1, 0)],
+                    accounts=[("a1", '[{"shop_id":1}]', None, "s", "c", None)], users=[(1, "Op")])
+    inputs = os.path.join(scratch, "in")
+    write_tables(t, inputs)
+    out = os.path.join(scratch, "out")
+    assert main(["daily", "--input", inputs, "--out", out, "--date", "2024-01-10"], spark=spark) == 0
+    folder = capsys.readouterr().out.strip()
+    assert spark.read.parquet(f"{folder}/detail").count() == 39
+    assert main(["custom", "--input", inputs, "--out", out, "--p1", "2024-01-01:2024-01-07",
+                 "--p2", "2024-01-08:2024-01-14", "--shop-id", "1"], spark=spark) == 0
+    folder = capsys.readouterr().out.strip()
+    assert spark.read.parquet(f"{folder}/summary").count() == 8
+    assert main(["daily", "--input", inputs, "--out", out, "--date", "2023-01-01"], spark=spark) == 1
