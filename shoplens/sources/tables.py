@@ -18,10 +18,42 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TABLE_NAMES = ("store_daily", "promotion_daily", "store_stats", "platform_accounts", "saas_users")
 
+# Logical schemas (FIXTURES.md §1), used when a stored table has no data files.
+SCHEMAS = {
+    "store_daily": (
+        "shop_id string, report_date date, shop_name string, city string, exposure_users bigint, "
+        "visit_users bigint, order_users bigint, verify_person_count bigint, order_coupon_count bigint, "
+        "verify_coupon_count bigint, coupon_pay_order_count bigint, order_sale_amount decimal(18,2), "
+        "verify_sale_amount decimal(18,2), verify_after_discount decimal(18,2), promotion_cost decimal(18,2), "
+        "promotion_exposure_count bigint, promotion_click_count bigint, new_collect_users bigint, "
+        "new_review_count bigint, new_good_review_count bigint, consult_users bigint, intent_rate string"),
+    "promotion_daily": (
+        "shop_id string, report_date date, view_phone_count bigint, view_address_count bigint, "
+        "click_avg_price decimal(18,2), order_count bigint, view_groupbuy_count bigint"),
+    "store_stats": (
+        "store_id string, date date, order_user_rank int, verify_amount_rank int, checkin_count bigint, "
+        "ad_balance decimal(18,2), ad_order_count bigint, is_force_offline int"),
+    "platform_accounts": (
+        "account string, stores_json string, compareRegions_json string, sales_name string, "
+        "city_name string, operator_id bigint"),
+    "saas_users": "id bigint, name string",
+}
+
+
+def _read_parquet(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A stored table; a folder without data files (nothing was written) reads as empty."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as err:
+        if "UNABLE_TO_INFER_SCHEMA" not in str(err) and "PATH_NOT_FOUND" not in str(err):
+            raise
+        return spark.createDataFrame([], SCHEMAS[table])
+
 
 @dataclass(frozen=True)
 class ReportTables:
@@ -42,7 +74,7 @@ class ReportTables:
     def from_parquet(cls, spark: SparkSession, root: str) -> "ReportTables":
         """One parquet dataset per table under ``root`` (facts date-partitioned)."""
         root = root.rstrip("/")
-        return cls(**{t: spark.read.parquet(f"{root}/{t}") for t in TABLE_NAMES}).normalized()
+        return cls(**{t: _read_parquet(spark, f"{root}/{t}", t) for t in TABLE_NAMES}).normalized()
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str, names: dict[str, str] | None = None,

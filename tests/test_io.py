@@ -111,3 +111,13 @@ def test_command_line(spark, scratch, capsys):
     folder = capsys.readouterr().out.strip()
     assert spark.read.parquet(f"{folder}/summary").count() == 8
     assert main(["daily", "--input", inputs, "--out", out, "--date", "2023-01-01"], spark=spark) == 1
+
+
+def test_empty_stored_tables_read_as_empty(spark, scratch):
+    from shoplens.sources.tables import ReportTables, write_tables
+
+    t = make_tables(spark, store=[store_row("1", "2024-01-10", "A")])       # no promotions, stats, accounts
+    write_tables(t, os.path.join(scratch, "in"))
+    back = ReportTables.from_parquet(spark, os.path.join(scratch, "in"))
+    assert back.promotion_daily.count() == 0 and back.store_stats.count() == 0
+    assert daily_report(back, "2024-01-10").summary.count() == 1
