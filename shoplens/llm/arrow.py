@@ -117,3 +117,9 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lens) - lens
     return np.repeat(starts - before, lens) + np.arange(total, dtype=np.int64)
+
+
+def binary(data: np.ndarray, ends: np.ndarray, kind=pa.binary()) -> pa.Array:
+    """A binary (or string) array over one run of bytes, cut at ``ends``."""
+    offs = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))])

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.arrow import spread, text_slices, utf8_view
+from shoplens.llm.arrow import binary, spread, text_slices, utf8_view
 from shoplens.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words in the lexicon at most (a fixed model size, not a share of the data).
@@ -42,7 +42,9 @@ COUNT_HELD = 200_000
 
 _PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PAIRS = tuple(f"{a}{b}" for a in " \t\n\v\f\r" for b in " \t\n\v\f\r" if " " in (a, b))
-_RARE_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+# Code points that some definition counts as white space, beside the plain ones; texts with one take the careful way.
+_RARE_SPACE = regex.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C),
+                                                    0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]")
 
 
 def _byte_chars() -> dict[str, int]:
@@ -253,11 +255,6 @@ class Encoder:
         return out, count
 
 
-def _binary(data: np.ndarray, ends: np.ndarray, kind=pa.binary()) -> pa.Array:
-    offs = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 def encode(docs: DataFrame, path: str, lexicon: bytes, id_col: str = "doc_id", text_col: str = "text",
            decode: bool = False) -> DataFrame:
     """(doc_id, ids) and, with ``decode``, the text that the ids give back.
@@ -271,7 +268,7 @@ def encode(docs: DataFrame, path: str, lexicon: bytes, id_col: str = "doc_id", t
         for rb, _, _ in text_slices(batches):
             ids, count = coder.encode(rb.column("text"))
             ends = np.cumsum(count)
-            cols = [rb.column("doc_id"), _binary(ids.astype("<u4").view(np.uint8), 4 * ends)]
+            cols = [rb.column("doc_id"), binary(ids.astype("<u4").view(np.uint8), 4 * ends)]
             if decode:
                 cols.append(_decoded(coder.bpe, ids, ends))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "decoded"][:len(cols)])
@@ -291,7 +288,7 @@ def _decoded(bpe: ByteBpe, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     except UnicodeDecodeError:
         whole = False
     if whole:
-        return _binary(raw, at[1:], pa.string())
+        return binary(raw, at[1:], pa.string())
     return pa.array([bpe.decode(ids[a:b]).decode() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)], pa.string())
 
 

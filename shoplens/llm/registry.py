@@ -12,13 +12,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import bpe
-from shoplens.llm.store import documents, picked
+from shoplens.llm import bpe, token_files
+from shoplens.llm.store import documents, picked, scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Appended to each document's ids in op3's files.
+END_ID = 2
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(documents(spark, sf_dir), path, WORD_BPE, END_ID)
+    return token_files.digests(token_files.read_tokens(spark, path))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = picked(documents(spark, sf_dir))
     lexicon = bpe.build_lexicon(docs, BYTE_BPE)
@@ -26,7 +36,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_bpe": op7_bpe}
+    return {f.__name__: f for f in (op3_token_files, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
