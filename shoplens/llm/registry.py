@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import bpe, token_files
+from shoplens.llm import bpe, simhash, token_files
 from shoplens.llm.store import documents, picked, scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, path))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = picked(documents(spark, sf_dir))
     lexicon = bpe.build_lexicon(docs, BYTE_BPE)
@@ -36,7 +40,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op7_bpe)}
+    return {f.__name__: f for f in (op3_token_files, op6_simhash, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
