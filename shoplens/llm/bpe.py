@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 
 from shoplens.llm.arrow import binary, spread, text_slices, utf8_view
 from shoplens.llm.lexicon import Lexicon, compile_lexicon
+from shoplens.llm.store import stored
 
 #: Words in the lexicon at most (a fixed model size, not a share of the data).
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 200_000
 #: Words or pre-tokens that a task remembers at most; then it starts anew.
-MEMO = 200_000
+MEMO = 300_000
 #: Longer words are neither counted nor remembered; they are merged each time.
 LONG_WORD = 64
 #: Distinct words that a counting task holds before it hands on its counts.
@@ -211,9 +212,21 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """Compile the ``words`` most frequent words of ``docs``; at most that many reach the driver."""
+    """Compile the most frequent words of ``docs``, at most ``words`` of them.
+
+    A histogram of the counts gives the least count whose words, all together, are
+    not too many; only those words reach the driver.
+    """
     bpe = load_bpe(path)
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    counts = stored(word_counts(docs, text_col).where("n > 1"), "word-counts")
+    level = F.floor(4 * F.log2("n"))
+    left, least = words, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.level
+    top = [] if least is None else counts.where(level >= least).select("word").collect()
     return compile_lexicon({r.word.encode(): bpe.word(r.word) for r in top})
 
 
