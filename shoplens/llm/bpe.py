@@ -48,7 +48,7 @@ _RARE_SPACE = regex.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0x
                                                     0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]")
 
 
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """Character to byte of the byte-level alphabet: printable Latin-1 stands for itself, the rest from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
@@ -61,7 +61,7 @@ class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        chars = _byte_chars()
+        chars = byte_chars()
         vocab = {w: i for w, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(chars[c] for c in w) for w, i in vocab.items()}

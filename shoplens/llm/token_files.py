@@ -32,20 +32,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm import simple8b
 from shoplens.llm.arrow import binary, spread, text_slices
+from shoplens.llm.bpe import byte_chars
 
 BLOCK_IDS = 1 << 16
 MARK = 1 << 10
 #: Words whose ids a task remembers at most; then it starts anew.
-MEMO = 300_000
+MEMO = 400_000
 SCHEMA = ("shard int, block int, first_id long, n_ids long, doc_ids array<long>, counts array<long>, "
           "words binary, word_offsets array<long>, id_offsets array<long>")
 
 _LOADED: dict = {}
+_BYTE_LETTERS = {b: c for c, b in byte_chars().items()}
+#: Bytes of text encoded at a time.
+SLICE = 6 << 20
 
 
 def _tokenizer(path: str):
@@ -57,6 +62,15 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
+#: Lower-case letters of ASCII and Latin-1 only.
+_LOWER_WORD = regex.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+
+
+def _byte_letters(word: str) -> str:
+    """The word in the byte-level alphabet of such vocabularies, where printable Latin-1 stands for itself."""
+    return word if word.isascii() else "".join([_BYTE_LETTERS[b] for b in word.encode()])
+
+
 def _encode(col: pa.Array, path: str, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts in row order, and ids per text."""
     tok, memo = _tokenizer(path)
@@ -64,25 +78,45 @@ def _encode(col: pa.Array, path: str, by_words: bool) -> tuple[np.ndarray, np.nd
     if not by_words:
         ids = [e.ids for e in tok.encode_batch(col.to_pylist(), add_special_tokens=False)]
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
-    lists = pc.split_pattern(col.cast(pa.large_string()), " ")
+    lists = _pieces(col)
     per = np.diff(lists.offsets.to_numpy())
     coded = lists.flatten().dictionary_encode()
     words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
     if len(memo) > MEMO:
         memo.clear()
     new = [w for w in words if w not in memo]
-    for lo in range(0, len(new), 1000):
-        part = new[lo:lo + 1000]
+    model = tok.model.tokenize
+    hard = []
+    for w in new:
+        if _LOWER_WORD(w):                             # nothing to normalise or cut: straight to the library's model
+            memo[w] = np.array([t.id for t in model(_byte_letters(w))], "<u4").tobytes()
+        else:
+            hard.append(w)
+    for lo in range(0, len(hard), 1000):
+        part = hard[lo:lo + 1000]
         for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, np.uint32).tobytes()
+            memo[w] = np.array(e.ids, "<u4").tobytes()
     raw = [memo[w] for w in words]
     lens = np.array([len(r) for r in raw], np.int64) // 4
-    table = np.frombuffer(b"".join(raw), np.uint32)
+    table = np.frombuffer(b"".join(raw), "<u4")
     n = lens[codes]
     ends = np.concatenate([[0], np.cumsum(n)])
     return table[spread((np.cumsum(lens) - lens)[codes], n)], np.diff(ends[np.concatenate([[0], np.cumsum(per)])])
 
 
+def _pieces(col: pa.Array) -> pa.ListArray:
+    """Texts cut at white space and, where that changes nothing, lower-cased and cut around runs of marks.
+
+    The vocabulary lower-cases and makes a run of marks a token of its own. Texts
+    with an apostrophe (contractions), a special token's opening, or characters
+    beyond Latin-1's letters (normal forms) are only cut at white space.
+    """
+    col = col.cast(pa.large_string())
+    plain = pc.invert(pc.match_substring_regex(col, r"[^\x00-\x7f\x{c0}-\x{ff}]|'|<\|"))
+    cut = pc.replace_substring_regex(pc.utf8_lower(col), r"([^\s\p{L}\p{N}]+)", r" \1 ")
+    return pc.ascii_split_whitespace(pc.if_else(plain, cut, col))
+
+
 class _Blocks:
     """Cuts one shard's id stream into block rows."""
 
@@ -123,7 +157,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
         from pyspark import TaskContext
 
         blocks, tail = _Blocks(TaskContext.get().partitionId()), np.array([] if end_id is None else [end_id], np.uint32)
-        for rb, _, _ in text_slices(batches):
+        for rb, _, _ in text_slices(batches, SLICE):
             ids, count = _encode(rb.column("text"), tokenizer, by_words)
             at = np.concatenate([[0], np.cumsum(count)])
             for k, doc_id in enumerate(rb.column("doc_id").to_pylist()):
@@ -143,7 +177,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(SCHEMA).parquet(path)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("shard_ids"))
     before = F.coalesce(F.sum("shard_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocks.join(shards.select("shard", before.alias("shard_start")), "shard")
+    # One row per written shard, so its size is bounded by the number of write tasks: no shuffle of the blocks.
+    placed = blocks.join(F.broadcast(shards.select("shard", before.alias("shard_start"))), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
