@@ -12,13 +12,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import bpe, simhash, token_files
+from shoplens.llm import bpe, quality_rules, simhash, token_files
 from shoplens.llm.store import documents, picked, scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.judge(docs, model)
+
+
 #: Appended to each document's ids in op3's files.
 END_ID = 2
 
@@ -40,7 +46,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op6_simhash, op7_bpe)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_token_files, op6_simhash, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
