@@ -12,13 +12,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import bpe, decontam, quality_rules, rule_ensemble, simhash, token_files
+from shoplens.llm import bpe, decontam, pii, quality_rules, rule_ensemble, simhash, token_files
 from shoplens.llm.store import documents, picked, scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.fit(docs))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -56,7 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_token_files, op6_simhash, op7_bpe, op9_decontamination, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_files, op6_simhash, op7_bpe, op9_decontamination, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
