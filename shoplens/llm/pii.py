@@ -198,7 +198,8 @@ def _score(model, f: Column) -> Column:
 
 def examples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(features ..., label, n): the candidates of all documents, counted by feature vector and label."""
-    rows = with_candidates(docs.select(F.col(text_col).alias("text"))).where(F.size("__cands") > 0).select(F.explode("__cands").alias("c"))
+    # The outer form, so that no filter on the candidates is pushed down and computes them a second time.
+    rows = with_candidates(docs.select(F.col(text_col).alias("text"))).select(F.explode_outer("__cands").alias("c")).where("c IS NOT NULL")
     return rows.select("c.f.*", "c.label").groupBy(*FEATURES, "label").agg(F.count("*").alias("n"))
 
 
