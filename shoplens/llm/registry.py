@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import bpe, decontam, pii, quality_rules, rule_ensemble, simhash, token_files
+from shoplens.llm import bpe, decontam, langid, pii, quality_rules, rule_ensemble, simhash, token_files
 from shoplens.llm.store import documents, picked, scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, BYTE_BPE, lexicon, decode=True))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.train(docs))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -61,7 +66,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_files, op6_simhash, op7_bpe, op9_decontamination, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_files, op6_simhash, op7_bpe, op8_language, op9_decontamination, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
