@@ -6,13 +6,13 @@ taken at every place of a text. A chunk ends where the hash is greater than at t
 some dozens of bytes only, so an insertion moves the boundaries near it and no
 others, and equal passages are cut alike wherever they stand. Boundaries fall on
 whole code points. There is no least or greatest length to be cut at: chunks have
-over ``HORIZON`` bytes (but the last of a text) and twice that on average; a
+over ``HORIZON`` bytes (but a text's first and last) and twice that on average; a
 stretch without any boundary, such as one repeated byte, is one chunk.
 
-*Deduplication.* Chunks of ``MIN_BYTES`` or more meet by a 128-bit digest (XXH3); of
-equal ones the first, by (doc_id, place), stays and the others are removed.
-Only the last chunk of a text can be shorter; it says too little to be called a repeat and stays. Equal digests
-are taken as equal chunks.
+*Deduplication.* Chunks meet by a 128-bit digest (XXH3); of equal ones the first, by
+(doc_id, place), stays and later ones are repeats. Repeats that adjoin in a text
+form a run; runs of ``RUN_BYTES`` or more are removed. Shorter ones (a stock phrase,
+a common line) say too little and stay. Equal digests are taken as equal chunks.
 
 *Scale.* Only (digest, id, place) is shuffled, not text. A first pass counts digests,
 combined before the shuffle, and keeps those seen twice or more with their first
@@ -40,7 +40,7 @@ from shoplens.llm.arrow import BYTE_CODES, binary, spread, text_slices
 
 GEAR_BYTES = 16
 HORIZON = 32
-MIN_BYTES = HORIZON + 1
+RUN_BYTES = 64
 _KEY = ("doc_id", "text_hash")
 
 
@@ -95,8 +95,6 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb, data, off in text_slices(batches):
         ends = boundaries(data, off)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        keep = ends - starts >= MIN_BYTES
-        starts, ends = starts[keep], ends[keep]
         doc = np.searchsorted(off, starts, "right") - 1
         raw, digest = data.tobytes(), xxhash.xxh3_128_digest
         hashes = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]), ">i8").astype(np.int64).reshape(-1, 2)
@@ -113,7 +111,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def chunks(own: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, size, d1, d2): the chunks of ``MIN_BYTES`` or more of each text."""
+    """(doc_id, text_hash, start, size, d1, d2): the chunks of each text."""
     return own.mapInArrow(_chunk_rows, "doc_id long, text_hash long, start int, size int, d1 long, d2 long")
 
 
@@ -126,25 +124,35 @@ def repeats(own: DataFrame) -> DataFrame:
     return again.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("removed"))
 
 
+def _runs(spans) -> list[tuple[int, int]]:
+    """Spans (start, size) in order, those that adjoin as one (start, end)."""
+    out: list[tuple[int, int]] = []
+    for s in spans:
+        if out and out[-1][1] == s["start"]:
+            out[-1] = (out[-1][0], s["start"] + s["size"])
+        else:
+            out.append((s["start"], s["start"] + s["size"]))
+    return out
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb, data, off in text_slices(batches):
         removed = rb.column("removed")
         keep = np.ones(len(data), bool)
         n_removed, n_spans = np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1, np.int64)
         for i, spans in enumerate(removed.to_pylist()):
-            last = -1
-            for s in spans or ():
-                keep[off[i] + s["start"]:off[i] + s["start"] + s["size"]] = False
-                n_removed[i] += s["size"]
-                n_spans[i] += s["start"] != last
-                last = s["start"] + s["size"]
+            for a, b in _runs(spans or ()):
+                if b - a >= RUN_BYTES:
+                    keep[off[i] + a:off[i] + b] = False
+                    n_removed[i] += b - a
+                    n_spans[i] += 1
         ends = np.concatenate([[0], np.cumsum(keep)])[off[1:]]
         yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(np.diff(off)), pa.array(n_removed), pa.array(n_spans), binary(data[keep], ends, pa.string())],
                                          ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): every text without the chunks that stand earlier in the table."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept): every text without the runs of chunks that stand earlier in the table."""
     own = keyed(docs, id_col, text_col)
     gone = repeats(own).select(F.col("doc_id").alias("rid"), F.col("text_hash").alias("rhash"), "removed")
     return (own.join(gone, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")), "left")
