@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import bpe, chunks, decontam, langid, pii, quality_rules, rule_ensemble, simhash, token_files
+from shoplens.llm import bpe, chunks, decontam, langid, pii, quality_rules, rule_ensemble, simhash, suffix_dedup, token_files
 from shoplens.llm.store import documents, picked, scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, path))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.deduplicate(documents(spark, sf_dir)))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.digests(chunks.deduplicate(documents(spark, sf_dir)))
 
@@ -70,7 +74,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_files, op5_substring, op6_simhash, op7_bpe, op8_language, op9_decontamination, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_files, op4_suffix_dedup, op5_substring, op6_simhash, op7_bpe, op8_language, op9_decontamination, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
