@@ -1,22 +1,65 @@
-"""The corpus pipeline: documents through five stages, each written and reread."""
+"""The corpus pipeline: ``documents`` through five stages, each written and reread.
+
+1. quality classifier: documents with a score below the threshold go;
+2. SimHash near-dedup: of each component one document stays, the one with the least doc_id;
+3. benchmark decontamination: documents in which a benchmark item is found go;
+4. personal data: all spans are replaced by a tag of their kind (``n_chars`` follows the text);
+5. BPE: token ids of what is left, decoded again, with digests.
+
+Each stage works on all that its predecessor kept, and all but the last return the
+columns of ``documents``. Models are fitted on the rows of the stage's own input.
+A row with a NULL doc_id passes stages 2 and 3 (it cannot be named as a duplicate or
+a finding); rows that repeat a doc_id stay or go together. Empty tables pass.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shoplens.llm import bpe
+from shoplens.llm import bpe, decontam, pii, rule_ensemble, simhash
 from shoplens.llm.registry import BYTE_BPE
 from shoplens.llm.store import documents, picked, stored
 
 
+def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is (left_semi) or isn't (left_anti) in ``ids``."""
+    ids = ids.select(F.col("doc_id").alias("__stage_id")).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col("__stage_id"), how)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = rule_ensemble.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    verdict = rule_ensemble.scored(docs, model)
+    return verdict.where(F.col("__score") >= rule_ensemble.PREDICT_AT).drop("__score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(docs, shingle=simhash.SHINGLE, radius=simhash.RADIUS)
+    return _only(docs, groups.where("doc_id <> component_id"), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = docs.columns
+    out = pii.redact(docs, pii.fit(docs))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: the token ids of what is left, with their digests."""
     lexicon = bpe.build_lexicon(docs, BYTE_BPE)
     return bpe.digests(bpe.encode(picked(docs), BYTE_BPE, lexicon, decode=True))
 
 
-STAGES = [("bpe_encode", encode_tokens)]
+STAGES = [("quality_classifier", keep_good), ("simhash_near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated),
+          ("pii_redaction", redact_personal_data), ("bpe_encode", encode_tokens)]
 
+#: No SQL: the classifier, XXH64 and the tokenizer are beyond it; ``tests/llm`` holds the stages against brute force.
 ORACLE_SQL = None
 
 

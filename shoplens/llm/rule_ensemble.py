@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoplens.llm.arrow import text_slices
 from shoplens.llm.labelled import fold, training_rows
@@ -41,20 +42,18 @@ PENALTY = 2e-3
 Rule = tuple[tuple[int, bool, float], ...]             # (statistic, above, threshold), all of which must hold
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns ``keep``, and a struct ``s`` of the statistics of each text."""
-    names = ["doc_id", *keep]
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, and a struct ``__s`` of the statistics of each text."""
     kind = pa.struct([(c, pa.float64()) for c in STATISTICS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb, data, off in text_slices(batches):
+        for rb, data, off in text_slices(batches, text=text_col):
             got = Slice(data, off).statistics()
             s = pa.StructArray.from_arrays([pa.array(got[c]) for c in STATISTICS], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*[rb.column(c) for c in names], s], [*names, "s"])
+            yield pa.RecordBatch.from_arrays([*rb.columns, s], [*rb.schema.names, "__s"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    types = dict(own.dtypes)
-    return own.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in names) + ", s struct<" + ", ".join(f"{c}: double" for c in STATISTICS) + ">")
+    struct = T.StructType([T.StructField(c, T.DoubleType()) for c in STATISTICS])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__s", struct)]))
 
 
 def grow_rules(x: np.ndarray, y: np.ndarray) -> list[Rule]:
@@ -136,12 +135,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[list[tuple[Rule, float]], float]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> tuple[list[tuple[Rule, float]], float]:
     rows = training_rows(docs, labels, label, FOLDS, HELD_OUT, most)
-    got = sorted(statistics(rows, keep=("label",)).select("doc_id", "label", "s.*").collect())
+    got = sorted(with_statistics(rows).select("doc_id", "label", "__s.*").collect())
     x = np.array([r[2:] for r in got], np.float64).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r.label for r in got], np.float64))
 
 
-def compile_rules(rules: list[tuple[Rule, float]], intercept: float, of: str = "s") -> Column:
+def compile_rules(rules: list[tuple[Rule, float]], intercept: float, of: str = "__s") -> Column:
     """The score as one column expression over the struct of statistics."""
     def holds(rule: Rule) -> Column:
         return reduce(Column.__and__, [(c > t) if above else (c <= t) for f, above, t in rule for c in (F.col(f"{of}.{STATISTICS[f]}"),)])
@@ -150,10 +149,14 @@ def compile_rules(rules: list[tuple[Rule, float]], intercept: float, of: str = "
     return 1 / (1 + F.exp(-total))
 
 
+def scored(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float], text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, and ``__score``."""
+    return with_statistics(docs, text_col).withColumn("__score", compile_rules(*model)).drop("__s")
+
+
 def classify(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float], id_col: str = "doc_id", text_col: str = "text",
-             predict_at: float = PREDICT_AT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, columns ``keep``, held_out, score and predicted (1: good) of every text."""
-    score = compile_rules(*model).alias("score")
-    return (statistics(docs, id_col, text_col, keep).select("doc_id", *keep, score)
-            .select("doc_id", *keep, F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score",
-                    (F.col("score") >= predict_at).cast("int").alias("predicted")))
+             predict_at: float = PREDICT_AT) -> DataFrame:
+    """doc_id, held_out, score and predicted (1: good) of every text."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return scored(own, model).select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
+                                     F.col("__score").alias("score"), (F.col("__score") >= predict_at).cast("int").alias("predicted"))
