@@ -21,8 +21,8 @@ splits a hot digest. The removals are then joined to the texts by document.
 
 A document is keyed by its id and a hash of its text, so rows that repeat an id are
 told apart by text; rows equal in both are the same document, and each copy of the
-row gets the same result (what is kept is kept in each). A NULL id is a key of its
-own that comes first. NULL text counts as empty. Further columns are ignored; an
+row gets the same result (what is kept is kept in each). A NULL id counts as the
+least long and so comes first. NULL text counts as empty. Further columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -41,7 +41,7 @@ from shoplens.llm.arrow import BYTE_CODES, binary, spread, text_slices
 GEAR_BYTES = 16
 HORIZON = 32
 RUN_BYTES = 64
-_KEY = ("doc_id", "text_hash")
+_KEY = ("id_key", "text_hash")
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -105,20 +105,20 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text ('' for NULL) and a hash of the text, which together tell documents apart."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    """doc_id, text ('' for NULL), and what tells documents apart: the id (the least long for NULL) and a hash of the text."""
+    text, doc_id = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-1 << 63)).alias("id_key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def chunks(own: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, size, d1, d2): the chunks of each text."""
-    return own.mapInArrow(_chunk_rows, "doc_id long, text_hash long, start int, size int, d1 long, d2 long")
+    """(id_key, text_hash, start, size, d1, d2): the chunks of each text."""
+    return own.mapInArrow(_chunk_rows, "id_key long, text_hash long, start int, size int, d1 long, d2 long")
 
 
 def repeats(own: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, removed): per document the (start, size) of chunks seen before, as an array."""
+    """(id_key, text_hash, removed): per document the (start, size) of chunks seen before, as an array."""
     found = chunks(own)
-    place = F.struct("doc_id", "text_hash", "start")
+    place = F.struct(*_KEY, "start")
     seen = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     again = found.join(seen, ["d1", "d2"]).where(place > F.col("first"))
     return again.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("removed"))
@@ -154,9 +154,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every text without the runs of chunks that stand earlier in the table."""
     own = keyed(docs, id_col, text_col)
-    gone = repeats(own).select(F.col("doc_id").alias("rid"), F.col("text_hash").alias("rhash"), "removed")
-    return (own.join(gone, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")), "left")
-            .select("doc_id", "text", "removed").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept string"))
+    return (own.join(repeats(own), list(_KEY), "left").select("doc_id", "text", "removed")
+            .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept string"))
 
 
 def digests(kept: DataFrame) -> DataFrame:

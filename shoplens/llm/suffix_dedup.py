@@ -53,7 +53,7 @@ COVER, PERIOD = (0, 1, 3, 9), 13
 REACH = 104
 BLOCK = 12_000
 HOT = 50_000
-_KEY = ("doc_id", "text_hash")
+_KEY = ("id_key", "text_hash")
 _PLACE = 21
 _SLICE = 1 << 20
 
@@ -108,14 +108,13 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(anchors(data, off)[0].view(np.int64))], ["gram"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
-    """One row for each anchor of a text: with its bytes, or with the document it stands in."""
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For each part of a slice: the rows, anchors' documents, grams, places, first starts, row hashes, and the strings' bytes with their ends."""
     for rb, data, off in text_slices(batches, _SLICE):
         lists = rb.column("own")
-        offs = np.asarray(lists.offsets)
-        per = np.diff(offs)
+        per = np.diff(np.asarray(lists.offsets))
         flat = lists.flatten()
-        gram, packed = flat.field("gram"), np.asarray(flat.field("anchor"))
+        gram, packed = np.asarray(flat.field("gram")), np.asarray(flat.field("anchor"))
         doc = np.repeat(np.arange(len(per)), per)
         for lo in range(0, len(doc), BLOCK):
             part = slice(lo, lo + BLOCK)
@@ -125,12 +124,47 @@ def _contexts(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.Rec
             ends = np.cumsum(size)
             view = raw.tobytes()
             row = np.array([xxhash.xxh3_64_intdigest(view[b - k:b]) for b, k in zip(ends.tolist(), size.tolist())], np.uint64).view(np.int64)
-            cols = [gram.slice(lo, BLOCK), pa.array(first.astype(np.int32)), pa.array(row)]
-            if texts:
-                cols.append(binary(raw, ends))
+            yield rb, doc[part], gram[part], place, first, row, raw, ends
+
+
+_ROWS = "gram long, first int, row long, bytes binary, n long"
+#: Contexts that a task remembers to have sent; beyond that it starts anew.
+SENT = 300_000
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts, combined within the task: each goes out once with its bytes; how often it came again, without them."""
+    again: dict[tuple[int, int, int], int] = {}
+
+    def counts() -> pa.RecordBatch:
+        rows = [(*k, b"", n) for k, n in again.items() if n]
+        again.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()))],
+                                          ["gram", "first", "row", "bytes", "n"])
+
+    for _, _, gram, _, first, row, raw, ends in _anchored(batches):
+        new = []
+        for k, key in enumerate(zip(gram.tolist(), first.tolist(), row.tolist())):
+            if key in again:
+                again[key] += 1
             else:
-                cols += [rb.column(k).take(pa.array(doc[part])) for k in _KEY] + [pa.array(place)]
-            yield pa.RecordBatch.from_arrays(cols, ["gram", "first", "row", *(["bytes"] if texts else [*_KEY, "place"])])
+                again[key] = 0
+                new.append(k)
+        at = np.array(new, np.int64)
+        size = np.diff(np.concatenate([[0], ends]))[at]
+        yield pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(first[at].astype(np.int32)), pa.array(row[at]),
+                                          binary(raw[spread(ends[at] - size, size)], np.cumsum(size)), pa.array(np.ones(len(at), np.int64))],
+                                         ["gram", "first", "row", "bytes", "n"])
+        if len(again) > SENT:
+            yield counts()
+    yield counts()
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each context stands."""
+    for rb, doc, gram, place, first, row, _, _ in _anchored(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(first.astype(np.int32)), pa.array(row),
+                                          *[rb.column(k).take(pa.array(doc)) for k in _KEY], pa.array(place)], ["gram", "first", "row", *_KEY, "place"])
 
 
 def _cover_columns() -> np.ndarray:
@@ -205,16 +239,21 @@ _FOUND = "gram long, first int, row long, lo int, hi int"
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole buckets from rows in order of gram."""
+    """Blocks of whole buckets from rows in order of gram, first and row."""
     def out(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        data, off = utf8_view(table["bytes"])
-        first = table["first"].to_numpy().astype(np.int64)
-        lo, hi = repeated(first, data[off[0]:off[-1]], off[1:] - off[0], table["n"].to_numpy() > 1)
+        cols = {c: table[c].to_numpy() for c in ("gram", "first", "row", "n")}
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.logical_or.reduce([cols[c][1:] != cols[c][:-1] for c in ("gram", "first", "row")])
+        head = np.flatnonzero(new)
+        n = np.add.reduceat(cols["n"], head)
+        _, off = utf8_view(table["bytes"])
+        full = np.flatnonzero(np.diff(off))            # of equal rows, one that came with its bytes
+        _, one = np.unique(np.cumsum(new)[full], return_index=True)
+        data, off = utf8_view(table["bytes"].take(pa.array(full[one])))
+        lo, hi = repeated(cols["first"][head].astype(np.int64), data[off[0]:off[-1]], off[1:] - off[0], n > 1)
         some = np.flatnonzero(hi >= lo)
-        rows = table.select(["gram", "first", "row"]).take(pa.array(some)).combine_chunks().to_batches()
-        cols = rows[0].columns if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64())]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(lo[some].astype(np.int32)), pa.array(hi[some].astype(np.int32))], ["gram", "first", "row", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([*[pa.array(cols[c][head[some]]) for c in ("gram", "first", "row")], pa.array(lo[some].astype(np.int32)),
+                                           pa.array(hi[some].astype(np.int32))], ["gram", "first", "row", "lo", "hi"])
 
     held: list[pa.RecordBatch] = []
     for rb in batches:
@@ -253,31 +292,29 @@ def _hot_found(distinct: DataFrame) -> DataFrame:
 
 
 def removed_spans(own: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, text_hash, spans): per document the (start, end) bytes that its repeated strings cover."""
+    """(id_key, text_hash, spans): per document the (start, end) bytes that its repeated strings cover."""
     grams = stored(own.select("text").mapInArrow(_gram_rows, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     any_hot = not grams.where(F.col("n") > hot).isEmpty()
-    # The grams' order is fixed by the write; joined with every anchor, they leave those of repeated grams.
-    found = own.mapInArrow(_anchor_rows, "gram long, doc_id long, text_hash long, anchor long").join(grams.select("gram"), "gram")
+    found = own.mapInArrow(_anchor_rows, "gram long, id_key long, text_hash long, anchor long").join(grams.select("gram"), "gram")
     lists = found.groupBy(*_KEY).agg(F.collect_list(F.struct("gram", "anchor")).alias("own"))
     texts = _with(own, lists, "own", "inner")
-    rows = texts.mapInArrow(lambda b: _contexts(b, True), "gram long, first int, row long, bytes binary")
-    distinct = rows.groupBy("gram", "first", "row", "bytes").agg(F.count("*").alias("n"))
-    cold = distinct
+    rows = texts.mapInArrow(_contexts, _ROWS)
+    cold = rows
     if any_hot:
-        marked = distinct.join(grams.where(F.col("n") > hot).select("gram", F.lit(True).alias("is_hot")), "gram", "left")
+        marked = rows.join(grams.where(F.col("n") > hot).select("gram", F.lit(True).alias("is_hot")), "gram", "left")
         cold = marked.where("is_hot IS NULL").drop("is_hot")
-    repeats = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_blocks, _FOUND)
+    repeats = cold.repartition("gram").sortWithinPartitions("gram", "first", "row").mapInArrow(_sorted_blocks, _FOUND)
     if any_hot:
-        repeats = repeats.unionByName(_hot_found(marked.where("is_hot").drop("is_hot")))
-    places = texts.select(*_KEY, "text", "own").mapInArrow(lambda b: _contexts(b, False), "gram long, first int, row long, doc_id long, text_hash long, place long")
+        some = marked.where("is_hot").groupBy("gram", "first", "row").agg(F.max("bytes").alias("bytes"), F.sum("n").alias("n"))
+        repeats = repeats.unionByName(_hot_found(some))
+    places = texts.mapInArrow(_places, "gram long, first int, row long, id_key long, text_hash long, place long")
     spans = places.join(repeats, ["gram", "first", "row"]).select(
         *_KEY, F.struct((F.col("place") + F.col("lo")).alias("start"), (F.col("place") + F.col("hi") + LENGTH).alias("end")).alias("span"))
     return spans.groupBy(*_KEY).agg(F.collect_set("span").alias("spans"))
 
 
 def _with(own: DataFrame, side: DataFrame, column: str, how: str) -> DataFrame:
-    side = side.select(F.col("doc_id").alias("rid"), F.col("text_hash").alias("rhash"), column)
-    return own.join(side, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")), how).select(*_KEY, "text", column)
+    return own.join(side, list(_KEY), how).select("doc_id", *_KEY, "text", column)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
