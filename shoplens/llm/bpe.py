@@ -7,7 +7,8 @@
    (``lexicon.py``). Its size is bounded by that parameter; it is broadcast and
    memory-mapped by the tasks. It only saves work: the ids do not depend on it.
 3. *Encode*: per slice of text, distinct words are looked up in the transducer;
-   the others are split into pre-tokens and merged exactly, lowest rank first.
+   the others are split into pre-tokens and merged exactly, lowest rank first,
+   many at a time.
 4. *Decode*: ids are turned back to bytes by table, then to text.
 
 NULL text counts as empty (no ids, empty text). Literal special tokens in a text
@@ -34,9 +35,7 @@ from shoplens.llm.store import stored
 
 #: Words in the lexicon at most (a fixed model size, not a share of the data).
 LEXICON_WORDS = 200_000
-#: Words or pre-tokens that a task remembers at most; then it starts anew.
-MEMO = 300_000
-#: Longer words are neither counted nor remembered; they are merged each time.
+#: Longer words are not counted, and longer pre-tokens are merged one by one.
 LONG_WORD = 64
 #: Distinct words that a counting task holds before it hands on its counts.
 COUNT_HELD = 200_000
@@ -55,6 +54,24 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+NO_RANK = 1 << 40
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _pair_table(rank: dict[tuple[int, int], tuple[int, int]]) -> tuple:
+    """Pairs of ids with rank and merged id in one open-addressing table."""
+    bits = max(4, (4 * len(rank)).bit_length())
+    size, shift, mask = 1 << bits, 64 - bits, (1 << bits) - 1
+    keys, ranks, ids = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for (a, b), (r, new) in rank.items():
+        k = a << 20 | b
+        at = ((k * int(_MIX)) & ((1 << 64) - 1)) >> shift
+        while keys[at] >= 0:
+            at = (at + 1) & mask
+        keys[at], ranks[at], ids[at] = k, r, new
+    return keys, ranks, ids, np.uint64(shift), mask
+
+
 class ByteBpe:
     """Exact merges, pre-tokens and the id table of one vocabulary file."""
 
@@ -77,7 +94,8 @@ class ByteBpe:
         self.lens = np.array([len(b) for b in table], np.int64)
         self.offs = np.cumsum(self.lens) - self.lens
         self.flat = np.frombuffer(b"".join(table), np.uint8)
-        self.memo: dict[str, list[int]] = {}
+        self._pairs = _pair_table(self.rank)
+        self._single = np.array([self.single[b] for b in range(256)], np.int64)
 
     def merge(self, token: bytes) -> list[int]:
         """Merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
@@ -123,17 +141,89 @@ class ByteBpe:
         """Ids of a stretch without special tokens that ends where a pre-token does."""
         out: list[int] = []
         for t in _PRETOKENS.findall(text):
-            got = self.memo.get(t)
-            if got is None:
-                raw = t.encode()
-                got = self.merge(raw) if len(raw) <= LONG_WORD else self.merge_long(raw)
-                if len(raw) <= LONG_WORD:
-                    if len(self.memo) >= MEMO:
-                        self.memo.clear()
-                    self.memo[t] = got
-            out += got
+            raw = t.encode()
+            out += self.merge(raw) if len(raw) <= LONG_WORD else self.merge_long(raw)
         return out
 
+    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of each pair; ``NO_RANK`` where it does not merge."""
+        keys, ranks, ids, shift, mask = self._pairs
+        want = a << 20 | b
+        slot = ((want.astype(np.uint64) * _MIX) >> shift).astype(np.int64)
+        open_ = np.flatnonzero((keys[slot] != want) & (keys[slot] >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & mask
+            got = keys[slot[open_]]
+            open_ = open_[(got != want[open_]) & (got >= 0)]
+        hit = keys[slot] == want
+        return np.where(hit, ranks[slot], NO_RANK), ids[slot]
+
+    def merge_many(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same merges for many pre-tokens side by side, a row each: their ids in turn, and ids per pre-token."""
+        size = np.array([len(t) for t in tokens], np.int64)
+        out_len = np.zeros(len(tokens), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        lo = 0
+        for width in (4, 8, 16, 32, LONG_WORD):
+            rows = np.flatnonzero((size > lo) & (size <= width))
+            lo = width
+            if not len(rows):
+                continue
+            raw = np.frombuffer(b"".join([tokens[i] for i in rows]), np.uint8)
+            n = size[rows].copy()
+            col = np.arange(width)
+            ids = np.zeros((len(rows), width), np.int64)
+            ids[col < n[:, None]] = self._single[raw]
+            rank = np.full((len(rows), width), NO_RANK, np.int64)
+            merged = np.zeros((len(rows), width), np.int64)
+            r, c = np.nonzero(col[None, :] < n[:, None] - 1)
+            rank[r, c], merged[r, c] = self._rank_of(ids[r, c], ids[r, c + 1])
+            live = np.arange(len(rows))
+            while len(live):
+                at = rank[live].argmin(axis=1)
+                some = rank[live, at] < NO_RANK
+                live, at = live[some], at[some]
+                if not len(live):
+                    break
+                ids[live, at] = merged[live, at]
+                take = np.minimum(col + (col > at[:, None]), width - 1)
+                ids[live] = np.take_along_axis(ids[live], take, 1)
+                take = np.minimum(col + (col >= at[:, None]), width - 1)
+                rank[live] = np.take_along_axis(rank[live], take, 1)
+                merged[live] = np.take_along_axis(merged[live], take, 1)
+                n[live] -= 1
+                rank[live, np.minimum(n[live] - 1, width - 1)] = NO_RANK
+                for shift in (-1, 0):
+                    left = at + shift
+                    ok = (left >= 0) & (left + 1 < n[live])
+                    i, j = live[ok], left[ok]
+                    rank[i, j], merged[i, j] = self._rank_of(ids[i, j], ids[i, j + 1])
+            out_len[rows] = n
+            parts.append((rows, ids[col < n[:, None]]))
+        for i in np.flatnonzero(size > LONG_WORD):
+            got = self.merge_long(tokens[i])
+            out_len[i] = len(got)
+            parts.append((np.array([i]), np.array(got, np.int64)))
+        out = np.zeros(int(out_len.sum()), np.uint32)
+        start = np.cumsum(out_len) - out_len
+        for rows, flat in parts:
+            out[spread(start[rows], out_len[rows])] = flat
+        return out, out_len
+
+    def many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, and ids per word."""
+        place: dict[str, int] = {}
+        codes, per = [], []
+        for w in words:
+            found = _PRETOKENS.findall(w)
+            per.append(len(found))
+            codes += [place.setdefault(t, len(place)) for t in found]
+        ids, count = self.merge_many([t.encode() for t in place])
+        code = np.array(codes, np.int64)
+        lens = count[code]
+        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(per, dtype=np.int64)])]
+        return ids[spread((np.cumsum(count) - count)[code], lens)], np.diff(ends)
+
     def whole(self, text: str) -> list[int]:
         """Ids of any text, special tokens included."""
         if self._cut is None or not any(s in text for s in self.special):
@@ -227,7 +317,9 @@ def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int
             break
         least = r.level
     top = [] if least is None else counts.where(level >= least).select("word").collect()
-    return compile_lexicon({r.word.encode(): bpe.word(r.word) for r in top})
+    words = [r.word for r in top]
+    ids, count = bpe.many(words)
+    return compile_lexicon({w.encode(): x.tolist() for w, x in zip(words, np.split(ids, np.cumsum(count)[:-1]))} if words else {})
 
 
 class Encoder:
@@ -246,12 +338,12 @@ class Encoder:
         number = self.lexicon.find(data, off[:-1], off[1:])
         found = number >= 0
         offs = self.lexicon.offs
-        missing = [self.bpe.word(w) for w in words.filter(pa.array(~found)).to_pylist()]
+        more, per_word = self.bpe.many(words.filter(pa.array(~found)).to_pylist())
         lens, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         lens[found], start[found] = offs[number[found] + 1] - offs[number[found]], offs[number[found]]
-        lens[~found] = [len(x) for x in missing]
+        lens[~found] = per_word
         start[~found] = len(self.lexicon.ids) + np.cumsum(lens[~found]) - lens[~found]
-        table = np.concatenate([self.lexicon.ids, np.array([i for x in missing for i in x], np.uint32)])
+        table = np.concatenate([self.lexicon.ids, more])
         odd = [self.bpe.whole(texts[i]) for i in np.flatnonzero(~good)]
         word_len = lens[codes]
         easy = table[spread(start[codes], word_len)]
