@@ -52,7 +52,7 @@ WIDTH = LEFT + LENGTH
 COVER, PERIOD = (0, 1, 3, 9), 13
 REACH = 104
 BLOCK = 12_000
-HOT = 50_000
+HOT = 200_000
 _KEY = ("id_key", "text_hash")
 _PLACE = 21
 _SLICE = 1 << 20
@@ -89,9 +89,13 @@ def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return place << 16 | (place - first) << 8 | (place - last)
 
 
+#: Set in the packed anchors of hot buckets.
+_HOT_BIT = 1 << 62
+
+
 def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, and the first and last start relative to it (not above 0)."""
-    return x >> 16, -(x >> 8 & 255), -(x & 255)
+    return (x & ~_HOT_BIT) >> 16, -(x >> 8 & 255), -(x & 255)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,14 +112,17 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(anchors(data, off)[0].view(np.int64))], ["gram"])
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """For each part of a slice: the rows, anchors' documents, grams, places, first starts, row hashes, and the strings' bytes with their ends."""
+def _anchored(batches: Iterator[pa.RecordBatch], hot: bool | None = None) -> Iterator[tuple]:
+    """Of all anchors, or those in hot buckets or the others: for each part of a slice: the rows, anchors' documents, grams, places, first starts, row hashes, and the strings' bytes with their ends."""
     for rb, data, off in text_slices(batches, _SLICE):
         lists = rb.column("own")
         per = np.diff(np.asarray(lists.offsets))
         flat = lists.flatten()
         gram, packed = np.asarray(flat.field("gram")), np.asarray(flat.field("anchor"))
         doc = np.repeat(np.arange(len(per)), per)
+        if hot is not None:
+            mine = (packed & _HOT_BIT != 0) == hot
+            gram, packed, doc = gram[mine], packed[mine], doc[mine]
         for lo in range(0, len(doc), BLOCK):
             part = slice(lo, lo + BLOCK)
             place, first, last = _unpack(packed[part])
@@ -132,7 +139,7 @@ _ROWS = "gram long, first int, row long, bytes binary, n long"
 SENT = 300_000
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
     """The contexts, combined within the task: each goes out once with its bytes; how often it came again, without them."""
     again: dict[tuple[int, int, int], int] = {}
 
@@ -142,7 +149,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()))],
                                           ["gram", "first", "row", "bytes", "n"])
 
-    for _, _, gram, _, first, row, raw, ends in _anchored(batches):
+    for _, _, gram, _, first, row, raw, ends in _anchored(batches, hot):
         new = []
         for k, key in enumerate(zip(gram.tolist(), first.tolist(), row.tolist())):
             if key in again:
@@ -295,18 +302,16 @@ def removed_spans(own: DataFrame, hot: int = HOT) -> DataFrame:
     """(id_key, text_hash, spans): per document the (start, end) bytes that its repeated strings cover."""
     grams = stored(own.select("text").mapInArrow(_gram_rows, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     any_hot = not grams.where(F.col("n") > hot).isEmpty()
-    found = own.mapInArrow(_anchor_rows, "gram long, id_key long, text_hash long, anchor long").join(grams.select("gram"), "gram")
-    lists = found.groupBy(*_KEY).agg(F.collect_list(F.struct("gram", "anchor")).alias("own"))
+    anchor = F.when(F.col("n") > hot, F.col("anchor").bitwiseOR(F.lit(_HOT_BIT))).otherwise(F.col("anchor")).alias("anchor")
+    found = own.mapInArrow(_anchor_rows, "gram long, id_key long, text_hash long, anchor long").join(grams, "gram")
+    lists = found.groupBy(*_KEY).agg(F.collect_list(F.struct(F.col("gram"), anchor)).alias("own"))
     texts = _with(own, lists, "own", "inner")
-    rows = texts.mapInArrow(_contexts, _ROWS)
-    cold = rows
-    if any_hot:
-        marked = rows.join(grams.where(F.col("n") > hot).select("gram", F.lit(True).alias("is_hot")), "gram", "left")
-        cold = marked.where("is_hot IS NULL").drop("is_hot")
-    repeats = cold.repartition("gram").sortWithinPartitions("gram", "first", "row").mapInArrow(_sorted_blocks, _FOUND)
+    rows = texts.mapInArrow(lambda b: _contexts(b, False), _ROWS)
+    repeats = rows.repartition("gram").sortWithinPartitions("gram", "first", "row").mapInArrow(_sorted_blocks, _FOUND)
     if any_hot:
-        some = marked.where("is_hot").groupBy("gram", "first", "row").agg(F.max("bytes").alias("bytes"), F.sum("n").alias("n"))
-        repeats = repeats.unionByName(_hot_found(some))
+        rows = texts.mapInArrow(lambda b: _contexts(b, True), _ROWS)
+        distinct = rows.groupBy("gram", "first", "row").agg(F.max("bytes").alias("bytes"), F.sum("n").alias("n"))
+        repeats = repeats.unionByName(_hot_found(distinct))
     places = texts.mapInArrow(_places, "gram long, first int, row long, id_key long, text_hash long, place long")
     spans = places.join(repeats, ["gram", "first", "row"]).select(
         *_KEY, F.struct((F.col("place") + F.col("lo")).alias("start"), (F.col("place") + F.col("hi") + LENGTH).alias("end")).alias("span"))
