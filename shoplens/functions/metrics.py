@@ -153,17 +153,24 @@ def float_rate_tenths(n: str, d: str) -> str:
     """Tenths of ``format(n/d*100, '.1f')``: correct rounding of the double.
 
     Off an exact tie the double sits on the same side as the exact ratio, so
-    exact rounding applies. On an exact tie the double decides; if it equals the
-    nearest double of the tie point, half-even is used.
+    exact rounding applies. On an exact tie the exact binary value of the double
+    decides, and half-even only if it is the tie itself: with k fraction bits the
+    double times 2**k is an integer, which is compared with (2q + 1) / 20 * 2**k.
     """
     n0, d0 = f"CAST(coalesce({n}, 0) AS BIGINT)", f"CAST(coalesce({d}, 0) AS BIGINT)"
     v = f"(CAST({n0} * 1000 AS DECIMAL(20,0)) / CAST({d0} AS DECIMAL(20,0)))"
     qq = f"CAST(floor({v}) AS BIGINT)"
     frac = f"({v} - floor({v}))"
     x = float_rate(n0, d0)
-    tie = f"(CAST(2 * {qq} + 1 AS DOUBLE) / 20.0D)"
-    on_tie = (f"(CASE WHEN {x} < {tie} THEN {qq} WHEN {x} > {tie} THEN {qq} + 1 "
-              f"ELSE {qq} + {qq} % 2 END)")
+
+    def side(bits: int) -> str:
+        """-1, 0, 1: the double below, on, above the tie; exact where it has at most ``bits`` fraction bits."""
+        own = f"CAST(CAST({x} * {float(1 << bits)!r}D AS BIGINT) AS DECIMAL(20,0)) * 20"
+        return f"CAST(signum({own} - CAST(2 * {qq} + 1 AS DECIMAL(12,0)) * CAST({1 << bits} AS DECIMAL(18,0))) AS INT)"
+
+    # A double below 32 has up to 57 fraction bits here (ties are 0.05 or more), below 65,536 up to 47, and so on.
+    at = f"(CASE WHEN {x} < 32 THEN {side(57)} WHEN {x} < 65536 THEN {side(47)} ELSE {side(36)} END)"
+    on_tie = f"(CASE {at} WHEN -1 THEN {qq} WHEN 1 THEN {qq} + 1 ELSE {qq} + {qq} % 2 END)"
     return (f"(CASE WHEN {d0} > 0 THEN CASE WHEN {frac} > 0.5 THEN {qq} + 1 WHEN {frac} < 0.5 THEN {qq} "
             f"ELSE {on_tie} END END)")
 

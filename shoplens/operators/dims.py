@@ -19,25 +19,27 @@ from shoplens.sources.tables import ReportTables
 Accounts = Sequence[str] | DataFrame | None
 
 
-def _has_accounts(accounts: Accounts) -> bool:
-    if accounts is None:
-        return False
-    if isinstance(accounts, DataFrame):
-        return True
-    return len(accounts) > 0
+def given(value, unresolved: str = "none"):
+    """One rule for a filter that names nothing: None is no filter; an empty list
+    selects nothing, or, with ``unresolved='all'``, counts as no filter (the
+    original's fail-open behaviour). DataFrames are left to the joins."""
+    if value is None or isinstance(value, DataFrame):
+        return value
+    value = [str(x) for x in value]
+    return None if not value and unresolved == "all" else value
 
 
 def filter_accounts(df: DataFrame, accounts: Accounts) -> DataFrame:
-    """``account IN (...)``; NULL or an empty list means no filter.
+    """``account IN (...)``; None means no filter, an empty list selects no account.
 
     A DataFrame of accounts (column ``account``) becomes a left semi join, so
     the list size is not bounded by the plan text.
     """
-    if not _has_accounts(accounts):
+    if accounts is None:
         return df
     if isinstance(accounts, DataFrame):
         return df.join(accounts.select("account").distinct(), "account", "left_semi")
-    return df.where(F.col("account").isin(list(accounts)))
+    return df.where(F.col("account").isin(list(accounts)) if accounts else F.lit(False))
 
 
 def resolved_shops(tables: ReportTables, accounts: Accounts) -> DataFrame:
@@ -82,9 +84,6 @@ def region_dim(tables: ReportTables, accounts: Accounts = None) -> DataFrame:
             .select("shop_id", "r.region_city", "r.region_district", "r.region_business"))
 
 
-MAX_LITERAL_SHOPS = 1000
-
-
 def shop_filter(tables: ReportTables, accounts: Accounts = None, shop_id: str | None = None,
                 shop_ids: Sequence[str] | DataFrame | None = None,
                 unresolved: str = "none") -> DataFrame | Column | None:
@@ -92,37 +91,32 @@ def shop_filter(tables: ReportTables, accounts: Accounts = None, shop_id: str |
     (for a left semi join), or None for no limit.
 
     * ``shop_id`` (P6) replaces the account filter -> ``shop_id = x``;
-    * ``shop_ids`` (P7), a list (-> ``shop_id IN (...)`` up to 1000 ids) or a
-      DataFrame with ``shop_id``;
+    * ``shop_ids`` (P7), a list (-> ``shop_id IN (...)``) or a DataFrame with
+      ``shop_id`` (for sets too large for the text of a plan);
     * ``accounts`` (P4) resolve through ``stores_json`` -> DataFrame.
 
     Literal predicates reach the parquet scans as pushed filters (row groups of
     other shops are skipped); sets of unbounded size stay joins.
 
-    P5: when accounts resolve to no shop, ``unresolved='none'`` (default)
-    reports no shop; ``'all'`` keeps the original fail-open behaviour (no
-    filter). Deciding ``'all'`` takes one small ``isEmpty`` job.
+    P5: when a filter is given and names or resolves to no shop, however it was
+    given, ``unresolved='none'`` (default) reports no shop; ``'all'`` keeps the
+    original fail-open behaviour (no filter). Deciding ``'all'`` for a DataFrame or
+    for accounts takes one small ``isEmpty`` job.
     """
-    spark = tables.store_daily.sparkSession
     if unresolved not in ("none", "all"):
         raise ValueError(f"unresolved must be 'none' or 'all', not {unresolved!r}")
     if shop_id:
         return F.col("shop_id") == F.lit(str(shop_id))
+    shop_ids, accounts = given(shop_ids, unresolved), given(accounts, unresolved)
+    if isinstance(shop_ids, list):
+        return F.col("shop_id").isin(sorted(set(shop_ids))) if shop_ids else F.lit(False)
     if shop_ids is not None:
-        if isinstance(shop_ids, DataFrame):
-            return shop_ids.select(F.col("shop_id").cast("string").alias("shop_id")).distinct()
-        ids = sorted({str(x) for x in shop_ids})
-        if not ids:
-            return None
-        if len(ids) <= MAX_LITERAL_SHOPS:
-            return F.col("shop_id").isin(ids)
-        return spark.createDataFrame([(x,) for x in ids], "shop_id string")
-    if _has_accounts(accounts):
+        shops = shop_ids.select(F.col("shop_id").cast("string").alias("shop_id")).distinct()
+    elif accounts is not None:
         shops = resolved_shops(tables, accounts)
-        if unresolved == "all" and shops.isEmpty():
-            return None
-        return shops
-    return None
+    else:
+        return None
+    return None if unresolved == "all" and shops.isEmpty() else shops
 
 
 def apply_shop_filter(df: DataFrame, shops: DataFrame | Column | None) -> DataFrame:

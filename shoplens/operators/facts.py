@@ -75,19 +75,22 @@ def date_in(col: Column, ranges: Sequence[Period]) -> Column:
 
 def _dedupe(df: DataFrame, cols: list[str]) -> DataFrame:
     """J9 option: one right-side row per key (sums for counters, max otherwise)."""
+    if not cols:
+        return df.select("shop_id", "report_date").distinct()
     aggs = [F.max(c).alias(c) if c in ("click_avg_price", "ad_balance", "order_user_rank",
-                                         "verify_amount_rank") else F.sum(c).alias(c) for c in cols]
+                                         "verify_amount_rank", "is_force_offline") else F.sum(c).alias(c) for c in cols]
     return df.groupBy("shop_id", "report_date").agg(*aggs)
 
 
 def joined_facts(tables: ReportTables, ranges: Sequence[Period], shops: DataFrame | Column | None = None,
                  dedupe_right: bool = False, store_cols: Sequence[str] = tuple(STORE_COLS),
                  promo_cols: Sequence[str] = tuple(PROMO_COLS),
-                 stats_cols: Sequence[str] = tuple(STATS_COLS)) -> DataFrame:
+                 stats_cols: Sequence[str] = tuple(STATS_COLS), ad_today: bool = False) -> DataFrame:
     """J1 + J2: store facts ⟕ promotion ⟕ stats on (shop_id, report_date).
 
     Duplicate keys on the right multiply the left row, as a plain left join
-    does (J9); ``dedupe_right=True`` folds them first.
+    does (J9); ``dedupe_right=True`` folds them first. ``ad_today`` adds the
+    same-day ad count (J8), which is the same on every row of a shop and day.
     """
     from shoplens.operators.dims import apply_shop_filter
 
@@ -99,11 +102,15 @@ def joined_facts(tables: ReportTables, ranges: Sequence[Period], shops: DataFram
     s = (tables.store_stats.where(date_in(F.col("date"), ranges))
          .select(F.col("store_id").cast("string").alias("shop_id"), F.col("date").alias("report_date"),
                  *stats_cols))
-    if isinstance(shops, Column):
-        # a literal shop predicate is written on every input, so each scan skips other shops
-        p, s = p.where(shops), s.where(shops)
+    # The shops limit every input before the join: a literal predicate reaches each scan, a
+    # set of shops is a semi join, so that other shops' rows are not shuffled.
+    p, s = apply_shop_filter(p, shops), apply_shop_filter(s, shops)
     if dedupe_right:
         p, s = _dedupe(p, list(promo_cols)), _dedupe(s, list(stats_cols))
+    if ad_today:
+        # One same-day ad figure per shop and day, the greatest of its stats rows; the
+        # window needs the rows where the join needs them, so it adds no shuffle.
+        s = s.withColumn("ad_today", F.max("ad_order_count").over(W.partitionBy("shop_id", "report_date")))
     return k.join(p, ["shop_id", "report_date"], "left").join(s, ["shop_id", "report_date"], "left")
 
 
@@ -147,7 +154,9 @@ def period_rollup(joined: DataFrame, p1: Period, p2: Period, spec: RollupSpec =
     src = joined.where(in1 | in2).select(
         "shop_id", "report_date", "shop_name", "city", in1.alias("_in1"), in2.alias("_in2"),
         *[_src(m).alias(m) for m, *_ in PERIOD_SUMS])
-    by_city = spec.rename == "last_group" and spec.by_city
+    if spec.by_city and spec.rename != "last_group":
+        raise ValueError("by_city groups by (shop, name, city) and needs rename='last_group'")
+    by_city = spec.by_city
     keys = ["shop_id", "shop_name"] + (["city"] if by_city else [])
     groups = src.groupBy(*keys).agg(
         F.expr("bool_or(_in1) AS has_p1"), F.expr("bool_or(_in2) AS has_p2"),
@@ -178,21 +187,28 @@ def period_rollup(joined: DataFrame, p1: Period, p2: Period, spec: RollupSpec =
 
 
 def trailing_sum(df: DataFrame, value_col: str, report: Period, days: int = 7,
-                 key: str = "shop_id", date_col: str = "report_date", out: str | None = None) -> DataFrame:
+                 key: str = "shop_id", date_col: str = "report_date", out: str | None = None,
+                 wanted: DataFrame | None = None) -> DataFrame:
     """Per key and report day d in ``report``, the sum over [d-days+1, d].
 
-    Each input row in [start-days+1, end] is sent to the report days it
-    counts for (at most ``days``), then summed by (key, day) with map-side
-    partial aggregation — no window, so no key's rows meet in one task.
-    Calendar days: gaps are simply absent rows.
+    One report day is one plain aggregate by key. For a range the rows are first
+    summed by (key, day), combined before the shuffle, then a RANGE window adds up
+    each key's days; a key has at most as many rows there as the range and the
+    lookback have days, and about one row per input row is shuffled. Days without
+    an input row get a sum only where ``wanted`` (key, day) lists them.
     """
     out = out or f"{value_col}_{days}d"
     lo = F.date_sub(F.lit(report.start), days - 1)
-    rows = df.where(F.col(date_col).between(lo, F.lit(report.end)))
-    targets = F.sequence(F.greatest(F.col(date_col), F.lit(report.start)),
-                         F.least(F.date_add(F.col(date_col), days - 1), F.lit(report.end)))
-    return (rows.select(F.col(key).cast("string").alias(key), F.explode(targets).alias(date_col), value_col)
-            .groupBy(key, date_col).agg(F.sum(value_col).alias(out)))
+    rows = (df.where(F.col(date_col).between(lo, F.lit(report.end)))
+            .select(F.col(key).cast("string").alias(key), date_col, value_col))
+    if report.start == report.end:
+        return rows.groupBy(key).agg(F.sum(value_col).alias(out)).select(key, F.lit(report.start).alias(date_col), out)
+    if wanted is not None:
+        rows = rows.unionByName(wanted.select(key, date_col, F.lit(None).cast(dict(rows.dtypes)[value_col]).alias(value_col)))
+    daily = rows.groupBy(key, date_col).agg(F.sum(value_col).alias("_day"))
+    span = W.partitionBy(key).orderBy(F.datediff(F.col(date_col), F.lit("1970-01-01"))).rangeBetween(-(days - 1), 0)
+    return (daily.select(key, date_col, F.sum("_day").over(span).alias(out))
+            .where(F.col(date_col).between(F.lit(report.start), F.lit(report.end))))
 
 
 def trailing_sum_window(df: DataFrame, value_col: str, report: Period, days: int = 7,

@@ -1,20 +1,19 @@
 """Running numbers (W1) and per-group occurrence numbers (W2) without a
-single-task window.
+single-task window, a checkpoint or a job while the plan is built.
 
 ``row_number() over (order by k)`` with no PARTITION BY moves every row into
-one task. Here the rows are range-partitioned on (group, order) keys, each
-range partition numbers its own rows, and the offset of a partition is the
-count of the same group's rows in earlier partitions. The count table has at
-most (#groups + #partitions) rows per numbering, and per group at most
-#partitions rows, so even a group holding a third of all rows is numbered by
-many tasks.
+one task. Here the order key is cut into ranges at boundary keys, the rows are
+numbered within (group, range), and a range starts where the ranges before it
+end. The boundaries are quantiles of a hash sample of the keys, about
+``BOUNDARIES`` of them whatever the number of rows; sample and size are scalar
+subqueries, so everything runs when the numbered rows are read. Any boundaries
+give right numbers; good ones make the ranges even, also where most keys share
+a prefix or a group holds a third of all rows.
 
-Several numberings that share the range order (for example the running number
-per date and the occurrence number of a name per date, both in shop order)
-share one range partitioning: a sub-group's rows keep the range order too.
-
-The range-partitioned rows are checkpointed (reliably, to the session's
-``spark.checkpoint.dir``) so partition ids are fixed for every use.
+The rows are shuffled once, by (group, range). The table of range sizes has at
+most (#groups x #ranges) rows per numbering. A numbering with extra groups (the
+occurrence number of a name) counts within (group, range, extra); its table
+holds only extra groups that span more than one range.
 """
 
 from __future__ import annotations
@@ -25,74 +24,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shoplens.session import ensure_checkpoint_dir
+BOUNDARIES = 256
+_STEPS = 1 << 30
+
 
-MAX_PARTITIONS = 512
+def _ranged(df: DataFrame, source: DataFrame, key: str, boundaries: int) -> DataFrame:
+    """``df`` with ``_range``: how many boundary keys of ``source`` are up to a row's key; 0 for the least keys and NULL."""
+    keys = source.select(F.col(key).alias("k"))
+    total = keys.agg(F.count("k")).scalar()
+    share = F.lit(float(boundaries)) / F.greatest(total, F.lit(1)) * _STEPS
+    picked = keys.where(F.pmod(F.xxhash64("k"), F.lit(_STEPS)) < share)
+    cuts = picked.agg(F.array_sort(F.collect_set("k"))).scalar()
+    return (df.withColumn("_cuts", cuts)
+            .withColumn("_range", F.size(F.filter("_cuts", lambda b: b <= F.col(key)))).drop("_cuts"))
 
 
 def sequence_numbers(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
                      numberings: Mapping[str, Sequence[str]] | None = None,
-                     num_partitions: int | None = None) -> DataFrame:
+                     boundaries: int = BOUNDARIES, keys: DataFrame | None = None,
+                     slim: DataFrame | None = None) -> DataFrame:
     """Add one column per numbering: 1..n in ``order_cols`` order within
     ``group_cols`` + that numbering's extra group columns.
 
     ``numberings`` maps output name -> extra group columns (default
-    ``{"seq": []}``). Ties in ``order_cols`` are numbered in an unspecified
-    order; give a unique order key when numbers must be reproducible.
+    ``{"seq": []}``). The ranges are cut on the first order column. Ties in
+    ``order_cols`` are numbered in an unspecified order; give a unique order key
+    when numbers must be reproducible.
 
-    No numbering shuffles the rows: each range partition is sorted, the
-    position inside it comes from ``monotonically_increasing_id`` (partition
-    id in the high bits), and only per-partition counts are joined back. A
-    numbering with extra groups re-sorts each partition by (group, extra,
-    order) first, so its runs are contiguous.
+    Two cheaper sources may be given: ``keys``, any table whose first order
+    column is distributed much like that of ``df`` (for the boundaries), and
+    ``slim``, one with the same rows in the order and group columns (for the sizes).
     """
     numberings = dict(numberings or {"seq": ()})
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # The rows numbered here are report rows (one per shop and date), far fewer
-    # than the facts. Without an explicit count the range exchange is sized by
-    # AQE (contiguous ranges are coalesced, so the order holds); without AQE the
-    # shuffle partition count is capped so small reports do not spawn thousands
-    # of tiny tasks.
-    keys = [*group_cols, *order_cols]
-    if num_partitions:
-        ranged = df.repartitionByRange(num_partitions, *keys)
-    elif spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
-        ranged = df.repartitionByRange(*keys)
-    else:
-        ranged = df.repartitionByRange(min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                           MAX_PARTITIONS), *keys)
-    pid_bits = F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    ranged = (ranged.sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id() - pid_bits))
-    # A numbering with extra groups gets its own position: the partition is
-    # re-sorted (no shuffle) so each (group, extra) run is contiguous.
-    extra_pos = {}
-    for i, (name, extra) in enumerate(numberings.items()):
-        if extra:
-            col = f"_pos{i}"
-            ranged = (ranged.sortWithinPartitions(*group_cols, *extra, *order_cols)
-                      .withColumn(col, F.monotonically_increasing_id() - pid_bits))
-            extra_pos[name] = col
-    ranged = ranged.checkpoint(eager=True)
-    out = ranged
+    keys = df if keys is None else keys
+    out = _ranged(df, keys, order_cols[0], boundaries)
+    sized = (df if slim is None else slim).select(*dict.fromkeys([*group_cols, order_cols[0], *[c for x in numberings.values() for c in x]]))
+    sized = _ranged(sized, keys, order_cols[0], boundaries)
+    columns = df.columns
+    for name, extra in numberings.items():
+        place = F.row_number().over(W.partitionBy(*group_cols, "_range", *extra).orderBy(*order_cols))
+        out = out.withColumn(f"_at_{name}", place)
     for name, extra in numberings.items():
         groups = [*group_cols, *extra]
-        pos = extra_pos.get(name, "_pos")
-        stats = out.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_first"))
-        before = (W.partitionBy(*groups) if groups else W).orderBy("_pid").rowsBetween(
-            W.unboundedPreceding, -1)
-        offsets = stats.select(F.col("_pid").alias("_opid"), *[F.col(g).alias(f"_o_{g}") for g in groups],
-                               F.col("_first"),
-                               F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-        cond = [out["_pid"] == offsets["_opid"]] + [out[g].eqNullSafe(offsets[f"_o_{g}"]) for g in groups]
-        num = (out[pos] - offsets["_first"] + offsets["_off"] + 1).cast("int").alias(name)
-        out = out.join(offsets, cond).select(*[out[c] for c in out.columns], num)
-    return out.drop("_pid", "_pos", *extra_pos.values())
+        before = (W.partitionBy(*groups) if groups else W).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+        sizes = sized.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        offsets = (sizes.select(F.col("_range").alias("_orange"), *[F.col(g).alias(f"_o_{g}") for g in groups],
+                                F.sum("_n").over(before).alias("_off")).where("_off > 0"))
+        cond = [out["_range"] == offsets["_orange"]] + [out[g].eqNullSafe(offsets[f"_o_{g}"]) for g in groups]
+        number = (F.col(f"_at_{name}") + F.coalesce(F.col("_off"), F.lit(0))).cast("int").alias(name)
+        columns = [*columns, name]
+        out = out.join(offsets, cond, "left").select(*[c for c in out.columns], number)
+    return out.select(*columns)
 
 
 def sequence_number(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
-                    name: str = "seq", num_partitions: int | None = None) -> DataFrame:
+                    name: str = "seq", boundaries: int = BOUNDARIES) -> DataFrame:
     """Add ``name`` = 1..n in ``order_cols`` order within each ``group_cols`` group."""
-    return sequence_numbers(df, order_cols, group_cols, {name: ()}, num_partitions)
+    return sequence_numbers(df, order_cols, group_cols, {name: ()}, boundaries)

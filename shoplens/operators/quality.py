@@ -31,13 +31,14 @@ RATE_TEXT = r"^[0-9]+(\.[0-9]+)?%$"
 
 
 def validate(tables: ReportTables, ranges: Sequence[Period]) -> DataFrame:
-    """Q1: every store-day row in ``ranges`` with ``status`` ok/rejected and ``errors``.
+    """Q1: every store-day row in ``ranges``, or without a date, with ``status`` ok/rejected and ``errors``.
 
     Rules: key present; counters and money not negative; ``intent_rate`` text
     like ``12%``; at most one promotion row and one stats row per store-day
     (more would multiply the row's sums in the report join).
     """
-    k = tables.store_daily.where(date_in(F.col("report_date"), ranges)).withColumn(
+    # A row without a date belongs to no range; it is checked, and rejected, with every one.
+    k = tables.store_daily.where(date_in(F.col("report_date"), ranges) | F.col("report_date").isNull()).withColumn(
         "shop_id", F.col("shop_id").cast("string"))
     dup_p = (tables.promotion_daily.where(date_in(F.col("report_date"), ranges))
              .groupBy(F.col("shop_id").cast("string").alias("shop_id"), "report_date")

@@ -1,9 +1,11 @@
 """Oracle SQL (DuckDB dialect) for the registered queries.
 
-Written independently of the Spark plans: the period report is two separate
-rollups matched through the union of their shop keys (the original shape,
-not the one-pass conditional aggregate), rounding is integer-only arithmetic,
-numbering is a plain ``row_number()``. The fixture views are shared text.
+Written independently of the Spark plans, of which nothing is imported: sums,
+rates, averages and display orders are spelled out here; the period report is
+two separate rollups matched through the union of their shop keys (the original
+shape, not the one-pass conditional aggregate), rounding is integer-only
+arithmetic, numbering is a plain ``row_number()``. Shared are the report wording
+(fixed texts), the period parameters and the text of the fixture views.
 """
 
 from __future__ import annotations
@@ -11,11 +13,57 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from shoplens.functions import texts as X
-from shoplens.operators.facts import PERIOD_SUMS, SUM_KIND
 from shoplens.plans.params import Period
-from shoplens.plans.period import BLOCK1, BLOCK2, DETAIL_ROWS, METRICS
 from shoplens.sources.fixtures import duckdb_ctes
 
+# FIXED VALUES. The 23 sums of a period, in report order: name = summed column.
+SUMS = dict(x.split("=") for x in """
+verify_after_discount=verify_after_discount exposure_users=exposure_users visit_users=visit_users order_users=order_users
+order_coupon_count=order_coupon_count verify_users=verify_person_count verify_coupon_count=verify_coupon_count
+order_sale_amount=order_sale_amount verify_sale_amount=verify_sale_amount coupon_orders=coupon_pay_order_count
+phone_clicks=view_phone_count promotion_cost=promotion_cost promotion_exposure=promotion_exposure_count
+promotion_clicks=promotion_click_count promotion_orders=order_count view_groupbuy=view_groupbuy_count
+view_phone=view_phone_count consult_users=consult_users address_clicks=view_address_count new_collect=new_collect_users
+new_good_reviews=new_good_review_count new_reviews=new_review_count checkin_count=checkin_count
+""".split())
+AMOUNTS = {"verify_after_discount", "order_sale_amount", "verify_sale_amount", "promotion_cost"}
+# Percentages: 100 * first / second. Unit prices: first / second.
+PERCENT = {
+    "exposure_rate": ("visit_users", "exposure_users"),
+    "order_rate": ("order_users", "visit_users"),
+    "promotion_rate": ("promotion_orders", "promotion_clicks"),
+    "collect_rate": ("new_collect", "visit_users"),
+    "collect_rate_detail": ("new_collect", "order_users"),
+    "review_rate": ("new_good_reviews", "verify_users"),
+}
+UNIT = {
+    "avg_price": ("verify_after_discount", "verify_users"),
+    "click_price": ("promotion_cost", "promotion_clicks"),
+}
+# Columns of the two summary blocks, and lines of the detail sheet ("-": a section line).
+FIRST = ("verify_after_discount exposure_users visit_users exposure_rate order_users order_coupon_count order_rate verify_users "
+         "verify_coupon_count order_sale_amount verify_sale_amount coupon_orders phone_clicks avg_price").split()
+SECOND = ("promotion_cost promotion_exposure promotion_clicks click_price promotion_orders promotion_rate view_groupbuy view_phone "
+          "consult_users address_clicks new_collect collect_rate new_good_reviews review_rate").split()
+SHEET = ("exposure_users visit_users exposure_rate order_users verify_users order_rate order_coupon_count verify_coupon_count "
+         "order_sale_amount verify_sale_amount verify_after_discount avg_price phone_clicks address_clicks consult_users - "
+         "new_good_reviews review_rate new_collect collect_rate_detail checkin_count - promotion_orders promotion_cost "
+         "promotion_exposure promotion_clicks click_price view_groupbuy view_phone").split()
+# Store-day columns that must not be negative, in the order in which reasons are listed.
+NOT_NEGATIVE = ("exposure_users visit_users order_users verify_person_count order_coupon_count verify_coupon_count coupon_pay_order_count "
+                "promotion_exposure_count promotion_click_count new_good_review_count new_review_count new_collect_users consult_users "
+                "promotion_cost order_sale_amount verify_sale_amount verify_after_discount").split()
+PERCENT_TEXT = r"^[0-9]+(\.[0-9]+)?%$"
+
+
+def spec(name: str) -> tuple[str, str, tuple[str, ...]]:
+    """(name, kind, arguments) of a displayed figure."""
+    if name in PERCENT:
+        return name, "rate", PERCENT[name]
+    if name in UNIT:
+        return name, "avg", UNIT[name]
+    return name, "sum", ()
+
 
 def q(s: str) -> str:
     """SQL string literal."""
@@ -65,7 +113,17 @@ def diff_text(t1: str, t2: str, two_places: bool = False) -> str:
 
 # ---- the period base ---------------------------------------------------------
 
-def _joined(date_where: str, shop_where: str = "") -> str:
+def _joined(date_where: str, shop_where: str = "", dedupe: bool = False) -> str:
+    """Facts with promotion and stats; ``ad_today`` is the greatest figure of a shop and day. ``dedupe`` folds
+    the right sides first: the greatest price, balance, rank and offline flag, sums of the rest."""
+    promo, stats = "promotion_daily", "store_stats"
+    if dedupe:
+        promo = """(select shop_id, report_date, sum(view_phone_count) as view_phone_count, sum(view_address_count) as view_address_count,
+      max(click_avg_price) as click_avg_price, sum(order_count) as order_count, sum(view_groupbuy_count) as view_groupbuy_count
+      from promotion_daily group by 1, 2)"""
+        stats = """(select store_id, date, max(order_user_rank) as order_user_rank, max(verify_amount_rank) as verify_amount_rank,
+      sum(checkin_count) as checkin_count, max(ad_balance) as ad_balance, sum(ad_order_count) as ad_order_count,
+      max(is_force_offline) as is_force_offline from store_stats group by 1, 2)"""
     cols_k = ", ".join(f"k.{c}" for c in [
         "shop_name", "city", "exposure_users", "visit_users", "order_users", "verify_person_count",
         "order_coupon_count", "verify_coupon_count", "coupon_pay_order_count", "promotion_cost",
@@ -75,17 +133,18 @@ def _joined(date_where: str, shop_where: str = "") -> str:
     return f"""
     select k.shop_id, k.report_date, {cols_k},
       p.view_phone_count, p.view_address_count, p.click_avg_price, p.order_count, p.view_groupbuy_count,
-      s.order_user_rank, s.verify_amount_rank, s.checkin_count, s.ad_balance, s.ad_order_count, s.is_force_offline
+      s.order_user_rank, s.verify_amount_rank, s.checkin_count, s.ad_balance, s.ad_order_count, s.is_force_offline,
+      (select max(x.ad_order_count) from {stats} x where x.store_id = k.shop_id and x.date = k.report_date) as ad_today
     from store_daily k
-    left join promotion_daily p on k.shop_id = p.shop_id and k.report_date = p.report_date
-    left join store_stats s on k.shop_id = s.store_id and k.report_date = s.date
+    left join {promo} p on k.shop_id = p.shop_id and k.report_date = p.report_date
+    left join {stats} s on k.shop_id = s.store_id and k.report_date = s.date
     where {date_where} {shop_where}"""
 
 
 def _sum_cols(alias: str = "") -> str:
     out = []
-    for name, _src_alias, src, kind in PERIOD_SUMS:
-        t = "decimal(38,2)" if kind == "money" else "bigint"
+    for name, src in SUMS.items():
+        t = "decimal(38,2)" if name in AMOUNTS else "bigint"
         out.append(f"cast(sum({alias}{src}) as {t}) as {name}")
     return ",\n      ".join(out)
 
@@ -169,12 +228,15 @@ def resolved_cte(accounts: Sequence[str]) -> str:
 
 def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = None,
                     shop_id: str | None = None, shop_ids: Sequence[str] | None = None,
-                    rename: str = "sum_latest", by_city: bool = False, unresolved: str = "none") -> str:
+                    rename: str = "sum_latest", by_city: bool = False, unresolved: str = "none",
+                    dedupe: bool = False, quarantine: bool = False, variant: str | None = None) -> str:
     """CTE text ending in ``base``: one row per shop with seq, attributes, sums and
     derived tenths/cents, named like the Spark base."""
     ctes = []
     if shop_id:
         shop_where = f" and k.shop_id = {q(str(shop_id))}"
+    elif shop_ids is not None and not shop_ids:
+        shop_where = " and false" if unresolved == "none" else ""
     elif shop_ids:
         shop_where = f" and k.shop_id in ({', '.join(q(str(s)) for s in shop_ids)})"
     elif accounts:
@@ -185,9 +247,12 @@ def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = Non
     else:
         shop_where = ""
     ctes.append(shop_dim_cte(accounts))
+    if quarantine:
+        ctes.append(validate_ctes([p1, p2]))
+        shop_where += " and k.shop_id not in (select shop_id from v where errors <> '')"
 
     def rollup(tag: str, p: Period) -> str:
-        j = _joined(f"k.report_date between {d(p.start)} and {d(p.end)}", shop_where)
+        j = _joined(f"k.report_date between {d(p.start)} and {d(p.end)}", shop_where, dedupe)
         if rename == "sum_latest":
             return f"""
   {tag} as (
@@ -212,7 +277,7 @@ def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = Non
     ctes.append(rollup("w1", p1))
     ctes.append(rollup("w2", p2))
     sums = []
-    for name, *_ in PERIOD_SUMS:
+    for name in SUMS:
         sums.append(f"w1.{name} as {name}_p1")
         sums.append(f"w2.{name} as {name}_p2")
     ctes.append(f"""
@@ -233,8 +298,7 @@ def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = Non
     left join shop_dim sd on sd.shop_id = keys.shop_id
   )""")
     derived, seen = [], set()
-    for spec in METRICS + [s for s in DETAIL_ROWS if s is not None]:
-        name, kind, args = spec
+    for name, kind, args in map(spec, FIRST + SECOND + [x for x in SHEET if x != "-"]):
         if kind == "sum" or name in seen:
             continue
         seen.add(name)
@@ -245,8 +309,19 @@ def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = Non
             else:
                 derived.append(f"{cents(a, b)} as {name}{sfx}_c")
     ctes.append(f"""
-  base as (select *, {", ".join(derived)} from b0)""")
-    return duckdb_ctes().rstrip() + ",\n" + ",".join(ctes) + "\n"
+  b1 as (
+    select *, {", ".join(derived)},
+      coalesce(nullif(substring(translate(shop_name, {q(X.SECTION_NAME_ILLEGAL)}, ''), 1, 31), ''), 'Sheet') as clean_name
+    from b0
+  ),
+  base as (
+    select *,
+      case when row_number() over (partition by clean_name order by seq) > 1
+           then substring(clean_name, 1, 28) || '_' || cast(row_number() over (partition by clean_name order by seq) as varchar)
+           else clean_name end as sheet_name
+    from b1
+  )""")
+    return duckdb_ctes(variant).rstrip() + ",\n" + ",".join(ctes) + "\n"
 
 
 # ---- per-metric SQL over base ------------------------------------------------
@@ -261,7 +336,7 @@ def _count(x: str) -> str:
 
 def value_sql(name, kind, sfx) -> str:
     if kind == "sum":
-        return _money(name + sfx) if SUM_KIND[name] == "money" else _count(name + sfx)
+        return _money(name + sfx) if name in AMOUNTS else _count(name + sfx)
     if kind == "rate":
         return f"coalesce({tenths_dec(f'{name}{sfx}_t')}, cast(0 as decimal(20,1)))"
     return f"coalesce({cents_dec(f'{name}{sfx}_c')}, cast(0 as decimal(38,2)))"
@@ -272,7 +347,7 @@ def delta_sql(name, kind) -> str:
         return tenths_dec(f"(coalesce({name}_p2_t, 0) - coalesce({name}_p1_t, 0))")
     if kind == "avg":
         return cents_dec(f"(coalesce({name}_p2_c, 0) - coalesce({name}_p1_c, 0))")
-    t = "decimal(38,2)" if SUM_KIND[name] == "money" else "bigint"
+    t = "decimal(38,2)" if name in AMOUNTS else "bigint"
     return f"cast({value_sql(name, kind, '_p2')} - {value_sql(name, kind, '_p1')} as {t})"
 
 
@@ -281,7 +356,7 @@ def cell_sql(name, kind, sfx) -> str:
         return tenths_text(f"{name}{sfx}_t")
     if kind == "avg":
         return f"coalesce(cast({cents_dec(f'{name}{sfx}_c')} as varchar), '0')"
-    if SUM_KIND[name] == "money":
+    if name in AMOUNTS:
         return f"coalesce(cast(cast({name}{sfx} as decimal(38,2)) as varchar), '0')"
     return f"cast({_count(name + sfx)} as varchar)"
 
@@ -293,7 +368,7 @@ def delta_cell_sql(name, kind, detail: bool = False) -> str:
         c1, c2 = f"{name}_p1_c", f"{name}_p2_c"
         return (f"(case when {c1} is null and {c2} is null then '0' else "
                 f"cast({cents_dec(f'(coalesce({c2}, 0) - coalesce({c1}, 0))')} as varchar) end)")
-    if SUM_KIND[name] == "money":
+    if name in AMOUNTS:
         a, b = f"{name}_p1", f"{name}_p2"
         return (f"(case when {a} is null and {b} is null then '0' else cast(cast(coalesce({b}, 0) - "
                 f"coalesce({a}, 0) as decimal(38,2)) as varchar) end)")
@@ -307,7 +382,7 @@ def trend_sql(name, kind) -> str:
 def wide_select(p1: Period, p2: Period) -> str:
     cols = ["shop_id", "cast(seq as integer) as seq", "operator", "city", "sales", "shop_name",
             f"{q(p1.label)} as p1_label", f"{q(p2.label)} as p2_label"]
-    for name, kind, _args in METRICS:
+    for name, kind, _args in map(spec, FIRST + SECOND):
         cols.append(f"{value_sql(name, kind, '_p1')} as {name}_p1")
         cols.append(f"{value_sql(name, kind, '_p2')} as {name}_p2")
         cols.append(f"{delta_sql(name, kind)} as {name}_delta")
@@ -329,11 +404,11 @@ def _lines(rows: list[list[str]], columns: list[str], keys: str = "shop_id, cast
 
 def rows8_select(p1: Period, p2: Period) -> str:
     def block(metrics):
-        return ([cell_sql(n, k, "_p1") for n, k, _ in metrics], [cell_sql(n, k, "_p2") for n, k, _ in metrics],
-                [delta_cell_sql(n, k) for n, k, _ in metrics])
+        return ([cell_sql(n, k, "_p1") for n, k, _ in map(spec, metrics)], [cell_sql(n, k, "_p2") for n, k, _ in map(spec, metrics)],
+                [delta_cell_sql(n, k) for n, k, _ in map(spec, metrics)])
 
-    b1 = block(BLOCK1)
-    b2 = block(BLOCK2)
+    b1 = block(FIRST)
+    b2 = block(SECOND)
     blank5 = ["''"] * 5
     shop = ["cast(seq as varchar)", "operator", "city", "sales", "coalesce(shop_name, '')"]
     rows = [
@@ -355,34 +430,37 @@ def detail31_select(p1: Period, p2: Period) -> str:
     rows = [["coalesce(shop_name, '')", "''", "''", "''", "true", "false", "0"],
             [q(X.DETAIL_HEADER), q(p1.label), q(p2.label), q(X.DETAIL_DELTA_HEADER), "true", "false", "0"]]
     labels = iter(X.DETAIL_LABELS)
-    for spec in DETAIL_ROWS:
+    for line in SHEET:
         label = next(labels)
-        if spec is None:
+        if line == "-":
             rows.append([q(label), "''", "''", "''", "true", "false", "0"])
             continue
-        n, k, _ = spec
+        n, k, _ = spec(line)
         rows.append([q(label), cell_sql(n, k, "_p1"), cell_sql(n, k, "_p2"), delta_cell_sql(n, k, detail=True),
                      "false", "true", trend_sql(n, k)])
     rows = [r[:6] + [f"cast({r[6]} as integer)"] for r in rows]
-    return _lines(rows, ["label", "p1", "p2", "delta", "is_section", "is_metric", "trend"])
+    return _lines(rows, ["label", "p1", "p2", "delta", "is_section", "is_metric", "trend"],
+                  keys="shop_id, cast(seq as integer) as seq, sheet_name")
 
 
 def trend_select() -> str:
-    rows = [[q(n), f"cast({delta_sql(n, k)} as varchar)", trend_sql(n, k)] for n, k, _ in METRICS]
+    rows = [[q(n), f"cast({delta_sql(n, k)} as varchar)", trend_sql(n, k)] for n, k, _ in map(spec, FIRST + SECOND)]
     return _lines(rows, ["metric", "delta", "trend"])
 
 
 # ---- daily report -----------------------------------------------------------
 
 def float_tenths(n: str, den: str) -> str:
-    """Tenths of format(n/den*100, '.1f') on the IEEE double (ties decided by the double)."""
+    """Tenths of format(n/den*100, '.1f'). Exact ties go to the side on which the double lies: its
+    value times a power of two is an integer, compared with the tie's in 128 bits."""
     n0, d0 = f"cast(coalesce({n}, 0) as bigint)", f"cast(coalesce({den}, 0) as bigint)"
     a = f"({n0} * 1000)"
     qq, rr = f"({a} // {d0})", f"({a} % {d0})"
     x = f"(cast({n0} as double) / cast({d0} as double) * 100.0)"
-    tie = f"(cast(2 * {qq} + 1 as double) / 20.0)"
+    scale = f"(case when {x} < 32 then 144115188075855872 when {x} < 65536 then 140737488355328 else 68719476736 end)"
+    diff = f"(cast({x} * cast({scale} as double) as hugeint) * 20 - cast(2 * {qq} + 1 as hugeint) * {scale})"
     return (f"(case when {d0} > 0 then case when 2 * {rr} > {d0} then {qq} + 1 when 2 * {rr} < {d0} then {qq} "
-            f"else case when {x} < {tie} then {qq} when {x} > {tie} then {qq} + 1 else {qq} + {qq} % 2 end end end)")
+            f"else case when {diff} < 0 then {qq} when {diff} > 0 then {qq} + 1 else {qq} + {qq} % 2 end end end)")
 
 
 def float_rate_text_sql(n: str, den: str) -> str:
@@ -415,7 +493,7 @@ def trailing_sql(table: str, key: str, date_col: str, value: str, out: str) -> s
     group by jj.shop_id, jj.report_date"""
 
 
-def daily_base_sql(start, end, accounts: Sequence[str] | None = None) -> str:
+def daily_base_sql(start, end, accounts: Sequence[str] | None = None, variant: str | None = None) -> str:
     ctes = [shop_dim_cte(accounts), region_dim_cte(accounts)]
     shop_where = ""
     if accounts:
@@ -426,8 +504,8 @@ def daily_base_sql(start, end, accounts: Sequence[str] | None = None) -> str:
   c7 as ({trailing_sql('store_daily', 'shop_id', 'report_date', 'coupon_pay_order_count', 'coupon_orders_7d')}),
   a7 as ({trailing_sql('store_stats', 'store_id', 'date', 'ad_order_count', 'ad_orders_7d')}),
   db0 as (
-    select j.*, c7.coupon_orders_7d, a7.ad_orders_7d,
-      cast(coalesce(j.ad_order_count, 0) as bigint) as ad_today,
+    select j.* exclude (ad_today), c7.coupon_orders_7d, a7.ad_orders_7d,
+      cast(coalesce(j.ad_today, 0) as bigint) as ad_today,
       coalesce(sd.operator, '') as operator, coalesce(sd.sales, '') as sales, coalesce(sd.city, '') as acity,
       rd.region_city, rd.region_district, rd.region_business,
       case when j.shop_name is not null and j.shop_name <> '' then j.shop_name
@@ -456,7 +534,7 @@ def daily_base_sql(start, end, accounts: Sequence[str] | None = None) -> str:
            else clean_name end as sheet_name
     from db1
   )""")
-    return duckdb_ctes().rstrip() + ",\n" + ",".join(ctes) + "\n"
+    return duckdb_ctes(variant).rstrip() + ",\n" + ",".join(ctes) + "\n"
 
 
 def _cnt(x: str) -> str:
@@ -603,7 +681,7 @@ def accounts_filter_select(accounts) -> str:
 def default_profile_select() -> str:
     parts = []
     for sfx, period, has in (("_p1", "p1", "has_p1"), ("_p2", "p2", "has_p2")):
-        for name, *_ in PERIOD_SUMS:
+        for name in SUMS:
             reason = (f"case when not coalesce({has}, false) then 'row missing' "
                       f"when {name}{sfx} is null then 'null' else '' end")
             parts.append(f"select shop_id, cast(seq as integer) as seq, '{period}' as period, '{name}' as metric, "
@@ -611,20 +689,19 @@ def default_profile_select() -> str:
     return "select * from (\n" + "\nunion all\n".join(parts) + "\n) t where reason <> ''"
 
 
-def validate_sql(ranges) -> str:
-    from shoplens.operators.quality import COUNTERS, MONEY, RATE_TEXT
-
+def validate_ctes(ranges) -> str:
+    """CTEs ending in ``v``: every store-day of the ranges, or without a date, with its errors."""
     def rng(col):
         return "(" + " or ".join(f"{col} between {d(p.start)} and {d(p.end)}" for p in ranges) + ")"
 
     checks = ["case when k.shop_id is null or k.shop_id = '' then 'missing shop_id' end",
               "case when k.report_date is null then 'missing report_date' end"]
-    checks += [f"case when k.{c} < 0 then 'negative {c}' end" for c in COUNTERS + MONEY]
+    checks += [f"case when k.{c} < 0 then 'negative {c}' end" for c in NOT_NEGATIVE]
     checks += [f"case when k.intent_rate is not null and k.intent_rate <> '' and "
-               f"not regexp_full_match(k.intent_rate, '{RATE_TEXT}') then 'bad intent_rate' end",
+               f"not regexp_full_match(k.intent_rate, '{PERCENT_TEXT}') then 'bad intent_rate' end",
                "case when dp._np > 1 then 'duplicate promotion rows' end",
                "case when ds._ns > 1 then 'duplicate stats rows' end"]
-    return duckdb_ctes().rstrip() + f""",
+    return f"""
   dp as (select shop_id, report_date, count(*) as _np from promotion_daily where {rng('report_date')} group by 1, 2),
   ds as (select store_id as shop_id, date as report_date, count(*) as _ns from store_stats where {rng('date')}
          group by 1, 2),
@@ -633,9 +710,17 @@ def validate_sql(ranges) -> str:
     from store_daily k
     left join dp on dp.shop_id = k.shop_id and dp.report_date = k.report_date
     left join ds on ds.shop_id = k.shop_id and ds.report_date = k.report_date
-    where {rng('k.report_date')}
-  )
-select shop_id, report_date, case when errors = '' then 'ok' else 'rejected' end as status, errors from v"""
+    where {rng('k.report_date')} or k.report_date is null
+  )"""
+
+
+def validate_sql(ranges, variant: str | None = None) -> str:
+    return (duckdb_ctes(variant).rstrip() + "," + validate_ctes(ranges)
+            + "\nselect shop_id, report_date, case when errors = '' then 'ok' else 'rejected' end as status, errors from v")
+
+
+def sections_period_select() -> str:
+    return "select shop_id, cast(seq as integer) as seq, clean_name, sheet_name from base"
 
 
 def rows16_select(p1: Period, p2: Period) -> str:

@@ -5,25 +5,29 @@ Plan: store facts ⟕ promotion ⟕ stats for the report date(s) (P1) → traili
 shop) → shop attributes and regions (J4, J5) → running number per date (W1)
 and sheet names (T5, W2) → summary (L1), 39-line detail (L2), checks (N8, N9).
 
-The same-day ad count (J8) comes from the already-joined stats row, not from
-a second lookup per shop.
+The same-day ad count (J8) comes from the stats rows that are joined anyway, not
+from a second lookup per shop: the greatest of a shop and day, so that shop-days
+with several stats rows show one figure.
+
+Only outputs that show a number (summary, detail, sections) read the numbered
+rows; checks, ranks and totals read the plain ones. Building a report runs no job.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions import labels as L
 from shoplens.functions import metrics as M
 from shoplens.functions import texts as X
-from shoplens.operators.dims import Accounts, apply_shop_filter, region_dim, shop_dim, shop_filter
-from shoplens.operators.facts import joined_facts, trailing_sum
+from shoplens.operators.dims import Accounts, apply_shop_filter, given, region_dim, shop_dim, shop_filter
+from shoplens.operators.facts import date_in, joined_facts, trailing_sum
 from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
 from shoplens.plans.params import Period, as_period
@@ -38,10 +42,16 @@ TRAILING_DAYS = 7
 
 @dataclass
 class DailyReport:
-    base: DataFrame            # one row per (report_date, shop row) with seq, sheet_name and inputs
+    rows: DataFrame            # one row per (report_date, shop row) with its inputs, not numbered
+    number: Callable[[], DataFrame]
     dates: Period
     options: dict = field(default_factory=dict)
 
+    @cached_property
+    def base(self) -> DataFrame:
+        """The rows with ``seq`` per date and the unique ``sheet_name``."""
+        return self.number()
+
     @cached_property
     def summary(self) -> DataFrame:
         """L1: one row per shop and date, the 23 summary columns plus keys."""
@@ -71,7 +81,7 @@ class DailyReport:
     @cached_property
     def checks(self) -> DataFrame:
         """The four pass/fail checks per shop and date."""
-        return self.base.selectExpr(
+        return self.rows.selectExpr(
             "report_date", "shop_id",
             f"{REVIEW_RATE} AS review_rate", f"{REVIEW_OK} AS review_pass",
             f"{COLLECT_RATE} AS collect_rate", f"{COLLECT_OK} AS collect_pass",
@@ -82,7 +92,7 @@ class DailyReport:
     @cached_property
     def ranks(self) -> DataFrame:
         """Summary and detail rank labels with the region path."""
-        return self.base.selectExpr(
+        return self.rows.selectExpr(
             "report_date", "shop_id",
             f"{L.rank_label('order_user_rank')} AS order_rank_label",
             f"{L.rank_label('verify_amount_rank')} AS verify_rank_label",
@@ -99,14 +109,16 @@ class DailyReport:
     @cached_property
     def coupon_7d(self) -> DataFrame:
         """A5: 7-day coupon-code order total per shop and date."""
-        return self.base.select("report_date", "shop_id", "coupon_orders_7d")
+        return self.rows.select("report_date", "shop_id", "coupon_orders_7d")
 
     def ad_orders_7d(self, tables) -> DataFrame:
         """7-day ad-order total from the stats table, per shop and date."""
         stats = tables.store_stats.select(F.col("store_id").cast("string").alias("shop_id"),
                                           F.col("date").alias("report_date"), "ad_order_count")
-        sums = trailing_sum(stats, "ad_order_count", self.dates, days=TRAILING_DAYS, out="_ad7")
-        return (self.base.select("report_date", "shop_id").join(sums, ["shop_id", "report_date"], "left")
+        stats = apply_shop_filter(stats, self.options.get("shops"))
+        own = self.rows.select("report_date", "shop_id")
+        sums = trailing_sum(stats, "ad_order_count", self.dates, days=TRAILING_DAYS, out="_ad7", wanted=own)
+        return (own.join(sums, ["shop_id", "report_date"], "left")
                 .selectExpr("report_date", "shop_id", f"{M.count0('_ad7')} AS ad_orders_7d"))
 
     @cached_property
@@ -173,10 +185,10 @@ class DailyReport:
     @cached_property
     def shop_count(self) -> DataFrame:
         """Number of shops in the report (one row)."""
-        return self.base.selectExpr("count(DISTINCT shop_id) AS store_count")
+        return self.rows.selectExpr("count(DISTINCT shop_id) AS store_count")
 
     def outputs(self) -> dict[str, DataFrame]:
-        return {"summary": self.summary, "detail": self.detail}
+        return {"summary": self.summary, "detail": self.detail, "checks": self.checks}
 
 
 # N8/N9 checks over base columns.
@@ -192,45 +204,55 @@ def _as_period(report_date) -> Period:
     return as_period(report_date)
 
 
-def daily_base(tables, report_date: str | dt.date | Period, accounts: Accounts = None,
-               unresolved: str = "none", dedupe_right: bool = False, numbered: bool = True) -> DataFrame:
-    dates = _as_period(report_date)
-    shops = shop_filter(tables, accounts=accounts, unresolved=unresolved)
-    rows = joined_facts(tables, [dates], shops=shops, dedupe_right=dedupe_right)
+def _daily_rows(tables, dates: Period, accounts: Accounts, shops, dedupe_right: bool) -> DataFrame:
+    rows = joined_facts(tables, [dates], shops=shops, dedupe_right=dedupe_right, ad_today=True)
     history = tables.store_daily.select(F.col("shop_id").cast("string").alias("shop_id"), "report_date",
                                         "coupon_pay_order_count")
     # the trailing sum is per shop: only the reported shops' history is needed
     history = apply_shop_filter(history, shops)
     coupons = trailing_sum(history, "coupon_pay_order_count", dates, days=TRAILING_DAYS, out="coupon_orders_7d")
-    dim = apply_shop_filter(shop_dim(tables, accounts), shops)      # only the reported shops
-    reg = apply_shop_filter(region_dim(tables, accounts), shops)
+    dim, reg = shop_dim(tables, accounts), region_dim(tables, accounts)
+    if isinstance(shops, Column):                      # a literal limit is pushed down; others would only add a join
+        dim, reg = dim.where(shops), reg.where(shops)
     rows = rows.withColumnsRenamed({"city": "store_city", "shop_name": "raw_shop_name"})
     joined = (rows.join(coupons, ["shop_id", "report_date"], "left")
               .join(dim, "shop_id", "left")
               .join(reg, "shop_id", "left"))
     # A region entry's city (possibly '') when the entry exists, else the account city.
     region_city = "CASE WHEN region_city IS NOT NULL THEN region_city ELSE coalesce(city, '') END"
-    b = joined.selectExpr(
-        *rows.columns,
+    return joined.selectExpr(
+        *[c for c in rows.columns if c != "ad_today"],
         f"{M.count0('coupon_orders_7d')} AS coupon_orders_7d",
-        f"{M.count0('ad_order_count')} AS ad_today",
+        f"{M.count0('ad_today')} AS ad_today",
         "coalesce(operator, '') AS operator",
         "coalesce(sales, '') AS sales",
         "coalesce(city, '') AS city",
         f"{L.daily_shop_name('raw_shop_name', 'shop_id')} AS shop_name",
         f"{L.region_path(region_city, 'region_district', 'region_business', 'city')} AS region_path",
-        f"{L.clean_section_name(L.daily_shop_name('raw_shop_name', 'shop_id'))} AS clean_name",
+        f"{CLEAN_NAME} AS clean_name",
     )
-    if not numbered:
-        return b
-    b = sequence_numbers(b, ["shop_id"], group_cols=["report_date"],
-                         numberings={"seq": (), "name_no": ("clean_name",)})
-    return b.withColumn("sheet_name", F.expr(L.numbered_section_name("clean_name", "name_no")))
+
+
+CLEAN_NAME = L.clean_section_name(L.daily_shop_name("raw_shop_name", "shop_id"))
+
+
+def _numbered(tables, rows: DataFrame, dates: Period, shops, dedupe_right: bool) -> DataFrame:
+    # The ranges' sizes need the joins' row counts, but none of their columns; the boundaries only shop ids.
+    slim = (joined_facts(tables, [dates], shops=shops, dedupe_right=dedupe_right, store_cols=("shop_name",), promo_cols=(), stats_cols=())
+            .withColumnRenamed("shop_name", "raw_shop_name").selectExpr("report_date", "shop_id", f"{CLEAN_NAME} AS clean_name"))
+    keys = apply_shop_filter(tables.store_daily.where(date_in(F.col("report_date"), [dates]))
+                             .select(F.col("shop_id").cast("string").alias("shop_id")), shops)
+    out = sequence_numbers(rows, ["shop_id"], group_cols=["report_date"],
+                           numberings={"seq": (), "name_no": ("clean_name",)}, keys=keys, slim=slim)
+    return out.withColumn("sheet_name", F.expr(L.numbered_section_name("clean_name", "name_no")))
 
 
 def daily_report(tables, report_date: str | dt.date | Period | Sequence, accounts: Accounts = None,
                  unresolved: str = "none", dedupe_right: bool = False, legacy: bool = False) -> DailyReport:
     """R1 for one date, R5 for a date range (numbering restarts per date)."""
     dates = _as_period(report_date)
-    base = daily_base(tables, dates, accounts=accounts, unresolved=unresolved, dedupe_right=dedupe_right)
-    return DailyReport(base=base, dates=dates, options=dict(accounts=accounts, legacy=legacy))
+    accounts = given(accounts, unresolved)
+    shops = shop_filter(tables, accounts=accounts, unresolved=unresolved)
+    rows = _daily_rows(tables, dates, accounts, shops, dedupe_right)
+    return DailyReport(rows=rows, number=lambda: _numbered(tables, rows, dates, shops, dedupe_right), dates=dates,
+                       options=dict(accounts=accounts, legacy=legacy, shops=shops))

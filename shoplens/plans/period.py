@@ -4,24 +4,24 @@ Plan: date-cut facts ⟕ promotion ⟕ stats → one conditional aggregate per s
 for both periods (A2) → shop attributes (J4) → running number (W1) → derived
 metrics and deltas (N*, W4) → layouts (L3-L5).
 
-The numbered per-shop rollup is checkpointed once (see ``sequence_number``);
-every output (wide table, 8-line summary, 31-line detail, trend flags) reads
-that one row per shop.
+Every output (wide table, 8-line summary, 31-line detail, trend flags) reads the
+numbered rollup, one row per shop; building a report runs no job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from shoplens.functions import labels as L
 from shoplens.functions import metrics as M
 from shoplens.functions import texts as X
-from shoplens.operators.dims import Accounts, apply_shop_filter, shop_dim, shop_filter
-from shoplens.operators.facts import SUM_KIND, RollupSpec, joined_facts, period_rollup
+from shoplens.operators.dims import Accounts, apply_shop_filter, given, shop_dim, shop_filter
+from shoplens.operators.facts import SUM_KIND, RollupSpec, date_in, joined_facts, period_rollup
 from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
 from shoplens.operators.quality import validate
@@ -94,12 +94,23 @@ DETAIL_ROWS = [
 @dataclass
 class PeriodReport:
     """Lazy outputs of one two-period report."""
-    base: DataFrame            # one row per shop: seq, attributes, period sums
+    rows: DataFrame            # one row per shop: attributes and period sums, not numbered
+    number: Callable[[], DataFrame]
     p1: Period
     p2: Period
     rejected: DataFrame | None = None   # with quarantine: rejected store-days and reasons
     options: dict = field(default_factory=dict)
 
+    @cached_property
+    def base(self) -> DataFrame:
+        """The rows with ``seq`` and the unique ``sheet_name``."""
+        return self.number()
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        """T5 + W2: the cleaned name and the unique sheet name per shop."""
+        return self.base.select("shop_id", "seq", "clean_name", "sheet_name")
+
     # ---- typed wide table ---------------------------------------------------
     @cached_property
     def wide(self) -> DataFrame:
@@ -161,7 +172,7 @@ class PeriodReport:
             n, k, _ = spec
             rows.append([label, _cell(n, k, "_p1"), _cell(n, k, "_p2"), _delta_cell(n, k, detail=True),
                          False, True, S(_trend(n, k))])
-        return unpivot_rows(self.base, ["shop_id", "seq"], rows, ["label", "p1", "p2", "delta"],
+        return unpivot_rows(self.base, ["shop_id", "seq", "sheet_name"], rows, ["label", "p1", "p2", "delta"],
                             flags=[("is_section", "boolean"), ("is_metric", "boolean"), ("trend", "int")])
 
     # ---- N11: trend flags --------------------------------------------------------
@@ -181,10 +192,17 @@ class PeriodReport:
     @cached_property
     def shop_count(self) -> DataFrame:
         """Number of shops in the report (one row)."""
-        return self.base.selectExpr("count(DISTINCT shop_id) AS store_count")
+        return self.rows.selectExpr("count(DISTINCT shop_id) AS store_count")
 
     def outputs(self) -> dict[str, DataFrame]:
-        return {"wide": self.wide, "summary": self.rows8, "detail": self.detail31}
+        """What a run writes: with quarantine also the store-days that were left out, with reasons."""
+        out = {"wide": self.wide, "summary": self.rows8, "detail": self.detail31, "trend": self.trend,
+               "defaults": self.defaults}
+        if self.options.get("legacy"):
+            out["summary_legacy"] = self.rows8_legacy
+        if self.rejected is not None:
+            out["rejected"] = self.rejected
+        return out
 
 
 # ---- per-metric SQL over the base (sums with _p1/_p2 suffix) ------------------
@@ -273,64 +291,69 @@ def _delta_cell(name, kind, detail: bool = False) -> S:
 
 # ---- the report ----------------------------------------------------------------
 
-_UNSET = object()
-
-
 def rejected_store_days(tables, p1: Period, p2: Period, shops=None) -> DataFrame:
     """Q1: store-days of the periods that break a validation rule, with reasons."""
     bad = validate(tables, [p1, p2]).where("status = 'rejected'").select("shop_id", "report_date", "errors")
     return apply_shop_filter(bad, shops)
 
 
-def period_base(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_id: str | None = None,
-                shop_ids: Sequence[str] | DataFrame | None = None, unresolved: str = "none",
-                rename: str = "sum_latest", by_city: bool = False, dedupe_right: bool = False,
-                numbered: bool = True, quarantine: bool = False, shops=_UNSET) -> DataFrame:
-    """One row per shop with seq, attributes, both periods' sums and derived values.
-
-    ``quarantine=True`` (Q1): a shop with any rejected store-day in the periods
-    is left out (anti join), the others go on; see ``rejected_store_days``.
-    ``shops`` passes an already resolved ``shop_filter`` result.
-    """
-    if shops is _UNSET:
-        shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
+def _rollup(tables, p1: Period, p2: Period, shops, rename: str, by_city: bool, dedupe_right: bool, quarantine: bool) -> DataFrame:
     joined = joined_facts(tables, [p1, p2], shops=shops, dedupe_right=dedupe_right)
     if quarantine:
         bad_shops = rejected_store_days(tables, p1, p2, shops).select("shop_id").distinct()
         joined = joined.join(bad_shops, "shop_id", "left_anti")
-    roll = period_rollup(joined, p1, p2, RollupSpec(rename=rename, by_city=by_city))
-    dim = apply_shop_filter(shop_dim(tables, accounts), shops)      # only the reported shops
+    return period_rollup(joined, p1, p2, RollupSpec(rename=rename, by_city=by_city))
+
+
+SHOP_NAME = L.period_shop_name("name_p1", "name_p2", "has_p1")
+
+
+def period_rows(tables, roll: DataFrame, accounts: Accounts = None, shops=None) -> DataFrame:
+    """One row per shop with attributes, both periods' sums and derived values."""
+    dim = shop_dim(tables, accounts)
+    if isinstance(shops, Column):                      # a literal limit is pushed down; others would only add a join
+        dim = dim.where(shops)
     d = X.PERIOD_DEFAULT_ATTR
-    withattrs = roll.join(dim, "shop_id", "left").selectExpr(
+    return roll.join(dim, "shop_id", "left").selectExpr(
         *roll.columns,
         f"{L.text_or('operator', d)} AS operator",
         f"{L.text_or('sales', d)} AS sales",
         f"{L.text_or('city', d)} AS city",
-        f"{L.period_shop_name('name_p1', 'name_p2', 'has_p1')} AS shop_name",
+        f"{SHOP_NAME} AS shop_name",
+        f"{L.clean_section_name(SHOP_NAME)} AS clean_name",
         *derived_columns(),
     )
-    if not numbered:
-        return withattrs
-    return sequence_numbers(withattrs, ["shop_id"])
 
 
 def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_id: str | None = None,
                   shop_ids: Sequence[str] | DataFrame | None = None, unresolved: str = "none",
                   rename: str = "sum_latest", by_city: bool = False,
-                  dedupe_right: bool = False, quarantine: bool = False) -> PeriodReport:
+                  dedupe_right: bool = False, quarantine: bool = False, legacy: bool = False) -> PeriodReport:
     """R2 (weekly), R3 (monthly), R4 (custom): the same plan, different periods.
 
     ``shop_id`` filters one shop (the account filter then only limits the
     attributes); ``shop_ids`` is the legacy list filter; ``by_city`` groups
-    by (shop, name, city) as the legacy custom report does.
+    by (shop, name, city) as the legacy custom report does. ``quarantine=True``
+    (Q1): a shop with any rejected store-day in the periods is left out, the
+    others go on, and ``rejected`` lists the reasons. ``legacy`` also writes the
+    16-column summary.
     """
     p1, p2 = as_period(p1), as_period(p2)
+    accounts = given(accounts, unresolved)
     shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
-    base = period_base(tables, p1, p2, accounts=accounts, rename=rename, by_city=by_city,
-                       dedupe_right=dedupe_right, quarantine=quarantine, shops=shops)
+    roll = _rollup(tables, p1, p2, shops, rename, by_city, dedupe_right, quarantine)
+    rows = period_rows(tables, roll, accounts, shops)
+
+    def number() -> DataFrame:
+        keys = apply_shop_filter(tables.store_daily.where(date_in(F.col("report_date"), [p1, p2]))
+                                 .select(F.col("shop_id").cast("string").alias("shop_id")), shops)
+        slim = roll.selectExpr("shop_id", f"{L.clean_section_name(SHOP_NAME)} AS clean_name")
+        out = sequence_numbers(rows, ["shop_id"], numberings={"seq": (), "name_no": ("clean_name",)}, keys=keys, slim=slim)
+        return out.withColumn("sheet_name", F.expr(L.numbered_section_name("clean_name", "name_no")))
+
     rejected = rejected_store_days(tables, p1, p2, shops) if quarantine else None
-    return PeriodReport(base=base, p1=p1, p2=p2, rejected=rejected,
-                        options=dict(accounts=accounts, shop_id=shop_id, rename=rename, by_city=by_city))
+    return PeriodReport(rows=rows, number=number, p1=p1, p2=p2, rejected=rejected,
+                        options=dict(accounts=accounts, shop_id=shop_id, rename=rename, by_city=by_city, legacy=legacy))
 
 
 # ---- the service's report signatures (R2-R4) ---------------------------------------

@@ -9,42 +9,48 @@ from __future__ import annotations
 from shoplens.plans.daily import daily_report
 from shoplens.plans.params import Period, parse_date
 from shoplens.plans.period import period_report
-from shoplens.sources.sinks import check_not_empty, daily_run_prefix, period_run_prefix, run_name, write_report
+from shoplens.sources.sinks import check_not_empty, daily_run_prefix, legacy_name, period_run_prefix, run_name, write_report
 
 
 def run_daily(tables, report_date, root: str, accounts=None, on_empty: str = "raise", fmt: str = "parquet",
-              **options) -> str | None:
+              partition_by_sheet: bool = False, legacy_names: bool = False, **options) -> str | None:
     """R1 end to end; returns the run folder, or None when empty and ``on_empty='warn'``."""
     day = parse_date(report_date)
     report = daily_report(tables, day, accounts=accounts, **options)
-    if not check_not_empty(report.base, on_empty, f"date {day}"):
+    if not check_not_empty(report.rows, on_empty, f"date {day}"):
         return None
-    return write_report(report.outputs(), root, run_name(daily_run_prefix(day)), fmt=fmt)
+    name = legacy_name("daily", day=day) if legacy_names else run_name(daily_run_prefix(day))
+    return write_report(report.outputs(), root, name, fmt=fmt, partition_by_sheet=partition_by_sheet)
 
 
 def run_period(tables, p1: Period, p2: Period, root: str, accounts=None, shop_id=None, shop_ids=None,
-               on_empty: str = "raise", fmt: str = "parquet", **options) -> str | None:
-    """R2-R4 end to end (weekly, monthly and custom differ only in periods and filters)."""
+               on_empty: str = "raise", fmt: str = "parquet", partition_by_sheet: bool = False,
+               legacy_names: bool = False, kind: str = "weekly", **options) -> str | None:
+    """R2-R4 end to end (weekly, monthly and custom differ only in periods, filters and legacy file names)."""
     report = period_report(tables, p1, p2, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, **options)
-    if not check_not_empty(report.base, on_empty, f"periods {p1.label} / {p2.label}"):
+    if not check_not_empty(report.rows, on_empty, f"periods {p1.label} / {p2.label}"):
         return None
-    return write_report(report.outputs(), root, run_name(period_run_prefix(p2)), fmt=fmt)
+    if legacy_names:
+        shops = report.shop_count.first().store_count if kind == "custom" else None
+        name = legacy_name(kind, p2=p2, shop_count=shops)
+    else:
+        name = run_name(period_run_prefix(p2))
+    return write_report(report.outputs(), root, name, fmt=fmt, partition_by_sheet=partition_by_sheet)
 
 
 def run_all(tables, root: str, daily_date=None, weekly=None, monthly=None, custom=None,
-            accounts=None, fmt: str = "parquet") -> dict[str, str | Exception | None]:
+            accounts=None, fmt: str = "parquet", **options) -> dict[str, str | Exception | None]:
     """The script's batch — daily, weekly, monthly and custom reports in turn.
 
-    Periods are ``(p1, p2)`` pairs. A report that fails (for example no data)
-    is recorded with its error and the others still run, as the script did.
-    Returns report kind -> run folder, ``None`` (not requested) or the error.
+    Periods are ``(p1, p2)`` pairs; ``options`` are the writing options of ``run_period``.
+    A report that fails (for example no data) is recorded with its error and the
+    others still run, as the script did. Returns report kind -> run folder, ``None``
+    (not requested) or the error.
     """
-    jobs = {
-        "daily": (lambda: run_daily(tables, daily_date, root, accounts=accounts, fmt=fmt)) if daily_date else None,
-        "weekly": (lambda: run_period(tables, *weekly, root, accounts=accounts, fmt=fmt)) if weekly else None,
-        "monthly": (lambda: run_period(tables, *monthly, root, accounts=accounts, fmt=fmt)) if monthly else None,
-        "custom": (lambda: run_period(tables, *custom, root, accounts=accounts, fmt=fmt)) if custom else None,
-    }
+    common = dict(accounts=accounts, fmt=fmt, **options)
+    jobs = {"daily": (lambda: run_daily(tables, daily_date, root, **common)) if daily_date else None}
+    for kind, periods in (("weekly", weekly), ("monthly", monthly), ("custom", custom)):
+        jobs[kind] = (lambda k=kind, p=periods: run_period(tables, *p, root, kind=k, **common)) if periods else None
     out: dict[str, str | Exception | None] = {}
     for kind, job in jobs.items():
         if job is None:

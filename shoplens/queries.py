@@ -20,6 +20,7 @@ from shoplens.operators.quality import validate
 from shoplens.plans.daily import daily_report
 from shoplens.plans.params import Period
 from shoplens.plans.period import period_report
+from shoplens.sources.fixtures import with_variant
 from shoplens.sources.tables import ReportTables
 
 W1 = Period.of("2024-01-01", "2024-01-07")
@@ -136,6 +137,34 @@ def weekly_unresolved_all(t):
     return period_report(t, W1, W2, accounts=["acct_7"], unresolved="all").wide
 
 
+@register("custom_empty_list", _period_oracle(O.wide_select, W1, W2, shop_ids=[]))
+def custom_empty_list(t):
+    return period_report(t, W1, W2, shop_ids=[]).wide
+
+
+@register("section_names_period", _period_oracle(lambda a, b: O.sections_period_select(), W1, W2))
+def section_names_period(t):
+    return period_report(t, W1, W2).sections
+
+
+@register("weekly_fanout", _period_oracle(O.wide_select, W1, W2, variant="stats_duplicates"))
+def weekly_fanout(t):
+    """A second stats row of a store-day multiplies its sums, as a plain left join does."""
+    return period_report(with_variant(t, "stats_duplicates"), W1, W2).wide
+
+
+@register("weekly_dedupe", _period_oracle(O.detail31_select, W1, W2, variant="stats_duplicates", dedupe=True))
+def weekly_dedupe(t):
+    """J9 option: duplicate right-side rows are folded before the join."""
+    return period_report(with_variant(t, "stats_duplicates"), W1, W2, dedupe_right=True).detail31
+
+
+@register("weekly_quarantine", _period_oracle(O.wide_select, W1, W2, variant="null_dates", quarantine=True))
+def weekly_quarantine(t):
+    """Q1: shops with a rejected store-day are left out, the others go on."""
+    return period_report(with_variant(t, "null_dates"), W1, W2, quarantine=True).wide
+
+
 # ---- dimensions ------------------------------------------------------------------
 
 @register("shop_dim", lambda: O.shop_dim_select())
@@ -159,8 +188,8 @@ DAY = "2024-01-10"
 DAY_RANGE = Period.of("2024-01-08", "2024-01-14")
 
 
-def _daily_oracle(select, start=DAY, end=DAY, accounts=None):
-    return lambda: O.daily_base_sql(start, end, accounts) + select()
+def _daily_oracle(select, start=DAY, end=DAY, accounts=None, variant=None):
+    return lambda: O.daily_base_sql(start, end, accounts, variant) + select()
 
 
 @register("daily_summary", _daily_oracle(O.daily_summary_select))
@@ -233,6 +262,23 @@ def quarantine(t):
     return validate(t, [W1, W2])
 
 
+@register("quarantine_dates", lambda: O.validate_sql([W1, W2], "null_dates"))
+def quarantine_dates(t):
+    return validate(with_variant(t, "null_dates"), [W1, W2])
+
+
+@register("ad_today_duplicates", _daily_oracle(O.daily_checks_select, variant="stats_duplicates"))
+def ad_today_duplicates(t):
+    """One same-day ad figure per shop, also where a shop-day has two stats rows."""
+    return daily_report(with_variant(t, "stats_duplicates"), DAY).checks
+
+
+@register("rate_ties", _daily_oracle(O.daily_checks_select, variant="rate_ties"))
+def rate_ties(t):
+    """N8 on ratios that lie exactly between two printed tenths."""
+    return daily_report(with_variant(t, "rate_ties"), DAY).checks
+
+
 def table_queries() -> dict[str, TablesFn]:
     """Registered queries as functions of a ``ReportTables`` bundle."""
     return dict(_QUERIES)

@@ -62,15 +62,19 @@ SAAS_USERS = """
 select r_regionkey as id, r_name as name from {region}
 """
 
+# Every customer is listed. An account holds the customers of one nation and one block of
+# customer keys, so an account's JSON stays bounded and the number of accounts grows with
+# the data. Residue 4 (mod 9) gives elements without a shop id and region values that are
+# no objects; some accounts have unparsable or NULL shop lists.
 PLATFORM_ACCOUNTS = """
-select concat('acct_', cast(n_nationkey as string)) as account,
- case when n_nationkey % 8 = 7 then 'not json' else concat('[', string_agg(concat('{"shop_id":', cast(c_custkey as string), '}'), ','), ',7,{"x":1}]') end as stores_json,
- concat('{', string_agg(concat('"', cast(c_custkey as string), '":{"regions":{"city":{"regionName":"', n_name, '"},"district":{"regionName":"D', cast(c_custkey % 5 as string), '"}', case when c_custkey % 3 = 0 then '' else concat(',"business":{"regionName":"B', cast(c_custkey % 11 as string), '"}') end, '}}'), ','), '}') as compareRegions_json,
+select concat('acct_', cast(account_no as string)) as account,
+ case when n_nationkey % 8 = 7 then 'not json' when account_no % 29 = 28 then null else concat('[', string_agg(case when c_custkey % 9 = 4 then concat('{"name":"', cast(c_custkey as string), '"}') else concat('{"shop_id":', cast(c_custkey as string), '}') end, ','), ',7,{"x":1}]') end as stores_json,
+ concat('{', string_agg(concat('"', cast(c_custkey as string), '":', case when c_custkey % 9 = 4 then '"none"' else concat('{"regions":{"city":{"regionName":"', n_name, '"},"district":{"regionName":"D', cast(c_custkey % 5 as string), '"}', case when c_custkey % 3 = 0 then '' else concat(',"business":{"regionName":"B', cast(c_custkey % 11 as string), '"}') end, '}}') end), ','), '}') as compareRegions_json,
  concat('sales_', cast(n_nationkey % 4 as string)) as sales_name, n_name as city_name,
  case when n_nationkey % 6 = 5 then null else n_regionkey end as operator_id
-from {customer} join {nation} on c_nationkey = n_nationkey
-where c_custkey in (select user_id from {events}) and c_custkey % 9 <> 4
-group by n_nationkey, n_name, n_regionkey
+from (select c_custkey, n_nationkey, n_name, n_regionkey, n_nationkey + 25 * cast(floor(c_custkey / 2500) as bigint) as account_no
+      from {customer} join {nation} on c_nationkey = n_nationkey) t
+group by account_no, n_nationkey, n_name, n_regionkey
 """
 
 VIEWS = {
@@ -82,6 +86,30 @@ VIEWS = {
 }
 
 
+_STORE_COLUMNS = ("shop_name city exposure_users visit_users order_users verify_person_count order_coupon_count "
+                  "verify_coupon_count coupon_pay_order_count order_sale_amount verify_sale_amount verify_after_discount "
+                  "promotion_cost promotion_exposure_count promotion_click_count new_collect_users new_review_count "
+                  "new_good_review_count consult_users intent_rate").split()
+
+
+def _store_daily(**changed: str) -> str:
+    cols = ", ".join(f"{changed[c]} as {c}" if c in changed else c for c in ("shop_id", "report_date", *_STORE_COLUMNS))
+    return f"select {cols} from {{base}}"
+
+
+# Inputs with the flaws and edge values that the plain views lack: (view, SQL over that view as {base}).
+VARIANTS = {
+    "stats_duplicates": ("store_stats", """
+select * from {base} union all
+select store_id, date, order_user_rank, verify_amount_rank, cast(checkin_count + 2 as bigint), ad_balance,
+ cast(ad_order_count + 1 as bigint), is_force_offline from {base} where cast(store_id as bigint) % 3 = 1
+"""),
+    "null_dates": ("store_daily", _store_daily(report_date="case when cast(shop_id as bigint) % 7 = 3 and visit_users % 4 = 1 then null else report_date end")),
+    "rate_ties": ("store_daily", _store_daily(new_review_count="cast((cast(shop_id as bigint) % 997) * 2 + 1 as bigint)", verify_person_count="cast(2000 as bigint)",
+                                              new_collect_users="cast((cast(shop_id as bigint) % 97) * 2 + 1 as bigint)", order_users="cast(400 as bigint)")),
+}
+
+
 def render(sql: str, names: dict[str, str]) -> str:
     """Replace ``{table}`` tokens by concrete relation names."""
     for token, name in names.items():
@@ -89,11 +117,24 @@ def render(sql: str, names: dict[str, str]) -> str:
     return sql
 
 
-def duckdb_ctes() -> str:
-    """The five views as a ``with`` clause over DuckDB's pre-registered tables."""
+def duckdb_ctes(variant: str | None = None) -> str:
+    """The five views, one of them possibly in a variant, as a ``with`` clause over DuckDB's pre-registered tables."""
     names = {t: t for t in DRIVER_TABLES}
-    body = ",\n".join(f"{v} as ({render(sql, names).strip()})" for v, sql in VIEWS.items())
-    return "with " + body + "\n"
+    parts = []
+    for view, sql in VIEWS.items():
+        body = render(sql, names).strip()
+        if variant and VARIANTS[variant][0] == view:
+            parts.append(f"{view}_base as ({body})")
+            body = VARIANTS[variant][1].replace("{base}", f"{view}_base").strip()
+        parts.append(f"{view} as ({body})")
+    return "with " + ",\n".join(parts) + "\n"
+
+
+def with_variant(tables, variant: str):
+    """A bundle of inputs with one of them in a variant."""
+    view, sql = VARIANTS[variant]
+    base = getattr(tables, view)
+    return tables.replace(**{view: base.sparkSession.sql(sql, base=base)})
 
 
 _REGISTERED: dict[tuple[int, str], dict[str, str]] = {}

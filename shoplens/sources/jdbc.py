@@ -2,13 +2,16 @@
 JDBC reader.
 
 Credentials come from the caller, never from code or the environment. The
-fact tables are read in parallel by ranges of their date column
-(``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions``), and the
-report's date predicate is pushed into the database query.
+fact tables are read in parallel by one predicate per partition: a day of a
+report period (with the lookback of trailing sums) and a residue of the shop id,
+so that a day is split and days between two periods are not read.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.plans.params import Period
@@ -47,26 +50,38 @@ def jdbc_options(url: str, table: str, user: str | None = None, password: str |
     return opts
 
 
-def read_jdbc_tables(spark: SparkSession, url: str, user: str, password: str, dates: Period,
-                     partitions_per_day: int = 4, sources: dict | None = None,
-                     driver: str | None = None) -> ReportTables:
-    """The five inputs from a database, fact tables split by date and cut to ``dates``.
+# Logical table -> its shop id column.
+SHOP_COLUMNS = {"store_daily": "shop_id", "promotion_daily": "shop_id", "store_stats": "store_id"}
+
 
-    The lookback of trailing sums (6 days before ``dates.start``) is included.
+def day_predicates(periods: Sequence[Period], date_column: str, shop_column: str, parts_per_day: int = 4,
+                   lookback_days: int = 6, shop_residue: str = "MOD(CAST({c} AS DECIMAL(20)), {n})") -> list[str]:
+    """One SQL predicate per (day, shop residue) of the periods and the days before each that trailing sums need.
+
+    Days that two periods share are listed once; days between them not at all. A
+    NULL shop id goes with residue 0. ``shop_residue`` adapts the residue to a
+    database in which shop ids are not numbers (for example a hash function's).
     """
-    import datetime as dt
+    days = sorted({p.start + dt.timedelta(days=k) for p in periods for k in range(-lookback_days, (p.end - p.start).days + 1)})
+    if parts_per_day <= 1:
+        return [f"{date_column} = '{d}'" for d in days]
+    residue = shop_residue.format(c=shop_column, n=parts_per_day)
+    return [f"{date_column} = '{d}' AND " + (f"({residue} = {k} OR {shop_column} IS NULL)" if not k else f"{residue} = {k}")
+            for d in days for k in range(parts_per_day)]
+
 
+def read_jdbc_tables(spark: SparkSession, url: str, user: str, password: str, dates: Period | Sequence[Period],
+                     partitions_per_day: int = 4, sources: dict | None = None,
+                     driver: str | None = None) -> ReportTables:
+    """The five inputs from a database, fact tables cut to the report periods ``dates`` (and their lookback)."""
     sources = sources or DEFAULT_SOURCES
-    lo = dates.start - dt.timedelta(days=6)
-    days = (dates.end - lo).days + 1
+    periods = [dates] if isinstance(dates, Period) else list(dates)
+    properties = {"user": user, "password": password, "fetchsize": "10000"} | ({"driver": driver} if driver else {})
     frames: dict[str, DataFrame] = {}
     for logical, (table, date_col) in sources.items():
         if date_col:
-            opts = jdbc_options(url, table, user, password, date_col, lo.isoformat(),
-                                (dates.end + dt.timedelta(days=1)).isoformat(),
-                                max(1, days * partitions_per_day), driver=driver)
-            df = spark.read.format("jdbc").options(**opts).load()
-            frames[logical] = df.where(df[date_col].between(lo, dates.end))
+            parts = day_predicates(periods, date_col, SHOP_COLUMNS[logical], partitions_per_day)
+            frames[logical] = spark.read.jdbc(url, table, predicates=parts, properties=properties)
         else:
             frames[logical] = spark.read.format("jdbc").options(
                 **jdbc_options(url, table, user, password, driver=driver)).load()

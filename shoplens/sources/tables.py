@@ -16,6 +16,7 @@ every date predicate the plans write becomes a partition filter at the scan.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -46,15 +47,29 @@ SCHEMAS = {
 
 
 def _read_parquet(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A stored table; a folder without data files (nothing was written) reads as empty."""
+    """A stored table; an existing folder without data files (nothing was written) reads as empty, a missing one is an error."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as err:
-        if "UNABLE_TO_INFER_SCHEMA" not in str(err) and "PATH_NOT_FOUND" not in str(err):
+        if "UNABLE_TO_INFER_SCHEMA" not in str(err):
             raise
         return spark.createDataFrame([], SCHEMAS[table])
 
 
+COLOCATED_CONF = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def colocated_plans(spark: SparkSession):
+    """Within it, joins may use a bucketing on fewer columns than their keys; the session's setting is restored after."""
+    before = spark.conf.get(COLOCATED_CONF, None)
+    spark.conf.set(COLOCATED_CONF, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(COLOCATED_CONF) if before is None else spark.conf.set(COLOCATED_CONF, before)
+
+
 @dataclass(frozen=True)
 class ReportTables:
     store_daily: DataFrame
@@ -82,12 +97,13 @@ class ReportTables:
         """Catalog tables; ``names`` maps logical names to stored table names.
 
         ``colocated=True`` is for facts stored by ``save_colocated`` (bucketed by
-        shop): it sets ``spark.sql.requireAllClusterKeysForCoPartition=false`` on
-        the session so joins on (shop, date) use the shop buckets instead of a
-        shuffle. Per date a shop has one row, so a bucket cannot be skewed by it.
+        shop): joins on (shop, date) then use the shop buckets instead of a shuffle.
+        Plans are made when a report is read, so run its reads inside
+        ``with colocated_plans(spark):``. Per date a shop has one row, so a bucket
+        cannot be skewed by it.
         """
-        if colocated:
-            spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        if colocated and spark.conf.get(COLOCATED_CONF, "true") != "false":
+            raise ValueError("read co-located tables inside 'with colocated_plans(spark):'")
         names = names or {}
         return cls(**{t: spark.table(f"{database}.{names.get(t, t)}") for t in TABLE_NAMES}).normalized()
 

@@ -2,8 +2,8 @@
 
 Store-day fact files arrive in a folder (one batch per load). Each micro-batch
 carries new or corrected store-days; for the dates it touches and the six days
-after them (whose 7-day totals include the touched days), the daily report is
-rebuilt from the stored tables and written with dynamic partition overwrite by
+after each (whose 7-day totals include the touched day), and no others, the daily
+report is rebuilt from the stored tables and written with dynamic partition overwrite by
 ``report_date``. The stream's checkpoint records which files are done, so a
 restarted job neither skips nor repeats a load, and re-running a date replaces
 that date's report atomically per partition.
@@ -15,10 +15,9 @@ incremental job; it adds no report logic of its own.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shoplens.plans.daily import TRAILING_DAYS, daily_report
@@ -31,6 +30,18 @@ def _write_dates(df: DataFrame, path: str) -> None:
      .partitionBy("report_date").parquet(path))
 
 
+def rebuild_periods(touched: Sequence[dt.date]) -> list[Period]:
+    """Each touched day and the days after it whose trailing totals include it, merged into runs."""
+    days = sorted({d + dt.timedelta(days=k) for d in touched for k in range(TRAILING_DAYS)})
+    runs: list[list[dt.date]] = []
+    for d in days:
+        if runs and d - runs[-1][-1] == dt.timedelta(days=1):
+            runs[-1].append(d)
+        else:
+            runs.append([d])
+    return [Period(r[0], r[-1]) for r in runs]
+
+
 def daily_feed(spark: SparkSession, incoming_dir: str, tables: Callable[[], ReportTables], out_dir: str,
                checkpoint_dir: str, accounts=None, available_now: bool = True,
                schema: str | None = None) -> StreamingQuery:
@@ -44,17 +55,12 @@ def daily_feed(spark: SparkSession, incoming_dir: str, tables: Callable[[], Repo
     stream = spark.readStream.schema(schema).parquet(incoming_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        # One scalar row: the date span of this load (no rows go to the driver).
-        span = batch.agg(F.min("report_date").alias("lo"), F.max("report_date").alias("hi")).first()
-        if span is None or span["lo"] is None:
-            return
-        # A store-day also counts in the 7-day totals of the next six days'
-        # reports, so those dates are rebuilt too; dates without data produce no
-        # rows and their partitions are left as they are.
-        dates = Period(span["lo"], span["hi"] + dt.timedelta(days=TRAILING_DAYS - 1))
-        report = daily_report(tables(), dates, accounts=accounts)
-        for name, df in report.outputs().items():
-            _write_dates(df, f"{out_dir.rstrip('/')}/{name}")
+        # The calendar days of this load (no rows go to the driver), as runs of days to rebuild.
+        touched = [r.report_date for r in batch.select("report_date").where("report_date IS NOT NULL").distinct().collect()]
+        for dates in rebuild_periods(touched):
+            report = daily_report(tables(), dates, accounts=accounts)
+            for name, df in report.outputs().items():
+                _write_dates(df, f"{out_dir.rstrip('/')}/{name}")
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -25,8 +25,8 @@ USER_SCHEMA = "id bigint, name string"
 STORE_COLS = [f.split()[0] for f in STORE_SCHEMA.split(", ")]
 
 
-def day(s: str) -> dt.date:
-    return dt.date.fromisoformat(s)
+def day(s: str | None) -> dt.date | None:
+    return None if s is None else dt.date.fromisoformat(s)
 
 
 def store_row(shop_id, date, name="S", **vals):

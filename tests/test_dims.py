@@ -1,5 +1,7 @@
 """G1-G4, A8, J3, P3-P5 on hand-written account rows (FIXTURES.md §3)."""
 
+import pytest
+
 from shoplens.operators.dims import region_dim, resolved_shops, shop_dim, shop_filter
 from tests.micro import make_tables, store_row
 
@@ -54,7 +56,8 @@ def test_account_filter_unresolved_modes(spark):
     assert none is not None and none.count() == 0
     assert shop_filter(t, accounts=["a1"], unresolved="all") is None   # original: no filter
     assert shop_filter(t, accounts=["missing"], unresolved="all") is None
-    assert shop_filter(t, accounts=[]) is None                 # empty list = no filter
+    assert shop_filter(t, accounts=[]).count() == 0            # a list that names nothing selects nothing
+    assert shop_filter(t, accounts=[], unresolved="all") is None
     one = shop_filter(t, shop_id=2)                           # a literal predicate
     assert [r.shop_id for r in t.store_daily.where(one).collect()] == ["2"]
 
@@ -81,3 +84,20 @@ def test_normalized_inputs(spark):
     row = daily_report(n, dt.date(2024, 1, 10)).summary.first()
     assert row.shop_id == "7" and row.seq == 1
     assert t.normalized().store_daily is t.store_daily        # already typed: untouched
+
+
+def test_a_filter_that_names_nothing_follows_one_rule(spark):
+    from shoplens.plans.params import Period
+    from shoplens.plans.period import period_report
+
+    t = make_tables(spark, store=[store_row("1", "2024-01-03", "A"), store_row("2", "2024-01-10", "B")],
+                    accounts=[("a1", '[{"shop_id":1}]', None, "s", "c", None)], users=[(1, "Op")])
+    p = (Period.of("2024-01-01", "2024-01-07"), Period.of("2024-01-08", "2024-01-14"))
+    nothing = spark.createDataFrame([], "shop_id string, account string")
+    for kw in ({"shop_ids": []}, {"shop_ids": nothing}, {"accounts": []}, {"accounts": nothing}, {"accounts": ["missing"]}):
+        assert period_report(t, *p, **kw).wide.count() == 0, kw
+        assert period_report(t, *p, unresolved="all", **kw).wide.count() == 2, kw
+    many = [str(i) for i in range(3000)]                       # one path for every list length
+    assert period_report(t, *p, shop_ids=many).wide.count() == 2
+    with pytest.raises(ValueError):
+        period_report(t, *p, by_city=True)

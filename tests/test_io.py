@@ -121,3 +121,81 @@ def test_empty_stored_tables_read_as_empty(spark, scratch):
     back = ReportTables.from_parquet(spark, os.path.join(scratch, "in"))
     assert back.promotion_daily.count() == 0 and back.store_stats.count() == 0
     assert daily_report(back, "2024-01-10").summary.count() == 1
+
+
+def test_missing_stored_table_is_an_error(spark, scratch):
+    from pyspark.errors import AnalysisException
+
+    from shoplens.sources.tables import ReportTables
+
+    with pytest.raises(AnalysisException):
+        ReportTables.from_parquet(spark, os.path.join(scratch, "misspelt"))
+
+
+def test_written_tables_are_in_report_order(spark, scratch):
+    from shoplens.sources.sinks import write_report
+
+    t = make_tables(spark, store=[store_row(str(i), "2024-01-10", f"S{i}") for i in range(60)])
+    folder = write_report({"detail": daily_report(t, "2024-01-10").detail}, scratch, "run1", fmt="csv")
+    rows = []
+    for f in sorted(x for x in os.listdir(f"{folder}/detail") if x.endswith(".csv")):
+        rows += [(int(r.seq), int(r.row_no)) for r in spark.read.option("header", True).csv(f"{folder}/detail/{f}").collect()]
+    assert rows == sorted(rows) and len(rows) == 60 * 39
+
+
+def test_run_period_writes_the_rejected_store_days(spark, scratch):
+    from shoplens.plans.params import Period
+    from shoplens.plans.runner import run_period
+
+    t = make_tables(spark, store=[store_row("1", "2024-01-03", "A"), store_row("2", "2024-01-03", "B", exposure_users=-1), store_row("2", None, "B")])
+    folder = run_period(t, Period.of("2024-01-01", "2024-01-07"), Period.of("2024-01-08", "2024-01-14"), scratch, quarantine=True)
+    assert [r.shop_id for r in spark.read.parquet(f"{folder}/wide").collect()] == ["1"]
+    bad = spark.read.parquet(f"{folder}/rejected").collect()
+    assert sorted(r.errors for r in bad) == ["missing report_date", "negative exposure_users"]
+    assert {"trend", "defaults", "summary", "detail"} <= set(os.listdir(folder))
+
+
+def test_command_line_options(spark, scratch, capsys):
+    from shoplens.__main__ import main
+    from shoplens.sources.tables import write_tables
+
+    t = make_tables(spark, store=[store_row(s, f"2024-01-{d:02d}", f"N{s}") for s in ("1", "2") for d in (3, 10)],
+                    accounts=[("a1", '[{"shop_id":1}]', None, "s", "c", None)], users=[(1, "Op")])
+    inputs, out = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    write_tables(t, inputs)
+    spans = ["--p1", "2024-01-01:2024-01-07", "--p2", "2024-01-08:2024-01-14"]
+
+    def run(*args):
+        code = main([args[0], "--input", inputs, "--out", out, *args[1:]], spark=spark)
+        return code, capsys.readouterr().out.strip()
+
+    code, folder = run("weekly", *spans, "--shop-id", "2")
+    assert code == 0 and [r.shop_id for r in spark.read.parquet(f"{folder}/wide").collect()] == ["2"]
+    assert run("custom", *spans, "--shop-ids", ",")[0] == 1                        # names no shop
+    code, folder = run("custom", *spans, "--shop-ids", ",", "--unresolved", "all", "--legacy-names", "--legacy")
+    assert code == 0 and "2家门店" in folder and spark.read.parquet(f"{folder}/summary_legacy").count() == 16
+    code, folder = run("monthly", *spans, "--per-sheet")
+    assert sorted(x for x in os.listdir(f"{folder}/detail") if "=" in x) == ["sheet_name=N1", "sheet_name=N2"]
+    code, text = run("all", "--date", "2024-01-10", "--weekly", "2024-01-01:2024-01-07,2024-01-08:2024-01-14")
+    assert code == 0 and [x.split("\t")[0] for x in text.splitlines()] == ["daily", "weekly"]
+    with pytest.raises(SystemExit):
+        run("daily", "--date", "2024-01-10", "--shop-id", "1")
+
+
+def test_jdbc_predicates_split_days_and_skip_gaps():
+    from shoplens.plans.params import Period
+    from shoplens.sources.jdbc import day_predicates
+
+    p = day_predicates([Period.of("2024-01-10", "2024-01-10"), Period.of("2024-03-01", "2024-03-02")], "report_date", "shop_id", 3, lookback_days=1)
+    assert len(p) == (2 + 3) * 3 and len(set(p)) == len(p)
+    assert p[0] == "report_date = '2024-01-09' AND (MOD(CAST(shop_id AS DECIMAL(20)), 3) = 0 OR shop_id IS NULL)"
+    assert not any("2024-02-0" in x for x in p)
+    assert day_predicates([Period.of("2024-01-10", "2024-01-10")], "d", "s", 1, 0) == ["d = '2024-01-10'"]
+
+
+def test_feed_rebuilds_touched_dates_only():
+    from shoplens.streaming.daily_feed import rebuild_periods
+
+    d = dt.date
+    got = rebuild_periods([d(2024, 1, 1), d(2024, 1, 3), d(2024, 3, 1)])
+    assert [(p.start, p.end) for p in got] == [(d(2024, 1, 1), d(2024, 1, 9)), (d(2024, 3, 1), d(2024, 3, 7))]

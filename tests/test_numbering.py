@@ -16,7 +16,7 @@ def test_numbering_matches_row_number_with_skew(spark):
         rows.append((f"{i:05d}", rnd.choice(["d1", "d2"]), g))
     df = spark.createDataFrame(rows, "k string, day string, grp string")
     got = sequence_numbers(df, ["k"], group_cols=["day"], numberings={"seq": (), "n_in_grp": ("grp",)},
-                           num_partitions=7)
+                           boundaries=7)
     want = (df.withColumn("seq", F.row_number().over(W.partitionBy("day").orderBy("k")))
             .withColumn("n_in_grp", F.row_number().over(W.partitionBy("day", "grp").orderBy("k"))))
     cols = ["k", "day", "grp", "seq", "n_in_grp"]
@@ -24,9 +24,28 @@ def test_numbering_matches_row_number_with_skew(spark):
     assert got.count() == df.count()
 
 
-def test_numbering_with_adaptive_range_partitions(spark):
+def test_numbering_with_default_ranges(spark):
     rows = [(f"{i:05d}", f"d{i % 3}") for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, day string")
-    got = sequence_numbers(df, ["k"], group_cols=["day"])          # partition count left to AQE
+    got = sequence_numbers(df, ["k"], group_cols=["day"])
     want = df.withColumn("seq", F.row_number().over(W.partitionBy("day").orderBy("k")))
     assert got.select("k", "day", "seq").exceptAll(want).count() == 0 and got.count() == 2000
+
+
+def test_numbering_is_lazy_and_shuffles_rows_once(spark):
+    df = spark.range(3000).selectExpr("concat('shop_', cast(id as string)) AS k", "id % 3 AS day", "repeat('x', 50) AS wide")
+    group = "numbering-build"
+    spark.sparkContext.setJobGroup(group, group)
+    got = sequence_numbers(df, ["k"], group_cols=["day"])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "checkpoint" not in plan.lower() and "SinglePartition" not in plan.split("Subquery")[0]
+    assert sum("wide" in line for line in plan.splitlines() if "Exchange" in line) == 0 or "Exchange hashpartitioning(day" in plan
+    assert sequence_numbers(df.limit(0), ["k"]).count() == 0
+
+
+def test_numbering_with_null_and_shared_prefix_keys(spark):
+    rows = [(None if i == 0 else f"a-very-long-shared-prefix-{i:06d}",) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string").repartition(5)
+    got = [r.k for r in sequence_numbers(df, ["k"], boundaries=20).orderBy("seq").collect()]
+    assert got == [r[0] for r in rows]

@@ -85,20 +85,53 @@ def test_one_shop_filter_is_pushed_to_every_fact_scan(spark, stored):
 
 def test_colocated_facts_join_and_roll_up_without_shuffle(spark, tmp_path_factory):
     from shoplens.operators.facts import joined_facts, period_rollup
-    from shoplens.sources.tables import save_colocated
+    from shoplens.sources.tables import colocated_plans, save_colocated
 
     root = str(tmp_path_factory.mktemp("colocated"))
     save_colocated(ReportTables.from_driver_tables(spark, "/root/testdata/sf0.01"), "shoplens_test_db", root, 4)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # force sort-merge joins
+    with pytest.raises(ValueError):
+        ReportTables.from_catalog(spark, "shoplens_test_db", colocated=True)
     try:
-        t = ReportTables.from_catalog(spark, "shoplens_test_db", colocated=True)
-        roll = period_rollup(joined_facts(t, [P1, P2]), P1, P2)
-        text = _formatted(roll)
-        assert "SortMergeJoin" in text and "Exchange" not in text, text.split("\n\n")[0]
-        views = period_rollup(joined_facts(ReportTables.from_driver_tables(spark, "/root/testdata/sf0.01"),
-                                           [P1, P2]), P1, P2)
-        assert roll.exceptAll(views).count() == 0 and views.exceptAll(roll).count() == 0
+      with colocated_plans(spark):
+          t = ReportTables.from_catalog(spark, "shoplens_test_db", colocated=True)
+          roll = period_rollup(joined_facts(t, [P1, P2]), P1, P2)
+          text = _formatted(roll)
+          assert "SortMergeJoin" in text and "Exchange" not in text, text.split("\n\n")[0]
+          views = period_rollup(joined_facts(ReportTables.from_driver_tables(spark, "/root/testdata/sf0.01"),
+                                             [P1, P2]), P1, P2)
+          assert roll.exceptAll(views).count() == 0 and views.exceptAll(roll).count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == "true"
+
+
+def test_account_filter_reaches_every_fact_input(spark, stored):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from shoplens.operators.dims import shop_filter
+        from shoplens.operators.facts import joined_facts
+
+        j = joined_facts(stored, [P1, P2], shops=shop_filter(stored, accounts=["acct_1"]))
+        assert _formatted(j).count("LeftSemi") >= 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_building_reports_runs_no_job(spark, stored):
+    sc = spark.sparkContext
+    sc.setJobGroup("build-only", "build-only")
+    daily, period = daily_report(stored, "2024-01-10", accounts=["acct_1"]), period_report(stored, P1, P2)
+    for df in (daily.summary, daily.detail, daily.checks, period.wide, period.detail31, period.sections):
+        df.schema
+    assert len(sc.statusTracker().getJobIdsForGroup("build-only")) == 0
+    sc.setJobGroup("tests", "tests")
+
+
+def test_trailing_sums_over_a_range_do_not_multiply_rows(spark, stored):
+    from shoplens.operators.facts import trailing_sum
+
+    text = _plan(trailing_sum(stored.store_daily, "coupon_pay_order_count", P2))
+    assert "Generate" not in text and "Window" in text
