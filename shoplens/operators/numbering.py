@@ -52,13 +52,14 @@ def sequence_numbers(df: DataFrame, order_cols: Sequence[str], group_cols: Seque
     when numbers must be reproducible.
 
     Two cheaper sources may be given: ``keys``, any table whose first order
-    column is distributed much like that of ``df`` (for the boundaries), and
-    ``slim``, one with the same rows in the order and group columns (for the sizes).
+    column is distributed much like that of ``df`` (for the boundaries; default
+    ``slim``), and ``slim``, one with the same rows in the order and group columns (for the sizes).
     """
     numberings = dict(numberings or {"seq": ()})
-    keys = df if keys is None else keys
+    slim = df if slim is None else slim
+    keys = slim if keys is None else keys
     out = _ranged(df, keys, order_cols[0], boundaries)
-    sized = (df if slim is None else slim).select(*dict.fromkeys([*group_cols, order_cols[0], *[c for x in numberings.values() for c in x]]))
+    sized = slim.select(*dict.fromkeys([*group_cols, order_cols[0], *[c for x in numberings.values() for c in x]]))
     sized = _ranged(sized, keys, order_cols[0], boundaries)
     columns = df.columns
     for name, extra in numberings.items():

@@ -43,14 +43,19 @@ TRAILING_DAYS = 7
 @dataclass
 class DailyReport:
     rows: DataFrame            # one row per (report_date, shop row) with its inputs, not numbered
-    number: Callable[[], DataFrame]
+    number: Callable[[bool], DataFrame]
     dates: Period
     options: dict = field(default_factory=dict)
 
     @cached_property
     def base(self) -> DataFrame:
-        """The rows with ``seq`` per date and the unique ``sheet_name``."""
-        return self.number()
+        """The rows with ``seq`` per date."""
+        return self.number(False)
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """The rows with ``seq`` per date and the unique ``sheet_name``, for the outputs that show it."""
+        return self.number(True)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -104,7 +109,7 @@ class DailyReport:
     @cached_property
     def sections(self) -> DataFrame:
         """T5 + W2: the cleaned name and the unique sheet name per shop and date."""
-        return self.base.select("report_date", "shop_id", "seq", "clean_name", "sheet_name")
+        return self.named.select("report_date", "shop_id", "seq", "clean_name", "sheet_name")
 
     @cached_property
     def coupon_7d(self) -> DataFrame:
@@ -178,7 +183,7 @@ class DailyReport:
             line(X.LABEL_SALES, S("sales")),
             line(X.LABEL_CITY, S("city")),
         ]
-        return unpivot_rows(self.base, ["report_date", "shop_id", "seq", "sheet_name"], rows,
+        return unpivot_rows(self.named, ["report_date", "shop_id", "seq", "sheet_name"], rows,
                             ["col_a", "col_b", "col_c"],
                             flags=[("is_section", "boolean"), ("passed", "boolean"), ("alert", "boolean")])
 
@@ -236,12 +241,15 @@ def _daily_rows(tables, dates: Period, accounts: Accounts, shops, dedupe_right:
 CLEAN_NAME = L.clean_section_name(L.daily_shop_name("raw_shop_name", "shop_id"))
 
 
-def _numbered(tables, rows: DataFrame, dates: Period, shops, dedupe_right: bool) -> DataFrame:
+def _numbered(tables, rows: DataFrame, dates: Period, shops, dedupe_right: bool, names: bool) -> DataFrame:
     # The ranges' sizes need the joins' row counts, but none of their columns; the boundaries only shop ids.
-    slim = (joined_facts(tables, [dates], shops=shops, dedupe_right=dedupe_right, store_cols=("shop_name",), promo_cols=(), stats_cols=())
-            .withColumnRenamed("shop_name", "raw_shop_name").selectExpr("report_date", "shop_id", f"{CLEAN_NAME} AS clean_name"))
+    slim = (joined_facts(tables, [dates], shops=shops, dedupe_right=dedupe_right, store_cols=("shop_name",) if names else (),
+                         promo_cols=(), stats_cols=()))
     keys = apply_shop_filter(tables.store_daily.where(date_in(F.col("report_date"), [dates]))
                              .select(F.col("shop_id").cast("string").alias("shop_id")), shops)
+    if not names:
+        return sequence_numbers(rows, ["shop_id"], group_cols=["report_date"], keys=keys, slim=slim)
+    slim = slim.withColumnRenamed("shop_name", "raw_shop_name").selectExpr("report_date", "shop_id", f"{CLEAN_NAME} AS clean_name")
     out = sequence_numbers(rows, ["shop_id"], group_cols=["report_date"],
                            numberings={"seq": (), "name_no": ("clean_name",)}, keys=keys, slim=slim)
     return out.withColumn("sheet_name", F.expr(L.numbered_section_name("clean_name", "name_no")))
@@ -254,5 +262,5 @@ def daily_report(tables, report_date: str | dt.date | Period | Sequence, account
     accounts = given(accounts, unresolved)
     shops = shop_filter(tables, accounts=accounts, unresolved=unresolved)
     rows = _daily_rows(tables, dates, accounts, shops, dedupe_right)
-    return DailyReport(rows=rows, number=lambda: _numbered(tables, rows, dates, shops, dedupe_right), dates=dates,
+    return DailyReport(rows=rows, number=lambda names: _numbered(tables, rows, dates, shops, dedupe_right, names), dates=dates,
                        options=dict(accounts=accounts, legacy=legacy, shops=shops))

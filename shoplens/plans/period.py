@@ -95,7 +95,7 @@ DETAIL_ROWS = [
 class PeriodReport:
     """Lazy outputs of one two-period report."""
     rows: DataFrame            # one row per shop: attributes and period sums, not numbered
-    number: Callable[[], DataFrame]
+    number: Callable[[bool], DataFrame]
     p1: Period
     p2: Period
     rejected: DataFrame | None = None   # with quarantine: rejected store-days and reasons
@@ -103,13 +103,18 @@ class PeriodReport:
 
     @cached_property
     def base(self) -> DataFrame:
-        """The rows with ``seq`` and the unique ``sheet_name``."""
-        return self.number()
+        """The rows with ``seq``."""
+        return self.number(False)
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """The rows with ``seq`` and the unique ``sheet_name``, for the outputs that show it."""
+        return self.number(True)
 
     @cached_property
     def sections(self) -> DataFrame:
         """T5 + W2: the cleaned name and the unique sheet name per shop."""
-        return self.base.select("shop_id", "seq", "clean_name", "sheet_name")
+        return self.named.select("shop_id", "seq", "clean_name", "sheet_name")
 
     # ---- typed wide table ---------------------------------------------------
     @cached_property
@@ -172,7 +177,7 @@ class PeriodReport:
             n, k, _ = spec
             rows.append([label, _cell(n, k, "_p1"), _cell(n, k, "_p2"), _delta_cell(n, k, detail=True),
                          False, True, S(_trend(n, k))])
-        return unpivot_rows(self.base, ["shop_id", "seq", "sheet_name"], rows, ["label", "p1", "p2", "delta"],
+        return unpivot_rows(self.named, ["shop_id", "seq", "sheet_name"], rows, ["label", "p1", "p2", "delta"],
                             flags=[("is_section", "boolean"), ("is_metric", "boolean"), ("trend", "int")])
 
     # ---- N11: trend flags --------------------------------------------------------
@@ -344,11 +349,12 @@ def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, sho
     roll = _rollup(tables, p1, p2, shops, rename, by_city, dedupe_right, quarantine)
     rows = period_rows(tables, roll, accounts, shops)
 
-    def number() -> DataFrame:
-        keys = apply_shop_filter(tables.store_daily.where(date_in(F.col("report_date"), [p1, p2]))
-                                 .select(F.col("shop_id").cast("string").alias("shop_id")), shops)
+    def number(names: bool) -> DataFrame:
+        if not names:
+            return sequence_numbers(rows, ["shop_id"], slim=roll.select("shop_id"))
         slim = roll.selectExpr("shop_id", f"{L.clean_section_name(SHOP_NAME)} AS clean_name")
-        out = sequence_numbers(rows, ["shop_id"], numberings={"seq": (), "name_no": ("clean_name",)}, keys=keys, slim=slim)
+        out = sequence_numbers(rows, ["shop_id"], numberings={"seq": (), "name_no": ("clean_name",)},
+                               keys=roll.select("shop_id"), slim=slim)
         return out.withColumn("sheet_name", F.expr(L.numbered_section_name("clean_name", "name_no")))
 
     rejected = rejected_store_days(tables, p1, p2, shops) if quarantine else None
