@@ -34,7 +34,7 @@ from shoplens.llm.stats import Slice, doc_sums
 
 BUCKETS = 1 << 16
 KINDS = ("word", "pair", "tri", "four")
-TRAIN_ROWS = 2_500
+TRAIN_ROWS = 1_500
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 KEEP_AT = 0.3
@@ -97,11 +97,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([np.concatenate(x).tobytes() for x in val], pa.binary())], ["doc_id", "label", "idx", "val"])
 
 
-def fit_logistic(rows: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, size: int, steps: int = 100,
+def fit_logistic(rows: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, size: int, use: np.ndarray, steps: int = 100,
                  rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Adam on the mean log loss of sparse rows, both classes weighted alike."""
+    """Adam on the mean log loss of the sparse rows in ``use``, both classes weighted alike."""
     w, b, m, v, mb, vb = np.zeros(size), 0.0, np.zeros(size), np.zeros(size), 0.0, 0.0
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
+    share = use * np.where(y > 0, 0.5 / max(1, (use & (y > 0)).sum()), 0.5 / max(1, (use & (y == 0)).sum()))
     for t in range(1, steps + 1):
         z = np.bincount(rows, val * w[idx], len(y)) + b
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
@@ -139,12 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
     n = np.array([len(r.idx) // 4 for r in got])
-    row = np.repeat(np.arange(len(got)), n)
-    idx = np.concatenate([np.frombuffer(r.idx, "<i4") for r in got]).astype(np.int64)
-    val = np.concatenate([np.frombuffer(r.val, "<f4") for r in got]).astype(np.float64)
-    use = ~held[row]
-    new = np.cumsum(~held) - 1
-    w, b = fit_logistic(new[row[use]], idx[use], val[use], y[~held], len(KINDS) * BUCKETS)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), n)
+    idx = np.concatenate([np.frombuffer(r.idx, "<i4") for r in got])
+    val = np.concatenate([np.frombuffer(r.val, "<f4") for r in got])
+    # Rows held for the calibration get no weight in the fit.
+    w, b = fit_logistic(row, idx, val, y, len(KINDS) * BUCKETS, ~held)
     z = np.bincount(row, val * w[idx], len(got)) + b
     fit = held if held.any() else ~held
     a, c = platt(z[fit], y[fit])
