@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.arrow import mix64, text_slices, utf8_view, word_bounds
+from shoplens.llm.arrow import mix64, text_slices, word_bounds
 from shoplens.llm.labelled import fold, sampled
 
 TRAIN_ROWS = 20_000

@@ -25,7 +25,7 @@ def doc_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.zeros(len(first) - 1, np.float64)
     some = np.flatnonzero(np.diff(first))
     if len(some):
-        out[some] = np.add.reduceat(values, first[some])[:len(some)] if first[-1] == len(values) else np.add.reduceat(values[:first[-1]], first[some])
+        out[some] = np.add.reduceat(values[:first[-1]], first[some])
     return out
 
 
