@@ -34,7 +34,7 @@ from shoplens.llm.lexicon import Lexicon, compile_lexicon
 from shoplens.llm.store import stored
 
 #: Words in the lexicon at most (a fixed model size, not a share of the data).
-LEXICON_WORDS = 200_000
+LEXICON_WORDS = 131_072
 #: Longer words are not counted, and longer pre-tokens are merged one by one.
 LONG_WORD = 64
 #: Distinct words that a counting task holds before it hands on its counts.
