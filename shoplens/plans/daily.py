@@ -44,6 +44,7 @@ TRAILING_DAYS = 7
 class DailyReport:
     rows: DataFrame            # one row per (report_date, shop row) with its inputs, not numbered
     number: Callable[[bool], DataFrame]
+    facts: DataFrame           # the shop ids of the store-days that the report reads (for the empty check)
     dates: Period
     options: dict = field(default_factory=dict)
 
@@ -241,12 +242,16 @@ def _daily_rows(tables, dates: Period, accounts: Accounts, shops, dedupe_right:
 CLEAN_NAME = L.clean_section_name(L.daily_shop_name("raw_shop_name", "shop_id"))
 
 
+def _shop_ids(tables, dates: Period, shops) -> DataFrame:
+    return apply_shop_filter(tables.store_daily.where(date_in(F.col("report_date"), [dates]))
+                             .select(F.col("shop_id").cast("string").alias("shop_id")), shops)
+
+
 def _numbered(tables, rows: DataFrame, dates: Period, shops, dedupe_right: bool, names: bool) -> DataFrame:
     # The ranges' sizes need the joins' row counts, but none of their columns; the boundaries only shop ids.
     slim = (joined_facts(tables, [dates], shops=shops, dedupe_right=dedupe_right, store_cols=("shop_name",) if names else (),
                          promo_cols=(), stats_cols=()))
-    keys = apply_shop_filter(tables.store_daily.where(date_in(F.col("report_date"), [dates]))
-                             .select(F.col("shop_id").cast("string").alias("shop_id")), shops)
+    keys = _shop_ids(tables, dates, shops)
     if not names:
         return sequence_numbers(rows, ["shop_id"], group_cols=["report_date"], keys=keys, slim=slim)
     slim = slim.withColumnRenamed("shop_name", "raw_shop_name").selectExpr("report_date", "shop_id", f"{CLEAN_NAME} AS clean_name")
@@ -262,5 +267,6 @@ def daily_report(tables, report_date: str | dt.date | Period | Sequence, account
     accounts = given(accounts, unresolved)
     shops = shop_filter(tables, accounts=accounts, unresolved=unresolved)
     rows = _daily_rows(tables, dates, accounts, shops, dedupe_right)
-    return DailyReport(rows=rows, number=lambda names: _numbered(tables, rows, dates, shops, dedupe_right, names), dates=dates,
+    facts = _shop_ids(tables, dates, shops)
+    return DailyReport(rows=rows, number=lambda names: _numbered(tables, rows, dates, shops, dedupe_right, names), facts=facts, dates=dates,
                        options=dict(accounts=accounts, legacy=legacy, shops=shops))

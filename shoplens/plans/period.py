@@ -21,7 +21,7 @@ from shoplens.functions import labels as L
 from shoplens.functions import metrics as M
 from shoplens.functions import texts as X
 from shoplens.operators.dims import Accounts, apply_shop_filter, given, shop_dim, shop_filter
-from shoplens.operators.facts import SUM_KIND, RollupSpec, joined_facts, period_rollup
+from shoplens.operators.facts import SUM_KIND, RollupSpec, date_in, joined_facts, period_rollup
 from shoplens.operators.layout import S, unpivot_rows
 from shoplens.operators.numbering import sequence_numbers
 from shoplens.operators.quality import validate
@@ -96,6 +96,7 @@ class PeriodReport:
     """Lazy outputs of one two-period report."""
     rows: DataFrame            # one row per shop: attributes and period sums, not numbered
     number: Callable[[bool], DataFrame]
+    facts: DataFrame           # the shop ids of the store-days that the report reads (for the empty check)
     p1: Period
     p2: Period
     rejected: DataFrame | None = None   # with quarantine: rejected store-days and reasons
@@ -358,7 +359,11 @@ def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, sho
         return out.withColumn("sheet_name", F.expr(L.numbered_section_name("clean_name", "name_no")))
 
     rejected = rejected_store_days(tables, p1, p2, shops) if quarantine else None
-    return PeriodReport(rows=rows, number=number, p1=p1, p2=p2, rejected=rejected,
+    facts = apply_shop_filter(tables.store_daily.where(date_in(F.col("report_date"), [p1, p2]))
+                              .select(F.col("shop_id").cast("string").alias("shop_id")), shops)
+    if quarantine:
+        facts = facts.join(rejected.select("shop_id").distinct(), "shop_id", "left_anti")
+    return PeriodReport(rows=rows, number=number, facts=facts, p1=p1, p2=p2, rejected=rejected,
                         options=dict(accounts=accounts, shop_id=shop_id, rename=rename, by_city=by_city, legacy=legacy))
 
 
