@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.arrow import BYTE_CODES, binary, spread, text_slices
+from shoplens.llm.store import stored
 
 GEAR_BYTES = 16
 HORIZON = 32
@@ -120,6 +121,8 @@ def repeats(own: DataFrame) -> DataFrame:
     found = chunks(own)
     place = F.struct(*_KEY, "start")
     seen = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    # Stored, so that both sides of the join are plain shuffles: adaptive execution can then split a hot digest's rows.
+    seen = stored(seen, "seen-digests")
     again = found.join(seen, ["d1", "d2"]).where(place > F.col("first"))
     return again.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("removed"))
 

@@ -186,4 +186,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     place = distinct.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left").select(
         "fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return own.join(place, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # Stored, so that both sides of the join are plain shuffles: adaptive execution can then split a hot fingerprint's rows.
+    return own.join(stored(place, "places"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
