@@ -208,3 +208,21 @@ def test_language_without_training_rows(spark):
     rows = langid.identify(frame(spark, EDGE), langid.train(frame(spark, EDGE).withColumn("lang", F.lit(None).cast("string")))).collect()
     assert {r.lang_pred for r in rows} == {"und"} and len(rows) == len(EDGE)
     assert langid.identify(empty(spark), None).count() == 0
+
+
+def test_pii_fit_on_examples_that_do_not_differ(spark):
+    same = frame(spark, [(1, "paid 4111111111111111 ok"), (2, "paid 4111111111111112 ok")])     # one passes Luhn, one fails
+    fitted = pii.fit(same)
+    assert fitted[1] == {}
+    assert {r.doc_id: r.spans for r in pii.find(same, fitted).collect()} == {1: "card:5:21", 2: ""}
+
+
+def test_training_samples_are_bounded_and_stable(spark):
+    from shoplens.llm.labelled import training_rows
+
+    docs = frame(spark, [(i, f"text {i}") for i in range(3000)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(3000)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, text int")
+    rows = training_rows(docs, labels, "quality", 5, 0, 400).collect()
+    assert 300 < len(rows) < 500 and not any(_held(r.doc_id, 5, 0) for r in rows)
+    assert key(rows) == key(training_rows(docs.repartition(7), labels, "quality", 5, 0, 400).collect())
+    assert len(training_rows(docs, labels, "quality", 5, 0, 10_000).collect()) == sum(not _held(i, 5, 0) for i in range(3000))
