@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import bpe, chunks, decontam, langid, phrases, pii, quality_rules, resample, rule_ensemble, simhash, suffix_dedup, token_files
+from shoplens.llm import bpe, chunks, decontam, langid, lm, phrases, pii, quality_rules, resample, rule_ensemble, simhash, suffix_dedup, token_files
 from shoplens.llm.store import documents, picked, scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,13 +77,17 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(documents(spark, sf_dir))
 
 
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.digests(resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_token_files, op4_suffix_dedup, op5_substring, op6_simhash, op7_bpe, op8_language, op9_decontamination,
-                                     op10_quality_classifier, op11_phrases, op13_resample)}
+                                     op10_quality_classifier, op11_phrases, op12_lm, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
