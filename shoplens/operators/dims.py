@@ -90,7 +90,8 @@ def shop_filter(tables: ReportTables, accounts: Accounts = None, shop_id: str |
     """The shops a report is limited to: a predicate, a DataFrame of shop ids
     (for a left semi join), or None for no limit.
 
-    * ``shop_id`` (P6) replaces the account filter -> ``shop_id = x``;
+    * ``shop_id`` (P6) replaces the account filter -> ``shop_id = x``; the empty id names no shop (P5),
+      with ``unresolved='all'`` it counts as not given;
     * ``shop_ids`` (P7), a list (-> ``shop_id IN (...)``) or a DataFrame with
       ``shop_id`` (for sets too large for the text of a plan);
     * ``accounts`` (P4) resolve through ``stores_json`` -> DataFrame.
@@ -105,8 +106,10 @@ def shop_filter(tables: ReportTables, accounts: Accounts = None, shop_id: str |
     """
     if unresolved not in ("none", "all"):
         raise ValueError(f"unresolved must be 'none' or 'all', not {unresolved!r}")
-    if shop_id:
+    if shop_id is not None and str(shop_id):
         return F.col("shop_id") == F.lit(str(shop_id))
+    if shop_id is not None and unresolved == "none":
+        return F.lit(False)
     shop_ids, accounts = given(shop_ids, unresolved), given(accounts, unresolved)
     if isinstance(shop_ids, list):
         return F.col("shop_id").isin(sorted(set(shop_ids))) if shop_ids else F.lit(False)

@@ -130,9 +130,14 @@ class RollupSpec:
     rename='last_group': the original per-(shop, name[, city]) groups, keeping
     one group per shop and period (the greatest name, then city) — its other
     rows are dropped, as the original's keyed dictionary dropped them.
+
+    checked=True: a sum that does not fit its type is NULL instead of an error that ends the
+    job, and ``lost`` lists the sums of a shop to which that happened (names like
+    ``visit_users_p1``); without it ANSI mode raises.
     """
     rename: str = "sum_latest"
     by_city: bool = False
+    checked: bool = False
 
 
 def period_rollup(joined: DataFrame, p1: Period, p2: Period, spec: RollupSpec = RollupSpec()) -> DataFrame:
@@ -145,45 +150,78 @@ def period_rollup(joined: DataFrame, p1: Period, p2: Period, spec: RollupSpec =
     small input, is a name chosen by ``max_by``.
 
     Output: shop_id, has_p1, has_p2, name_p1, name_p2, and ``<metric>_p1`` /
-    ``<metric>_p2`` sums (NULL when a period has no row or only NULLs).
+    ``<metric>_p2`` sums (NULL when a period has no row or only NULLs); with
+    ``checked`` also ``lost``.
     """
     if spec.rename not in ("sum_latest", "last_group"):
         raise ValueError(f"rename must be 'sum_latest' or 'last_group', not {spec.rename!r}")
+    if spec.by_city and spec.rename != "last_group":
+        raise ValueError("by_city groups by (shop, name, city) and needs rename='last_group'")
     in1 = F.col("report_date").between(F.lit(p1.start), F.lit(p1.end))
     in2 = F.col("report_date").between(F.lit(p2.start), F.lit(p2.end))
+    names = [m for m, *_ in PERIOD_SUMS]
+    total = "try_sum" if spec.checked else "sum"
     src = joined.where(in1 | in2).select(
         "shop_id", "report_date", "shop_name", "city", in1.alias("_in1"), in2.alias("_in2"),
-        *[_src(m).alias(m) for m, *_ in PERIOD_SUMS])
-    if spec.by_city and spec.rename != "last_group":
-        raise ValueError("by_city groups by (shop, name, city) and needs rename='last_group'")
-    by_city = spec.by_city
-    keys = ["shop_id", "shop_name"] + (["city"] if by_city else [])
+        *[_src(m).alias(m) for m in names])
+    periods = (("_in1", "_p1"), ("_in2", "_p2"))
+    seen = lost = []
+    if spec.checked:
+        # One bit per metric: which sums have had a value, so that a NULL among those is an overflow.
+        src = src.withColumn("_bits", F.expr(_bits(f"{m} IS NOT NULL" for m in names)))
+        seen = [F.expr(f"bit_or(CASE WHEN {flag} THEN _bits ELSE 0L END) AS _seen{sfx}") for flag, sfx in periods]
+    keys = ["shop_id", "shop_name"] + (["city"] if spec.by_city else [])
     groups = src.groupBy(*keys).agg(
         F.expr("bool_or(_in1) AS has_p1"), F.expr("bool_or(_in2) AS has_p2"),
         F.expr("max(CASE WHEN _in1 THEN report_date END) AS last_p1"),
         F.expr("max(CASE WHEN _in2 THEN report_date END) AS last_p2"),
-        *[F.expr(f"sum(CASE WHEN {flag} THEN {m} END) AS {m}{sfx}")
-          for flag, sfx in (("_in1", "_p1"), ("_in2", "_p2")) for m, *_ in PERIOD_SUMS])
+        *[F.expr(f"{total}(CASE WHEN {flag} THEN {m} END) AS {m}{sfx}") for flag, sfx in periods for m in names], *seen)
+    if spec.checked:
+        groups = _with_lost(groups, names)
     flags = [F.expr("bool_or(has_p1) AS has_p1"), F.expr("bool_or(has_p2) AS has_p2")]
 
     if spec.rename == "sum_latest":
-        return groups.groupBy("shop_id").agg(
+        if spec.checked:
+            lost = [F.expr(f"bit_or({c}{sfx}) AS {c}{sfx}") for _, sfx in periods for c in ("_seen", "_lost")]
+        out = groups.groupBy("shop_id").agg(
             *flags,
             F.expr("max_by(shop_name, last_p1) AS name_p1"),
             F.expr("max_by(shop_name, last_p2) AS name_p2"),
-            *[F.expr(f"sum({m}{sfx}) AS {m}{sfx}") for sfx in ("_p1", "_p2") for m, *_ in PERIOD_SUMS])
+            *[F.expr(f"{total}({m}{sfx}) AS {m}{sfx}") for sfx in ("_p1", "_p2") for m in names], *lost)
+        return _lost_named(_with_lost(out, names), names) if spec.checked else out
 
     order = "struct(" + ", ".join(keys[1:]) + ")"
+    extra = ["_lost"] if spec.checked else []
 
     def pick(flag: str, suffix: str) -> Column:
-        vals = ", ".join(["shop_name AS name"] + [f"{m}{suffix} AS {m}" for m, *_ in PERIOD_SUMS])
+        vals = ", ".join(["shop_name AS name"] + [f"{m}{suffix} AS {m}" for m in [*names, *extra]])
         return F.expr(f"max_by(struct({vals}), CASE WHEN {flag} THEN {order} END) AS g{suffix}")
 
     picked = groups.groupBy("shop_id").agg(*flags, pick("has_p1", "_p1"), pick("has_p2", "_p2"))
-    return picked.selectExpr(
+    out = picked.selectExpr(
         "shop_id", "has_p1", "has_p2", "g_p1.name AS name_p1", "g_p2.name AS name_p2",
-        *[f"g_p1.{m} AS {m}_p1" for m, *_ in PERIOD_SUMS],
-        *[f"g_p2.{m} AS {m}_p2" for m, *_ in PERIOD_SUMS])
+        *[f"g{sfx}.{m} AS {m}{sfx}" for sfx in ("_p1", "_p2") for m in [*names, *extra]])
+    return _lost_named(out, names) if spec.checked else out
+
+
+def _bits(conditions) -> str:
+    """A long with bit i set where the i-th condition holds."""
+    return " | ".join(f"(CASE WHEN {c} THEN {1 << i}L ELSE 0L END)" for i, c in enumerate(conditions))
+
+
+def _with_lost(groups: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``_lost_p1``, ``_lost_p2``: the sums that overflowed here or in a part; those are NULL."""
+    for sfx in ("_p1", "_p2"):
+        have = f"_lost{sfx}" if f"_lost{sfx}" in groups.columns else "0L"
+        now = _bits(f"{m}{sfx} IS NULL" for m in names)
+        groups = groups.withColumn(f"_lost{sfx}", F.expr(f"{have} | (_seen{sfx} & ({now}))"))
+        groups = groups.withColumns({f"{m}{sfx}": F.expr(f"CASE WHEN _lost{sfx} & {1 << i}L = 0 THEN {m}{sfx} END") for i, m in enumerate(names)})
+    return groups
+
+
+def _lost_named(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    cases = ", ".join(f"CASE WHEN coalesce(_lost{sfx}, 0L) & {1 << i}L <> 0 THEN '{m}{sfx}' END" for sfx in ("_p1", "_p2") for i, m in enumerate(names))
+    return rows.withColumn("lost", F.expr(f"array_compact(array({cases}))")).drop("_seen_p1", "_seen_p2", "_lost_p1", "_lost_p2")
 
 
 def trailing_sum(df: DataFrame, value_col: str, report: Period, days: int = 7,

@@ -7,13 +7,16 @@
   that took the default 0 because the period had no row or the sum was NULL —
   the original printed these as debug lines.
 
-Both are single projections (plus one aggregate for duplicate keys); nothing is
+* ``arithmetic_errors`` (Q1) names every figure of a shop that can't be computed, so
+  that one shop's overflow fails that shop and not the report.
+
+All are single projections (plus one aggregate for duplicate keys); nothing is
 collected to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ COUNTERS = ["exposure_users", "visit_users", "order_users", "verify_person_count
             "verify_coupon_count", "coupon_pay_order_count", "promotion_exposure_count", "promotion_click_count",
             "new_good_review_count", "new_review_count", "new_collect_users", "consult_users"]
 MONEY = ["promotion_cost", "order_sale_amount", "verify_sale_amount", "verify_after_discount"]
+_LARGEST = "9223372036854775807"       # of a bigint
 RATE_TEXT = r"^[0-9]+(\.[0-9]+)?%$"
 
 
@@ -69,6 +73,27 @@ def split_valid(tables: ReportTables, ranges: Sequence[Period]) -> tuple[DataFra
     return good, v.where("status = 'rejected'")
 
 
+def arithmetic_errors(rates: Mapping[str, tuple[str, str]], averages: Mapping[str, tuple[str, str]]) -> str:
+    """SQL text over a checked rollup: what overflows in a shop's figures, joined by ``; ``, or NULL.
+
+    Sums come from ``lost``; a rate multiplies its numerator by 1000, an average its total by 100, and every
+    difference must fit the type of its sides.
+    """
+    errors = ["nullif(array_join(transform(lost, x -> concat('overflow in ', x)), '; '), '')"]
+    for name, (n, den) in rates.items():
+        for sfx in ("_p1", "_p2"):
+            errors.append(f"CASE WHEN {den}{sfx} > 0 AND try_multiply({n}{sfx}, 1000L) IS NULL AND {n}{sfx} IS NOT NULL THEN 'overflow in {name}{sfx}' END")
+        a, b = f"coalesce({n}_p1, 0L)", f"coalesce({n}_p2, 0L)"
+        wide = f"abs(CAST({a} AS DECIMAL(38,0))) + abs(CAST({b} AS DECIMAL(38,0)))"
+        errors.append(f"CASE WHEN {den}_p1 > 0 AND {den}_p2 > 0 AND signum({a}) * signum({b}) < 0 AND ({wide}) * 1000 > {_LARGEST} THEN 'overflow in {name}_delta' END")
+    for name, (t, n) in averages.items():
+        errors += [f"CASE WHEN {n}{sfx} > 0 AND abs({t}{sfx}) * 100 > {_LARGEST} THEN 'overflow in {name}{sfx}' END" for sfx in ("_p1", "_p2")]
+    for name, _, _, kind in PERIOD_SUMS:
+        if kind == "count":
+            errors.append(f"CASE WHEN try_subtract(coalesce({name}_p2, 0L), coalesce({name}_p1, 0L)) IS NULL THEN 'overflow in {name}_delta' END")
+    return "nullif(concat_ws('; ', " + ", ".join(errors) + "), '')"
+
+
 def default_profile(period_base: DataFrame) -> DataFrame:
     """Q2/A10: (shop_id, seq, period, metric, reason) for every defaulted sum."""
     rows = []

@@ -17,15 +17,17 @@ from shoplens.plans.params import Period
 from shoplens.sources.fixtures import duckdb_ctes
 
 # FIXED VALUES. The 23 sums of a period, in report order: name = summed column.
-SUMS = dict(x.split("=") for x in """
-verify_after_discount=verify_after_discount exposure_users=exposure_users visit_users=visit_users order_users=order_users
-order_coupon_count=order_coupon_count verify_users=verify_person_count verify_coupon_count=verify_coupon_count
-order_sale_amount=order_sale_amount verify_sale_amount=verify_sale_amount coupon_orders=coupon_pay_order_count
-phone_clicks=view_phone_count promotion_cost=promotion_cost promotion_exposure=promotion_exposure_count
-promotion_clicks=promotion_click_count promotion_orders=order_count view_groupbuy=view_groupbuy_count
-view_phone=view_phone_count consult_users=consult_users address_clicks=view_address_count new_collect=new_collect_users
-new_good_reviews=new_good_review_count new_reviews=new_review_count checkin_count=checkin_count
-""".split())
+SUMS = {
+    "verify_after_discount": "verify_after_discount", "exposure_users": "exposure_users", "visit_users": "visit_users",
+    "order_users": "order_users", "order_coupon_count": "order_coupon_count", "verify_users": "verify_person_count",
+    "verify_coupon_count": "verify_coupon_count", "order_sale_amount": "order_sale_amount",
+    "verify_sale_amount": "verify_sale_amount", "coupon_orders": "coupon_pay_order_count", "phone_clicks": "view_phone_count",
+    "promotion_cost": "promotion_cost", "promotion_exposure": "promotion_exposure_count",
+    "promotion_clicks": "promotion_click_count", "promotion_orders": "order_count", "view_groupbuy": "view_groupbuy_count",
+    "view_phone": "view_phone_count", "consult_users": "consult_users", "address_clicks": "view_address_count",
+    "new_collect": "new_collect_users", "new_good_reviews": "new_good_review_count", "new_reviews": "new_review_count",
+    "checkin_count": "checkin_count",
+}
 AMOUNTS = {"verify_after_discount", "order_sale_amount", "verify_sale_amount", "promotion_cost"}
 # Percentages: 100 * first / second. Unit prices: first / second.
 PERCENT = {
@@ -41,18 +43,27 @@ UNIT = {
     "click_price": ("promotion_cost", "promotion_clicks"),
 }
 # Columns of the two summary blocks, and lines of the detail sheet ("-": a section line).
-FIRST = ("verify_after_discount exposure_users visit_users exposure_rate order_users order_coupon_count order_rate verify_users "
-         "verify_coupon_count order_sale_amount verify_sale_amount coupon_orders phone_clicks avg_price").split()
-SECOND = ("promotion_cost promotion_exposure promotion_clicks click_price promotion_orders promotion_rate view_groupbuy view_phone "
-          "consult_users address_clicks new_collect collect_rate new_good_reviews review_rate").split()
-SHEET = ("exposure_users visit_users exposure_rate order_users verify_users order_rate order_coupon_count verify_coupon_count "
-         "order_sale_amount verify_sale_amount verify_after_discount avg_price phone_clicks address_clicks consult_users - "
-         "new_good_reviews review_rate new_collect collect_rate_detail checkin_count - promotion_orders promotion_cost "
-         "promotion_exposure promotion_clicks click_price view_groupbuy view_phone").split()
+FIRST = [
+    "verify_after_discount", "exposure_users", "visit_users", "exposure_rate", "order_users", "order_coupon_count", "order_rate",
+    "verify_users", "verify_coupon_count", "order_sale_amount", "verify_sale_amount", "coupon_orders", "phone_clicks", "avg_price",
+]
+SECOND = [
+    "promotion_cost", "promotion_exposure", "promotion_clicks", "click_price", "promotion_orders", "promotion_rate", "view_groupbuy",
+    "view_phone", "consult_users", "address_clicks", "new_collect", "collect_rate", "new_good_reviews", "review_rate",
+]
+SHEET = [
+    "exposure_users", "visit_users", "exposure_rate", "order_users", "verify_users", "order_rate", "order_coupon_count",
+    "verify_coupon_count", "order_sale_amount", "verify_sale_amount", "verify_after_discount", "avg_price", "phone_clicks",
+    "address_clicks", "consult_users", "-", "new_good_reviews", "review_rate", "new_collect", "collect_rate_detail", "checkin_count",
+    "-", "promotion_orders", "promotion_cost", "promotion_exposure", "promotion_clicks", "click_price", "view_groupbuy",
+    "view_phone",
+]
 # Store-day columns that must not be negative, in the order in which reasons are listed.
-NOT_NEGATIVE = ("exposure_users visit_users order_users verify_person_count order_coupon_count verify_coupon_count coupon_pay_order_count "
-                "promotion_exposure_count promotion_click_count new_good_review_count new_review_count new_collect_users consult_users "
-                "promotion_cost order_sale_amount verify_sale_amount verify_after_discount").split()
+NOT_NEGATIVE = [
+    "exposure_users", "visit_users", "order_users", "verify_person_count", "order_coupon_count", "verify_coupon_count",
+    "coupon_pay_order_count", "promotion_exposure_count", "promotion_click_count", "new_good_review_count", "new_review_count",
+    "new_collect_users", "consult_users", "promotion_cost", "order_sale_amount", "verify_sale_amount", "verify_after_discount",
+]
 PERCENT_TEXT = r"^[0-9]+(\.[0-9]+)?%$"
 
 
@@ -226,6 +237,74 @@ def resolved_cte(accounts: Sequence[str]) -> str:
   )"""
 
 
+def names_ctes(rows: str, out: str, group: str) -> str:
+    """CTEs from ``rows`` to ``out`` with sheet_name: the first of a name keeps it, the others try
+    2, 3, 4 ... behind the name's first 28 characters and take the numbers that no kept name has."""
+    return f""",
+  nm_use as (select *, {group} as g, row_number() over (partition by {group}, lower(clean_name) order by seq) as use_no from {rows}),
+  nm_own as (select g, lower(clean_name) as own from nm_use where use_no = 1),
+  nm_wait as (
+    select g, seq, lower(substring(clean_name, 1, 28)) as stem,
+      row_number() over (partition by g, lower(substring(clean_name, 1, 28)) order by seq) as k
+    from nm_use where use_no > 1),
+  nm_room as (
+    select w.g, w.stem, max(w.k) + (select count(*) from nm_own o where o.g = w.g and starts_with(o.own, w.stem || '_')) as most
+    from nm_wait w group by w.g, w.stem),
+  nm_try as (select g, stem, unnest(range(2, most + 2)) as n from nm_room),
+  nm_free as (
+    select t.g, t.stem, t.n, row_number() over (partition by t.g, t.stem order by t.n) as k
+    from nm_try t left join nm_own o on o.g = t.g and o.own = t.stem || '_' || cast(t.n as varchar) where o.own is null),
+  {out} as (
+    select u.* exclude (g, use_no),
+      case when use_no = 1 then clean_name else substring(clean_name, 1, 28) || '_' || cast(f.n as varchar) end as sheet_name
+    from nm_use u left join nm_wait w on w.g = u.g and w.seq = u.seq
+    left join nm_free f on f.g = w.g and f.stem = w.stem and f.k = w.k)"""
+
+
+def failed_ctes(p1: Period, p2: Period) -> str:
+    """CTEs ending in ``failed``: shops with a rejected store-day, or a figure beyond the largest bigint, with both periods' sums."""
+    largest = "9223372036854775807"
+    parts = [validate_ctes([p1, p2])]
+    for tag, p in (("q1", p1), ("q2", p2)):
+        sums = ", ".join(f"sum({src}) as {name}" for name, src in SUMS.items())
+        j = _joined(f"k.report_date between {d(p.start)} and {d(p.end)}")
+        parts.append(f"""
+  {tag} as (select shop_id, arg_max(shop_name, report_date) as shop_name, {sums} from ({j}) jj group by shop_id)""")
+    counters = [n for n in SUMS if n not in AMOUNTS]
+    errors = ["days"] + [f"case when {t}.{n} > {largest} then 'overflow in {n}_{p}' end" for t, p in (("q1", "p1"), ("q2", "p2")) for n in counters]
+    seen = list(dict.fromkeys(x for x in FIRST + SECOND + SHEET if x in PERCENT or x in UNIT))
+    sides = (("q1", "p1"), ("q2", "p2"))
+    for name in [x for x in seen if x in PERCENT]:
+        n, den = PERCENT[name]
+        errors += [f"case when {t}.{den} between 1 and {largest} and {t}.{n} <= {largest} and {t}.{n} * 1000 > {largest} then 'overflow in {name}_{p}' end" for t, p in sides]
+    for name in [x for x in seen if x in UNIT]:
+        total, n = UNIT[name]
+        errors += [f"case when {t}.{n} between 1 and {largest} and {t}.{total} * 100 > {largest} then 'overflow in {name}_{p}' end" for t, p in sides]
+    kept = []
+    for n in SUMS:
+        for t, p in sides:
+            value = f"cast({t}.{n} as decimal(38,2))" if n in AMOUNTS else f"cast(case when {t}.{n} <= {largest} then {t}.{n} end as bigint)"
+            kept.append(f"{value} as {n}_{p}")
+    parts.append(f"""
+  bad_days as (select shop_id, string_agg(distinct errors, '; ' order by errors) as days from v where errors <> '' group by shop_id),
+  every_shop as (select shop_id from q1 union select shop_id from q2 union select shop_id from bad_days),
+  failed as (
+    select * from (
+      select e.shop_id,
+        case when q2.shop_name is not null and q2.shop_name <> '' then q2.shop_name when q1.new_reviews is not null or q1.exposure_users is not null then q1.shop_name
+             when q2.exposure_users is not null then {q(X.UNKNOWN_SHOP)} end as shop_name,
+        concat_ws('; ', {", ".join(errors)}) as errors, q1.exposure_users is not null as has_p1, q2.exposure_users is not null as has_p2,
+        {", ".join(kept)}
+      from every_shop e left join q1 on q1.shop_id is not distinct from e.shop_id left join q2 on q2.shop_id is not distinct from e.shop_id
+      left join bad_days b on b.shop_id is not distinct from e.shop_id) t
+    where errors <> '')""")
+    return ",".join(parts)
+
+
+def failed_sql(p1: Period, p2: Period, variant: str) -> str:
+    return duckdb_ctes(variant).rstrip() + "," + failed_ctes(p1, p2) + "\nselect * from failed"
+
+
 def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = None,
                     shop_id: str | None = None, shop_ids: Sequence[str] | None = None,
                     rename: str = "sum_latest", by_city: bool = False, unresolved: str = "none",
@@ -235,6 +314,8 @@ def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = Non
     ctes = []
     if shop_id:
         shop_where = f" and k.shop_id = {q(str(shop_id))}"
+    elif shop_id is not None:
+        shop_where = " and false"
     elif shop_ids is not None and not shop_ids:
         shop_where = " and false" if unresolved == "none" else ""
     elif shop_ids:
@@ -248,8 +329,8 @@ def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = Non
         shop_where = ""
     ctes.append(shop_dim_cte(accounts))
     if quarantine:
-        ctes.append(validate_ctes([p1, p2]))
-        shop_where += " and k.shop_id not in (select shop_id from v where errors <> '')"
+        ctes.append(failed_ctes(p1, p2))
+        shop_where += " and not exists (select 1 from failed x where x.shop_id is not distinct from k.shop_id)"
 
     def rollup(tag: str, p: Period) -> str:
         j = _joined(f"k.report_date between {d(p.start)} and {d(p.end)}", shop_where, dedupe)
@@ -313,14 +394,7 @@ def period_base_sql(p1: Period, p2: Period, accounts: Sequence[str] | None = Non
     select *, {", ".join(derived)},
       coalesce(nullif(substring(translate(shop_name, {q(X.SECTION_NAME_ILLEGAL)}, ''), 1, 31), ''), 'Sheet') as clean_name
     from b0
-  ),
-  base as (
-    select *,
-      case when row_number() over (partition by clean_name order by seq) > 1
-           then substring(clean_name, 1, 28) || '_' || cast(row_number() over (partition by clean_name order by seq) as varchar)
-           else clean_name end as sheet_name
-    from b1
-  )""")
+  )""" + names_ctes("b1", "base", "0"))
     return duckdb_ctes(variant).rstrip() + ",\n" + ",".join(ctes) + "\n"
 
 
@@ -525,15 +599,7 @@ def daily_base_sql(start, end, accounts: Sequence[str] | None = None, variant: s
            else acity end as region_path,
       coalesce(nullif(substring(translate(dname, {q(X.SECTION_NAME_ILLEGAL)}, ''), 1, 31), ''), 'Sheet') as clean_name
     from db0
-  ),
-  dbase as (
-    select *,
-      case when row_number() over (partition by report_date, clean_name order by seq) > 1
-           then substring(clean_name, 1, 28) || '_' ||
-                cast(row_number() over (partition by report_date, clean_name order by seq) as varchar)
-           else clean_name end as sheet_name
-    from db1
-  )""")
+  )""" + names_ctes("db1", "dbase", "report_date"))
     return duckdb_ctes(variant).rstrip() + ",\n" + ",".join(ctes) + "\n"
 
 
@@ -663,8 +729,8 @@ def daily_detail_select(legacy: bool = False) -> str:
 
 # ---- dimensions -----------------------------------------------------------
 
-def shop_dim_select(accounts=None) -> str:
-    return duckdb_ctes().rstrip() + ",\n" + shop_dim_cte(accounts) + "\nselect shop_id, operator, sales, city from shop_dim"
+def shop_dim_select(accounts=None, variant: str | None = None) -> str:
+    return duckdb_ctes(variant).rstrip() + ",\n" + shop_dim_cte(accounts) + "\nselect shop_id, operator, sales, city from shop_dim"
 
 
 def region_dim_select(accounts=None) -> str:

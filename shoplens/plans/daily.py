@@ -9,14 +9,17 @@ The same-day ad count (J8) comes from the stats rows that are joined anyway, not
 from a second lookup per shop: the greatest of a shop and day, so that shop-days
 with several stats rows show one figure.
 
-Only outputs that show a number (summary, detail, sections) read the numbered
-rows; checks, ranks and totals read the plain ones. Building a report runs no job.
+The rows are evaluated once, when an output that shows a number (summary, detail, sections) is
+first asked for: they are written in the session's shared folder, and numbers, names and those
+outputs come from that copy. Checks, ranks and totals read the stored rows if there are any and the plain
+ones otherwise. Building a report runs no job. Several rows of a shop and day (fan-out) are numbered in the
+order of all their columns.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -27,9 +30,10 @@ from shoplens.functions import labels as L
 from shoplens.functions import metrics as M
 from shoplens.functions import texts as X
 from shoplens.operators.dims import Accounts, apply_shop_filter, given, region_dim, shop_dim, shop_filter
-from shoplens.operators.facts import date_in, joined_facts, trailing_sum
+from shoplens.operators.facts import joined_facts, trailing_sum
 from shoplens.operators.layout import S, unpivot_rows
-from shoplens.operators.numbering import sequence_numbers
+from shoplens.operators.names import unique_names
+from shoplens.operators.ranks import numbered, stored
 from shoplens.plans.params import Period, as_period
 
 # Thresholds of the four daily checks (N9). FIXED VALUES.
@@ -43,20 +47,33 @@ TRAILING_DAYS = 7
 @dataclass
 class DailyReport:
     rows: DataFrame            # one row per (report_date, shop row) with its inputs, not numbered
-    number: Callable[[bool], DataFrame]
-    facts: DataFrame           # the shop ids of the store-days that the report reads (for the empty check)
     dates: Period
     options: dict = field(default_factory=dict)
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The rows, evaluated once and stored."""
+        return stored(self.rows, "daily-rows")
+
+    @cached_property
+    def row_count(self) -> int:
+        return self.kept.count()
+
+    @property
+    def plain(self) -> DataFrame:
+        """The rows for outputs without a number: the stored ones if they were made."""
+        return self.__dict__.get("kept", self.rows)
+
     @cached_property
     def base(self) -> DataFrame:
-        """The rows with ``seq`` per date."""
-        return self.number(False)
+        """The stored rows with ``seq`` per date."""
+        order = ["shop_id", *[c for c in self.rows.columns if c not in ("shop_id", "report_date")]]
+        return numbered(self.kept, order, ["report_date"], "seq", count=self.row_count).withColumn("seq", F.col("seq").cast("int"))
 
     @cached_property
     def named(self) -> DataFrame:
         """The rows with ``seq`` per date and the unique ``sheet_name``, for the outputs that show it."""
-        return self.number(True)
+        return unique_names(self.base, "clean_name", ["report_date"], count=self.row_count)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -87,7 +104,7 @@ class DailyReport:
     @cached_property
     def checks(self) -> DataFrame:
         """The four pass/fail checks per shop and date."""
-        return self.rows.selectExpr(
+        return self.plain.selectExpr(
             "report_date", "shop_id",
             f"{REVIEW_RATE} AS review_rate", f"{REVIEW_OK} AS review_pass",
             f"{COLLECT_RATE} AS collect_rate", f"{COLLECT_OK} AS collect_pass",
@@ -98,7 +115,7 @@ class DailyReport:
     @cached_property
     def ranks(self) -> DataFrame:
         """Summary and detail rank labels with the region path."""
-        return self.rows.selectExpr(
+        return self.plain.selectExpr(
             "report_date", "shop_id",
             f"{L.rank_label('order_user_rank')} AS order_rank_label",
             f"{L.rank_label('verify_amount_rank')} AS verify_rank_label",
@@ -115,14 +132,14 @@ class DailyReport:
     @cached_property
     def coupon_7d(self) -> DataFrame:
         """A5: 7-day coupon-code order total per shop and date."""
-        return self.rows.select("report_date", "shop_id", "coupon_orders_7d")
+        return self.plain.select("report_date", "shop_id", "coupon_orders_7d")
 
     def ad_orders_7d(self, tables) -> DataFrame:
         """7-day ad-order total from the stats table, per shop and date."""
         stats = tables.store_stats.select(F.col("store_id").cast("string").alias("shop_id"),
                                           F.col("date").alias("report_date"), "ad_order_count")
         stats = apply_shop_filter(stats, self.options.get("shops"))
-        own = self.rows.select("report_date", "shop_id")
+        own = self.plain.select("report_date", "shop_id")
         sums = trailing_sum(stats, "ad_order_count", self.dates, days=TRAILING_DAYS, out="_ad7", wanted=own)
         return (own.join(sums, ["shop_id", "report_date"], "left")
                 .selectExpr("report_date", "shop_id", f"{M.count0('_ad7')} AS ad_orders_7d"))
@@ -191,7 +208,7 @@ class DailyReport:
     @cached_property
     def shop_count(self) -> DataFrame:
         """Number of shops in the report (one row)."""
-        return self.rows.selectExpr("count(DISTINCT shop_id) AS store_count")
+        return self.plain.selectExpr("count(DISTINCT shop_id) AS store_count")
 
     def outputs(self) -> dict[str, DataFrame]:
         return {"summary": self.summary, "detail": self.detail, "checks": self.checks}
@@ -242,24 +259,6 @@ def _daily_rows(tables, dates: Period, accounts: Accounts, shops, dedupe_right:
 CLEAN_NAME = L.clean_section_name(L.daily_shop_name("raw_shop_name", "shop_id"))
 
 
-def _shop_ids(tables, dates: Period, shops) -> DataFrame:
-    return apply_shop_filter(tables.store_daily.where(date_in(F.col("report_date"), [dates]))
-                             .select(F.col("shop_id").cast("string").alias("shop_id")), shops)
-
-
-def _numbered(tables, rows: DataFrame, dates: Period, shops, dedupe_right: bool, names: bool) -> DataFrame:
-    # The ranges' sizes need the joins' row counts, but none of their columns; the boundaries only shop ids.
-    slim = (joined_facts(tables, [dates], shops=shops, dedupe_right=dedupe_right, store_cols=("shop_name",) if names else (),
-                         promo_cols=(), stats_cols=()))
-    keys = _shop_ids(tables, dates, shops)
-    if not names:
-        return sequence_numbers(rows, ["shop_id"], group_cols=["report_date"], keys=keys, slim=slim)
-    slim = slim.withColumnRenamed("shop_name", "raw_shop_name").selectExpr("report_date", "shop_id", f"{CLEAN_NAME} AS clean_name")
-    out = sequence_numbers(rows, ["shop_id"], group_cols=["report_date"],
-                           numberings={"seq": (), "name_no": ("clean_name",)}, keys=keys, slim=slim)
-    return out.withColumn("sheet_name", F.expr(L.numbered_section_name("clean_name", "name_no")))
-
-
 def daily_report(tables, report_date: str | dt.date | Period | Sequence, accounts: Accounts = None,
                  unresolved: str = "none", dedupe_right: bool = False, legacy: bool = False) -> DailyReport:
     """R1 for one date, R5 for a date range (numbering restarts per date)."""
@@ -267,6 +266,4 @@ def daily_report(tables, report_date: str | dt.date | Period | Sequence, account
     accounts = given(accounts, unresolved)
     shops = shop_filter(tables, accounts=accounts, unresolved=unresolved)
     rows = _daily_rows(tables, dates, accounts, shops, dedupe_right)
-    facts = _shop_ids(tables, dates, shops)
-    return DailyReport(rows=rows, number=lambda names: _numbered(tables, rows, dates, shops, dedupe_right, names), facts=facts, dates=dates,
-                       options=dict(accounts=accounts, legacy=legacy, shops=shops))
+    return DailyReport(rows=rows, dates=dates, options=dict(accounts=accounts, legacy=legacy, shops=shops))

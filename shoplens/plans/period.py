@@ -4,13 +4,14 @@ Plan: date-cut facts ⟕ promotion ⟕ stats → one conditional aggregate per s
 for both periods (A2) → shop attributes (J4) → running number (W1) → derived
 metrics and deltas (N*, W4) → layouts (L3-L5).
 
-Every output (wide table, 8-line summary, 31-line detail, trend flags) reads the
-numbered rollup, one row per shop; building a report runs no job.
+The rollup, one row per shop, is evaluated once, when an output that shows a number
+is first asked for: it is written in the session's shared folder, and the numbers, the names and every
+output of the report are made from that copy. Building a report runs no job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -21,10 +22,11 @@ from shoplens.functions import labels as L
 from shoplens.functions import metrics as M
 from shoplens.functions import texts as X
 from shoplens.operators.dims import Accounts, apply_shop_filter, given, shop_dim, shop_filter
-from shoplens.operators.facts import SUM_KIND, RollupSpec, date_in, joined_facts, period_rollup
+from shoplens.operators.facts import SUM_KIND, RollupSpec, joined_facts, period_rollup
 from shoplens.operators.layout import S, unpivot_rows
-from shoplens.operators.numbering import sequence_numbers
-from shoplens.operators.quality import validate
+from shoplens.operators.names import unique_names
+from shoplens.operators.quality import arithmetic_errors, validate
+from shoplens.operators.ranks import numbered, stored
 from shoplens.plans.params import Period, as_period
 
 # Display blocks, in column order: (name, kind, args).
@@ -91,26 +93,40 @@ DETAIL_ROWS = [
 ]
 
 
+# Shown ratios by name: (numerator, denominator).
+_SHOWN = METRICS + [x for x in DETAIL_ROWS if x is not None]
+RATES = {name: args for name, kind, args in _SHOWN if kind == "rate"}
+AVERAGES = {name: args for name, kind, args in _SHOWN if kind == "avg"}
+
+
 @dataclass
 class PeriodReport:
     """Lazy outputs of one two-period report."""
     rows: DataFrame            # one row per shop: attributes and period sums, not numbered
-    number: Callable[[bool], DataFrame]
-    facts: DataFrame           # the shop ids of the store-days that the report reads (for the empty check)
     p1: Period
     p2: Period
     rejected: DataFrame | None = None   # with quarantine: rejected store-days and reasons
+    failed: DataFrame | None = None     # with quarantine: the shops left out, their errors and both periods' sums
     options: dict = field(default_factory=dict)
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The rows, evaluated once and stored."""
+        return stored(self.rows, "period-rows")
+
+    @cached_property
+    def row_count(self) -> int:
+        return self.kept.count()
+
     @cached_property
     def base(self) -> DataFrame:
-        """The rows with ``seq``."""
-        return self.number(False)
+        """The stored rows with ``seq``, in the order of shop ids (one row per shop, so no ties)."""
+        return numbered(self.kept, ["shop_id"], name="seq", count=self.row_count).withColumn("seq", F.col("seq").cast("int"))
 
     @cached_property
     def named(self) -> DataFrame:
         """The rows with ``seq`` and the unique ``sheet_name``, for the outputs that show it."""
-        return self.number(True)
+        return unique_names(self.base, "clean_name", count=self.row_count)
 
     @cached_property
     def sections(self) -> DataFrame:
@@ -198,7 +214,7 @@ class PeriodReport:
     @cached_property
     def shop_count(self) -> DataFrame:
         """Number of shops in the report (one row)."""
-        return self.rows.selectExpr("count(DISTINCT shop_id) AS store_count")
+        return self.__dict__.get("kept", self.rows).selectExpr("count(DISTINCT shop_id) AS store_count")
 
     def outputs(self) -> dict[str, DataFrame]:
         """What a run writes: with quarantine also the store-days that were left out, with reasons."""
@@ -207,7 +223,7 @@ class PeriodReport:
         if self.options.get("legacy"):
             out["summary_legacy"] = self.rows8_legacy
         if self.rejected is not None:
-            out["rejected"] = self.rejected
+            out["rejected"], out["failed"] = self.rejected, self.failed
         return out
 
 
@@ -303,12 +319,27 @@ def rejected_store_days(tables, p1: Period, p2: Period, shops=None) -> DataFrame
     return apply_shop_filter(bad, shops)
 
 
-def _rollup(tables, p1: Period, p2: Period, shops, rename: str, by_city: bool, dedupe_right: bool, quarantine: bool) -> DataFrame:
+def _rollup(tables, p1: Period, p2: Period, shops, rename: str, by_city: bool, dedupe_right: bool, checked: bool = False) -> DataFrame:
     joined = joined_facts(tables, [p1, p2], shops=shops, dedupe_right=dedupe_right)
-    if quarantine:
-        bad_shops = rejected_store_days(tables, p1, p2, shops).select("shop_id").distinct()
-        joined = joined.join(bad_shops, "shop_id", "left_anti")
-    return period_rollup(joined, p1, p2, RollupSpec(rename=rename, by_city=by_city))
+    return period_rollup(joined, p1, p2, RollupSpec(rename=rename, by_city=by_city, checked=checked))
+
+
+def quarantined(roll: DataFrame, rejected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Q1: a checked rollup as (shops to report, shops that fail with errors and both periods' sums).
+
+    A shop fails by any of its store-days or by its own arithmetic; NULL is a shop id like any other here.
+    A shop with rejected store-days but none in the periods fails without sums.
+    """
+    days = (rejected.groupBy("shop_id").agg(F.array_join(F.array_sort(F.collect_set("errors")), "; ").alias("_days"))
+            .select(F.col("shop_id").alias("_bad_id"), "_days"))
+    both = roll.join(days, roll["shop_id"].eqNullSafe(days["_bad_id"]), "full")
+    errors = F.concat_ws("; ", "_days", F.expr(arithmetic_errors(RATES, AVERAGES)))
+    marked = both.withColumn("shop_id", F.coalesce("shop_id", "_bad_id")).withColumn("errors", errors).drop("_days", "_bad_id")
+    good = marked.where("errors = ''").drop("errors", "lost")
+    sums = [f"{m}{sfx}" for m in SUM_KIND for sfx in ("_p1", "_p2")]
+    name = F.expr(f"CASE WHEN has_p1 OR has_p2 THEN {SHOP_NAME} END").alias("shop_name")
+    bad = marked.where("errors <> ''").select("shop_id", name, "errors", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_p1", "has_p2")], *sums)
+    return good, bad
 
 
 SHOP_NAME = L.period_shop_name("name_p1", "name_p2", "has_p1")
@@ -340,30 +371,21 @@ def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, sho
     ``shop_id`` filters one shop (the account filter then only limits the
     attributes); ``shop_ids`` is the legacy list filter; ``by_city`` groups
     by (shop, name, city) as the legacy custom report does. ``quarantine=True``
-    (Q1): a shop with any rejected store-day in the periods is left out, the
-    others go on, and ``rejected`` lists the reasons. ``legacy`` also writes the
-    16-column summary.
+    (Q1): a shop with any rejected store-day in the periods, or whose own figures
+    overflow, is left out and the others go on; ``rejected`` lists the store-days with
+    reasons, ``failed`` the shops with all their errors and both periods' sums.
+    ``legacy`` also writes the 16-column summary.
     """
     p1, p2 = as_period(p1), as_period(p2)
     accounts = given(accounts, unresolved)
     shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
     roll = _rollup(tables, p1, p2, shops, rename, by_city, dedupe_right, quarantine)
-    rows = period_rows(tables, roll, accounts, shops)
-
-    def number(names: bool) -> DataFrame:
-        if not names:
-            return sequence_numbers(rows, ["shop_id"], slim=roll.select("shop_id"))
-        slim = roll.selectExpr("shop_id", f"{L.clean_section_name(SHOP_NAME)} AS clean_name")
-        out = sequence_numbers(rows, ["shop_id"], numberings={"seq": (), "name_no": ("clean_name",)},
-                               keys=roll.select("shop_id"), slim=slim)
-        return out.withColumn("sheet_name", F.expr(L.numbered_section_name("clean_name", "name_no")))
-
-    rejected = rejected_store_days(tables, p1, p2, shops) if quarantine else None
-    facts = apply_shop_filter(tables.store_daily.where(date_in(F.col("report_date"), [p1, p2]))
-                              .select(F.col("shop_id").cast("string").alias("shop_id")), shops)
+    rejected = failed = None
     if quarantine:
-        facts = facts.join(rejected.select("shop_id").distinct(), "shop_id", "left_anti")
-    return PeriodReport(rows=rows, number=number, facts=facts, p1=p1, p2=p2, rejected=rejected,
+        rejected = rejected_store_days(tables, p1, p2, shops)
+        roll, failed = quarantined(roll, rejected)
+    rows = period_rows(tables, roll, accounts, shops)
+    return PeriodReport(rows=rows, p1=p1, p2=p2, rejected=rejected, failed=failed,
                         options=dict(accounts=accounts, shop_id=shop_id, rename=rename, by_city=by_city, legacy=legacy))
 
 

@@ -1,15 +1,11 @@
 """Report runs: build, check for data (P13), write (K1-K3).
 
-A run reads the facts once: the numbered rows (one per shop, or shop and date) are
-written first, as the run's table ``rows``, and every other table of the run is made
-from them. The driver's own actions are the empty check (one ``isEmpty`` job on
-the filtered store-days) and the writes.
+A run evaluates the report's rows (one per shop, or shop and date) once: they are
+stored, the empty check counts the stored copy, and every table of the run is made from it.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from shoplens.plans.daily import daily_report
 from shoplens.plans.params import Period, parse_date
 from shoplens.plans.period import period_report
@@ -17,11 +13,7 @@ from shoplens.sources.sinks import check_not_empty, daily_run_prefix, legacy_nam
 
 
 def _write_run(report, root: str, name: str, fmt: str, partition_by_sheet: bool) -> str:
-    path = f"{root.rstrip('/')}/{name}/rows"
-    report.named.write.parquet(path)
-    rows = report.rows.sparkSession.read.parquet(path)
-    stored = replace(report, rows=rows, number=lambda names: rows)
-    return write_report(stored.outputs(), root, name, fmt=fmt, partition_by_sheet=partition_by_sheet)
+    return write_report(report.outputs(), root, name, fmt=fmt, partition_by_sheet=partition_by_sheet)
 
 
 def run_daily(tables, report_date, root: str, accounts=None, on_empty: str = "raise", fmt: str = "parquet",
@@ -29,7 +21,7 @@ def run_daily(tables, report_date, root: str, accounts=None, on_empty: str = "ra
     """R1 end to end; returns the run folder, or None when empty and ``on_empty='warn'``."""
     day = parse_date(report_date)
     report = daily_report(tables, day, accounts=accounts, **options)
-    if not check_not_empty(report.facts, on_empty, f"date {day}"):
+    if not check_not_empty(report.kept, on_empty, f"date {day}"):
         return None
     name = legacy_name("daily", day=day) if legacy_names else run_name(daily_run_prefix(day))
     return _write_run(report, root, name, fmt, partition_by_sheet)
@@ -40,7 +32,7 @@ def run_period(tables, p1: Period, p2: Period, root: str, accounts=None, shop_id
                legacy_names: bool = False, kind: str = "weekly", **options) -> str | None:
     """R2-R4 end to end (weekly, monthly and custom differ only in periods, filters and legacy file names)."""
     report = period_report(tables, p1, p2, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, **options)
-    if not check_not_empty(report.facts, on_empty, f"periods {p1.label} / {p2.label}"):
+    if not check_not_empty(report.kept, on_empty, f"periods {p1.label} / {p2.label}"):
         return None
     if legacy_names:
         shops = report.shop_count.first().store_count if kind == "custom" else None

@@ -165,6 +165,36 @@ def weekly_quarantine(t):
     return period_report(with_variant(t, "null_dates"), W1, W2, quarantine=True).wide
 
 
+@register("quarantine_null_shop", _period_oracle(O.wide_select, W1, W2, variant="null_shops", quarantine=True))
+def quarantine_null_shop(t):
+    """Q1: store-days without a shop id are rejected, and no shop without an id is reported."""
+    return period_report(with_variant(t, "null_shops"), W1, W2, quarantine=True).wide
+
+
+@register("quarantine_overflow", _period_oracle(O.wide_select, W1, W2, variant="large_counters", quarantine=True))
+def quarantine_overflow(t):
+    """Q1: a shop whose figures overflow is left out, the others go on."""
+    return period_report(with_variant(t, "large_counters"), W1, W2, quarantine=True).wide
+
+
+@register("quarantine_failed", lambda: O.failed_sql(W1, W2, "large_counters"))
+def quarantine_failed(t):
+    """Q1: the shops left out, with their errors and both periods' sums."""
+    return period_report(with_variant(t, "large_counters"), W1, W2, quarantine=True).failed
+
+
+@register("custom_empty_id", _period_oracle(O.wide_select, W1, W2, shop_id=""))
+def custom_empty_id(t):
+    """P5: the empty shop id names no shop."""
+    return period_report(t, W1, W2, shop_id="").wide
+
+
+@register("section_names_clash", _period_oracle(lambda a, b: O.sections_period_select(), W1, W2, variant="name_clashes"))
+def section_names_clash(t):
+    """Names that meet the numbered forms of others, in any case, stay distinct."""
+    return period_report(with_variant(t, "name_clashes"), W1, W2).sections
+
+
 # ---- dimensions ------------------------------------------------------------------
 
 @register("shop_dim", lambda: O.shop_dim_select())
@@ -172,6 +202,12 @@ def shop_dim_q(t):
     return shop_dim(t)
 
 
+@register("shop_dim_null_accounts", lambda: O.shop_dim_select(variant="null_accounts"))
+def shop_dim_null_accounts(t):
+    """Accounts without a shop list give no shops."""
+    return shop_dim(with_variant(t, "null_accounts"))
+
+
 @register("region_dim", lambda: O.region_dim_select())
 def region_dim_q(t):
     return region_dim(t)
@@ -232,6 +268,12 @@ def section_names(t):
     return daily_report(t, DAY).sections
 
 
+@register("section_names_daily_clash", _daily_oracle(O.section_names_select, DAY_RANGE.start, DAY_RANGE.end, variant="name_clashes"))
+def section_names_daily_clash(t):
+    """W2 per date: colliding names over a range of report days."""
+    return daily_report(with_variant(t, "name_clashes"), DAY_RANGE).sections
+
+
 @register("daily_by_account", _daily_oracle(O.daily_summary_select, accounts=ACCOUNTS))
 def daily_by_account(t):
     return daily_report(t, DAY, accounts=ACCOUNTS).summary

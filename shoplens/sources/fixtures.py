@@ -86,10 +86,11 @@ VIEWS = {
 }
 
 
-_STORE_COLUMNS = ("shop_name city exposure_users visit_users order_users verify_person_count order_coupon_count "
-                  "verify_coupon_count coupon_pay_order_count order_sale_amount verify_sale_amount verify_after_discount "
-                  "promotion_cost promotion_exposure_count promotion_click_count new_collect_users new_review_count "
-                  "new_good_review_count consult_users intent_rate").split()
+_STORE_COLUMNS = [
+    "shop_name", "city", "exposure_users", "visit_users", "order_users", "verify_person_count", "order_coupon_count",
+    "verify_coupon_count", "coupon_pay_order_count", "order_sale_amount", "verify_sale_amount", "verify_after_discount",
+    "promotion_cost", "promotion_exposure_count", "promotion_click_count", "new_collect_users", "new_review_count",
+    "new_good_review_count", "consult_users", "intent_rate"]
 
 
 def _store_daily(**changed: str) -> str:
@@ -107,6 +108,18 @@ select store_id, date, order_user_rank, verify_amount_rank, cast(checkin_count +
     "null_dates": ("store_daily", _store_daily(report_date="case when cast(shop_id as bigint) % 7 = 3 and visit_users % 4 = 1 then null else report_date end")),
     "rate_ties": ("store_daily", _store_daily(new_review_count="cast((cast(shop_id as bigint) % 997) * 2 + 1 as bigint)", verify_person_count="cast(2000 as bigint)",
                                               new_collect_users="cast((cast(shop_id as bigint) % 97) * 2 + 1 as bigint)", order_users="cast(400 as bigint)")),
+    # Names that meet each other's numbered forms, in other cases and with long common beginnings.
+    "name_clashes": ("store_daily", _store_daily(shop_name="""case cast(shop_id as bigint) % 9 when 0 then 'Alpha' when 1 then 'Alpha_2' when 2 then 'ALPHA'
+ when 3 then concat('alpha_', cast(cast(shop_id as bigint) % 60 as string)) when 4 then concat(repeat('x', 28), 'ab') when 5 then concat(repeat('X', 28), 'cd')
+ when 6 then concat(repeat('x', 28), '_3') when 7 then 'Alpha_02' else concat('One', shop_id) end""")),
+    "null_shops": ("store_daily", _store_daily(shop_id="case when cast(shop_id as bigint) % 7 = 3 and visit_users % 4 = 1 then null else shop_id end")),
+    # Counters near the largest bigint: some fit alone but not as a sum, some not when a rate is taken.
+    "large_counters": ("store_daily", _store_daily(visit_users="""case when cast(shop_id as bigint) % 11 = 5 then cast(4611686018427387904 as bigint)
+ when cast(shop_id as bigint) % 11 = 6 and extract(day from report_date) = 9 then cast(9223372036854775 as bigint) else visit_users end""")),
+    "null_accounts": ("platform_accounts", """
+select account, case when cast(substring(account, 6, 9) as bigint) % 5 = 2 then null else stores_json end as stores_json,
+ compareRegions_json, sales_name, city_name, operator_id from {base}
+"""),
 }
 
 
