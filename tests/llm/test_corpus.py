@@ -115,9 +115,9 @@ def test_gradients_equal_differences():
     x, first = rng.randint(0, 12, 20), np.array([0, 8, 8, 20])
     loss = lambda: -gru.score(m, x, first, 0).sum()
     grads = {}
-    place, before, begins = gru._laid(x, first, 0, 2)
-    some = place >= 0
-    states, _ = gru._steps(m, np.where(some, before[place], 0), some & begins[place], np.zeros((place.shape[1], 4)))
+    laid = gru.Laid(x, first, 0, 2)
+    (place, some, before, clear), = laid.windows(100)
+    states, _ = gru._steps(m, before, clear, np.zeros((laid.wide, 4)))
     gru._predict(m, states[some], x[place[some]], grads)
     for k in ("c", "bc", "w", "bw"):
         at = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
