@@ -152,7 +152,7 @@ def test_run_period_writes_the_rejected_store_days(spark, scratch):
     assert [r.shop_id for r in spark.read.parquet(f"{folder}/wide").collect()] == ["1"]
     bad = spark.read.parquet(f"{folder}/rejected").collect()
     assert sorted(r.errors for r in bad) == ["missing report_date", "negative exposure_users"]
-    assert {"trend", "defaults", "summary", "detail"} <= set(os.listdir(folder))
+    assert {"trend", "defaults", "summary", "detail", "failed"} <= set(os.listdir(folder))
 
 
 def test_command_line_options(spark, scratch, capsys):

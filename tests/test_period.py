@@ -141,6 +141,7 @@ def test_quarantine_leaves_out_failing_shops(spark):
     bad = rep.rejected.collect()
     assert [(r.shop_id, str(r.report_date)) for r in bad] == [("2", "2024-01-03")]
     assert "negative exposure_users" in bad[0].errors
+    assert [(r.shop_id, r.errors, r.exposure_users_p1, r.exposure_users_p2) for r in rep.failed.collect()] == [("2", "negative exposure_users", -1, 4)]
     assert period_report(t, P1, P2).wide.count() == 2                        # default: no quarantine
 
 
@@ -154,3 +155,57 @@ def test_service_signatures(spark):
     c = custom_report(t, "2024-01-01", "2024-01-07", "2024-01-08", "2024-01-14", shop_id="2").wide
     assert w.exceptAll(m).count() == 0 and w.count() == 2
     assert [(r.shop_id, r.exposure_users_p2) for r in c.collect()] == [("2", 4)]
+
+
+def _no_shop(row):
+    return (None, *row[1:])
+
+
+def test_a_failing_shop_does_not_stop_the_others(spark):
+    big = 2 ** 62
+    store = [store_row("1", "2024-01-02", "A", exposure_users=5), store_row("2", "2024-01-02", "B", visit_users=big, exposure_users=3),
+             store_row("3", "2024-01-02", "C", visit_users=big), store_row("3", "2024-01-03", "C2", visit_users=big), store_row("3", "2024-01-09", "C2", visit_users=7),
+             store_row("4", "2024-01-03", "D", exposure_users=-1), store_row("4", "2024-01-04", "D", exposure_users=-1, visit_users=-2),
+             store_row("5", None, "E"), _no_shop(store_row("", "2024-01-09", "F", exposure_users=7)), store_row("6", "2024-01-10", "G", visit_users=big)]
+    t = make_tables(spark, store=store)
+    for rename in ("sum_latest", "last_group"):
+        rep = period_report(t, P1, P2, quarantine=True, rename=rename)
+        # With last_group only one name of shop 3 counts, and its figures fit.
+        others = [] if rename == "sum_latest" else ["3"]
+        assert [(r.shop_id, r.seq) for r in rep.wide.orderBy("seq").collect()] == [(x, i) for i, x in enumerate(["1", *others, "6"], 1)]
+        bad = {r.shop_id: r for r in rep.failed.collect()}
+        assert set(bad) == {"2", "4", "5", None} | ({"3"} - set(others))
+        assert bad["2"].errors == "overflow in exposure_rate_p1" and bad["2"].visit_users_p1 == big and bad["2"].visit_users_p2 is None
+        if rename == "sum_latest":                       # both names of shop 3 are added up
+            assert bad["3"].errors == "overflow in visit_users_p1" and bad["3"].visit_users_p1 is None and bad["3"].visit_users_p2 == 7
+        assert bad["4"].errors == "negative exposure_users; negative exposure_users; negative visit_users" and bad["4"].exposure_users_p1 == -2
+        assert (bad["5"].errors, bad["5"].has_p1, bad["5"].shop_name) == ("missing report_date", False, None)
+        assert (bad[None].errors, bad[None].shop_name, bad[None].exposure_users_p2) == ("missing shop_id", "F", 7)
+    with pytest.raises(Exception, match="OVERFLOW"):
+        period_report(t, P1, P2).wide.collect()
+
+
+def test_an_overflow_within_one_name_fails_the_shop(spark):
+    big = 2 ** 62
+    t = make_tables(spark, store=[store_row("1", "2024-01-02", "A", visit_users=big), store_row("1", "2024-01-03", "A", visit_users=big),
+                                  store_row("1", "2024-01-04", "B", visit_users=1), store_row("2", "2024-01-04", "A", visit_users=None)])
+    rep = period_report(t, P1, P2, quarantine=True)
+    assert [(r.shop_id, r.errors, r.visit_users_p1) for r in rep.failed.collect()] == [("1", "overflow in visit_users_p1", None)]
+    assert [r.shop_id for r in rep.wide.collect()] == ["2"]
+
+
+def test_negative_differences_that_overflow(spark):
+    day = store_row("1", "2024-01-02")[1]
+    later = store_row("1", "2024-01-09")[1]
+    t = make_tables(spark, store=[store_row("1", "2024-01-02"), store_row("1", "2024-01-09"), store_row("2", "2024-01-02")],
+                    promo=[("1", day, -2 ** 62, 0, None, 0, 0), ("1", later, 2 ** 62 + 1, 0, None, 0, 0)])
+    rep = period_report(t, P1, P2, quarantine=True)
+    assert [(r.shop_id, r.errors) for r in rep.failed.collect()] == [("1", "overflow in phone_clicks_delta; overflow in view_phone_delta")]
+
+
+def test_an_empty_shop_id_names_no_shop(spark):
+    t = make_tables(spark, store=[store_row("1", "2024-01-02"), store_row("2", "2024-01-02")],
+                    accounts=[("a1", '[{"shop_id":1}]', None, "s", "c", None)])
+    assert _wide(t, shop_id="") == {}
+    assert set(_wide(t, shop_id="", unresolved="all")) == {"1", "2"}
+    assert set(_wide(t, shop_id="", accounts=["a1"], unresolved="all")) == {"1"}

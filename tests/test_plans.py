@@ -124,12 +124,89 @@ def test_building_reports_runs_no_job(spark, stored):
     sc = spark.sparkContext
     sc.setJobGroup("build-only", "build-only")
     daily, period = daily_report(stored, "2024-01-10", accounts=["acct_1"]), period_report(stored, P1, P2)
-    for df in (daily.summary, daily.detail, daily.checks, period.wide, period.detail31, period.sections):
+    for df in (daily.rows, daily.checks, daily.ranks, period.rows, period.shop_count):
         df.schema
     assert len(sc.statusTracker().getJobIdsForGroup("build-only")) == 0
     sc.setJobGroup("tests", "tests")
 
 
+_READS = """
+import sys
+from shoplens.session import build_session
+from shoplens.sources.tables import ReportTables
+from shoplens.plans.daily import daily_report
+from shoplens.plans.params import Period
+from shoplens.plans.period import period_report
+root = sys.argv[1]
+spark = build_session("local[2]", shuffle_partitions=2)
+t = ReportTables.from_parquet(spark, root)
+weekly = period_report(t, Period.of("2024-01-01", "2024-01-07"), Period.of("2024-01-08", "2024-01-14"))
+for df in (weekly.wide, weekly.detail31, weekly.rows8):
+    df.write.format("noop").mode("overwrite").save()
+daily = daily_report(t, "2024-01-10")
+for df in (daily.summary, daily.detail):
+    df.write.format("noop").mode("overwrite").save()
+spark.stop()
+"""
+
+
+def _scan_rows(log_dir):
+    """Rows that the scans of each stored table put out, over a whole application, from its event log."""
+    import glob
+    import json
+    from collections import defaultdict
+
+    accumulators, values = {}, defaultdict(int)
+
+    def walk(node):
+        if node["nodeName"].startswith("Scan parquet"):
+            place = node.get("metadata", {}).get("Location", "")
+            name = next((t for t in ("store_daily", "promotion_daily", "store_stats") if f"/{t}]" in place), None)
+            for m in node["metrics"]:
+                if name and m["name"] == "number of output rows":
+                    accumulators[m["accumulatorId"]] = name
+        for child in node["children"]:
+            walk(child)
+
+    for path in glob.glob(f"{log_dir}/**/*", recursive=True):
+        try:
+            lines = open(path).read().splitlines()
+        except (IsADirectoryError, UnicodeDecodeError):
+            continue
+        for line in lines:
+            e = json.loads(line) if line.startswith("{") else {}
+            if "sparkPlanInfo" in e:
+                walk(e["sparkPlanInfo"])
+            for a in e.get("Task Info", {}).get("Accumulables", []) if e.get("Event") == "SparkListenerTaskEnd" else []:
+                if str(a.get("Update", "")).lstrip("-").isdigit():
+                    values[a["ID"]] += int(a["Update"])
+    out = defaultdict(int)
+    for i, name in accumulators.items():
+        out[name] += values[i]
+    return dict(out)
+
+
+def test_numbered_outputs_read_each_fact_row_once(spark, stored, tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    log = tmp_path / "events"
+    log.mkdir()
+    root = os.path.dirname(stored.store_daily.inputFiles()[0].split("/store_daily/")[0].removeprefix("file://") + "/x")
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    conf = f"--conf spark.eventLog.enabled=true --conf spark.eventLog.dir=file://{log} --conf spark.eventLog.compress=false pyspark-shell"
+    subprocess.run([sys.executable, "-c", _READS, root], check=True, cwd=repo, timeout=300, env=os.environ | {"PYTHONPATH": repo, "PYSPARK_SUBMIT_ARGS": conf}, capture_output=True)
+    got = _scan_rows(str(log))
+    rows = lambda df, c, a, b: df.where(f"{c} between '{a}' and '{b}'").count()
+    # The weekly report: 14 days once. The daily report: its day once, and the days of the 7-day total.
+    want = {"store_daily": rows(stored.store_daily, "report_date", "2024-01-01", "2024-01-14") + rows(stored.store_daily, "report_date", "2024-01-10", "2024-01-10")
+            + rows(stored.store_daily, "report_date", "2024-01-04", "2024-01-10"),
+            "promotion_daily": rows(stored.promotion_daily, "report_date", "2024-01-01", "2024-01-14") + rows(stored.promotion_daily, "report_date", "2024-01-10", "2024-01-10"),
+            "store_stats": rows(stored.store_stats, "date", "2024-01-01", "2024-01-14") + rows(stored.store_stats, "date", "2024-01-10", "2024-01-10")}
+    assert got == want
+
+
 def test_trailing_sums_over_a_range_do_not_multiply_rows(spark, stored):
     from shoplens.operators.facts import trailing_sum
 
