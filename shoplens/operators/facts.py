@@ -153,17 +153,26 @@ def period_rollup(joined: DataFrame, p1: Period, p2: Period, spec: RollupSpec =
     ``<metric>_p2`` sums (NULL when a period has no row or only NULLs); with
     ``checked`` also ``lost``.
     """
+    in1 = F.col("report_date").between(F.lit(p1.start), F.lit(p1.end))
+    in2 = F.col("report_date").between(F.lit(p2.start), F.lit(p2.end))
+    return flagged_rollup(joined.where(in1 | in2).select(
+        "shop_id", F.col("report_date").alias("last"), "shop_name", "city", in1.alias("_in1"), in2.alias("_in2"), *metric_columns()), spec)
+
+
+def metric_columns() -> list[Column]:
+    """The 23 figures of the joined facts under their report names."""
+    return [_src(m).alias(m) for m, *_ in PERIOD_SUMS]
+
+
+def flagged_rollup(src: DataFrame, spec: RollupSpec = RollupSpec()) -> DataFrame:
+    """``period_rollup`` over rows that say in which periods they count (``_in1``, ``_in2``) and their ``last`` day:
+    single days, or sums of a name over several days."""
     if spec.rename not in ("sum_latest", "last_group"):
         raise ValueError(f"rename must be 'sum_latest' or 'last_group', not {spec.rename!r}")
     if spec.by_city and spec.rename != "last_group":
         raise ValueError("by_city groups by (shop, name, city) and needs rename='last_group'")
-    in1 = F.col("report_date").between(F.lit(p1.start), F.lit(p1.end))
-    in2 = F.col("report_date").between(F.lit(p2.start), F.lit(p2.end))
     names = [m for m, *_ in PERIOD_SUMS]
     total = "try_sum" if spec.checked else "sum"
-    src = joined.where(in1 | in2).select(
-        "shop_id", "report_date", "shop_name", "city", in1.alias("_in1"), in2.alias("_in2"),
-        *[_src(m).alias(m) for m in names])
     periods = (("_in1", "_p1"), ("_in2", "_p2"))
     seen = lost = []
     if spec.checked:
@@ -173,8 +182,8 @@ def period_rollup(joined: DataFrame, p1: Period, p2: Period, spec: RollupSpec =
     keys = ["shop_id", "shop_name"] + (["city"] if spec.by_city else [])
     groups = src.groupBy(*keys).agg(
         F.expr("bool_or(_in1) AS has_p1"), F.expr("bool_or(_in2) AS has_p2"),
-        F.expr("max(CASE WHEN _in1 THEN report_date END) AS last_p1"),
-        F.expr("max(CASE WHEN _in2 THEN report_date END) AS last_p2"),
+        F.expr("max(CASE WHEN _in1 THEN last END) AS last_p1"),
+        F.expr("max(CASE WHEN _in2 THEN last END) AS last_p2"),
         *[F.expr(f"{total}(CASE WHEN {flag} THEN {m} END) AS {m}{sfx}") for flag, sfx in periods for m in names], *seen)
     if spec.checked:
         groups = _with_lost(groups, names)

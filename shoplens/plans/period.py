@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from shoplens.functions import labels as L
 from shoplens.functions import metrics as M
 from shoplens.functions import texts as X
+from shoplens.operators.blocks import BlockRollup
 from shoplens.operators.dims import Accounts, apply_shop_filter, given, shop_dim, shop_filter
 from shoplens.operators.facts import SUM_KIND, RollupSpec, joined_facts, period_rollup
 from shoplens.operators.layout import S, unpivot_rows
@@ -365,7 +366,8 @@ def period_rows(tables, roll: DataFrame, accounts: Accounts = None, shops=None)
 def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, shop_id: str | None = None,
                   shop_ids: Sequence[str] | DataFrame | None = None, unresolved: str = "none",
                   rename: str = "sum_latest", by_city: bool = False,
-                  dedupe_right: bool = False, quarantine: bool = False, legacy: bool = False) -> PeriodReport:
+                  dedupe_right: bool = False, quarantine: bool = False, legacy: bool = False,
+                  blocks: BlockRollup | None = None) -> PeriodReport:
     """R2 (weekly), R3 (monthly), R4 (custom): the same plan, different periods.
 
     ``shop_id`` filters one shop (the account filter then only limits the
@@ -374,12 +376,19 @@ def period_report(tables, p1: Period, p2: Period, accounts: Accounts = None, sho
     (Q1): a shop with any rejected store-day in the periods, or whose own figures
     overflow, is left out and the others go on; ``rejected`` lists the store-days with
     reasons, ``failed`` the shops with all their errors and both periods' sums.
-    ``legacy`` also writes the 16-column summary.
+    ``legacy`` also writes the 16-column summary. ``blocks`` reads the sums from a stored
+    block rollup instead of the facts: some 2 log2(days) rows a shop; its ``dedupe_right`` must be the
+    report's, and ``quarantine`` needs the store-days themselves.
     """
+    if blocks is not None and (quarantine or blocks.dedupe_right != dedupe_right):
+        raise ValueError("blocks can't be quarantined, and must have been built with the report's dedupe_right")
     p1, p2 = as_period(p1), as_period(p2)
     accounts = given(accounts, unresolved)
     shops = shop_filter(tables, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, unresolved=unresolved)
-    roll = _rollup(tables, p1, p2, shops, rename, by_city, dedupe_right, quarantine)
+    if blocks is not None:
+        roll = blocks.rollup(p1, p2, RollupSpec(rename=rename, by_city=by_city), shops)
+    else:
+        roll = _rollup(tables, p1, p2, shops, rename, by_city, dedupe_right, quarantine)
     rejected = failed = None
     if quarantine:
         rejected = rejected_store_days(tables, p1, p2, shops)
