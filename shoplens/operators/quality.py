@@ -10,6 +10,9 @@
 * ``arithmetic_errors`` (Q1) names every figure of a shop that can't be computed, so
   that one shop's overflow fails that shop and not the report.
 
+* ``row_profile`` (A10) describes the joined rows of every shop column by column: type, rows, NULLs,
+  defaults, least and greatest value — the original printed a row's values and types.
+
 All are single projections (plus one aggregate for duplicate keys); nothing is
 collected to the driver.
 """
@@ -21,7 +24,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.operators.facts import PERIOD_SUMS, date_in
+from shoplens.operators.facts import PERIOD_SUMS, PROMO_COLS, STATS_COLS, STORE_COLS, date_in, joined_facts
 from shoplens.operators.layout import S, unpivot_rows
 from shoplens.plans.params import Period
 from shoplens.sources.tables import ReportTables
@@ -104,3 +107,28 @@ def default_profile(period_base: DataFrame) -> DataFrame:
             rows.append([period, name, S(reason)])
     out = unpivot_rows(period_base, ["shop_id", "seq"], rows, ["period", "metric", "reason"])
     return out.where("reason <> ''").drop("row_no")
+
+
+#: Columns of the joined rows that ``row_profile`` describes.
+PROFILED = ["report_date", *STORE_COLS, *PROMO_COLS, *STATS_COLS]
+
+
+def row_profile(tables: ReportTables, ranges: Sequence[Period], shops=None, columns: Sequence[str] = tuple(PROFILED)) -> DataFrame:
+    """A10: (shop_id, field, data_type, n_rows, n_null, n_default, least, greatest) over the joined rows of ``ranges``.
+
+    A default is 0 of a number and '' of a text; least and greatest are printed as text and leave NULLs out.
+    One aggregate by shop holds four figures of every column side by side and combines before its
+    shuffle; only its one row per shop is laid out by column. NULL shop ids are described as one shop.
+    """
+    rows = joined_facts(tables, ranges, shops=shops).select("shop_id", *columns)
+    types = dict(rows.dtypes)
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for c in columns:
+        default = F.col(c) == ("" if types[c] == "string" else 0) if types[c] != "date" else F.lit(False)
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"_null_{c}"), F.count_if(default).alias(f"_default_{c}"),
+                 F.min(c).alias(f"_least_{c}"), F.max(c).alias(f"_greatest_{c}")]
+    lines = [[c, types[c], S(f"_least_{c}"), S(f"_greatest_{c}"), S("_rows"), S(f"_null_{c}"), S(f"_default_{c}")] for c in columns]
+    out = unpivot_rows(rows.groupBy("shop_id").agg(*aggs), ["shop_id"], lines, ["field", "data_type", "least", "greatest"],
+                       flags=[("n_rows", "bigint"), ("n_null", "bigint"), ("n_default", "bigint")])
+    known = F.col("n_null") < F.col("n_rows")
+    return out.select("shop_id", "field", "data_type", "n_rows", "n_null", "n_default", *[F.when(known, F.col(c)).alias(c) for c in ("least", "greatest")])

@@ -785,6 +785,31 @@ def validate_sql(ranges, variant: str | None = None) -> str:
             + "\nselect shop_id, report_date, case when errors = '' then 'ok' else 'rejected' end as status, errors from v")
 
 
+#: FIXED VALUES. Columns of the joined rows with their types, in order.
+ROW_COLUMNS = {
+    "report_date": "date", "shop_name": "string", "city": "string", "exposure_users": "bigint", "visit_users": "bigint",
+    "order_users": "bigint", "verify_person_count": "bigint", "order_coupon_count": "bigint", "verify_coupon_count": "bigint",
+    "coupon_pay_order_count": "bigint", "promotion_cost": "decimal(18,2)", "promotion_exposure_count": "bigint",
+    "promotion_click_count": "bigint", "new_good_review_count": "bigint", "new_review_count": "bigint",
+    "new_collect_users": "bigint", "consult_users": "bigint", "intent_rate": "string", "order_sale_amount": "decimal(18,2)",
+    "verify_sale_amount": "decimal(18,2)", "verify_after_discount": "decimal(18,2)", "view_phone_count": "bigint",
+    "view_address_count": "bigint", "click_avg_price": "decimal(18,2)", "order_count": "bigint", "view_groupbuy_count": "bigint",
+    "order_user_rank": "int", "verify_amount_rank": "int", "checkin_count": "bigint", "ad_balance": "decimal(18,2)",
+    "ad_order_count": "bigint", "is_force_offline": "int",
+}
+
+
+def row_profile_sql(ranges) -> str:
+    """Every joined row is laid out by column, then grouped by shop and column."""
+    where = "(" + " or ".join(f"k.report_date between {d(p.start)} and {d(p.end)}" for p in ranges) + ")"
+    parts = []
+    for c, kind in ROW_COLUMNS.items():
+        default = "false" if kind == "date" else f"{c} = ''" if kind == "string" else f"{c} = 0"
+        parts.append(f"select shop_id, '{c}' as field, '{kind}' as data_type, count(*) as n_rows, count(*) filter ({c} is null) as n_null, "
+                     f"count(*) filter ({default}) as n_default, cast(min({c}) as varchar) as least, cast(max({c}) as varchar) as greatest from j group by shop_id")
+    return duckdb_ctes().rstrip() + f",\n  j as ({_joined(where)})\n" + "\nunion all\n".join(parts)
+
+
 def sections_period_select() -> str:
     return "select shop_id, cast(seq as integer) as seq, clean_name, sheet_name from base"
 

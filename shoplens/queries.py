@@ -10,16 +10,19 @@ weekly 01-01..07 vs 01-08..14; monthly stand-in 01-01..15 vs 01-16..30.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens import oracle as O
+from shoplens.operators.blocks import BlockRollup
 from shoplens.operators.dims import region_dim, resolved_shops, shop_dim
-from shoplens.operators.quality import validate
+from shoplens.operators.quality import row_profile, validate
 from shoplens.plans.daily import daily_report
 from shoplens.plans.params import Period
 from shoplens.plans.period import period_report
+from shoplens.session import ensure_checkpoint_dir
 from shoplens.sources.fixtures import with_variant
 from shoplens.sources.tables import ReportTables
 
@@ -107,6 +110,15 @@ def custom_overlap(t):
     return period_report(t, OVERLAP1, OVERLAP2).wide
 
 
+@register("custom_overlap_blocks", _period_oracle(O.wide_select, OVERLAP1, OVERLAP2))
+def custom_overlap_blocks(t):
+    """Overlapping periods from a stored block rollup of all their days."""
+    spark = t.store_daily.sparkSession
+    blocks = BlockRollup(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}", levels=4)
+    blocks.build(t, Period(min(OVERLAP1.start, OVERLAP2.start), max(OVERLAP1.end, OVERLAP2.end)))
+    return period_report(t, OVERLAP1, OVERLAP2, blocks=blocks).wide
+
+
 @register("custom_one_sided", _period_oracle(O.wide_select, ONE1, ONE2))
 def custom_one_sided(t):
     return period_report(t, ONE1, ONE2).wide
@@ -299,6 +311,12 @@ def null_profile(t):
     return period_report(t, W1, W2).defaults
 
 
+@register("row_profile", lambda: O.row_profile_sql([W1, W2]))
+def row_profile_q(t):
+    """A10: type, NULLs, defaults and range of every column of a shop's rows."""
+    return row_profile(t, [W1, W2])
+
+
 @register("quarantine", lambda: O.validate_sql([W1, W2]))
 def quarantine(t):
     return validate(t, [W1, W2])
