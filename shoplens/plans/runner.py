@@ -1,7 +1,9 @@
-"""Report runs: build, check for data (P13), write (K1-K3).
+"""Report runs: build, check for data (P13), write and publish (K1-K3).
 
-A run evaluates the report's rows (one per shop, or shop and date) once: they are
-stored, the empty check counts the stored copy, and every table of the run is made from it.
+A run evaluates the report's rows (one per shop, or shop and date) once: they are the run's first table,
+the empty check counts them, and every other table is made from them. The run becomes
+visible when its manifest is written; ``resume`` names an unfinished run, of which the tables that are done
+stay and the others are made from the rows that it stored.
 """
 
 from __future__ import annotations
@@ -9,37 +11,53 @@ from __future__ import annotations
 from shoplens.plans.daily import daily_report
 from shoplens.plans.params import Period, parse_date
 from shoplens.plans.period import period_report
-from shoplens.sources.sinks import check_not_empty, daily_run_prefix, legacy_name, period_run_prefix, run_name, write_report
+from shoplens.sources.publish import Run
+from shoplens.sources.sinks import check_not_empty, daily_run_prefix, legacy_name, period_run_prefix, run_name, write_table
 
 
-def _write_run(report, root: str, name: str, fmt: str, partition_by_sheet: bool) -> str:
-    return write_report(report.outputs(), root, name, fmt=fmt, partition_by_sheet=partition_by_sheet)
+def _filter(value):
+    """A filter as the run's request shows it; a table of shops or accounts is not read for that."""
+    return value if value is None or isinstance(value, str) else "a table" if hasattr(value, "columns") else sorted(map(str, value))
+
+
+def _write_run(report, run: Run, what: str, on_empty: str, partition_by_sheet: bool) -> str | None:
+    if run.published:
+        return run.folder
+    report.kept = run.rows(report.rows)
+    if not check_not_empty(report.kept, on_empty, what):
+        return None
+    outputs = report.outputs()
+    write = lambda df, watched, path: write_table(df, path, run.fmt, partition_by_sheet, mode="overwrite", watched=watched)
+    return run.publish({name: run.table(name, df, write) for name, df in outputs.items()})
 
 
 def run_daily(tables, report_date, root: str, accounts=None, on_empty: str = "raise", fmt: str = "parquet",
-              partition_by_sheet: bool = False, legacy_names: bool = False, **options) -> str | None:
+              partition_by_sheet: bool = False, legacy_names: bool = False, resume: str | None = None, **options) -> str | None:
     """R1 end to end; returns the run folder, or None when empty and ``on_empty='warn'``."""
     day = parse_date(report_date)
     report = daily_report(tables, day, accounts=accounts, **options)
-    if not check_not_empty(report.kept, on_empty, f"date {day}"):
-        return None
-    name = legacy_name("daily", day=day) if legacy_names else run_name(daily_run_prefix(day))
-    return _write_run(report, root, name, fmt, partition_by_sheet)
+    name = resume or (legacy_name("daily", day=day) if legacy_names else run_name(daily_run_prefix(day)))
+    request = {"report": "daily", "date": str(day), "accounts": _filter(accounts), "options": options, "by_sheet": partition_by_sheet}
+    run = Run.open(tables.store_daily.sparkSession, root, name, request, fmt)
+    return _write_run(report, run, f"date {day}", on_empty, partition_by_sheet)
 
 
 def run_period(tables, p1: Period, p2: Period, root: str, accounts=None, shop_id=None, shop_ids=None,
                on_empty: str = "raise", fmt: str = "parquet", partition_by_sheet: bool = False,
-               legacy_names: bool = False, kind: str = "weekly", **options) -> str | None:
+               legacy_names: bool = False, kind: str = "weekly", resume: str | None = None, **options) -> str | None:
     """R2-R4 end to end (weekly, monthly and custom differ only in periods, filters and legacy file names)."""
     report = period_report(tables, p1, p2, accounts=accounts, shop_id=shop_id, shop_ids=shop_ids, **options)
-    if not check_not_empty(report.kept, on_empty, f"periods {p1.label} / {p2.label}"):
-        return None
-    if legacy_names:
+    if resume:
+        name = resume
+    elif legacy_names:
         shops = report.shop_count.first().store_count if kind == "custom" else None
         name = legacy_name(kind, p2=p2, shop_count=shops)
     else:
         name = run_name(period_run_prefix(p2))
-    return _write_run(report, root, name, fmt, partition_by_sheet)
+    request = {"report": kind, "p1": p1.label, "p2": p2.label, "accounts": _filter(accounts), "shop_id": shop_id, "shop_ids": _filter(shop_ids),
+               "options": options, "by_sheet": partition_by_sheet}
+    run = Run.open(tables.store_daily.sparkSession, root, name, request, fmt)
+    return _write_run(report, run, f"periods {p1.label} / {p2.label}", on_empty, partition_by_sheet)
 
 
 def run_all(tables, root: str, daily_date=None, weekly=None, monthly=None, custom=None,

@@ -1,8 +1,7 @@
 """Report sinks (K1-K3) and the empty-result rule.
 
-A report is a set of tidy tables (summary, detail, ...). ``write_report``
-writes each one under ``<root>/<run name>/<table>`` and returns that folder
-(K1). Tables are written in report order (O1, O2): rows are dealt out by ranges
+A report is a set of tidy tables (summary, detail, ...), each written under
+``<root>/<run name>/<table>`` (K1); ``shoplens.sources.publish`` makes a run's tables visible together. Tables are written in report order (O1, O2): rows are dealt out by ranges
 of (date, number, line), so that the files, in the order of their names, hold
 ascending, disjoint ranges and a reader of the whole folder, CSV too, meets the
 shops in order. The original wrote one sheet per store (K2); here every detail row
@@ -17,6 +16,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -83,15 +83,21 @@ def check_not_empty(df: DataFrame, on_empty: str = "raise", what: str = "report"
 def write_report(outputs: dict[str, DataFrame], root: str, name: str, fmt: str = "parquet",
                  partition_by_sheet: bool = False, max_records_per_file: int = 5_000_000,
                  mode: str = "errorifexists") -> str:
-    """K1/K2: write every output table of one report run; returns the run folder."""
+    """K1/K2: write every output table of one report run, unpublished; returns the run folder."""
     folder = f"{root.rstrip('/')}/{name}"
     for table, df in outputs.items():
-        order = [c for c in ("report_date", "seq", "line_no", "row_no") if c in df.columns]
-        w = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-        writer = w.write.mode(mode).format(fmt).option("maxRecordsPerFile", max_records_per_file)
-        if fmt == "csv":
-            writer = writer.option("header", "true")
-        if partition_by_sheet and "sheet_name" in df.columns:
-            writer = writer.partitionBy("sheet_name")
-        writer.save(f"{folder}/{table}")
+        write_table(df, f"{folder}/{table}", fmt, partition_by_sheet, max_records_per_file, mode)
     return folder
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by_sheet: bool = False, max_records_per_file: int = 5_000_000,
+                mode: str = "errorifexists", watched: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """One table in report order; ``watched`` may wrap the rows as they are written."""
+    order = [c for c in ("report_date", "seq", "line_no", "row_no") if c in df.columns]
+    w = watched(df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df)
+    writer = w.write.mode(mode).format(fmt).option("maxRecordsPerFile", max_records_per_file)
+    if fmt == "csv":
+        writer = writer.option("header", "true")
+    if partition_by_sheet and "sheet_name" in df.columns:
+        writer = writer.partitionBy("sheet_name")
+    writer.save(path)
