@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.arrow import lower_ascii, mix64, span_hashes, text_slices, word_bounds
+from shoplens.llm.store import unwrapped, wrapped
 
 SHINGLE = 5
 #: Containment as a fraction (numerator, denominator).
@@ -148,22 +149,46 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """(doc_id, item_id, n_shingles, n_shared, containment) of every item found in a document."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = []
+    for sketches in _blocks(items, item_id, item_text, shingle, contain, block):
+        shared = spark.sparkContext.broadcast(sketches)
+        found.append(own.mapInArrow(lambda batches, s=shared: _find(s.value, batches), SCHEMA))
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], SCHEMA)
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str, shingle: int, contain: tuple[int, int], block: int) -> Iterator[dict]:
+    """The sketches of all items, a block of about ``block`` items at a time."""
     tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).distinct()
     blocks = max(1, -(-tests.count() // block))
-    found = []
     for k in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else tests
         sketches = build_sketches(sorted((tuple(r) for r in part.collect()), key=str), shingle, contain)
         if sketches:
-            shared = spark.sparkContext.broadcast(sketches)
-            found.append(own.mapInArrow(lambda batches, s=shared: _find(s.value, batches), SCHEMA))
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], SCHEMA)
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found; a row with a NULL id stays."""
-    bad = contained_items(docs, items, id_col, **kw).select(F.col("doc_id").alias("__found_id")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__found_id"), "left_anti")
+            yield sketches
+
+
+def _without(block: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose ``text`` holds no item of the block; a row is named by its place, so ids don't matter."""
+    for rb in batches:
+        probe = pa.RecordBatch.from_arrays([pa.array(np.arange(rb.num_rows)), rb.column("text")], ["doc_id", "text"])
+        hit = np.zeros(rb.num_rows, bool)
+        for found in _find(block, iter([probe])):
+            hit[found.column("doc_id").to_numpy()] = True
+        yield rb.filter(pa.array(~hit))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  shingle: int = SHINGLE, contain: tuple[int, int] = CONTAIN, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, in whose text no item is found.
+
+    Rows are judged one by one where they are read: nothing is shuffled, and a NULL or repeated id changes nothing.
+    """
+    left = wrapped(docs).withColumn("text", F.col("row").getField(text_col))
+    schema = left.schema
+    for sketches in _blocks(items, item_id, item_text, shingle, contain, block):
+        shared = docs.sparkSession.sparkContext.broadcast(sketches)
+        left = left.mapInArrow(lambda batches, s=shared: _without(s.value, batches), schema)
+    return unwrapped(left, docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -39,7 +39,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.store import stored
+from shoplens.llm.store import stored, unwrapped, wrapped
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.95
@@ -261,7 +261,8 @@ def find(docs: DataFrame, fitted, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, fitted, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of its text replaced by ``<kind>``; other columns and NULL texts as they were."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    text = F.col(text_col)
+    own = wrapped(docs).withColumn("text", F.col("row").getField(text_col))     # no column of the caller's stands beside ours
+    text = F.col("text")
     order = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc: Column, s: Column) -> Column:
@@ -272,4 +273,4 @@ def redact(docs: DataFrame, fitted, text_col: str = "text") -> DataFrame:
 
     whole = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                         lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return with_spans(docs, fitted, text_col).withColumn(text_col, F.when(F.size("__spans") > 0, whole).otherwise(text)).drop("__base", "__spans")
+    return unwrapped(with_spans(own, fitted), docs.columns, **{text_col: F.when(F.size("__spans") > 0, whole).otherwise(text)})

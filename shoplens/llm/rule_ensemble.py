@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from shoplens.llm.arrow import text_slices
 from shoplens.llm.labelled import fold, training_rows
 from shoplens.llm.stats import STATISTICS, Slice
+from shoplens.llm.store import unwrapped, wrapped
 
 TRAIN_ROWS = 12_000
 FOLDS, HELD_OUT = 5, 0
@@ -154,6 +155,12 @@ def scored(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float], text_
     return with_statistics(docs, text_col).withColumn("__score", compile_rules(*model)).drop("__s")
 
 
+def keep(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float], text_col: str = "text", predict_at: float = PREDICT_AT) -> DataFrame:
+    """The rows of ``docs``, all their columns whatever their names, with a score of ``predict_at`` or more."""
+    own = wrapped(docs).withColumn("text", F.col("row").getField(text_col))
+    return unwrapped(scored(own, model).where(F.col("__score") >= predict_at), docs.columns)
+
+
 def classify(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float], id_col: str = "doc_id", text_col: str = "text",
              predict_at: float = PREDICT_AT) -> DataFrame:
     """doc_id, held_out, score and predicted (1: good) of every text."""

@@ -25,6 +25,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def wrapped(docs: DataFrame, *plain: str) -> DataFrame:
+    """A column ``row`` with all columns of ``docs`` in it, beside copies of some of them: what an operator
+    adds next to ``row`` can't meet a column of the caller's. ``row.*`` gives the rows back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in plain])
+
+
+def unwrapped(df: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The rows of ``wrapped``, some of their columns replaced."""
+    return df.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -46,9 +46,10 @@ def test_containment_equals_brute_force(spark, block):
     assert key(decontam.contained_items(frame(spark, rows), items, block=block).collect()) == key(_contained(rows, ITEMS))
     assert decontam.contained_items(frame(spark, rows), items.limit(0)).count() == 0
     assert decontam.contained_items(empty(spark), items).count() == 0
-    kept = decontam.decontaminate(frame(spark, rows), items)
-    hit = {r[0] for r in _contained(rows, ITEMS)} - {None}
-    assert key(kept.select("doc_id").collect()) == key((i,) for i, _ in rows if i not in hit)
+    kept = decontam.decontaminate(frame(spark, rows), items, block=block)
+    # Every row is judged by its own text, also without an id.
+    assert key(kept.select("doc_id", "text").collect()) == key((i, t) for i, t in rows if not _contained([(i, t)], ITEMS))
+    assert kept.where("doc_id is null").count() == 0
     assert kept.columns == frame(spark, rows).columns
 
 
@@ -111,10 +112,19 @@ def test_stages_take_any_rows(spark):
         assert stage(spark, empty(spark), D).count() == 0, name
     one = cp.drop_near_duplicates(spark, docs, D).select("doc_id", "text").collect()
     assert sum(r.text == PASSAGE for r in one) == 2 and {r.doc_id for r in one if r.text == PASSAGE} == {9, None}
+    assert sum(r.doc_id == 8 for r in one) == 1             # two equal rows with one id
+
+
+def test_stages_keep_further_columns_as_they_are(spark):
+    docs = frame(spark, [(i, t) for i, t in EDGE if i is not None])
+    before = {(r.doc_id, r.text): tuple(r)[2:-1] for r in docs.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, D).collect()
+        assert out and all(tuple(r)[2:-1] == next(iter(before.values())) for r in out), name
 
 
 def test_registry_and_stage_names():
-    assert len(cp.STAGES) == 5 and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in registry.queries()}
+    assert len(cp.STAGES) == 5 and {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in registry.queries()}
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
 
 
@@ -122,5 +132,5 @@ def test_registry_and_stage_names():
 def test_every_query_returns_all_documents(spark, name):
     n = spark.read.parquet(f"{D}/documents.parquet").count()
     got = entry.queries()[name](spark, D)
-    if name != "op9_decontamination":
+    if name not in ("op9_decontamination", "op11_phrases"):
         assert got.count() == n and got.select("doc_id").distinct().count() == n

@@ -16,12 +16,16 @@ LONG = " ".join(f"word{i % 977} of{i}" for i in range(12_000))
 EDGE = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "two words"), (6, LONG), (7, "x" * 3000), (8, "The The The " * 90), (8, "The The The " * 90),
         (9, PASSAGE), (10, "before it " + PASSAGE + "after it"), (11, PASSAGE), (None, PASSAGE), (12, "mail a.b@c.example.org or +1 (555) 555-1234\n\nx"),
         (13, "é́ 日本語 😀😀 \x1c\x85\xa0 <|endoftext|> it's we'll"), (14, "ab ab ab ab\nab ab ab ab\nab ab ab ab\n\n\nq"), (15, "ÀÉÎ " * 60), (16, "$$$ !!! ### " * 40)]
-EXTRA = "doc_id long, text string, word string, n long, s long, start long, label int, fp long, kind int, score double, gram string, spans string, source string, n_chars long"
+#: Further columns with names that operators use inside.
+NAMES = ["word", "n", "s", "start", "label", "fp", "kind", "score", "gram", "spans", "source", "n_chars", "row", "id", "gone", "again", "__text", "__base", "__spans", "__cands",
+         "__free", "__add", "__scored", "__s", "__score", "__stage_id", "__found_id", "component_id", "component_root", "fingerprint", "item_id", "bucket", "deal", "f", "m"]
+EXTRA = "doc_id long, text string, " + ", ".join(f"`{n}` {'int' if n in ('label', 'kind') else 'long'}" for n in NAMES if n != "n_chars") + ", n_chars long"
 
 
 def frame(spark, rows, parts=3):
     """Documents with many further columns whose names operators use inside."""
-    return spark.createDataFrame([(i, t, "w", 1, 2, 3, 4, 5, 6, 0.5, "g", "sp", "src", len(t or "")) for i, t in rows], EXTRA).repartition(parts)
+    more = tuple(range(3, 3 + len(NAMES) - 1))
+    return spark.createDataFrame([(i, t, *more, len(t or "")) for i, t in rows], EXTRA).repartition(parts)
 
 
 def empty(spark):
