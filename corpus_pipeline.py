@@ -7,9 +7,10 @@
 5. BPE: token ids of what is left, decoded again, with digests.
 
 Each stage works on all that its predecessor kept, and all but the last return the
-columns of ``documents``. Models are fitted on the rows of the stage's own input.
-A row with a NULL doc_id passes stages 2 and 3 (it cannot be named as a duplicate or
-a finding); rows that repeat a doc_id stay or go together. Empty tables pass.
+columns of ``documents``, whatever further columns there are. Models are fitted on the rows of the stage's
+own input. Equal rows of one doc_id (or of none) are reduced to one by stage 2; rows that share a doc_id and
+differ in text are removed together or not at all by it, and a NULL doc_id can't be named as another
+document's duplicate. The other stages judge every row by itself. Empty tables pass.
 """
 
 from __future__ import annotations
@@ -19,24 +20,23 @@ from pyspark.sql import functions as F
 
 from shoplens.llm import bpe, decontam, pii, rule_ensemble, simhash
 from shoplens.llm.registry import BYTE_BPE
-from shoplens.llm.store import documents, picked, stored
-
-
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is (left_semi) or isn't (left_anti) in ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("__stage_id")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("__stage_id"), how)
+from shoplens.llm.store import documents, picked, stored, unwrapped, wrapped
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = rule_ensemble.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    verdict = rule_ensemble.scored(docs, model)
-    return verdict.where(F.col("__score") >= rule_ensemble.PREDICT_AT).drop("__score")
+    return rule_ensemble.keep(docs, rule_ensemble.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(docs, shingle=simhash.SHINGLE, radius=simhash.RADIUS)
-    return _only(docs, groups.where("doc_id <> component_id"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    own = wrapped(docs).withColumn("id", F.col("row").getField("doc_id").cast("long"))
+    left = own.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    again = own.groupBy("id").count().where("count > 1").select(F.col("id").alias("again"))
+    repeats = F.col("id").eqNullSafe(F.col("again"))
+    # Only ids that occur again need a look at their texts; there are few or none, so both joins broadcast.
+    many = left.join(again, repeats, "left_semi").withColumn("text", F.col("row").getField("text")).dropDuplicates(["id", "text"])
+    return unwrapped(left.join(again, repeats, "left_anti").unionByName(many.drop("text")), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
