@@ -1,16 +1,20 @@
 """Relational source (S6): the report inputs read from a database with Spark's
 JDBC reader.
 
-Credentials come from the caller, never from code or the environment. The
-fact tables are read in parallel by one predicate per partition: a day of a
-report period (with the lookback of trailing sums) and a residue of the shop id,
-so that a day is split and days between two periods are not read.
+Credentials come from the caller, never from code or the environment. A fact table is
+read in parallel by predicates that cover its wanted rows exactly once, made from a
+histogram that the database computes (rows per day, and id cuts within days of many rows): days of few rows are read
+together, a day of many is cut at ids. Cuts are half-open comparisons, of which one is the other's negation, so
+negative, textual and any other ids fall on exactly one side; rows without an id go with a
+day's first part, and rows without a date, which no report shows but whose shops
+a quarantined report must know, have a predicate of their own. Days between two periods are not read.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,28 +54,109 @@ def jdbc_options(url: str, table: str, user: str | None = None, password: str |
     return opts
 
 
+#: Rows of a fact table that one task reads, about.
+ROWS_PER_PARTITION = 2_000_000
+
 # Logical table -> its shop id column.
 SHOP_COLUMNS = {"store_daily": "shop_id", "promotion_daily": "shop_id", "store_stats": "store_id"}
 
 
-def day_predicates(periods: Sequence[Period], date_column: str, shop_column: str, parts_per_day: int = 4,
-                   lookback_days: int = 6, shop_residue: str = "MOD(CAST({c} AS DECIMAL(20)), {n})") -> list[str]:
-    """One SQL predicate per (day, shop residue) of the periods and the days before each that trailing sums need.
+def _literal(value) -> str:
+    """A cut's id as an SQL literal: numbers as they are, anything else quoted."""
+    if isinstance(value, (int, Decimal)) and not isinstance(value, bool):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def wanted_days(periods: Sequence[Period], lookback_days: int = 6) -> list[dt.date]:
+    """The days of the periods and the days before each that trailing sums need, once each."""
+    return sorted({p.start + dt.timedelta(days=k) for p in periods for k in range(-lookback_days, (p.end - p.start).days + 1)})
+
+
+def _between(date_column: str, first: dt.date, last: dt.date) -> str:
+    # Half-open, so that a column with a time of day keeps all of its last day.
+    return f"{date_column} >= '{first}' AND {date_column} < '{last + dt.timedelta(days=1)}'"
+
+
+def _any_day(date_column: str, days: Sequence[dt.date]) -> str:
+    """A condition for the days, run by run."""
+    runs: list[list[dt.date]] = []
+    for d in days:
+        if runs and d - runs[-1][1] == dt.timedelta(days=1):
+            runs[-1][1] = d
+        else:
+            runs.append([d, d])
+    return "(" + " OR ".join(f"({_between(date_column, a, b)})" for a, b in runs) + ")"
+
+
+def histogram_query(table: str, date_column: str, days: Sequence[dt.date]) -> str:
+    """Rows per wanted day (``d``, ``n``), as a table expression for the database."""
+    return (f"(SELECT CAST({date_column} AS DATE) AS d, COUNT(*) AS n FROM {table} WHERE {_any_day(date_column, days)} "
+            f"GROUP BY CAST({date_column} AS DATE)) h")
+
+
+def cuts_query(table: str, date_column: str, shop_column: str, days: Sequence[dt.date], rows: int) -> str:
+    """For days of many rows: (``d``, ``cut``, ``r``), the ids at which a day is cut into parts of about ``rows`` rows.
+
+    ``r`` rises with the ids in the database's own order, which need not be Python's.
+    """
+    numbered = (f"SELECT CAST({date_column} AS DATE) AS d, {shop_column} AS id, ROW_NUMBER() OVER (PARTITION BY CAST({date_column} AS DATE) ORDER BY {shop_column}) AS r "
+                f"FROM {table} WHERE {shop_column} IS NOT NULL AND {_any_day(date_column, days)}")
+    return f"(SELECT d, id AS cut, r FROM ({numbered}) x WHERE MOD(r, {rows}) = 0) c"
+
+
+def split_predicates(counts: dict[dt.date, int], cuts: dict[dt.date, Sequence], date_column: str, shop_column: str, rows: int) -> list[str]:
+    """Predicates of about ``rows`` rows each: every row of a counted day, and every row without a date, satisfies exactly one.
+
+    ``cuts`` lists ids of a day, in the database's order; equal neighbours count once. Days that are not cut are
+    put together until they have ``rows`` rows.
+    """
+    out, group, size = [], [], 0
+
+    def close() -> None:
+        nonlocal group, size
+        if group:
+            out.append(_any_day(date_column, group))
+        group, size = [], 0
+
+    for d in sorted(counts):
+        ids = list(dict.fromkeys(cuts.get(d, ())))
+        if not ids:
+            if group and size + counts[d] > rows:
+                close()
+            group.append(d)
+            size += counts[d]
+            continue
+        day = _between(date_column, d, d)
+        edges = [f"{shop_column} < {_literal(i)}" for i in ids]
+        out.append(f"{day} AND ({edges[0]} OR {shop_column} IS NULL)")
+        out += [f"{day} AND NOT ({a}) AND {b}" for a, b in zip(edges, edges[1:])]
+        out.append(f"{day} AND NOT ({edges[-1]})")
+    close()
+    return [*out, f"{date_column} IS NULL"]
+
+
+def plan_predicates(read: Callable[[str], Iterable], table: str, date_column: str, shop_column: str, periods: Sequence[Period],
+                    rows: int = ROWS_PER_PARTITION, lookback_days: int = 6) -> list[str]:
+    """The predicates of a fact table from its histogram; ``read`` runs a table expression and returns its rows.
 
-    Days that two periods share are listed once; days between them not at all. A
-    NULL shop id goes with residue 0. ``shop_residue`` adapts the residue to a
-    database in which shop ids are not numbers (for example a hash function's).
+    The histogram has one row a day and the cuts one for each ``rows`` rows, so the driver holds about
+    as many values as there will be partitions.
     """
-    days = sorted({p.start + dt.timedelta(days=k) for p in periods for k in range(-lookback_days, (p.end - p.start).days + 1)})
-    if parts_per_day <= 1:
-        return [f"{date_column} = '{d}'" for d in days]
-    residue = shop_residue.format(c=shop_column, n=parts_per_day)
-    return [f"{date_column} = '{d}' AND " + (f"({residue} = {k} OR {shop_column} IS NULL)" if not k else f"{residue} = {k}")
-            for d in days for k in range(parts_per_day)]
+    days = wanted_days(periods, lookback_days)
+    as_date = lambda d: d.date() if isinstance(d, dt.datetime) else d
+    counts = dict.fromkeys(days, 0) | {as_date(r[0]): int(r[1]) for r in read(histogram_query(table, date_column, days))}
+    many = [d for d in days if counts[d] > rows]
+    cuts: dict[dt.date, list] = {}
+    if many:
+        for r in read(cuts_query(table, date_column, shop_column, many, rows)):
+            cuts.setdefault(as_date(r[0]), []).append((int(r[2]), r[1]))
+    in_order = {d: [i for _, i in sorted(ids, key=lambda x: x[0])] for d, ids in cuts.items()}
+    return split_predicates(counts, in_order, date_column, shop_column, rows)
 
 
 def read_jdbc_tables(spark: SparkSession, url: str, user: str, password: str, dates: Period | Sequence[Period],
-                     partitions_per_day: int = 4, sources: dict | None = None,
+                     rows_per_partition: int = ROWS_PER_PARTITION, sources: dict | None = None,
                      driver: str | None = None) -> ReportTables:
     """The five inputs from a database, fact tables cut to the report periods ``dates`` (and their lookback)."""
     sources = sources or DEFAULT_SOURCES
@@ -80,7 +165,8 @@ def read_jdbc_tables(spark: SparkSession, url: str, user: str, password: str, da
     frames: dict[str, DataFrame] = {}
     for logical, (table, date_col) in sources.items():
         if date_col:
-            parts = day_predicates(periods, date_col, SHOP_COLUMNS[logical], partitions_per_day)
+            parts = plan_predicates(lambda q: spark.read.jdbc(url, q, properties=properties).collect(), table, date_col, SHOP_COLUMNS[logical],
+                                    periods, rows_per_partition)
             frames[logical] = spark.read.jdbc(url, table, predicates=parts, properties=properties)
         else:
             frames[logical] = spark.read.format("jdbc").options(

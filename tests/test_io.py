@@ -182,17 +182,6 @@ def test_command_line_options(spark, scratch, capsys):
         run("daily", "--date", "2024-01-10", "--shop-id", "1")
 
 
-def test_jdbc_predicates_split_days_and_skip_gaps():
-    from shoplens.plans.params import Period
-    from shoplens.sources.jdbc import day_predicates
-
-    p = day_predicates([Period.of("2024-01-10", "2024-01-10"), Period.of("2024-03-01", "2024-03-02")], "report_date", "shop_id", 3, lookback_days=1)
-    assert len(p) == (2 + 3) * 3 and len(set(p)) == len(p)
-    assert p[0] == "report_date = '2024-01-09' AND (MOD(CAST(shop_id AS DECIMAL(20)), 3) = 0 OR shop_id IS NULL)"
-    assert not any("2024-02-0" in x for x in p)
-    assert day_predicates([Period.of("2024-01-10", "2024-01-10")], "d", "s", 1, 0) == ["d = '2024-01-10'"]
-
-
 def test_feed_rebuilds_touched_dates_only():
     from shoplens.streaming.daily_feed import rebuild_periods
 
