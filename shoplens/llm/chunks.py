@@ -11,8 +11,9 @@ stretch without any boundary, such as one repeated byte, is one chunk.
 
 *Deduplication.* Chunks meet by a 128-bit digest (XXH3); of equal ones the first, by
 (doc_id, place), stays and later ones are repeats. Repeats that adjoin in a text
-form a run; runs of ``RUN_BYTES`` or more are removed. Shorter ones (a stock phrase,
-a common line) say too little and stay. Equal digests are taken as equal chunks.
+form a run; runs of ``run_bytes`` or more are removed. Shorter ones (a stock phrase,
+a common line) say too little and stay by default (``RUN_BYTES``); with ``run_bytes=1`` every
+repeated chunk goes. Equal digests are taken as equal chunks.
 
 *Scale.* Only (digest, id, place) is shuffled, not text. A first pass counts digests,
 combined before the shuffle, and keeps those seen twice or more with their first
@@ -138,14 +139,14 @@ def _runs(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[pa.RecordBatch]:
     for rb, data, off in text_slices(batches):
         removed = rb.column("removed")
         keep = np.ones(len(data), bool)
         n_removed, n_spans = np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1, np.int64)
         for i, spans in enumerate(removed.to_pylist()):
             for a, b in _runs(spans or ()):
-                if b - a >= RUN_BYTES:
+                if b - a >= run_bytes:
                     keep[off[i] + a:off[i] + b] = False
                     n_removed[i] += b - a
                     n_spans[i] += 1
@@ -154,11 +155,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): every text without the runs of chunks that stand earlier in the table."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept): every text without the runs of ``run_bytes`` or more of chunks that stand earlier in the table."""
     own = keyed(docs, id_col, text_col)
     return (own.join(repeats(own), list(_KEY), "left").select("doc_id", "text", "removed")
-            .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept string"))
+            .mapInArrow(lambda batches: _cut(batches, run_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string"))
 
 
 def digests(kept: DataFrame) -> DataFrame:

@@ -220,9 +220,6 @@ def fit(docs: DataFrame, text_col: str = "text", precision: float = PRECISION):
     return model, {r.kind: r.cut for r in cuts.collect()}
 
 
-_NEAR = 16
-
-
 def with_spans(docs: DataFrame, fitted, text_col: str = "text") -> DataFrame:
     """``docs`` with __base and __spans: all spans (kind, start, end) in order of kind and start."""
     out = with_candidates(docs, text_col)
@@ -237,10 +234,10 @@ def with_spans(docs: DataFrame, fitted, text_col: str = "text") -> DataFrame:
     out = out.withColumn("__add", F.array_sort(F.filter("__scored", lambda c: c["p"] >= F.get(limits, c["kind"]))))
     add = F.col("__add")
 
-    def wins(c: Column, i: Column) -> Column:
-        near = F.slice(add, F.greatest(i + 1 - _NEAR, F.lit(1)), 2 * _NEAR + 1)
+    def wins(c: Column) -> Column:
+        # Against all others of the text: an overlap may lie any number of candidates away.
         better = lambda o: (o["p"] > c["p"]) | ((o["p"] == c["p"]) & ((o["kind"] < c["kind"]) | ((o["kind"] == c["kind"]) & (o["start"] < c["start"]))))
-        return ~F.exists(near, lambda o: _meets(o, c) & better(o))
+        return ~F.exists(add, lambda o: _meets(o, c) & better(o))
 
     added = F.transform(F.filter(add, wins), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return out.withColumn("__base", base).withColumn("__spans", F.array_sort(F.concat("__base", added))).drop("__cands", "__free", "__scored", "__add", "__text")

@@ -109,7 +109,7 @@ def _ends(b, horizon=32, gear=16):
     return sorted({*cut, len(b)} - {0})
 
 
-def _chunk_brute(rows):
+def _chunk_brute(rows, run_bytes=chunks.RUN_BYTES):
     order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
     first, out = {}, {}
     for d in order:
@@ -126,7 +126,7 @@ def _chunk_brute(rows):
                 else:
                     runs.append([a, e])
             a = e
-        runs = [r for r in runs if r[1] - r[0] >= chunks.RUN_BYTES]
+        runs = [r for r in runs if r[1] - r[0] >= run_bytes]
         kept = bytearray(b)
         for x, y in reversed(runs):
             del kept[x:y]
@@ -134,9 +134,10 @@ def _chunk_brute(rows):
     return [out[i, t or ""] for i, t in rows]
 
 
-def test_chunk_dedup_equals_brute_force(spark):
-    rows = [r for r in EDGE if len(r[1] or "") < 5000] + [(50, "qrs " + PASSAGE + PASSAGE), (51, "é😀" * 100)]
-    assert key(chunks.digests(chunks.deduplicate(frame(spark, rows))).collect()) == key(_chunk_brute(rows))
+@pytest.mark.parametrize("run_bytes", [chunks.RUN_BYTES, 1])
+def test_chunk_dedup_equals_brute_force(spark, run_bytes):
+    rows = EDGE + [(50, "qrs " + PASSAGE + PASSAGE), (51, "é😀" * 100)]
+    assert key(chunks.digests(chunks.deduplicate(frame(spark, rows), run_bytes=run_bytes)).collect()) == key(_chunk_brute(rows, run_bytes))
     assert chunks.deduplicate(empty(spark)).count() == 0
 
 
