@@ -51,9 +51,10 @@ def unique_names(rows: DataFrame, clean: str, groups: Sequence[str] = (), order:
     stems = waiting.groupBy(*key).agg((F.min("__fold") != F.max("__fold")).alias("__many"))
     own = [*[F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in key]]
     met = stems.alias("a").join(taken.select(*key).distinct().alias("b"), own, "left").select("a.*", F.col("b.__stem").isNotNull().alias("__met"))
-    clash = stored(met.where("__many OR __met").select(*key), "name-clashes")
+    clash = met.where("__many OR __met").select(*key)
     number = F.col("__no")
     if not clash.isEmpty():
+        clash = stored(clash, "name-clashes")
         held = lambda df: df.alias("a").join(clash.alias("b"), own, "left_semi")
         queue = numbered(stored(held(waiting).select(*key, order), "names-waiting"), [order], key, "__v", rows_per_range)
         marks = numbered(stored(held(taken).select(*key, "__t"), "names-taken"), ["__t"], key, "__j", rows_per_range)

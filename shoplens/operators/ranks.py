@@ -7,7 +7,8 @@ offset and a difference, without a window over all rows and without reading what
 the rows came from again. The number of ranges grows with the rows
 (``ROWS_PER_RANGE`` each), the counts have one row per range and group, and a group or
 an order value that holds most of all rows is split like any other, as long as
-the rest of the order tells its rows apart.
+the rest of the order tells its rows apart. Rows of a single range, ``ROWS_PER_RANGE`` at most, are numbered by
+one task without a copy.
 
 The table given is read three times (count, range sample, copy), so it should be a
 stored one; ``stored`` writes one in the session's shared folder.
@@ -51,8 +52,11 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], groups: Sequence[st
     """
     place, piece = f"__{name}_place", f"__{name}_range"
     parts = range_count(rows.count() if count is None else count, rows_per_range)
+    if parts == 1:                     # one range is one task's share: numbered where it is read, without a copy
+        here = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
+        return rows.coalesce(1).withColumn(name, F.row_number().over(here.orderBy(*order)).cast("long"))
     by = [*[F.asc_nulls_first(g) for g in groups], *order]
-    dealt = rows.repartitionByRange(parts, *by) if parts > 1 else rows.coalesce(1)
+    dealt = rows.repartitionByRange(parts, *by)
     kept = stored(dealt.sortWithinPartitions(*by).withColumn(place, F.monotonically_increasing_id()), "ordered")
     kept = kept.withColumn(piece, F.shiftrightunsigned(place, _PLACE_BITS).cast("int"))
     before = (W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))).orderBy(piece).rowsBetween(W.unboundedPreceding, -1)
