@@ -524,21 +524,10 @@ def trend_select() -> str:
 
 # ---- daily report -----------------------------------------------------------
 
-def float_tenths(n: str, den: str) -> str:
-    """Tenths of format(n/den*100, '.1f'). Exact ties go to the side on which the double lies: its
-    value times a power of two is an integer, compared with the tie's in 128 bits."""
-    n0, d0 = f"cast(coalesce({n}, 0) as bigint)", f"cast(coalesce({den}, 0) as bigint)"
-    a = f"({n0} * 1000)"
-    qq, rr = f"({a} // {d0})", f"({a} % {d0})"
-    x = f"(cast({n0} as double) / cast({d0} as double) * 100.0)"
-    scale = f"(case when {x} < 32 then 144115188075855872 when {x} < 65536 then 140737488355328 else 68719476736 end)"
-    diff = f"(cast({x} * cast({scale} as double) as hugeint) * 20 - cast(2 * {qq} + 1 as hugeint) * {scale})"
-    return (f"(case when {d0} > 0 then case when 2 * {rr} > {d0} then {qq} + 1 when 2 * {rr} < {d0} then {qq} "
-            f"else case when {diff} < 0 then {qq} when {diff} > 0 then {qq} + 1 else {qq} + {qq} % 2 end end end)")
-
-
 def float_rate_text_sql(n: str, den: str) -> str:
-    return f"(cast({tenths_dec(f'coalesce({float_tenths(n, den)}, 0)')} as varchar) || '%')"
+    """A double printed with one decimal by the database itself, as the original's formatting prints it."""
+    n0, d0 = f"coalesce({n}, 0)", f"coalesce({den}, 0)"
+    return f"(case when {d0} > 0 then printf('%.1f', cast({n0} as double) / cast({d0} as double) * 100.0) else '0.0' end || '%')"
 
 
 def float_pass_sql(n: str, den: str, threshold: int) -> str:
