@@ -39,11 +39,12 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = min(hi, n)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, text: str = "text"
+def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, text: str = "text", within: str | None = None
                 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """For each bounded slice of rows: the rows, their text bytes, and offsets from 0."""
+    """For each bounded slice of rows: the rows, their text bytes, and offsets from 0. ``within`` names a struct column that holds the text."""
     for rb in batches:
-        data, off = utf8_view(rb.column(rb.schema.get_field_index(text)))
+        col = rb.column(rb.schema.get_field_index(within or text))
+        data, off = utf8_view(col.field(text) if within else col)
         for lo, hi in slices(off, limit):
             yield rb.slice(lo, hi - lo), data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.arrow import lower_ascii, mix64, span_hashes, text_slices, word_bounds
+from shoplens.llm.arrow import binary, lower_ascii, mix64, span_hashes, text_slices, word_bounds
 from shoplens.llm.store import unwrapped, wrapped
 
 SHINGLE = 5
@@ -167,10 +167,10 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, shingle: int, contai
             yield sketches
 
 
-def _without(block: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose ``text`` holds no item of the block; a row is named by its place, so ids don't matter."""
-    for rb in batches:
-        probe = pa.RecordBatch.from_arrays([pa.array(np.arange(rb.num_rows)), rb.column("text")], ["doc_id", "text"])
+def _without(block: dict, batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, a field of ``row``, holds no item of the block; a row is named by its place, so ids don't matter."""
+    for rb, data, off in text_slices(batches, text=text_col, within="row"):
+        probe = pa.RecordBatch.from_arrays([pa.array(np.arange(rb.num_rows)), binary(data, off[1:], pa.string())], ["doc_id", "text"])
         hit = np.zeros(rb.num_rows, bool)
         for found in _find(block, iter([probe])):
             hit[found.column("doc_id").to_numpy()] = True
@@ -183,11 +183,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     Rows are judged one by one where they are read: nothing is shuffled, and a NULL or repeated id changes nothing.
     """
-    left = wrapped(docs).withColumn("text", F.col("row").getField(text_col))
+    left = wrapped(docs)
     schema = left.schema
     for sketches in _blocks(items, item_id, item_text, shingle, contain, block):
         shared = docs.sparkSession.sparkContext.broadcast(sketches)
-        left = left.mapInArrow(lambda batches, s=shared: _without(s.value, batches), schema)
+        left = left.mapInArrow(lambda batches, s=shared: _without(s.value, batches, text_col), schema)
     return unwrapped(left, docs.columns)
 
 

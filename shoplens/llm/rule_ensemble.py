@@ -43,12 +43,12 @@ PENALTY = 2e-3
 Rule = tuple[tuple[int, bool, float], ...]             # (statistic, above, threshold), all of which must hold
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, and a struct ``__s`` of the statistics of each text."""
+def with_statistics(docs: DataFrame, text_col: str = "text", within: str | None = None) -> DataFrame:
+    """``docs``, all columns, and a struct ``__s`` of the statistics of each text; ``within`` names a struct column that holds the text."""
     kind = pa.struct([(c, pa.float64()) for c in STATISTICS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb, data, off in text_slices(batches, text=text_col):
+        for rb, data, off in text_slices(batches, text=text_col, within=within):
             got = Slice(data, off).statistics()
             s = pa.StructArray.from_arrays([pa.array(got[c]) for c in STATISTICS], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*rb.columns, s], [*rb.schema.names, "__s"])
@@ -150,15 +150,14 @@ def compile_rules(rules: list[tuple[Rule, float]], intercept: float, of: str = "
     return 1 / (1 + F.exp(-total))
 
 
-def scored(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float], text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float], text_col: str = "text", within: str | None = None) -> DataFrame:
     """``docs``, all columns, and ``__score``."""
-    return with_statistics(docs, text_col).withColumn("__score", compile_rules(*model)).drop("__s")
+    return with_statistics(docs, text_col, within).withColumn("__score", compile_rules(*model)).drop("__s")
 
 
 def keep(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float], text_col: str = "text", predict_at: float = PREDICT_AT) -> DataFrame:
     """The rows of ``docs``, all their columns whatever their names, with a score of ``predict_at`` or more."""
-    own = wrapped(docs).withColumn("text", F.col("row").getField(text_col))
-    return unwrapped(scored(own, model).where(F.col("__score") >= predict_at), docs.columns)
+    return unwrapped(scored(wrapped(docs), model, text_col, "row").where(F.col("__score") >= predict_at), docs.columns)
 
 
 def classify(docs: DataFrame, model: tuple[list[tuple[Rule, float]], float], id_col: str = "doc_id", text_col: str = "text",
