@@ -33,8 +33,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     own = wrapped(docs).withColumn("id", F.col("row").getField("doc_id").cast("long"))
     left = own.join(gone, F.col("id") == F.col("gone"), "left_anti")
     again = own.groupBy("id").count().where("count > 1").select(F.col("id").alias("again"))
+    if again.isEmpty():
+        return unwrapped(left, docs.columns)
+    # Only ids that occur again need a look at their texts.
     repeats = F.col("id").eqNullSafe(F.col("again"))
-    # Only ids that occur again need a look at their texts; there are few or none, so both joins broadcast.
     many = left.join(again, repeats, "left_semi").withColumn("text", F.col("row").getField("text")).dropDuplicates(["id", "text"])
     return unwrapped(left.join(again, repeats, "left_anti").unionByName(many.drop("text")), docs.columns)
 
