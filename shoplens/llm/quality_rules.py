@@ -5,7 +5,7 @@ words, symbols of ``#*$%&|<>``, lines with a word that equal an earlier line, an
 words inside 8-word windows that occur twice or more. A text fails outright with
 fewer than 20 words, or over 30 % of its words in repeated windows.
 
-*Model.* Words, word pairs and byte 3- and 4-grams are hashed into ``BUCKETS``
+*Model.* Words, word pairs and 3- and 4-grams of characters (code points) are hashed into ``BUCKETS``
 slots a kind; a text's score is the intercept plus, for each kind, the mean weight
 of its n-grams. The weights are fitted by logistic regression on ``TRAIN_ROWS``
 labelled rows at most; a fifth of those is kept apart to calibrate the scores to
@@ -43,6 +43,7 @@ FOLDS, HELD_OUT = 5, 0
 
 _SHIFT = np.uint64(64 - 16)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0x100000001B3)
 
 
 def _grams(sl: Slice) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -60,20 +61,20 @@ def _grams(sl: Slice) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     else:
         pair = np.zeros(0, np.uint64)
     yield "pair", slot(pair), np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - 1, 0))])
-    b = sl.data.astype(np.uint64)
+    chars = np.frombuffer(sl.raw.decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends = np.concatenate([[0], np.cumsum(sl.data & 0xC0 != 0x80)])[off]           # each document's first character
     for kind, k in (("tri", 3), ("four", 4)):
-        n = max(0, len(b) - k + 1)
+        n = max(0, len(chars) - k + 1)
         code = np.zeros(n, np.uint64)
         for i in range(k):
-            code |= b[i:i + n] << np.uint64(8 * i)
+            code = code * _BASE + chars[i:i + n]
         ok = np.ones(n, bool)
         for i in range(1, k):
-            at = off[1:-1] - i
+            at = ends[1:-1] - i
             at = at[(at >= 0) & (at < n)]
             ok[at] = False
-        lens = np.diff(off)
-        # A text shorter than k bytes has no gram; the cuts above cover every place that would cross an end.
-        yield kind, slot(code[ok] + np.uint64(k)), np.concatenate([[0], np.cumsum(np.maximum(lens - k + 1, 0))])
+        # A text shorter than k characters has no gram; the cuts above cover every place that would cross an end.
+        yield kind, slot(code[ok] + np.uint64(k)), np.concatenate([[0], np.cumsum(np.maximum(np.diff(ends) - k + 1, 0))])
 
 
 def score(sl: Slice, weights: dict[str, np.ndarray], intercept: float) -> np.ndarray:

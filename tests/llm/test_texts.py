@@ -70,6 +70,23 @@ def test_pii_runs_no_python_on_executors(spark):
 
 # ---- quality rules -----------------------------------------------------------------
 
+def test_character_grams_equal_plain_python():
+    texts = ["", "é", "日本語", "ab", "naïve café 😀😀x", "aaaa", "x" * 50, "", "señor"]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    got = {kind: (slots, first) for kind, slots, first in quality_rules._grams(Slice(np.frombuffer(b"".join(raw), np.uint8), off))}
+    for kind, k in (("tri", 3), ("four", 4)):
+        slots, first = got[kind]
+        for i, t in enumerate(texts):
+            want = []
+            for j in range(len(t) - k + 1):
+                code = 0
+                for c in t[j:j + k]:
+                    code = code * 0x100000001B3 + ord(c)
+                want.append(((code + k) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48)
+            assert slots[first[i]:first[i + 1]].tolist() == want, (kind, t)
+
+
 def test_base_counts_equal_brute_force(spark, tables):
     docs, _ = tables
     rows = EDGE + [(r.doc_id, r.text) for r in docs.where("doc_id % 5 = 1").collect()]
