@@ -58,10 +58,34 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
+        _LOADED[path] = (Tokenizer.from_file(path), _Memo())
     return _LOADED[path]
 
 
+class _Memo:
+    """Words with their ids, as arrays: a slice's distinct words are looked up all at once."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, words: pa.Array, encode) -> np.ndarray:
+        """The places of ``words``; those not known yet are encoded by ``encode(list) -> (ids, ids per word)``."""
+        if len(self.words) > MEMO:
+            self.__init__()
+        place = pc.index_in(words, value_set=self.words)
+        unknown = pc.is_null(place)
+        new = words.filter(unknown)
+        place = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            ids, n = encode(new.to_pylist())
+            place[unknown.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids = np.concatenate([self.ids, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        return place
+
+
 #: Lower-case letters of ASCII and Latin-1 only.
 _LOWER_WORD = regex.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 
@@ -81,27 +105,25 @@ def _encode(col: pa.Array, path: str, by_words: bool) -> tuple[np.ndarray, np.nd
     lists = _pieces(col)
     per = np.diff(lists.offsets.to_numpy())
     coded = lists.flatten().dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    if len(memo) > MEMO:
-        memo.clear()
-    new = [w for w in words if w not in memo]
-    model = tok.model.tokenize
-    hard = []
-    for w in new:
-        if _LOWER_WORD(w):                             # nothing to normalise or cut: straight to the library's model
-            memo[w] = np.array([t.id for t in model(_byte_letters(w))], "<u4").tobytes()
-        else:
-            hard.append(w)
-    for lo in range(0, len(hard), 1000):
-        part = hard[lo:lo + 1000]
-        for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-    raw = [memo[w] for w in words]
-    lens = np.array([len(r) for r in raw], np.int64) // 4
-    table = np.frombuffer(b"".join(raw), "<u4")
-    n = lens[codes]
+    place = memo.learn(coded.dictionary, lambda words: _encode_words(tok, words))[coded.indices.to_numpy()]
+    n = (memo.ends[1:] - memo.ends[:-1])[place]
     ends = np.concatenate([[0], np.cumsum(n)])
-    return table[spread((np.cumsum(lens) - lens)[codes], n)], np.diff(ends[np.concatenate([[0], np.cumsum(per)])])
+    return memo.ids[spread(memo.ends[place], n)], np.diff(ends[np.concatenate([[0], np.cumsum(per)])])
+
+
+def _encode_words(tok, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words in order, and ids per word."""
+    model, plain = tok.model.tokenize, list(map(_LOWER_WORD, words))
+    hard = [w for w, p in zip(words, plain) if not p]
+    slow = iter([e.ids for lo in range(0, len(hard), 1000) for e in tok.encode_batch(hard[lo:lo + 1000], add_special_tokens=False)])
+    flat: list[int] = []
+    n = np.zeros(len(words), np.int64)
+    for k, w in enumerate(words):
+        # A lower-case word needs nothing normalised or cut: straight to the library's model.
+        ids = [t.id for t in model(_byte_letters(w))] if plain[k] else next(slow)
+        flat += ids
+        n[k] = len(ids)
+    return np.array(flat, np.uint32), n
 
 
 def _pieces(col: pa.Array) -> pa.ListArray:
