@@ -15,9 +15,11 @@ import tempfile
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from shoplens import queries as Q  # noqa: E402
+from shoplens.operators.blocks import BlockRollup  # noqa: E402
 from shoplens.operators.dims import shop_filter  # noqa: E402
 from shoplens.operators.facts import joined_facts, trailing_sum  # noqa: E402
 from shoplens.plans.daily import daily_report  # noqa: E402
+from shoplens.plans.params import Period  # noqa: E402
 from shoplens.plans.period import period_report  # noqa: E402
 from shoplens.session import build_session  # noqa: E402
 from shoplens.sources.tables import ReportTables, write_tables  # noqa: E402
@@ -26,8 +28,8 @@ INTRO = """# Physical plans
 
 Made by `python tools/plans.py` on the inputs of one driver folder stored as date-partitioned parquet
 (`write_tables`), local[8], broadcasts off to show the shuffles that remain when nothing is small. Before AQE
-runs. Trees of the main query, then its scans (attribute ids removed); the boundary keys of the numbering are
-scalar subqueries over the two key columns of the store facts and are left out.
+runs. Trees of the main query, then its scans (attribute ids removed). A numbered report evaluates its rows once (the
+first plan of each) and makes its outputs from that stored copy (the second).
 """
 
 
@@ -51,11 +53,18 @@ def main() -> None:
     t = ReportTables.from_parquet(spark, root)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     accounts = shop_filter(t, accounts=Q.ACCOUNTS)
+    weekly, daily = period_report(t, Q.W1, Q.W2), daily_report(t, Q.DAY)
+    blocks = BlockRollup(spark, tempfile.mkdtemp(prefix="shoplens-blocks-"), levels=4)
+    blocks.build(t, Period(Q.W1.start, Q.W2.end))
     out = {
-        "Weekly report, wide table, numbered": period_report(t, Q.W1, Q.W2).wide,
+        "Weekly report, the rows that are evaluated once": weekly.rows,
+        "Weekly report, wide table from the stored rows": weekly.wide,
+        "Weekly report, sheet names from the stored rows": weekly.sections,
+        "Weekly sums from a stored block rollup": blocks.rollup(Q.W1, Q.W2),
         "Weekly facts of some accounts: the shops limit all three inputs before the joins": joined_facts(t, [Q.W1, Q.W2], shops=accounts),
         "Weekly facts of a shop list: literal predicates at every scan": joined_facts(t, [Q.W1, Q.W2], shops=shop_filter(t, shop_ids=Q.SHOP_LIST)),
-        "Daily summary, numbered": daily_report(t, Q.DAY).summary,
+        "Daily report, the rows that are evaluated once": daily.rows,
+        "Daily summary from the stored rows": daily.summary,
         "Daily checks: no number, so no numbering": daily_report(t, Q.DAY).checks,
         "7-day totals over a range of report days": trailing_sum(t.store_daily, "coupon_pay_order_count", Q.DAY_RANGE),
     }
