@@ -17,7 +17,7 @@ import numpy as np
 HIDDEN = 16
 CLASSES = 24
 WINDOW = 16
-TRAIN_LANES, SCORE_LANES, SCORE_WINDOW = 64, 512, 32
+TRAIN_LANES, SCORE_LANES, SCORE_WINDOW = 256, 512, 32
 #: Training cuts longer texts into parts of so many symbols; scoring never does.
 PART = 512
 RATE = 0.08
@@ -56,71 +56,97 @@ def lanes(lens: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, int]:
     return rank[lane], start, n
 
 
+def _gates(m: dict, d: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Input and recurrent weights of each gate (update, reset, new state), each in one block."""
+    return tuple([np.ascontiguousarray(m[k][:, i:i + d]) for i in (0, d, 2 * d)] for k in ("x", "u"))
+
+
 def _sigmoid(a: np.ndarray) -> np.ndarray:
-    np.negative(a, out=a)
-    np.minimum(a, _F(80), out=a)
-    np.exp(a, out=a)
-    a += _F(1)
-    return np.reciprocal(a, out=a)
+    a *= _F(0.5)
+    np.tanh(a, out=a)
+    a *= _F(0.5)
+    a += _F(0.5)
+    return a
 
 
 def _steps(m: dict, before: np.ndarray, clear: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each step of a window; ``keep`` takes what the way back needs."""
+    """States after each step of a window; ``keep`` takes what the way back needs: arrays over all steps."""
     d = h.shape[1]
-    out = np.empty((*before.shape, d), _F)
-    u = m["u"]
-    a_all = m["x"][before]
+    out, old = np.empty((*before.shape, d), _F), np.empty((*before.shape, d), _F)
+    inputs, (uz, ur, un) = _gates(m, d)
+    z_all, r_all, n_all = (x.take(before, axis=0) for x in inputs)
+    g_all = np.empty_like(n_all)
     any_clear = clear.any(axis=1)
     for t in range(len(before)):
+        h0, z, r, n, g = old[t], z_all[t], r_all[t], n_all[t], g_all[t]
+        h0[...] = h
         if any_clear[t]:
-            h = np.where(clear[t][:, None], _F(0), h)
-        a, g = a_all[t], h @ u
-        zr = _sigmoid(a[:, :2 * d] + g[:, :2 * d])
-        n = _sigmoid(_F(2) * (a[:, 2 * d:] + zr[:, d:] * g[:, 2 * d:])) * _F(2) - _F(1)       # tanh
-        if keep is not None:
-            keep.append((h, zr, n, g[:, 2 * d:]))
-        h = n + zr[:, :d] * (h - n)
-        out[t] = h
+            h0[clear[t]] = 0
+        z += h0 @ uz
+        r += h0 @ ur
+        np.matmul(h0, un, out=g)
+        _sigmoid(z)
+        n += _sigmoid(r) * g
+        np.tanh(n, out=n)
+        h = np.subtract(h0, n, out=out[t])
+        h *= z
+        h += n
+    if keep is not None:
+        keep += [old, z_all, r_all, n_all, g_all]
     return out, h
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a -= a.max(axis=1, keepdims=True)
-    a -= np.log(np.exp(a).sum(axis=1, keepdims=True))
-    return a
+def _by_value(a: np.ndarray, values: int) -> np.ndarray:
+    """A stable order of numbers below ``values`` (few enough ones are sorted by their digits)."""
+    return np.argsort(a.astype(np.uint16) if values <= 1 << 16 else a, kind="stable")
+
+
+def _softmax(a: np.ndarray, own: np.ndarray, shares: bool) -> np.ndarray:
+    """log of the share of row ``own`` in each column; with ``shares``, ``a`` becomes all shares."""
+    a -= a.max(axis=0)
+    picked = a[own, np.arange(a.shape[1])]
+    np.exp(a, out=a)
+    total = a.sum(axis=0)
+    if shares:
+        a /= total
+    return picked - np.log(total)
 
 
 def _predict(m: dict, h: np.ndarray, symbol: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """log p(symbol | h) of each row; with ``grads`` also the gradient of the states (of minus the sum)."""
-    bounds = m["bounds"]
-    cls = np.searchsorted(bounds, symbol, "right") - 1
-    lp = _log_softmax(h @ m["c"] + m["bc"])
-    rows = np.arange(len(h))
-    out = lp[rows, cls].astype(np.float64)
+    """log p(symbol | h) of each row; with ``grads`` also the gradient of the states (of minus the sum).
+
+    Rows are taken by symbol, so those of a class lie together; softmaxes run down columns.
+    """
+    bounds, learn = m["bounds"], grads is not None
+    order = _by_value(symbol, int(bounds[-1]))
+    hs, sym = h.take(order, axis=0), symbol.take(order)
+    cls = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).take(sym)
+    a = m["c"].T @ hs.T
+    a += m["bc"][:, None]
+    lp = _softmax(a, cls, learn).astype(np.float64)
     back = None
-    if grads is not None:
-        p = np.exp(lp)
-        p[rows, cls] -= 1
-        grads["c"], grads["bc"] = h.T @ p, p.sum(axis=0)
+    if learn:
+        a[cls, np.arange(len(hs))] -= 1
+        grads["c"], grads["bc"] = (a @ hs).T, a.sum(axis=1)
         grads["w"], grads["bw"] = np.zeros_like(m["w"]), np.zeros_like(m["bw"])
-        back = p @ m["c"].T
-    order = np.argsort(cls.astype(np.uint8) if len(bounds) < 257 else cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(len(bounds)), "left")
-    for c in np.unique(cls).tolist():
+        back = a.T @ m["c"].T
+    ends = np.searchsorted(sym, bounds)
+    for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(bounds) > 1)).tolist():
         lo, hi = bounds[c], bounds[c + 1]
-        if hi - lo == 1:
-            continue
-        at = order[ends[c]:ends[c + 1]]
-        hc = h[at]
-        lw = _log_softmax(hc @ m["w"][lo:hi].T + m["bw"][lo:hi])
-        own = np.arange(len(at))
-        pick = symbol[at] - lo
-        out[at] += lw[own, pick]
-        if grads is not None:
-            p = np.exp(lw)
-            p[own, pick] -= 1
-            grads["w"][lo:hi], grads["bw"][lo:hi] = p.T @ hc, p.sum(axis=0)
-            back[at] += p @ m["w"][lo:hi]
+        at = slice(ends[c], ends[c + 1])
+        hc, pick = hs[at], sym[at] - lo
+        a = m["w"][lo:hi] @ hc.T
+        a += m["bw"][lo:hi, None]
+        lp[at] += _softmax(a, pick, learn)
+        if learn:
+            a[pick, np.arange(len(hc))] -= 1
+            grads["w"][lo:hi], grads["bw"][lo:hi] = a @ hc, a.sum(axis=1)
+            back[at] += a.T @ m["w"][lo:hi]
+    out = np.empty(len(h))
+    out[order] = lp
+    if learn:
+        sorted_back, back = back, np.empty_like(back)
+        back[order] = sorted_back
     return out, back
 
 
@@ -190,30 +216,35 @@ def train(m: dict, symbols: np.ndarray, first: np.ndarray, end: int, memory: dic
         _, back = _predict(m, states[some], symbols[place[some]], grads)
         dh_out = np.zeros_like(states)
         dh_out[some] = back
-        du, dx = np.zeros_like(m["u"]), np.zeros((len(place), live, 3 * d), _F)
+        h0, z, r, n, g = kept
+        to_z, to_n, to_r = (h0 - n) * z * (1 - z), (1 - z) * (1 - n * n), g * r * (1 - r)
+        _, (uz, ur, un) = _gates(m, d)
         dh = np.zeros((live, d), _F)
         for t in range(len(place) - 1, -1, -1):
-            h0, zr, n, gn = kept[t]
-            z, r = zr[:, :d], zr[:, d:]
             dh += dh_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h0 - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t, :, :d], dx[t, :, d:2 * d], dx[t, :, 2 * d:] = dz, dr, dn
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            du += h0.T @ dg
-            dh = dh * z + dg @ m["u"].T
+            to_z[t] *= dh
+            to_n[t] *= dh
+            to_r[t] *= to_n[t]
+            np.multiply(to_n[t], r[t], out=g[t])
+            dh *= z[t]
+            dh += to_z[t] @ uz.T
+            dh += to_r[t] @ ur.T
+            dh += g[t] @ un.T
             dh[clear[t]] = 0
-        grads["u"] = du
+        before = h0.reshape(-1, d).T
+        grads["u"] = np.concatenate([before @ x.reshape(-1, d) for x in (to_z, to_r, g)], axis=1)
         size = _F(1.0 / max(1, int(some.sum())) ** 0.5)
         for k in ("u", "c", "bc", "w", "bw"):
             g = np.clip(grads[k] * size, -1, 1)
             memory[k] += g * g
             m[k] -= _F(rate) * g / np.sqrt(memory[k])
         ids = prev[some]
-        order = np.argsort(ids, kind="stable")
-        rows, at = np.unique(ids[order], return_index=True)
-        g = np.clip(np.add.reduceat(dx[some][order], at, axis=0) * size, -1, 1)
+        order = _by_value(ids, len(m["x"]))
+        ids, at = ids[order], np.flatnonzero(some)[order]
+        begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        rows = ids[begin]
+        dx = np.concatenate([x.reshape(-1, d).take(at, axis=0) for x in (to_z, to_r, to_n)], axis=1)
+        g = np.clip(np.add.reduceat(dx, begin, axis=0) * size, -1, 1)
         memory["x"][rows] += g * g
         m["x"][rows] -= _F(rate) * g / np.sqrt(memory["x"][rows])
     return memory

@@ -8,10 +8,10 @@ and one symbol for the rest, with a class-factored softmax; a rest word's probab
 the symbol times its smoothed count among the rest, so the model is a distribution over the same
 open set of words as the base. Its state runs through a whole document, however long.
 
-*Training.* A fixed share (one in ``TRAIN_SHARE``) of the training documents, by a hash of the id,
-so that it grows with the corpus, in ``ROUNDS`` parts: every task trains a copy of the weights on its
-documents by truncated backpropagation, and the copies are averaged by their numbers of tokens, block by
-block over the cluster, before the next round. The weights depend on how the table is partitioned.
+*Training.* Every token of every training document, once, in ``ROUNDS`` parts by a hash of the id:
+every task trains a copy of the weights on its documents of the part by truncated backpropagation, and the
+copies are averaged by their numbers of tokens, block by block over the cluster, before the next round. Each
+round reads the table again instead of storing its texts. The weights depend on how the table is partitioned.
 
 *Scoring.* One pass over the texts. The ``COMMON`` most frequent words, with counts, are broadcast (a
 bounded table); the words beyond them leave the pass as (row, word, times) and meet the
@@ -43,7 +43,7 @@ from shoplens.llm.store import stored
 FOLDS, HELD_OUT = 7, 2
 COMMON = 65_536
 SYMBOLS = 1_000
-TRAIN_SHARE, ROUNDS = 20, 3
+ROUNDS = 3
 SLICE = 8 << 20
 BLOCK = 1 << 13
 
@@ -114,12 +114,14 @@ def _symbols(words: pa.Array, first: np.ndarray, t: dict) -> tuple[np.ndarray, n
     return code, out, begin
 
 
-def train(docs: DataFrame, c: dict, id_col: str = "doc_id", text_col: str = "text", share: int = TRAIN_SHARE, rounds: int = ROUNDS) -> dict:
-    """The trained weights: ``rounds`` rounds of training in all tasks and averaging."""
+def train(docs: DataFrame, c: dict, id_col: str = "doc_id", text_col: str = "text", share: int = 1, rounds: int = ROUNDS) -> dict:
+    """The trained weights: ``rounds`` rounds of training in all tasks and averaging.
+
+    All training documents are used; a ``share`` above 1 asks for one in so many.
+    """
     weights = gru.new_model(c["symbol_counts"])
     own = _learned(_own(docs, id_col, text_col))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(share * rounds))
-    sample = stored(own.where(part < rounds).select("text", part.cast("int").alias("part")), "lm-sample")
     sc = docs.sparkSession.sparkContext
     sizes = [weights[k].size for k in gru.TRAINED]
 
@@ -155,7 +157,7 @@ def train(docs: DataFrame, c: dict, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([n]), pa.array([(x / n).astype(np.float32).tobytes()])], ["block", "seen", "w"])
 
         schema = "block int, seen double, w binary"
-        got = sample.where(F.col("part") == r).select("text").mapInArrow(learn, schema).repartition("block").mapInArrow(average, schema).collect()
+        got = own.where(part == r).select("text").mapInArrow(learn, schema).repartition("block").mapInArrow(average, schema).collect()
         if got:
             w = np.concatenate([np.frombuffer(x.w, np.float32) for x in sorted(got, key=lambda x: x.block)])
             parts = np.split(w, np.cumsum(sizes)[:-1])

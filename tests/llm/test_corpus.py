@@ -187,6 +187,15 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert own.s / own.n > own.b / own.n + 0.02
 
 
+def test_training_uses_every_training_document(spark):
+    docs = docs_frame(spark, [(i, f"w{i} " * 9, "en") for i in range(80)])
+    c = lm.counted(docs)
+    moved = np.abs(lm.train(docs, c)["x"] - gru.new_model(c["symbol_counts"])["x"]).max(axis=1)
+    own = {w: moved[p] for w, p in zip(c["common"].to_pylist(), c["place"])}
+    assert set(own) == {f"w{i}" for i in range(80) if zlib.crc32(str(i).encode()) % 7 != 2}
+    assert min(own.values()) > 1e-4
+
+
 def test_no_training_documents(spark):
     rows = [(None, "a b"), (None, None)]
     got = lm.score_documents(docs_frame(spark, [(i, t, None) for i, t in rows])).collect()
